@@ -169,9 +169,9 @@ def bronze_reconciliation(spark, sf_dir):
         F.count(F.lit(1)).alias("distinct_records"),
         F.count_if(F.col("_action") == "insert").alias("rows_inserted"),
     )
-    before = target.agg(F.count(F.lit(1)).alias("rows_before"))
+    before = target.agg(F.count(F.lit(1))).scalar()
     already = F.col("distinct_records") - F.col("rows_inserted")
-    return counts.join(before).select(
+    return counts.withColumn("rows_before", before).select(
         "rows_read",
         (F.col("rows_read") - F.col("distinct_records")).alias("duplicates_removed"),
         "distinct_records",

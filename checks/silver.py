@@ -462,8 +462,12 @@ def silver_run_counts(spark, sf_dir):
         F.count_if("_conflicting").alias("conflicting_keys"),
         F.count_if(valid & ~F.col("_master_key_resolved")).alias("unmapped_keys"),
     )
-    keyless = found.keyless.agg(F.count(F.lit(1)).alias("null_key_records"))
-    return counts.join(keyless).join(pairs.agg(F.count(F.lit(1)).alias("crosswalk_rows")))
+    return counts.withColumns(
+        {
+            "null_key_records": found.keyless.agg(F.count(F.lit(1))).scalar(),
+            "crosswalk_rows": pairs.agg(F.count(F.lit(1))).scalar(),
+        }
+    )
 
 
 @query(
