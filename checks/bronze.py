@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import query, sql_canonical, sql_hash, table
+from checks.base import query, spread_table, sql_canonical, sql_hash, table
 from checks.loads import (
-    CUSTOMER_COLUMNS, LINE_COLUMNS, SQL_CUSTOMER, SQL_LINE, customer_bronze, customer_hashed, customer_raw,
-    customer_sightings, line_bronze, line_hashed, line_raw, line_sightings,
+    CUSTOMER_COLUMNS, LINE_COLUMNS, SQL_CUSTOMER, SQL_LINE, customer_hashed, customer_layers, customer_raw,
+    line_bronze, line_hashed, line_raw, line_sightings,
 )
 from sediment.functions.identity import canonical_text, record_hash, value_hash
 from sediment.operators.bronze import (
@@ -68,7 +68,7 @@ def stats(spark, sf_dir):
     f"WITH {SQL_CUSTOMER} SELECT _record_hash, cust_id, segment, epoch_us(_seen_at) AS seen_us, _seen_batch FROM records",
 )
 def records_last_seen(spark, sf_dir):
-    records = with_last_seen(customer_bronze(spark, sf_dir), customer_sightings(spark, sf_dir))
+    records = with_last_seen(*customer_layers(spark, sf_dir))
     return records.select(
         "_record_hash", "cust_id", "segment", F.unix_micros("_seen_at").alias("seen_us"), "_seen_batch"
     )
@@ -91,8 +91,8 @@ def last_sighting(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY cust_id ORDER BY _seen_at DESC, _seen_batch DESC, _record_hash DESC) = 1""",
 )
 def latest_seen_version(spark, sf_dir):
-    bronze = customer_bronze(spark, sf_dir).where("cust_id IS NOT NULL")
-    return latest_version_of(bronze, customer_sightings(spark, sf_dir), ["cust_id"]).select(
+    bronze, seen = customer_layers(spark, sf_dir)
+    return latest_version_of(bronze.where("cust_id IS NOT NULL"), seen, ["cust_id"]).select(
         "cust_id", "segment", F.col("balance").cast("string").alias("balance"), "_seen_batch"
     )
 
@@ -125,8 +125,8 @@ def duplicate_keys(spark, sf_dir):
 )
 def orphan_sightings(spark, sf_dir):
     # The records that only the second load brought are missing from this Bronze table.
-    old = customer_bronze(spark, sf_dir).where("_batch_id <> 'L2'")
-    return orphans(customer_sightings(spark, sf_dir), old, "_record_hash").select("_record_hash", "_batch_id")
+    bronze, seen = customer_layers(spark, sf_dir)
+    return orphans(seen, bronze.where("_batch_id <> 'L2'"), "_record_hash").select("_record_hash", "_batch_id")
 
 
 @query(
@@ -226,7 +226,7 @@ def customer_record_hash(spark, sf_dir):
         'epoch_us(l_shipdate)', "nullif(l_returnflag, 'N')")} AS value_hash FROM lineitem""",
 )
 def line_value_hash(spark, sf_dir):
-    typed = table(spark, sf_dir, "lineitem").select(
+    typed = spread_table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
         F.col("l_extendedprice").cast("decimal(15,2)").alias("price"),

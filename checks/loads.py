@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import sql_hash, table
+from checks.base import spread_table, sql_hash, table
 from sediment.functions.steps import NullIf, ParseDate, Trim, Upper
-from sediment.operators.bronze import distinct_records, hashed, sightings
+from sediment.operators.bronze import distinct_records, first_seen, hashed, sightings
 from sediment.plans.spec import Attribute, Entity, MasterKey
 
 DAY = 86400
@@ -51,7 +51,7 @@ CUSTOMER_COLUMNS = ["cust_id", "cust_name", "birth", "segment", "segment_text",
 def customer_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("c_custkey"), F.col("n")
     changed = ((n == 2) & (key % 10 == 0)) | ((n == 3) & (key % 20 == 10))
-    return _each_load(table(spark, sf_dir, "customer"), _LOADS).select(
+    return _each_load(spread_table(spark, sf_dir, "customer"), _LOADS).select(
         F.when(key % 29 != 0, key).alias("cust_id"),
         F.when(key % 31 == 0, F.lit("   "))
         .otherwise(F.concat(F.lit("  "), F.lower("c_name"), F.lit(" ")))
@@ -107,12 +107,10 @@ def customer_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(customer_raw(spark, sf_dir), CUSTOMER_COLUMNS)
 
 
-def customer_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_records(customer_raw(spark, sf_dir), CUSTOMER_COLUMNS)
-
-
-def customer_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sightings(customer_hashed(spark, sf_dir))
+def customer_layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(Bronze, sightings) of the customer loads."""
+    rows = customer_hashed(spark, sf_dir)
+    return first_seen(rows).drop("_copies"), sightings(rows)
 
 
 # --- line items: the large table ---------------------------------------------------------------
@@ -122,7 +120,7 @@ LINE_COLUMNS = ["order_id", "part_id", "supplier_id", "line", "quantity", "price
 
 def line_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = (F.col("n") == 2) & (F.col("l_partkey") % 10 == 0)
-    return _each_load(table(spark, sf_dir, "lineitem"), [(1, "a"), (2, "a"), (3, "a")]).select(
+    return _each_load(spread_table(spark, sf_dir, "lineitem"), [(1, "a"), (2, "a"), (3, "a")]).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supplier_id"),

@@ -6,7 +6,7 @@ The sources are files the query writes from a given table into the shared folder
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.base import query, table
+from checks.base import query, spread_table, table
 from checks.loads import START
 from sediment.functions import ebcdic
 from sediment.functions.names import column_name, slug, table_name
@@ -286,7 +286,7 @@ def _money(name):
         -l_orderkey * 1000003 AS long, round(l_extendedprice * 100)::BIGINT / 100 AS price_check FROM lineitem""",
 )
 def decode_comp(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber",
         ebcdic.encode_comp((F.col("l_partkey") % 20000 - 10000).cast("int"), 2).alias("half"),
         ebcdic.encode_comp(F.col("l_suppkey") - 50, 4).alias("word"),
@@ -312,7 +312,7 @@ def _signed_cents():
 
 @query("decode_comp3", f"SELECT l_orderkey, l_linenumber, {_SQL_SIGNED}, true AS refused FROM lineitem")
 def decode_comp3(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_table(spark, sf_dir, "lineitem")
     raw = lines.select(
         "l_orderkey", "l_linenumber",
         ebcdic.encode_comp3(_signed_cents(), 9).alias("price"),
@@ -328,7 +328,7 @@ def decode_comp3(spark, sf_dir):
 
 @query("decode_zoned", f"SELECT l_orderkey, l_linenumber, {_SQL_SIGNED}, true AS refused FROM lineitem")
 def decode_zoned(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_table(spark, sf_dir, "lineitem")
     raw = lines.select(
         "l_orderkey", "l_linenumber",
         ebcdic.encode_zoned(_signed_cents(), 9).alias("price"),
@@ -361,7 +361,7 @@ _COPYBOOK = """
 def _customer_records(spark, sf_dir):
     """Customers as binary records of the copybook's layout."""
     cents = _money("c_acctbal")
-    return table(spark, sf_dir, "customer").select(
+    return spread_table(spark, sf_dir, "customer").select(
         F.concat(
             ebcdic.encode_zoned(F.col("c_custkey"), 8, signed=False),
             ebcdic.encode_text(F.concat("c_name", F.lit("é!")), 25),
@@ -452,7 +452,7 @@ _ORDER_TEXTS = {
 
 def _order_texts(spark, sf_dir):
     status = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").select(
+    return spread_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("o_orderkey"),
         F.when(status != "P", F.col("o_custkey").cast("string")).alias("cust"),
         F.col("o_totalprice").cast("string").alias("total"),
@@ -481,7 +481,7 @@ _BIG_TEXTS = {
 
 @query("profile_lineitem", f"WITH src AS (SELECT * FROM lineitem) {_sql_profile(_BIG_TEXTS)}")
 def profile_lineitem(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_table(spark, sf_dir, "lineitem")
     texts = [F.col(c).cast("string").alias(c) for c in _BIG_TEXTS if c != "l_returnflag"]
     texts.insert(3, F.nullif("l_returnflag", F.lit("A")).alias("l_returnflag"))
     return profile_columns(lines.select(*texts), sample_rows=None)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import query, sql_canonical, sql_time_text, table, time_text
+from checks.base import query, spread_table, sql_canonical, sql_time_text, table, time_text
 from sediment.operators.quality import contract_violations
 from sediment.operators.registry import (
     clean_edges, columns_json, degrees, history, neighbors, number_versions, register_versions, schema_diff,
@@ -136,7 +136,7 @@ inventory AS (
 
 def _inventory(spark, sf_dir):
     flag = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.col("l_linenumber").alias("ordinal"),
         F.concat(F.lit("c"), "l_linenumber", flag).alias("name"),
@@ -147,7 +147,7 @@ def _inventory(spark, sf_dir):
 
 _ONE = f"""sha256(concat_ws('|', ordinal::VARCHAR, {sql_canonical('name')},
     {sql_canonical("upper(regexp_replace(sql_type, '[[:space:]]+', '', 'g'))")}, {sql_canonical('path')}))"""
-_PARTS = ", ".join(f"sum(('0x' || substr(one, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR" for i in range(4))
+_PARTS = ", ".join(f"sum(('0x' || substr(one, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4))
 
 
 @query(
@@ -184,7 +184,7 @@ def normalize_types(spark, sf_dir):
         .when(flag == "N", "big int")
         .otherwise("varchar")
     )
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("sql_type"))
+    lines = spread_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("sql_type"))
     return lines.withColumn("normalized", normalized_sql_type(F.col("sql_type")))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import query, sql_time_text, table, time_text
+from checks.base import query, spread_table, sql_time_text, table, time_text
 from sediment.functions.runs import run_status, time_of_millis
 from sediment.operators.runs import (
     COUNTS, apply_run_counts, latest_per_group, page, recent_first, remote_runs, runs_with_names, sanitize_reports,
@@ -254,7 +254,7 @@ clean AS (
 
 
 def _reports(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("producer_id"), F.col("ts").cast("timestamp").alias("finished_at"),
         _report_text().alias("report"),
     )

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import query, table
+from checks.base import query, spread_table, table
 from checks.loads import (
     CUSTOMER, MASTER, SEGMENT, SQL_CROSSWALK, SQL_CUSTOMER, SQL_SEGMENTS, SQL_TYPED, START, SYSTEM, crosswalk,
-    customer_bronze, customer_sightings,
+    customer_layers,
 )
 from sediment.functions.steps import (
     Cast, Default, Lower, NullIf, ParseDate, ParseTimestamp, Trim, Upper, compile_steps,
@@ -25,7 +25,7 @@ _NAMES = [a.name for a in CUSTOMER.attributes]
 
 def _typed(spark, sf_dir, entity=CUSTOMER):
     """Records of the customer loads with their attributes, reasons and value hash."""
-    records = with_last_seen(customer_bronze(spark, sf_dir), customer_sightings(spark, sf_dir))
+    records = with_last_seen(*customer_layers(spark, sf_dir))
     typed = project_attributes(records, entity.attributes, _SEEN)
     return with_value_hash(typed, [a.name for a in entity.attributes])
 
@@ -84,7 +84,7 @@ def step_null_if(spark, sf_dir):
     FROM lineitem""",
 )
 def step_cast(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn(
+    lines = spread_table(spark, sf_dir, "lineitem").withColumn(
         "code", F.when(F.col("l_returnflag") == "A", F.concat(F.lit("A"), "l_suppkey")).otherwise(F.col("l_suppkey").cast("string"))
     )
     supplier = _steps(lines, "code", [Trim(), Cast("BIGINT")])
@@ -104,7 +104,7 @@ def step_cast(spark, sf_dir):
         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE::VARCHAR END AS partly FROM orders""",
 )
 def step_parse_date(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = spread_table(spark, sf_dir, "orders")
     o = o.select(
         "o_orderkey", "o_orderstatus",
         *[
@@ -129,7 +129,7 @@ def step_parse_date(spark, sf_dir):
         strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS with_t, event_type = 'error' AS failed FROM events""",
 )
 def step_parse_timestamp(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(
+    e = spread_table(spark, sf_dir, "events").select(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("plain"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("with_t"),
@@ -164,7 +164,7 @@ def step_default(spark, sf_dir):
     f"""WITH {_ALL} SELECT _record_hash, birth_date::VARCHAR AS birth_date, bad_birth AS failed FROM typed""",
 )
 def step_failures(spark, sf_dir):
-    bronze = customer_bronze(spark, sf_dir)
+    bronze, _ = customer_layers(spark, sf_dir)
     birth = _steps(bronze, "birth", [NullIf(("0",)), ParseDate("yyyyMMdd")])
     return bronze.select(
         "_record_hash", birth.value.cast("string").alias("birth_date"), birth.failed.alias("failed")
@@ -241,8 +241,8 @@ def conflicts(spark, sf_dir):
     return conflicting_keys(_typed(spark, sf_dir, SEGMENT), ["segment_code"])
 
 
-def _versions(spark, sf_dir, entity=CUSTOMER):
-    return versions(customer_bronze(spark, sf_dir), customer_sightings(spark, sf_dir), entity)
+def _versions(spark, sf_dir):
+    return versions(*customer_layers(spark, sf_dir), CUSTOMER)
 
 
 def _at():
@@ -261,8 +261,8 @@ def _at():
     FROM rejected JOIN bronze USING (_record_hash)""",
 )
 def quarantine(spark, sf_dir):
-    bronze = customer_bronze(spark, sf_dir)
-    found = versions(bronze, customer_sightings(spark, sf_dir), CUSTOMER)
+    bronze, seen = customer_layers(spark, sf_dir)
+    found = versions(bronze, seen, CUSTOMER)
     return quarantine_rows(found.rejected, bronze, record_json(bronze), _at()).drop("_quarantined_at")
 
 
@@ -360,11 +360,12 @@ def silver_current_customer(spark, sf_dir):
 )
 def silver_split(spark, sf_dir):
     """Two entities from one Bronze table."""
-    customers = _versions(spark, sf_dir).valid.select(
+    bronze, seen = customer_layers(spark, sf_dir)
+    customers = versions(bronze, seen, CUSTOMER).valid.select(
         F.lit("customer").alias("entity"), F.col("customer_id").cast("string").alias("key"),
         F.col("full_name").alias("text"), "_record_hash",
     )
-    segments = _versions(spark, sf_dir, SEGMENT).valid.select(
+    segments = versions(bronze, seen, SEGMENT).valid.select(
         F.lit("segment").alias("entity"), F.col("segment_code").alias("key"), F.col("description").alias("text"),
         "_record_hash",
     )

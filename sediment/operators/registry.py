@@ -34,8 +34,7 @@ def schema_fingerprint(inventory: DataFrame, identity: list[str]) -> DataFrame:
         256,
     )
     part = [
-        F.sum(F.conv(F.substring("_one", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-        for i in range(4)
+        F.sum(F.conv(F.substring("_one", 1 + 8 * i, 8), 16, 10).cast("bigint")).cast("string") for i in range(4)
     ]
     return (
         inventory.select(*cols(identity), one.alias("_one"))

@@ -92,19 +92,33 @@ MAX_REPORT, MAX_TABLES, MAX_COUNT = 200_000, 200, 2**53
 MAX_NAME, MAX_TEXT, MAX_MODE, MAX_EXTRA = 128, 300, 20, 50
 
 
-def _typed(value: Column, key: str, type_name: str, kind: str) -> Column:
-    """A member of an object, if it really is of the kind; other kinds are not converted."""
-    member = F.try_variant_get(value, f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(member) == kind, F.try_variant_get(value, f"$.{key}", type_name))
+_MEMBERS = (*COUNTS, "source", "target", "extra_source_columns", "reconciled")
+_TABLE = "struct<" + ", ".join(f"{m}: variant" for m in _MEMBERS) + ">"
+_REPORT = "struct<v: variant, layer: variant, mode: variant, reconciled: variant, tables: map<string, variant>>"
 
 
-def _count(table: Column, key: str) -> Column:
-    number = _typed(table, key, "bigint", "BIGINT")
+def _typed(value: Column, type_name: str, kind: str) -> Column:
+    """A value, if it really is of the kind; other kinds are not converted."""
+    return F.when(F.schema_of_variant(value) == kind, F.try_variant_get(value, "$", type_name))
+
+
+def _text(value: Column) -> Column:
+    return _typed(value, "string", "STRING")
+
+
+def _flag(value: Column) -> Column:
+    return _typed(value, "boolean", "BOOLEAN")
+
+
+def _count(value: Column) -> Column:
+    number = _typed(value, "bigint", "BIGINT")
     return F.when(number.between(0, MAX_COUNT), number)
 
 
-def _extra(table: Column) -> Column:
-    listed = F.try_variant_get(table, "$.extra_source_columns", "array<variant>")
+def _extra(value: Column) -> Column:
+    listed = F.when(
+        F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")
+    )
     texts = F.filter(F.slice(listed, 1, MAX_EXTRA), lambda x: F.schema_of_variant(x) == "STRING")
     return F.transform(texts, lambda x: F.left(F.try_variant_get(x, "$", "string"), F.lit(MAX_NAME)))
 
@@ -115,58 +129,56 @@ def sanitize_reports(reports: DataFrame, text: str = "report") -> DataFrame:
     A count has to be a whole number from 0 to 2**53; booleans, fractions and digits in quotes are none.
     Texts and lists are cut to their limits.  The run counts as reconciled only if it says so and no
     table says otherwise.  Anything that is not a report of a known layer is left out.
+
+    Each text is parsed once: exploding the one-element array keeps Spark from repeating the parse for
+    every member that is read from it.
     """
-    parsed = F.from_json(
-        col(text), "v variant, layer variant, mode variant, reconciled variant, tables map<string, variant>"
-    )
-    kept = reports.where(F.length(col(text)) <= MAX_REPORT).withColumn("_r", parsed)
-    entries = F.slice(F.map_entries("_r.tables"), 1, MAX_TABLES)
-    shaped = (
-        kept.where(
-            (F.schema_of_variant("_r.v") == "BIGINT")
-            & (F.try_variant_get("_r.v", "$", "bigint") == 1)
-            & F.try_variant_get("_r.layer", "$", "string").isin(*LAYERS)
+    others = cols(c for c in reports.columns if c != text)
+    parsed = F.try_variant_get(F.try_parse_json(col(text)), "$", _REPORT)
+    report = (
+        reports.where(F.length(col(text)) <= MAX_REPORT)
+        .select(*others, F.explode(F.array(parsed)).alias("_r"))
+        .where(
+            _text(F.col("_r.layer")).isin(*LAYERS)
+            & (_typed(F.col("_r.v"), "bigint", "BIGINT") == 1)
             & F.col("_r.tables").isNotNull()
         )
-        .withColumn(
-            "_tables",
-            F.filter(entries, lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")),
-        )
-        .withColumn(
-            "run_reconciled",
-            F.coalesce(
-                (F.schema_of_variant("_r.reconciled") == "BOOLEAN")
-                & F.try_variant_get("_r.reconciled", "$", "boolean"),
-                F.lit(False),
-            )
-            & F.forall(
-                "_tables",
-                lambda e: F.coalesce(_typed(e["value"], "reconciled", "boolean", "BOOLEAN"), F.lit(True)),
-            ),
-        )
     )
-    others = [c for c in reports.columns if c != text]
-    rows = shaped.select(
-        *cols(others),
-        F.try_variant_get("_r.layer", "$", "string").alias("layer"),
+    entries = F.filter(
+        F.slice(F.map_entries("_r.tables"), 1, MAX_TABLES),
+        lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT"),
+    )
+    tables = F.transform(
+        entries,
+        lambda e: F.struct(
+            F.left(e["key"], F.lit(MAX_NAME)).alias("name"), F.try_variant_get(e["value"], "$", _TABLE).alias("t")
+        ),
+    )
+    listed = report.select(
+        *others,
+        _text(F.col("_r.layer")).alias("layer"),
         F.left(F.coalesce(F.try_variant_get("_r.mode", "$", "string"), F.lit("")), F.lit(MAX_MODE)).alias("mode"),
-        "run_reconciled",
-        F.explode_outer("_tables").alias("_t"),
+        F.coalesce(_flag(F.col("_r.reconciled")), F.lit(False)).alias("_claimed"),
+        F.explode(F.array(tables)).alias("_tables"),
     )
-    table = F.col("_t.value")
-    return rows.select(
-        *cols(others),
+    no_objection = F.forall("_tables", lambda e: F.coalesce(_flag(e["t"]["reconciled"]), F.lit(True)))
+    table = F.col("_t.t")
+    return listed.select(
+        *others,
+        "layer",
+        "mode",
+        (F.col("_claimed") & no_objection).alias("run_reconciled"),
+        F.explode_outer("_tables").alias("_t"),
+    ).select(
+        *others,
         "layer",
         "mode",
         "run_reconciled",
-        F.left("_t.key", F.lit(MAX_NAME)).alias("table_name"),
-        *[_count(table, k).alias(k) for k in COUNTS],
-        *[
-            F.left(_typed(table, k, "string", "STRING"), F.lit(MAX_TEXT)).alias(k)
-            for k in ("source", "target")
-        ],
-        _extra(table).alias("extra_source_columns"),
-        _typed(table, "reconciled", "boolean", "BOOLEAN").alias("reconciled"),
+        F.col("_t.name").alias("table_name"),
+        *[_count(table[k]).alias(k) for k in COUNTS],
+        *[F.left(_text(table[k]), F.lit(MAX_TEXT)).alias(k) for k in ("source", "target")],
+        _extra(table["extra_source_columns"]).alias("extra_source_columns"),
+        _flag(table["reconciled"]).alias("reconciled"),
     )
 
 

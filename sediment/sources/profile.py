@@ -29,13 +29,17 @@ def _present(text: Column, missing: tuple[str, ...]) -> Column:
     return F.when(~text.isin(*missing), text) if missing else text
 
 
+# Casts of texts that are no numbers are costly, so a pattern decides first.
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?)\s*$"
+
+
 def _is_whole(text: Column) -> Column:
-    return text.try_cast("bigint").isNotNull()
+    return F.when(text.rlike(_WHOLE), (F.length(text) <= 18) | text.try_cast("bigint").isNotNull())
 
 
 def _is_number(text: Column) -> Column:
-    """A decimal number; the suffixed literals Spark also casts (`1d`, `2f`) do not count."""
-    return text.try_cast("double").isNotNull() & ~F.lower(F.right(F.trim(text), F.lit(1))).isin("d", "f")
+    return text.rlike(_NUMBER)
 
 
 def _is_boolean(text: Column) -> Column:

@@ -1,7 +1,7 @@
-"""Intermediate results as parquet in the cluster's shared checkpoint folder.
+"""Where rows are between two steps of a job.
 
-A staged result cuts the lineage, survives the loss of any executor, is read back by column and lets
-Spark choose the next join from its real size.
+A staged result is parquet in the cluster's shared checkpoint folder.  It cuts the lineage, survives the
+loss of any executor, is read back by column and lets Spark choose the next join from its real size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sediment.types import cols
+
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -31,3 +33,13 @@ def stage(df: DataFrame) -> DataFrame:
     folder = staging_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Give every core a share of a source that has fewer splits than the cluster has cores.
+
+    One small or unsplittable file would keep all the work that follows the scan in one task.  A source
+    with enough splits is returned as it is, so nothing is shuffled where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *cols(keys)) if df.rdd.getNumPartitions() < cores else df

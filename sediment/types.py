@@ -57,10 +57,11 @@ def normalize_sql_type(text: str | None) -> str | None:
 def normalized_sql_type(text: Column) -> Column:
     """`normalize_sql_type` over a column of type names."""
     compact = F.upper(F.regexp_replace(text, r"\s+", ""))
-    precision = F.regexp_extract(compact, r"^DECIMAL\((\d{1,2}),(\d{1,2})\)$", 1).try_cast("int")
-    scale = F.regexp_extract(compact, r"^DECIMAL\((\d{1,2}),(\d{1,2})\)$", 2).try_cast("int")
-    return F.when(
-        compact.isin(*SQL_TYPES) | (precision.between(1, 38) & (scale <= precision)), compact
+    decimal = r"^DECIMAL\((\d{1,2}),(\d{1,2})\)$"
+    precision = F.regexp_extract(compact, decimal, 1).cast("int")
+    scale = F.regexp_extract(compact, decimal, 2).cast("int")
+    return F.when(compact.isin(*SQL_TYPES), compact).when(
+        compact.rlike(decimal), F.when(precision.between(1, 38) & (scale <= precision), compact)
     )
 
 
