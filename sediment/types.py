@@ -85,6 +85,11 @@ def sql_type_of(data_type: T.DataType) -> str:
     return "STRING"
 
 
+def schema_of(columns: dict[str, str]) -> T.StructType:
+    """The schema of a reviewed column list: names and SQL types, in order."""
+    return T.StructType([T.StructField(name, parse_sql_type(text)) for name, text in columns.items()])
+
+
 def ddl(schema: T.StructType) -> str:
     """Column list of a CREATE TABLE statement."""
     return ", ".join(f"{quoted(f.name)} {sql_type_of(f.dataType)}" for f in schema.fields)
