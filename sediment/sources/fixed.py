@@ -167,7 +167,7 @@ def _fixed_records(spark: SparkSession, path: str, length: int) -> DataFrame:
     sc = spark.sparkContext
     records = sc._jsc.sc().binaryRecords(path, length, sc._jsc.hadoopConfiguration())
     dataset = spark._jsparkSession.createDataset(records, sc._jvm.org.apache.spark.sql.Encoders.BINARY())
-    return DataFrame(dataset.toDF("value"), spark)
+    return DataFrame(dataset.toDF(), spark)
 
 
 def _cut_sequence(content: bytes, length: int, big_endian: bool) -> Iterator[bytes]:

@@ -154,9 +154,7 @@ def profile_json(
     if sample_rows is not None and not multiline:
         lines = spark.read.text(path).where("trim(value) <> ''").limit(sample_rows)
         shape = lines.agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
-        if shape is None:
-            raise ValueError(f"no records found in {path}")
-        schema = _from_variant_type(shape)
+        schema = _from_variant_type(shape, str(path))
         return profile_nested(lines.select(F.from_json("value", schema).alias("r")).select("r.*"))
     df = reader.json(path)
     if not df.columns:
@@ -164,8 +162,10 @@ def profile_json(
     return profile_nested(_sampled(df, sample_rows))
 
 
-def _from_variant_type(text: str) -> T.StructType:
+def _from_variant_type(text: str | None, where: str) -> T.StructType:
     """The schema behind the type text of a variant (OBJECT<...> is a struct)."""
+    if not (text or "").startswith("OBJECT<"):
+        raise ValueError(f"no records found in {where}")
     as_struct = text.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING").replace("VOID", "STRING")
     return T.StructType.fromDDL(f"r {as_struct}")["r"].dataType
 
@@ -176,9 +176,7 @@ def profile_json_text(df: DataFrame, text: str) -> DataFrame:
     The shape is a distributed aggregate over all records; a second pass counts the missing values.
     """
     shape = df.agg(F.schema_of_variant_agg(F.parse_json(col(text)))).first()[0]
-    if shape is None:
-        raise ValueError("no records found")
-    parsed = F.from_json(col(text), _from_variant_type(shape))
+    parsed = F.from_json(col(text), _from_variant_type(shape, f"column {text}"))
     return profile_nested(df.select(parsed.alias("r")).select("r.*"))
 
 
