@@ -30,9 +30,13 @@ def canonical_text(value: Column, data_type: T.DataType, *, merge_zeros: bool =
 
 
 def record_hash(fields: Iterable[T.StructField], *, merge_zeros: bool = False) -> Column:
-    """SHA-256 over the canonical texts of the given fields, in their order."""
+    """SHA-256 over the canonical texts of the given fields, in their order.
+
+    The hash is never null.  Saying so keeps joins on it from adding a null filter that hashes every
+    row once more.
+    """
     texts = [canonical_text(col(f.name), f.dataType, merge_zeros=merge_zeros) for f in fields]
-    return F.sha2(F.concat_ws("|", *texts), 256)
+    return F.coalesce(F.sha2(F.concat_ws("|", *texts), 256), F.lit(""))
 
 
 def value_hash(fields: Iterable[T.StructField]) -> Column:

@@ -201,17 +201,18 @@ def stale_consumers(consumers: DataFrame, links: DataFrame, versions: DataFrame)
     """
     identity = ["source_type", "source_path", "definition_path"]
     v = versions.withColumn("definition_path", F.coalesce("definition_path", F.lit("")))
-    used = v.select(
-        F.col("version_id").alias("built_from_id"), *identity, F.col("version").alias("built_from_version")
-    )
     active = v.where("record_is_active").select(
         *identity, F.col("version_id").alias("current_id"), F.col("version").alias("current_version")
     )
-    return (
-        links.join(used, links["version_id"] == used["built_from_id"])
-        .drop("version_id")
+    # Versions are few and unique; which of them are out of date is settled before the links come in.
+    stale = (
+        v.select("version_id", *identity, F.col("version").alias("built_from_version"))
         .join(active, identity)
-        .where("current_id <> built_from_id")
+        .where("current_id <> version_id")
+    )
+    return (
+        links.join(stale, "version_id")
+        .withColumnRenamed("version_id", "built_from_id")
         .join(consumers, "consumer_id")
     )
 

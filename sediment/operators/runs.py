@@ -70,14 +70,21 @@ def remote_runs(listing: DataFrame) -> DataFrame:
 
 
 def sync_runs(known: DataFrame, remote: DataFrame) -> DataFrame:
-    """The history after a sync, with `_action`; who triggered a known run is never overwritten."""
-    return upsert_changed(
-        known,
+    """The history after a sync, with `_action`; who triggered a known run is never overwritten.
+
+    Known runs that have no run id yet cannot be listed remotely.  They go around the join, where they
+    would all meet in one task.
+    """
+    waiting = F.col("run_id").isNull()
+    merged = upsert_changed(
+        known.where(~waiting),
         remote,
         ["pipeline_id", "run_id"],
         compare=["status", "started_at", "finished_at", "error_message", "run_url"],
         protected=["triggered_by"],
+        null_safe=False,
     )
+    return merged.unionByName(known.where(waiting).withColumn("_action", F.lit("kept")))
 
 
 # The counts a report may carry, and its limits.

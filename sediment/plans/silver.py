@@ -22,7 +22,7 @@ from sediment.plans.spec import Entity, SilverSpec, compile_silver
 from sediment.sources.tables import (
     BUCKETS, append, ensure_table, exists, generation, generation_name, publish, table_version,
 )
-from sediment.staging import stage
+from sediment.staging import stage, staging
 from sediment.types import cols
 
 _SEEN = ["_record_hash", "_seen_at", "_seen_batch"]
@@ -127,6 +127,11 @@ def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -
 
 def build_entity(spark: SparkSession, spec: SilverSpec, entity: Entity, at: Column, buckets: int) -> dict:
     """One entity: current versions, quarantine, master keys, merge.  Returns its counts."""
+    with staging(spark):
+        return _build_entity(spark, spec, entity, at, buckets)
+
+
+def _build_entity(spark: SparkSession, spec: SilverSpec, entity: Entity, at: Column, buckets: int) -> dict:
     bronze, sightings = spark.table(spec.bronze), spark.table(spec.sightings)
     found = versions(bronze, sightings, entity)
     current = stage(found.current)

@@ -183,14 +183,19 @@ def profile_json_text(df: DataFrame, text: str) -> DataFrame:
 def profile_xml(
     spark: SparkSession, path, *, row_tag: str = "record", sample_rows: int | None = SAMPLE_ROWS
 ) -> DataFrame:
-    """Columns of XML rows, from the texts of their children."""
-    read = spark.read.option("ignoreNamespace", True).option("inferSchema", False).option("attributePrefix", "@")
-    df = read.option("rowTag", row_tag).xml(path)
-    children = [c for c in df.columns if not c.startswith("@")]
+    """Columns of XML rows, from the texts of their children; attributes are ignored.
+
+    The children's names come from the rows as variants, so a sample reads no more than its rows.
+    """
+    read = spark.read.option("rowTag", row_tag).option("ignoreNamespace", True).option("excludeAttribute", True)
+    rows = _sampled(read.option("singleVariantColumn", "row").xml(path), sample_rows)
+    members = F.map_keys(F.try_variant_get("row", "$", "map<string, variant>"))
+    children = [r["name"] for r in rows.select(F.explode(members).alias("name")).distinct().orderBy("name").collect()]
     if not children:
-        tags = xml_tags(spark, path)
-        raise ValueError(f"no <{row_tag}> rows in {path}; it has the elements {tags}")
-    return profile_columns(df.select(*[col(c) for c in children]), sample_rows=sample_rows, missing=())
+        raise ValueError(f"no <{row_tag}> rows in {path}; it has the elements {xml_tags(spark, path)}")
+    texts = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in children]))
+    values = texts.option("rowTag", row_tag).option("ignoreNamespace", True).xml(path)
+    return profile_columns(values, sample_rows=sample_rows, missing=())
 
 
 def xml_tags(spark: SparkSession, path) -> list[str]:

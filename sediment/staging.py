@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,8 @@ from sediment.types import cols
 
 _SETTING = "spark.checkpoint.dir"
 
+_kept: ContextVar[list[str] | None] = ContextVar("staged_folders", default=None)
+
 
 def staging_folder(spark: SparkSession) -> str:
     """A new folder name below the shared folder the session names."""
@@ -27,10 +32,26 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sediment/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end, for jobs that keep none of it."""
+    outer, folders = _kept.get(), []
+    _kept.set(folders)
+    try:
+        yield
+    finally:
+        _kept.set(outer)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once and return it as a scan of what was written."""
     spark = df.sparkSession
     folder = staging_folder(spark)
+    if _kept.get() is not None:
+        _kept.get().append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
