@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import query, spread_table, sql_time_text, table, time_text
 from sediment.functions.runs import run_status, time_of_millis
 from sediment.operators.runs import (
-    COUNTS, apply_run_counts, latest_per_group, page, recent_first, remote_runs, runs_with_names, sanitize_reports,
+    COUNTS, apply_run_counts, awaiting_reports, latest_per_group, page, recent_first, remote_runs, runs_with_names, sanitize_reports,
     sync_runs, top_n,
 )
 
@@ -99,6 +99,18 @@ def newest_runs(spark, sf_dir):
     return top_n(_runs(spark, sf_dir), recent_first(), 25).select("id", "status", _began())
 
 
+@query(
+    "awaiting_reports",
+    f"""WITH {_SQL_RUNS} SELECT id, {sql_time_text('started_at')} AS finished FROM runs
+    WHERE status = 'success' AND run_id IS NOT NULL AND id % 3 <> 0 ORDER BY started_at NULLS LAST, id LIMIT 10""",
+)
+def reports_to_read(spark, sf_dir):
+    runs = _runs(spark, sf_dir).withColumns(
+        {"metrics": F.when(F.col("id") % 3 == 0, "{}"), "finished_at": F.col("started_at")}
+    )
+    return awaiting_reports(runs).select("id", time_text("finished_at").alias("finished"))
+
+
 @query(
     "latest_run_per_group",
     f"""WITH {_SQL_RUNS} SELECT pipeline_id, id, run_id, status, {_SQL_BEGAN} FROM runs

@@ -30,6 +30,12 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def awaiting_reports(runs: DataFrame, n: int = 10) -> DataFrame:
+    """The successful runs whose report has not been read yet, first finished first."""
+    pending = (F.col("status") == "success") & F.col("metrics").isNull() & F.col("run_id").isNotNull()
+    return top_n(runs.where(pending), [F.asc_nulls_last("finished_at"), F.asc("id")], n)
+
+
 def latest_per_group(runs: DataFrame, group: str) -> DataFrame:
     """The newest run of each group, in the order of `recent_first`; ids are numbers or UUID texts."""
     rest = [c for c in runs.columns if c != group]

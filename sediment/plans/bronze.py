@@ -9,7 +9,7 @@ from sediment.operators.bronze import first_seen, hashed, sightings
 from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
 from sediment.plans.report import bronze_counts, run_report
-from sediment.sources.tables import BUCKETS, append, ensure_table
+from sediment.sources.tables import BUCKETS, aligned, append, ensure_table
 
 
 def _append_new(df: DataFrame, target: str, keys: list[str], null_safe: list[str], **totals) -> dict:
@@ -41,7 +41,8 @@ def build_bronze(
     `columns` are the compared ones: they are the record's identity and stay fixed; columns that Raw
     gained are reported, one it lost is an error.  `batch_ids` reads only those loads: as nothing in
     Bronze is ever changed, merging the loads added since the last run gives the rows a full run gives.
-    Both tables are bucketed by the record hash, so neither this merge nor the Silver join shuffles them.
+    Both tables are bucketed by the record hash, so neither this merge nor the Silver join shuffles them;
+    `buckets` should give buckets of some hundred megabytes and counts when the tables are created.
     """
     sightings_table = sightings_table or f"{bronze}_sightings"
     source = spark.table(raw)
@@ -55,10 +56,11 @@ def build_bronze(
     ensure_table(spark, bronze, rows.select(*order).schema, **by_hash)
     ensure_table(spark, sightings_table, seen.schema, **by_hash)
 
-    records = _append_new(
-        first_seen(rows), bronze, ["_record_hash"], [], rows=F.coalesce(F.sum("_copies"), F.lit(0))
-    )
-    loads = _append_new(seen, sightings_table, ["_record_hash", "_batch_id"], ["_batch_id"])
+    with aligned(spark, buckets):
+        records = _append_new(
+            first_seen(rows), bronze, ["_record_hash"], [], rows=F.coalesce(F.sum("_copies"), F.lit(0))
+        )
+        loads = _append_new(seen, sightings_table, ["_record_hash", "_batch_id"], ["_batch_id"])
     return {
         "source": raw,
         "target": bronze,

@@ -20,7 +20,7 @@ from sediment.plans.raw import load_time
 from sediment.plans.report import run_report, silver_counts
 from sediment.plans.spec import Entity, SilverSpec, compile_silver
 from sediment.sources.tables import (
-    BUCKETS, append, ensure_table, exists, generation, generation_name, publish, table_version,
+    BUCKETS, aligned, append, ensure_table, exists, generation, generation_name, publish, table_version,
 )
 from sediment.staging import stage, staging
 from sediment.types import cols
@@ -102,23 +102,25 @@ def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -
         publish(spark.createDataFrame([], rows.schema), entity.target, bucket_by=keys, buckets=buckets)
     target = spark.table(entity.target)
     before = target.count()
-    incoming = stage(
-        upsert_changed(
-            target, rows, keys, compare=compared_columns(entity), null_safe=False, incoming_only=True
+    with aligned(spark, buckets):
+        incoming = stage(
+            upsert_changed(
+                target, rows, keys, compare=compared_columns(entity), null_safe=False, incoming_only=True
+            )
         )
-    )
     tally = incoming.agg(
         F.count(F.lit(1)).alias("valid"),
         F.count_if(F.col("_action") == "insert").alias("inserted"),
         F.count_if(F.col("_action") == "update").alias("updated"),
     ).first()
-    fresh = incoming.where(F.col("_action").isin("insert", "update")).drop("_action")
+    fresh = incoming.where(F.col("_action").isin("insert", "update")).drop("_action").repartition(buckets, *cols(keys))
     if tally["updated"]:
         replaced = incoming.where(F.col("_action") == "update").select(*cols(keys))
-        publish(
-            target.join(replaced, keys, "left_anti").unionByName(fresh),
-            entity.target, bucket_by=keys, buckets=buckets,
-        )
+        with aligned(spark, buckets):
+            publish(
+                target.join(replaced, keys, "left_anti").unionByName(fresh),
+                entity.target, bucket_by=keys, buckets=buckets,
+            )
     elif tally["inserted"]:
         append(fresh, generation_name(entity.target, generation(spark, entity.target)))
     after = spark.table(entity.target).count()

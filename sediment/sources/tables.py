@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -47,6 +49,22 @@ def ensure_table(
     return spark.table(_sql_name(name))
 
 
+@contextmanager
+def aligned(spark: SparkSession, buckets: int) -> Iterator[None]:
+    """Shuffle into as many partitions as the target has buckets.
+
+    Then a join with the bucketed table shuffles neither it nor the rows a second time, and every task
+    writes the file of one bucket.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, buckets)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def append(df: DataFrame, name: str) -> None:
     """Append rows to a table, by column name; a column the table has and `df` lacks is an error."""
     df.select(*cols(df.sparkSession.table(_sql_name(name)).columns)).write.insertInto(_sql_name(name))
@@ -95,6 +113,19 @@ def publish(df: DataFrame, name: str, *, bucket_by: list[str], buckets: int = BU
     spark.sql(f"CREATE OR REPLACE VIEW {_sql_name(name)} AS SELECT * FROM {_sql_name(fresh)}")
 
 
+def drop_old_generations(spark: SparkSession, name: str, keep: int = 2) -> list[str]:
+    """Drop all but the newest generations of a table, once no reader needs them; returns their names."""
+    newest = generation(spark, name) or 0
+    dropped = []
+    for number in range(newest - keep, 0, -1):
+        old = generation_name(name, number)
+        if not exists(spark, old):
+            break
+        spark.sql(f"DROP TABLE {_sql_name(old)}")
+        dropped.append(old)
+    return dropped
+
+
 def table_version(spark: SparkSession, name: str) -> int | None:
     """The latest version of a table: of its history if its format keeps one, else its generation."""
     try:

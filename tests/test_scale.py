@@ -108,3 +108,19 @@ def test_sources_with_enough_splits_are_not_shuffled(spark):
     wide = spark.range(0, 100, 1, 64)
     assert spread(wide, ["id"]) is wide
     assert "Exchange" in plan(spread(spark.range(0, 100, 1, 1), ["id"]))
+
+
+def test_the_bronze_merge_shuffles_once(spark, db):
+    from sediment.operators.merge import mark_new
+    from sediment.sources.tables import aligned, ensure_table
+
+    rows = hashed(line_raw(spark, SF), LINE_COLUMNS)
+    target = ensure_table(spark, f"{db}.b", first_seen(rows).drop("_copies").schema, bucket_by=["_record_hash"], buckets=6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with aligned(spark, 6):
+            text = plan(mark_new(first_seen(rows), target, ["_record_hash"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("ENSURE_REQUIREMENTS") == 1, text
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"

@@ -11,7 +11,7 @@ from sediment.functions.steps import (
     Cast, Default, NullIf, ParseDate, ParseTimestamp, Trim, Upper, compile_steps, step_from_dict,
 )
 from sediment.plans.spec import Attribute, Entity, MasterKey, SpecError, compile_entity
-from sediment.types import normalize_sql_type, normalized_sql_type, parse_sql_type, schema_of, sql_type_of
+from sediment.types import ddl, normalize_sql_type, normalized_sql_type, parse_sql_type, schema_of, sql_type_of
 
 RULES = {
     "identifier": (
@@ -51,6 +51,12 @@ def test_type_names(spark):
         parse_sql_type("INTERVAL")
 
 
+def test_column_list_as_ddl(spark):
+    schema = schema_of({"a b": "decimal(9, 2)", "c": "STRING"})
+    assert ddl(schema) == "`a b` DECIMAL(9,2), `c` STRING"
+    assert spark.createDataFrame([], ddl(schema)).schema == schema
+
+
 def test_table_names_agree(spark):
     files = {"Order Item.csv": "order_item", "2024.csv": "t_2024", "--.csv": "table", "a.b.csv": "a_b", "Größe.csv": "gr__e"}
     assert {f: table_name_of("/x/" + f) for f in files} == files
