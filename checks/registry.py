@@ -164,7 +164,8 @@ def fingerprint(spark, sf_dir):
     "column_list_json",
     f"""WITH {_SQL_INVENTORY}
     SELECT id, '[' || string_agg('{{"name":"' || name || '","sql_type":"' || sql_type || '"}}', ','
-        ORDER BY ordinal, name, sql_type) || ']' AS columns FROM inventory GROUP BY id""",
+        ORDER BY ordinal, name, sql_type) || ']' AS columns
+    FROM (SELECT DISTINCT id, ordinal, name, sql_type FROM inventory) GROUP BY id""",
 )
 def column_list(spark, sf_dir):
     return columns_json(_inventory(spark, sf_dir), ["id"])

@@ -49,8 +49,10 @@ def schema_fingerprint(inventory: DataFrame, identity: list[str]) -> DataFrame:
 def columns_json(inventory: DataFrame, identity: list[str]) -> DataFrame:
     """The column list of each table as a JSON array of {name, sql_type} in order.
 
-    A list is one value, so its length is checked first; it may not exceed the registry's limit.
+    Repeated entries count once.  A list is one value, so its length is checked before it is built; it
+    may not exceed the registry's limit.
     """
+    inventory = inventory.select(*cols(identity), "ordinal", "name", "sql_type").distinct()
     counts = inventory.groupBy(*cols(identity)).agg(F.count(F.lit(1)).alias("n"))
     longest = counts.agg(F.max("n")).first()[0] or 0
     if longest > MAX_COLUMNS:
