@@ -51,7 +51,14 @@ def distinct_records(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def sightings(df: DataFrame) -> DataFrame:
     """One row per record and load: when the load first saw it."""
-    return df.groupBy("_record_hash", "_batch_id").agg(F.min("_ingested_at").alias("_ingested_at"))
+    return counted_sightings(df).drop("_copies")
+
+
+def counted_sightings(df: DataFrame) -> DataFrame:
+    """The sightings, each with `_copies`, the number of rows behind it."""
+    return df.groupBy("_record_hash", "_batch_id").agg(
+        F.min("_ingested_at").alias("_ingested_at"), F.count(F.lit(1)).alias("_copies")
+    )
 
 
 def distinct_stats(df: DataFrame, key: str = "_record_hash") -> DataFrame:

@@ -5,25 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators.bronze import first_seen, hashed, sightings
+from sediment.operators.bronze import counted_sightings, first_seen, hashed, sightings
 from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
 from sediment.plans.report import bronze_counts, run_report
 from sediment.sources.tables import BUCKETS, aligned, append, ensure_table
+from sediment.staging import stage, staging
 
 
-def _append_new(df: DataFrame, target: str, keys: list[str], null_safe: list[str], **totals) -> dict:
-    """Append the rows whose key the table lacks; the counts are taken in the stage that writes."""
-    spark = df.sparkSession
-    seen = Observation()
-    marked = mark_new(df, spark.table(target), keys, null_safe=null_safe).observe(
-        seen,
-        F.count_if(F.col("_action") == "insert").alias("inserted"),
-        F.count(F.lit(1)).alias("incoming"),
-        *[total.alias(name) for name, total in totals.items()],
+# New records up to this number are looked up in Raw by a broadcast of their hashes (64 bytes each).
+BROADCAST_RECORDS = 500_000
+
+
+def _new_records(seen: DataFrame, bronze: DataFrame) -> tuple[DataFrame, dict]:
+    """The hashes Bronze lacks, staged, and the counts of rows, records and new ones.
+
+    The counts are taken in the stage that writes, so a task that runs twice before the shuffle does
+    not count twice.
+    """
+    tally = Observation()
+    per_record = seen.groupBy("_record_hash").agg(F.sum("_copies").alias("_copies"))
+    marked = mark_new(per_record, bronze, ["_record_hash"])
+    is_new = F.col("_action") == "insert"
+    observed = marked.observe(
+        tally,
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(is_new).alias("new"),
     )
-    append(marked.where(F.col("_action") == "insert"), target)
-    return seen.get
+    fresh = stage(observed.where(is_new).select("_record_hash"))
+    return fresh, tally.get
+
+
+def first_copies(rows: DataFrame, fresh: DataFrame, counts: dict) -> DataFrame:
+    """The first copy of each new record.
+
+    If all are new, all rows are needed.  A few are picked out before the shuffle, so in a repeated run
+    the known records are neither shuffled nor sorted; many are picked out after it.
+    """
+    if counts["new"] == counts["records"]:
+        return first_seen(rows)
+    if counts["new"] <= BROADCAST_RECORDS:
+        return first_seen(rows.join(F.broadcast(fresh), "_record_hash", "left_semi"))
+    return first_seen(rows).join(fresh, "_record_hash", "left_semi")
+
+
+def _append_sightings(seen: DataFrame, target: str) -> int:
+    """Append the sightings the table lacks; returns how many."""
+    tally = Observation()
+    marked = mark_new(seen, seen.sparkSession.table(target), ["_record_hash", "_batch_id"], null_safe=["_batch_id"])
+    fresh = marked.where(F.col("_action") == "insert")
+    append(fresh.observe(tally, F.count(F.lit(1)).alias("new")), target)
+    return tally.get["new"]
 
 
 def build_bronze(
@@ -50,24 +83,22 @@ def build_bronze(
     if batch_ids is not None:
         source = source.where(F.col("_batch_id").isin(*batch_ids))
     rows = hashed(source, columns)
-    seen = sightings(rows)
-    by_hash = {"bucket_by": ["_record_hash"], "buckets": buckets}
     order = [*columns, "_record_hash", "_ingested_at", "_source_file", "_batch_id"]
-    ensure_table(spark, bronze, rows.select(*order).schema, **by_hash)
-    ensure_table(spark, sightings_table, seen.schema, **by_hash)
-
-    with aligned(spark, buckets):
-        records = _append_new(
-            first_seen(rows), bronze, ["_record_hash"], [], rows=F.coalesce(F.sum("_copies"), F.lit(0))
-        )
-        loads = _append_new(seen, sightings_table, ["_record_hash", "_batch_id"], ["_batch_id"])
+    by_hash = {"bucket_by": ["_record_hash"], "buckets": buckets}
+    target = ensure_table(spark, bronze, rows.select(*order).schema, **by_hash)
+    ensure_table(spark, sightings_table, sightings(rows).schema, **by_hash)
+
+    with staging(spark), aligned(spark, buckets):
+        seen = stage(counted_sightings(rows))
+        fresh, counts = _new_records(seen, target)
+        if counts["new"]:
+            append(first_copies(rows, fresh, counts), bronze)
+        new_sightings = _append_sightings(seen, sightings_table)
     return {
         "source": raw,
         "target": bronze,
-        **bronze_counts(
-            records["rows"], records["incoming"], records["inserted"], spark.table(bronze).count()
-        ),
-        "sightings_inserted": loads["inserted"],
+        **bronze_counts(counts["rows"], counts["records"], counts["new"], spark.table(bronze).count()),
+        "sightings_inserted": new_sightings,
         "sightings_in_target": spark.table(sightings_table).count(),
         "extra_source_columns": extra,
     }

@@ -51,18 +51,24 @@ def ensure_table(
 
 @contextmanager
 def aligned(spark: SparkSession, buckets: int) -> Iterator[None]:
-    """Shuffle into as many partitions as the target has buckets.
+    """Shuffle into as many partitions as the target has buckets, and let its bucketing serve joins on
+    more columns than it is bucketed by.
 
     Then a join with the bucketed table shuffles neither it nor the rows a second time, and every task
     writes the file of one bucket.
     """
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, buckets)
+    settings = {
+        "spark.sql.shuffle.partitions": str(buckets),
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def append(df: DataFrame, name: str) -> None:

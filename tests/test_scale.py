@@ -115,12 +115,17 @@ def test_the_bronze_merge_shuffles_once(spark, db):
     from sediment.sources.tables import aligned, ensure_table
 
     rows = hashed(line_raw(spark, SF), LINE_COLUMNS)
-    target = ensure_table(spark, f"{db}.b", first_seen(rows).drop("_copies").schema, bucket_by=["_record_hash"], buckets=6)
+    by_hash = {"bucket_by": ["_record_hash"], "buckets": 6}
+    target = ensure_table(spark, f"{db}.b", first_seen(rows).drop("_copies").schema, **by_hash)
+    seen = ensure_table(spark, f"{db}.s", sightings(rows).schema, **by_hash)
+    incoming = stage(sightings(rows))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         with aligned(spark, 6):
-            text = plan(mark_new(first_seen(rows), target, ["_record_hash"]))
+            records = plan(mark_new(first_seen(rows), target, ["_record_hash"]))
+            loads = plan(mark_new(incoming, seen, ["_record_hash", "_batch_id"], null_safe=["_batch_id"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("ENSURE_REQUIREMENTS") == 1, text
+    assert records.count("ENSURE_REQUIREMENTS") == 1, records
+    assert loads.count("ENSURE_REQUIREMENTS") == 1, loads
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
