@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import query, spread_table, sql_canonical, sql_time_text, table, time_text
 from sediment.operators.quality import contract_violations
 from sediment.operators.registry import (
-    clean_edges, columns_json, degrees, history, neighbors, number_versions, register_versions, schema_diff,
+    clean_edges, columns_json, degrees, neighbors, newest_first, number_versions, register_versions, schema_diff,
     schema_fingerprint, stale_consumers, usage_vs_limit,
 )
 from sediment.types import normalized_sql_type
@@ -78,12 +78,15 @@ def scd2_status(spark, sf_dir):
     )
 
 
-@query("scd2_history", f"WITH {_SQL_VERSIONS} {_SQL_SHOWN} WHERE user_id = (SELECT min(user_id) FROM events)")
+@query(
+    "scd2_history",
+    f"""WITH {_SQL_VERSIONS} SELECT user_id, schema_hash, version, ended IS NULL AS record_is_active,
+        row_number() OVER (PARTITION BY user_id ORDER BY version DESC) AS place FROM versions""",
+)
 def scd2_history(spark, sf_dir):
-    """All versions of one source, newest first."""
+    """The versions of every source, newest first."""
     versions = register_versions(_observations(spark, sf_dir), ["user_id"])
-    first = table(spark, sf_dir, "events").agg(F.min("user_id")).first()[0]
-    return _versions_shown(history(versions, {"user_id": first}))
+    return newest_first(versions, ["user_id"]).select("user_id", "schema_hash", "version", "record_is_active", "place")
 
 
 @query(

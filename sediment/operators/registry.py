@@ -146,6 +146,16 @@ def register_versions(observations: DataFrame, identity: list[str], current: Dat
     return closed.unionByName(result)
 
 
+def newest_first(versions: DataFrame, identity: list[str]) -> DataFrame:
+    """Every version with its `place` in its source's history: 1 is the newest."""
+    newest = versions.groupBy(*cols(identity)).agg(F.max("version").alias("_newest"))
+    return (
+        versions.join(newest, identity)
+        .withColumn("place", F.col("_newest") - F.col("version") + 1)
+        .drop("_newest")
+    )
+
+
 def history(versions: DataFrame, identity: dict) -> DataFrame:
     """All versions of one source, newest first; a missing definition path equals a blank one."""
     found = versions

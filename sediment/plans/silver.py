@@ -102,12 +102,11 @@ def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -
         publish(spark.createDataFrame([], rows.schema), entity.target, bucket_by=keys, buckets=buckets)
     target = spark.table(entity.target)
     before = target.count()
-    with aligned(spark, buckets):
-        incoming = stage(
-            upsert_changed(
-                target, rows, keys, compare=compared_columns(entity), null_safe=False, incoming_only=True
-            )
+    incoming = stage(
+        upsert_changed(
+            target, rows, keys, compare=compared_columns(entity), null_safe=False, incoming_only=True
         )
+    )
     tally = incoming.agg(
         F.count(F.lit(1)).alias("valid"),
         F.count_if(F.col("_action") == "insert").alias("inserted"),
@@ -116,11 +115,10 @@ def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -
     fresh = incoming.where(F.col("_action").isin("insert", "update")).drop("_action").repartition(buckets, *cols(keys))
     if tally["updated"]:
         replaced = incoming.where(F.col("_action") == "update").select(*cols(keys))
-        with aligned(spark, buckets):
-            publish(
-                target.join(replaced, keys, "left_anti").unionByName(fresh),
-                entity.target, bucket_by=keys, buckets=buckets,
-            )
+        publish(
+            target.join(replaced, keys, "left_anti").unionByName(fresh),
+            entity.target, bucket_by=keys, buckets=buckets,
+        )
     elif tally["inserted"]:
         append(fresh, generation_name(entity.target, generation(spark, entity.target)))
     after = spark.table(entity.target).count()
@@ -129,7 +127,7 @@ def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -
 
 def build_entity(spark: SparkSession, spec: SilverSpec, entity: Entity, at: Column, buckets: int) -> dict:
     """One entity: current versions, quarantine, master keys, merge.  Returns its counts."""
-    with staging(spark):
+    with staging(spark), aligned(spark, buckets):
         return _build_entity(spark, spec, entity, at, buckets)
 
 
