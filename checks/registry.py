@@ -300,7 +300,8 @@ def _graph(spark, sf_dir):
         return table(spark, sf_dir, name).select(F.concat(F.lit(letter), key).alias("table_id"))
 
     def tie(name, down, down_key, up, up_key):
-        return table(spark, sf_dir, name).select(
+        source = spread_table if name == "lineitem" else table
+        return source(spark, sf_dir, name).select(
             F.concat(F.lit(down), down_key).alias("downstream"), F.concat(F.lit(up), up_key).alias("upstream")
         )
 

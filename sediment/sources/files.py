@@ -144,7 +144,9 @@ def scan_folder(spark: SparkSession, folder: str, format: str, schema: T.StructT
         raise ValueError(f"no file pattern for format {format!r}")
     readers = {"csv": scan_csv, "json": scan_json, "xml": scan_xml}
     rows = readers[format](spark, f"{folder.rstrip('/')}/{PATTERNS[format]}", schema, **options)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    # The scan gives the name as part of a URI, in which a blank is %20 but a plus sign stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return rows.withColumn("_table", table_name(stem))
 
 
