@@ -17,7 +17,8 @@ def number_runs(df: DataFrame, keys: list[str], order: list[str], value: str, ca
 
     The rows are range-partitioned by key *and* order, which cuts a busy key into pieces of even size.
     Each piece is numbered on its own; the pieces of a key, one small row each, are then put in order
-    to find how many runs precede each of them.  (key, order) has to be unique.
+    to find how many runs precede each of them.  (key, order) has to be unique.  The pieces are staged, so
+    that all uses see the same ones; inside a `staging` block they are removed at its end.
     """
     keyed = [*keys, "_chunk"]
     spread = df.repartitionByRange(*cols(keys), *cols(order)).withColumn("_chunk", F.spark_partition_id())

@@ -121,8 +121,9 @@ def scan(spark: SparkSession, spec: LoadSpec) -> DataFrame:
     return readers[spec.format](spark, spec.path, spec.schema, **spec.options)
 
 
-# Which files of a folder belong to a format.
+# Which files of a folder belong to a format, and how many may become tables of their own.
 PATTERNS = {"csv": "*.csv", "json": "*.json", "xml": "*.xml"}
+MAX_FILES = 200
 
 
 def folder_files(spark: SparkSession, folder: str, format: str) -> DataFrame:
@@ -138,6 +139,17 @@ def folder_files(spark: SparkSession, folder: str, format: str) -> DataFrame:
     )
 
 
+def listed_files(spark: SparkSession, folder: str, format: str) -> list:
+    """The files of a folder that become one table each.  More than the limit is an error: files that
+    share one schema are read by `scan_folder`, however many they are."""
+    found = folder_files(spark, folder, format).limit(MAX_FILES + 1).collect()
+    if not found:
+        raise ValueError(f"no {PATTERNS[format]} files in {folder}")
+    if len(found) > MAX_FILES:
+        raise ValueError(f"{folder} has more than {MAX_FILES} {PATTERNS[format]} files")
+    return found
+
+
 def scan_folder(spark: SparkSession, folder: str, format: str, schema: T.StructType, **options) -> DataFrame:
     """All files of a folder that share one schema, in one scan, each row with the `_table` of its file."""
     if format not in PATTERNS:
@@ -152,11 +164,8 @@ def scan_folder(spark: SparkSession, folder: str, format: str, schema: T.StructT
 
 def folder_specs(spark: SparkSession, folder: str, format: str, schemas: dict, **options) -> dict[str, LoadSpec]:
     """One LoadSpec per file of a folder, keyed by table name; `schemas` maps a file name to its schema."""
-    found = folder_files(spark, folder, format).collect()
-    if not found:
-        raise ValueError(f"no {PATTERNS[format]} files in {folder}")
     specs = {}
-    for row in found:
+    for row in listed_files(spark, folder, format):
         table = table_name_of(row["file_name"])
         if table in specs:
             raise ValueError(f"two files of {folder} give the table name {table!r}")

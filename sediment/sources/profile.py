@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sediment.functions.names import column_name_of, table_name
 from sediment.operators.projections import leaves
-from sediment.sources.files import PATTERNS
+from sediment.sources.files import listed_files
 from sediment.types import col, parse_sql_type, quoted, sql_type_of
 
 SAMPLE_ROWS = 1000
@@ -217,18 +217,13 @@ def profile_folder(
 
     Files may differ in their columns, so they are profiled one by one and united.
     """
-    from sediment.sources.files import folder_files
-
-    found = folder_files(spark, folder, "csv").collect()
-    if not found:
-        raise ValueError(f"no {PATTERNS['csv']} files in {folder}")
     profiles = [
         profile_csv(spark, r["path"], header=header, delimiter=delimiter, sample_rows=sample_rows).select(
             F.lit(r["file_name"]).alias("file_name"),
             table_name(F.regexp_replace(F.lit(r["file_name"]), r"\.[^.]*$", "")).alias("table_name"),
             "*",
         )
-        for r in found
+        for r in listed_files(spark, folder, "csv")
     ]
     united = profiles[0]
     for p in profiles[1:]:

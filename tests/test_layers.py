@@ -14,7 +14,7 @@ from sediment.plans.raw import load_raw
 from sediment.plans.silver import build_entities
 from sediment.plans.spec import Attribute, silver_from_dict
 from sediment.functions.steps import Cast, NullIf, Trim
-from sediment.sources.files import LoadSpec, scan_folder
+from sediment.sources.files import LoadSpec, folder_specs, scan_folder
 from sediment.sources.profile import profile_csv, profile_json, profile_schema, profile_xml
 from sediment.types import schema_of
 
@@ -76,6 +76,14 @@ def test_folder_in_one_scan(spark, tmp_path):
         ("jan_24", 2), ("feb", 2), ("t_50__a_b", 2)}
 
 
+def test_a_folder_of_many_files_is_no_list_of_tables(spark, tmp_path):
+    for n in range(201):
+        (tmp_path / f"f{n}.csv").write_text("a\n1\n")
+    with pytest.raises(ValueError, match="more than 200"):
+        folder_specs(spark, str(tmp_path), "csv", {})
+    assert scan_folder(spark, str(tmp_path), "csv", schema_of({"a": "INT"})).count() == 201
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_identity_is_equality_of_all_values(spark, seed):
     rng = random.Random(seed)
