@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import lines, quality
+from sediment.llm import lines, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,48 @@ FROM marked GROUP BY doc_id
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS g FROM d, unnest(range(1, len(w) - 11)) AS r(i)),
+first AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+hit AS (SELECT DISTINCT win.doc_id, i + j AS p FROM win JOIN first USING (g), unnest(range(0, 13)) AS r(j) WHERE m < win.doc_id),
+gone AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM hit GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, string_agg(w[i], ' ' ORDER BY i) AS t FROM d CROSS JOIN unnest(range(1, len(w) + 1)) AS r(i)
+  LEFT JOIN hit ON hit.doc_id = d.doc_id AND hit.p = i WHERE hit.p IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS g FROM d, unnest(range(0, length(h) // 2 - 99)) AS r(i)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+runs AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later)),
+spans AS (SELECT doc_id, run, min(i) AS low, max(i) + 100 AS high FROM runs GROUP BY ALL),
+gaps AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans),
+cut AS (
+  SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op10_suffix_dedup", OP10_SQL)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_earlier(table(spark, sf_dir, "documents"), window=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
