@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import lines, quality, substrings, suffixes
+from sediment.llm import lines, postings, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,7 +113,9 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS g FROM d, unnest(range(0, length(h) // 2 - 99)) AS r(i)),
+win AS (
+  SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i,
+    unnest(list_transform(range(0, length(h) // 2 - 99), lambda k: md5_number(substr(h, 2 * k + 1, 200)))) AS g FROM d),
 later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
 runs AS (
   SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
@@ -134,3 +136,35 @@ FROM d LEFT JOIN cut USING (doc_id)
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_earlier(table(spark, sf_dir, "documents"), window=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(u=lines.UPPER, l=lines.LOWER)
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {_TERMS_SQL} AS w FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS g
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+size AS (SELECT DISTINCT n FROM phrase),
+win AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM d, size, unnest(range(1, len(w) - n + 2)) AS r(i) WHERE len(w) >= n),
+hit AS (SELECT doc_id, item_id, win.n, i FROM win JOIN phrase ON win.n = phrase.n AND win.g = phrase.g),
+place AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, n)) AS r(j) GROUP BY doc_id),
+item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+
+@query("op5_decontamination", OP5_SQL)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = postings.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
