@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import lines, near, packing, postings, quality, substrings, suffixes
+from sediment.llm import langid, licenses, lines, near, packing, postings, quality, substrings, suffixes, warc
+from sediment.staging import stage, staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +181,51 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end=2)
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("licenses.name", ",").alias("licenses"), F.coalesce(F.array_max("licenses.containment"), F.lit(0.0)).alias("containment"),
+    )
+
+
+OP2_SQL = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS body FROM pages),
+f AS (SELECT body, min(page_id) AS first FROM p GROUP BY body)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('{warc.BASE32}',
+    ((('0x' || substr(h, (k // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (body)
+"""
+
+
+@query("op2_warc_transactions", OP2_SQL)
+def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = staging_folder(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    records = stage(warc.read_records(spark, folder).withColumn(
+        "page_id", F.when(F.col("type") == "metadata", F.regexp_extract(F.col("payload").cast("string"), r"(?m)^page_id: (-?\d+)", 1).try_cast("long"))
+    ).drop("payload"))
+    assembled = stage(warc.captures(records).select(
+        "id", F.col("capture").dropFields("page_id").alias("capture"), "metadata"
+    ))
+    found = warc.resolved(assembled)
+    again = F.col("capture.type") == "revisit"
+    return found.select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.when(again, F.col("original.payload_bytes")).otherwise(F.col("capture.payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.col("original.payload_digest")).otherwise(F.col("capture.payload_digest")).alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.when(again, F.col("original_metadata.page_id")).alias("refers_to"),
+    )
