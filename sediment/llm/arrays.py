@@ -15,7 +15,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _BYTE = np.random.Generator(np.random.PCG64(20231)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 #: So many bytes or words are worked on at a time; one longer text is cut into pieces of that size.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -144,13 +144,13 @@ def pack(*columns: np.ndarray) -> bytes:
     return b"".join(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in map(np.ascontiguousarray, columns))
 
 
-def unpack(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
+def unpack(blobs: list, kinds: list) -> list[np.ndarray]:
     """The columns that were packed, those of several blobs one after the other."""
     width = sum(np.dtype(k).itemsize for k in kinds)
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for blob in blobs:
-        n, at = len(blob) // width, 0
-        raw = np.frombuffer(blob, np.uint8)
+        raw, at = np.frombuffer(blob, np.uint8), 0
+        n = len(raw) // width
         for out, kind in zip(parts, kinds):
             size = np.dtype(kind).itemsize
             planes = raw[at : at + n * size].reshape(size, n)

@@ -9,9 +9,13 @@ per unit.  Equal windows have equal anchors wherever they are, so two steps find
    its kind is gone, with all its windows.  Each task settles this for its own stretches before anything is
    shuffled, so a passage in a third of all documents is one entry per task.
 2. Where several kinds of stretches have one anchor, they have been cut at different places or differ at an end.
-   Only the first stretch of each such kind is extended, window by window, and its windows are compared.
+   Only the first stretch of each such kind is extended, window by window, and its windows are compared by hash.
 
-Entries travel as packed arrays, one row per task and bucket of anchors; documents are shuffled by id once.
+An anchor that many kinds of stretches share is no hot group: a task hands on two of the kinds, which is enough to
+tell all tasks that there are several, and its others go to the second step at once.  There, too, a task hands on a window once.
+
+Entries travel as packed arrays, one row per task and bucket; documents are shuffled by id once, compressed.
+An anchor's hash is kept as its bucket and 32 more bits: it only says what to compare, the stretch's 64 bits decide.
 """
 
 from __future__ import annotations
@@ -27,16 +31,17 @@ from pyspark.sql import functions as F
 from sediment.llm.arrays import PIECE, U64, Sums, Words, byte_units, column_bytes, pack, runs, slices, unpack
 
 #: Kinds of rows.  ENTRY: key is a bucket, data has packed entries.  GONE: key is a document, data has (start, length) of
-#: what occurs before.  ASKED: key is a document, data has (start, windows, anchor) to be extended.
+#: what occurs before.  ASKED: key is a document, data has (start, windows) to be extended.
 #: KEPT: as ENTRY, for entries that are the first of their kind so far.  OLD: as ENTRY, from an index.
 ENTRY, GONE, ASKED, KEPT, OLD = range(5)
 SCHEMA = "kind int, key long, data binary"
-ENTRY_TYPES = [np.uint64, np.uint64, np.int64, np.uint32, np.uint16]  # anchor, hash, document, start, windows
+ENTRY_TYPES = [np.uint32, np.uint64, np.int64, np.uint32, np.uint16]  # anchor, hash, document, start, windows
 GONE_TYPES = [np.uint32, np.uint32]
-ASKED_TYPES = [np.uint32, np.uint16, np.uint64]
+ASKED_TYPES = [np.uint32, np.uint16]  # start, windows
+WINDOW_TYPES = [np.uint64, np.int64, np.uint32]  # hash, document, start
 
 #: So many entries are held by a task before it settles and hands them on.
-HELD = 1_500_000
+HELD = 400_000
 _PLACE = U64((1 << 21) - 1)
 
 
@@ -113,14 +118,14 @@ def stretches(units: np.ndarray, bounds: np.ndarray, shape: Shape):
 
 def first_of_kind(entries: list[np.ndarray], shape: Shape) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The entries that no earlier one equals, and the others."""
-    anchor, value, document, start, _ = entries
+    anchor, value, document, start = entries[:4]
     if not (document[1:] >= document[:-1]).all() or ((document[1:] == document[:-1]) & (start[1:] < start[:-1])).any():
         order = np.lexsort((start, document))
         entries = [e[order] for e in entries]
-        anchor, value, document, start, _ = entries
+        anchor, value, document, start = entries[:4]
     order = np.argsort(value, kind="stable")
     entries = [e[order] for e in entries]
-    anchor, value, document, start, _ = entries
+    anchor, value, document, start = entries[:4]
     opens = np.ones(len(value), bool)
     opens[1:] = (value[1:] != value[:-1]) | (anchor[1:] != anchor[:-1])
     head = np.maximum.accumulate(np.where(opens, np.arange(len(value)), 0))
@@ -168,27 +173,56 @@ def _gone(entries: list[np.ndarray], shape: Shape) -> pa.RecordBatch | None:
     return _rows(GONE, document, [low.astype(np.uint32), (high - low).astype(np.uint32)])
 
 
-def _handed_on(entries: list[np.ndarray], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    first, rest = first_of_kind(entries, shape)
-    for rows in (_rows(ENTRY, first[0] % U64(buckets), first), _gone(rest, shape)):
-        if rows is not None:
-            yield rows
+def _kinds_of_anchor(entries: list[np.ndarray]) -> np.ndarray:
+    """Which kind of its anchor each entry is, from 0."""
+    anchor, value = entries[:2]
+    order = np.lexsort((value, anchor))
+    opens = np.append(True, anchor[order][1:] != anchor[order][:-1])
+    differs = opens | np.append(True, value[order][1:] != value[order][:-1])
+    number = np.cumsum(differs)
+    out = np.empty(len(anchor), np.int64)
+    out[order] = number - np.maximum.accumulate(np.where(opens, number, 0))
+    return out
+
+
+def _stretches_handed_on(held: list[list[np.ndarray]], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """Of the stretches (bucket, then an entry) of a task, what others have to know."""
+    bucket, *entries = (np.concatenate(c) for c in zip(*held))
+    first, rest = first_of_kind([*(e.astype(t) for e, t in zip(entries, ENTRY_TYPES)), bucket], shape)
+    few = _kinds_of_anchor(first) < 2
+    yield _rows(ENTRY, first[5][few], [c[few] for c in first[:5]])
+    yield _rows(ASKED, first[2][~few], [c[~few] for c in first[3:5]])
+    yield _gone(rest[:5], shape)
+
+
+def _windows_handed_on(held: list[list[np.ndarray]], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of the windows (hash, document, start) of a task, the first of each kind."""
+    value, document, start = (np.concatenate(c) for c in zip(*held))
+    first, rest = first_of_kind(_as_entries(value, document, start), shape)
+    yield _rows(ENTRY, first[1] % U64(buckets), first[1:4])
+    yield _gone(rest, shape)
 
 
-def _collected(parts: Iterator[list[np.ndarray]], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
+def _as_entries(value: np.ndarray, document: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    n = len(value)
+    return [np.zeros(n, np.uint32), value, document, start.astype(np.uint32), np.ones(n, np.uint16)]
+
+
+def _collected(parts: Iterator[list[np.ndarray]], settle) -> Iterator[pa.RecordBatch]:
+    """Rows of parts of entries; equal ones of a task meet here."""
     held, n = [], 0
     for part in parts:
-        held.append([p.astype(t, copy=False) for p, t in zip(part, ENTRY_TYPES)])
+        held.append(part)
         n += len(part[0])
         if n >= HELD:
-            yield from _handed_on([np.concatenate(c) for c in zip(*held)], shape, buckets)
+            yield from filter(None, settle(held))
             held, n = [], 0
     if n:
-        yield from _handed_on([np.concatenate(c) for c in zip(*held)], shape, buckets)
+        yield from filter(None, settle(held))
 
 
 def entries_of(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
-    """ENTRY and GONE rows of the stretches of `doc`, `body`."""
+    """ENTRY, ASKED and GONE rows of the stretches of `doc`, `body`."""
 
     def scanned(batches):
         for batch in slices(batches, "body"):
@@ -197,35 +231,31 @@ def entries_of(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
             for docs, base, low, bounds in pieces(offsets, shape.window):
                 part = _numbers(units[low : low + bounds[-1]], shape)
                 document, start, n, anchor, value = stretches(part, bounds, shape)
-                yield [anchor, value, ids[docs[document]], base[document] + start, n]
+                yield [anchor % U64(buckets), anchor >> U64(32), value, ids[docs[document]], base[document] + start, n]
 
-    return texts.mapInArrow(lambda batches: _collected(scanned(batches), shape, buckets), SCHEMA)
+    return texts.mapInArrow(lambda batches: _collected(scanned(batches), lambda held: _stretches_handed_on(held, shape)), SCHEMA)
 
 
 def extended(asked: DataFrame, shape: Shape, buckets: int) -> DataFrame:
-    """ENTRY and GONE rows of the single windows asked for, of `doc`, `body`, `data` (a list of ASKED data)."""
+    """ENTRY and GONE rows of the single windows asked for, of `doc`, `body` (squeezed), `data` (a list of ASKED data)."""
 
     def scanned(batches):
-        for batch in slices(batches, "body"):
+        for batch in opened(batches):
             ids = batch.column("doc").to_numpy()
             units, offsets = _units(*column_bytes(batch.column("body")), shape)
             for i, blobs in enumerate(batch.column("data").to_pylist()):
-                start, n, anchor = unpack(blobs, ASKED_TYPES)
+                start, n = unpack(blobs, ASKED_TYPES)
                 start, at = np.unique(start, return_index=True)
-                n, anchor = n[at].astype(np.int64), anchor[at]
+                n = n[at].astype(np.int64)
                 every = np.repeat(start.astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                anchor = np.repeat(anchor, n)
-                size = offsets[i + 1] - offsets[i]
-                inside = every + shape.window <= size
-                every, anchor = every[inside], anchor[inside]
+                every = every[every + shape.window <= offsets[i + 1] - offsets[i]]
                 for a in range(0, len(every), PIECE):
                     places = every[a : a + PIECE]
                     low = int(places[0])
                     part = _numbers(units[offsets[i] + low : offsets[i] + int(places[-1]) + shape.window], shape)
-                    value = Sums(part).hash(places - low, places - low + shape.window)
-                    yield [anchor[a : a + PIECE], value, np.full(len(places), ids[i]), places, np.ones(len(places))]
+                    yield [Sums(part).hash(places - low, places - low + shape.window), np.full(len(places), ids[i]), places]
 
-    return asked.mapInArrow(lambda batches: _collected(scanned(batches), shape, buckets), SCHEMA)
+    return asked.mapInArrow(lambda batches: _collected(scanned(batches), lambda held: _windows_handed_on(held, shape, buckets)), SCHEMA)
 
 
 def _asked(first: list[np.ndarray], fresh: np.ndarray, shape: Shape) -> pa.RecordBatch | None:
@@ -243,17 +273,18 @@ def _asked(first: list[np.ndarray], fresh: np.ndarray, shape: Shape) -> pa.Recor
     if not shape.inside_documents:
         wanted &= np.minimum.reduceat(document, at) < np.maximum.reduceat(document, at)
     pick = wanted[group]
-    return _rows(ASKED, document[pick], [start[pick], n[pick], anchor[pick]])
+    return _rows(ASKED, document[pick], [start[pick], n[pick]])
 
 
-def met(rows: DataFrame, shape: Shape, partitions: int, ask: bool, keep: bool = False) -> DataFrame:
+def met(rows: DataFrame, shape: Shape, partitions: int, ask: bool, keep: bool = False, single: bool = False) -> DataFrame:
     """Bring the entries of each bucket together: GONE rows, ASKED rows if `ask`, KEPT rows of new entries if `keep`.
 
-    A bucket has at most one entry of each kind and task, whatever the number of its copies.
+    A bucket has at most one entry of each kind and task, whatever the number of its copies.  `single`: of windows.
     """
 
-    def settle(key: int, blobs: list[bytes], old: list[bytes]) -> Iterator[pa.RecordBatch]:
-        new, known = unpack(blobs, ENTRY_TYPES), unpack(old, ENTRY_TYPES)
+    def settle(key: int, blobs: list, old: list) -> Iterator[pa.RecordBatch]:
+        new = _as_entries(*unpack(blobs, WINDOW_TYPES)) if single else unpack(blobs, ENTRY_TYPES)
+        known = unpack(old, ENTRY_TYPES)
         mark = np.append(np.ones(len(new[0]), np.uint16), np.zeros(len(known[0]), np.uint16))
         both = [np.append(a, b) for a, b in zip(new, known)]
         both[4] = both[4] | (mark << np.uint16(15))  # whether it is new travels in the topmost bit of `windows`
@@ -271,10 +302,13 @@ def met(rows: DataFrame, shape: Shape, partitions: int, ask: bool, keep: bool =
     def merged(batches):
         key, new, old = None, [], []
         for batch in batches:
-            batch = batch.filter(pa.compute.equal(batch.column("kind"), GONE)), batch.filter(pa.compute.not_equal(batch.column("kind"), GONE))
-            if batch[0].num_rows:
-                yield batch[0]
-            for kind, k, data in zip(*(batch[1].column(c).to_pylist() for c in ("kind", "key", "data"))):
+            passed = batch.filter(pa.compute.is_in(batch.column("kind"), pa.array([GONE, ASKED], pa.int32())))
+            if passed.num_rows:
+                yield passed
+            for kind, k, cell in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), batch.column("data")):
+                if kind in (GONE, ASKED):
+                    continue
+                data = cell.as_buffer()  # not a copy
                 if k != key:
                     if new or old:
                         yield from settle(key, new, old)
@@ -291,10 +325,37 @@ def by_document(rows: DataFrame, kind: int) -> DataFrame:
     return rows.where(F.col("kind") == kind).groupBy(F.col("key").alias("doc")).agg(F.collect_list("data").alias("data"))
 
 
-def asked_and_met(texts: DataFrame, found: DataFrame, shape: Shape, buckets: int, partitions: int) -> DataFrame:
-    """`doc` and `data` (lists of GONE data) of all that occurs before, from what the first step found."""
+def squeezed(texts: DataFrame) -> DataFrame:
+    """`doc`, `body` with each body compressed, to be shuffled."""
+    def squeeze(batches):
+        import zstandard
+
+        for batch in slices(batches, "body"):
+            packer = zstandard.ZstdCompressor(level=3)
+            bodies = [packer.compress(cell.as_buffer()) for cell in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(bodies, pa.binary())], names=["doc", "body"])
+
+    return texts.mapInArrow(squeeze, "doc long, body binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their bodies as they were, some at a time."""
+    import zstandard
+
+    for batch in slices(batches, "body"):
+        unpacker = zstandard.ZstdDecompressor()
+        at = batch.schema.get_field_index("body")
+        bodies = pa.array([unpacker.decompress(cell.as_buffer()) for cell in batch.column(at)], pa.binary())
+        yield batch.set_column(at, "body", bodies)
+
+
+def all_gone(texts: DataFrame, found: DataFrame, shape: Shape, buckets: int, partitions: int) -> DataFrame:
+    """`doc` and `data` (lists of GONE data) of all that occurs before, from what the first step found.
+
+    `texts` are squeezed; whoever joins them with this again by `doc` gets their shuffle for nothing.
+    """
     asked = texts.join(by_document(found, ASKED).hint("shuffle_hash"), "doc")
-    more = met(extended(asked, shape, buckets), shape, partitions, ask=False)
+    more = met(extended(asked, shape, buckets), shape, partitions, ask=False, single=True)
     return by_document(found.where(F.col("kind") == GONE).unionByName(more), GONE)
 
 
