@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sediment.llm.arrays import BLANK, PIECE, Sums, U64, Words, column_bytes, mix, per_document, runs, slices
 from sediment.llm.columns import bytes_of
 from sediment.staging import stage
-from sediment.types import col
+from sediment.types import col, cols
 
 #: The words a document needs, and the share of repeated words (in percent) that it may have.
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -152,16 +152,19 @@ def thresholds(histogram: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """`doc_id`, the measures, `base_failed` and `kept` for each row.
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
+          carry: bool = False) -> DataFrame:
+    """`doc_id`, the measures, `base_failed` and `kept` for each row; with `carry` also `given`, the whole row.
 
-    The texts are read once; their measures, some bytes each, are staged, summed up and joined with the thresholds.
+    The texts are read once; their measures, some bytes each, are staged, summed up and joined with the thresholds, of which
+    there is one row per (language, source), staged too, so that Spark knows its size.
     """
+    given = [F.struct(*cols(docs.columns)).alias("given")] if carry else []
     measured = stage(
-        measure(docs, col(key).alias("doc_id"), col(lang).alias("lang"), col(source).alias("source"), text=text)
+        measure(docs, col(key).alias("doc_id"), col(lang).alias("lang"), col(source).alias("source"), *given, text=text)
         .select("row.*", *_MEASURES)
     )
-    limits = thresholds(sketches(measured))
+    limits = stage(thresholds(sketches(measured)))
     joined = measured.join(
         limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left"
     )
@@ -170,5 +173,5 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         within = within & (bucket(per_thousand(m)) <= F.col(f"{name}_limit"))
     return joined.select(
         "doc_id", *_MEASURES, base_failed().alias("base_failed"),
-        F.when(base_failed(), False).otherwise(within).alias("kept"),
+        F.when(base_failed(), False).otherwise(within).alias("kept"), *(["given"] if carry else []),
     )
