@@ -90,10 +90,11 @@ class Models:
         self.tables, self.weights = [], []
         for language in self.languages:
             steps = automaton(folded[language].tobytes())
-            table = np.full((len(steps), self.width), -1, np.int32)
+            table = np.full((len(steps) + 1, self.width), -1, np.int32)  # from the last state, nothing goes on
             for state, out in enumerate(steps):
                 for byte, target in out.items():
                     table[state, self.symbol[byte]] = target
+            table[0, table[0] < 0] = len(steps)  # a byte that is nowhere is a phrase of its own
             self.tables.append(table.ravel())
             self.weights.append(math.log2(len(folded[language]) + 2))
 
@@ -108,8 +109,8 @@ class Models:
         order = np.argsort(-length, kind="stable")
         document, start, length = document[order], (offsets[document] + inner)[order], length[order]
         active = np.searchsorted(-length, -np.arange(SPAN), "left")  # how many spans are longer than each place
-        count = np.ones((len(self.tables), len(start)), np.int64)
-        state = np.zeros((len(self.tables), len(start)), np.int64)
+        count = np.zeros((len(self.tables), len(start)), np.int64)
+        state = np.tile(np.array([len(t) // self.width - 1 for t in self.tables])[:, None], len(start))
         for place in range(SPAN):
             m = int(active[place])
             if not m:
@@ -119,7 +120,7 @@ class Models:
                 after = table[state[k, :m] * self.width + symbol]
                 ended = after < 0
                 count[k, :m] += ended
-                state[k, :m] = np.where(ended, np.maximum(table[symbol], 0), after)
+                state[k, :m] = np.where(ended, table[symbol], after)
         out = np.zeros((len(sizes), len(self.tables)), np.int64)
         for k in range(len(self.tables)):
             out[:, k] = np.bincount(document, count[k], len(sizes))
