@@ -51,7 +51,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
         .select("doc", "position", F.unhex(F.md5(F.col("clean").cast("binary"))).alias("line"))
     )
     dropped = (
-        places.join(repeated_lines(places, min_docs), "line")
+        places.join(stage(repeated_lines(places, min_docs)), "line")  # staged, so that a hot line's side can be split
         .where(F.col("doc") != F.col("keeper"))
         .groupBy("doc").agg(F.collect_set("position").alias("gone"))
     )
