@@ -15,6 +15,7 @@ counts per file are summed up over files, so a length that a third of all pieces
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,58 +25,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.arrays import PIECE, column_bytes, slices
+from sediment.llm.arrays import Words, column_bytes, slices
 from sediment.llm.columns import id_back, keyed_texts
+from sediment.llm.postings import LOWER
 from sediment.staging import stage
 
-#: Words whose ids a task remembers.
-REMEMBERED = 200_000
+#: Runs of letters, or of other characters, whose ids a process remembers, some 40 bytes each.
+REMEMBERED = 1_500_000
 PIECES = "doc long, start long, length long, ids_crc32 long, doc_tokens long"
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+for _low, _high in ((0x21, 0x30), (0x3A, 0x41), (0x5B, 0x61), (0x7B, 0x7F)):
+    _MARK[_low:_high] = True
+
 
 class Tokens:
-    """Ids of texts.  White space ends a token and leaves nothing, so each run of other characters is looked up alone."""
+    """Ids of texts, by a tokenizer that makes small letters, drops white space and never joins a letter with a mark
+    that follows it.  So texts are cut there, and the ids of each different run are made once and remembered.
+
+    A special token may be written in a text with letters and marks; texts of a batch with "<|" are cut at white space alone.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def ids(self, text: bytes) -> list[int]:
-        out: list[int] = []
-        words = text.split()
-        for a in range(0, len(words), PIECE):
-            part = words[a : a + PIECE]
-            new = list(set(part).difference(self.known))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, list(set(part))
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, e.ids) for w, e in zip(new, found))
-            for w in part:
-                out += self.known[w]
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes of runs, sorted
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where a run's ids are
+        self.ids_of_runs = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+        """Make the ids of runs, which come in the order of their hashes."""
+        found = [e.ids for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
+        count = np.array([len(f) for f in found], np.int64)
+        first = len(self.ids_of_runs) + np.cumsum(count) - count
+        self.ids_of_runs = np.concatenate([self.ids_of_runs, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))])
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.first, self.count = np.insert(self.first, place, first), np.insert(self.count, place, count)
+
+    def ids(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a batch, and where each text's begin."""
+        if b"<|" not in body.tobytes():
+            body = LOWER[body]
+            cuts = np.flatnonzero(_LETTER[body[:-1]] & _MARK[body[1:]]) + 1
+            body, offsets = np.insert(body, cuts, 0x20), offsets + np.searchsorted(cuts, offsets)
+        words = Words(body, offsets)
+        different, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) + len(different) > REMEMBERED:
+            self._forget()
+        new = np.flatnonzero(~np.isin(different, self.known, assume_unique=True))
+        if len(new):
+            spans = zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())
+            data = body.tobytes()
+            self._learn(different[new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
+        slot = np.searchsorted(self.known, different)[which]
+        count = self.count[slot]
+        upto = np.append(0, np.cumsum(count))
+        inner = np.arange(upto[-1]) - np.repeat(upto[:-1], count)
+        return self.ids_of_runs[np.repeat(self.first[slot], count) + inner], upto[words.offsets]
+
+
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One for each process, as its tasks have most words in common."""
+    if path not in _tokens:
+        _tokens.clear()
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
 
 
 def cut(docs: DataFrame, path: str, size: int, end: int, with_ids: bool, key: str, text: str) -> DataFrame:
     """The pieces of all documents: `doc`, `start`, `length`, `ids_crc32`, `doc_tokens` and, if asked for, `ids`."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         for batch in slices(batches, "body"):
-            body, offsets = column_bytes(batch.column("body"))
-            rows = []
-            for doc, a, b in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids = np.array([*tokens.ids(body[a:b].tobytes()), end], "<u4")
+            every, bounds = tokens.ids(*column_bytes(batch.column("body")))
+            rows, parts = [], []
+            for doc, a, b in zip(batch.column("doc").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = np.append(every[a:b], np.uint32(end)).astype("<u4")
                 for at in range(0, len(ids), size):
                     part = ids[at : at + size]
-                    row = (doc, at, len(part), zlib.crc32(part.tobytes()), len(ids))
-                    rows.append((*row, part) if with_ids else row)
-            columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]]
+                    rows.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
+                    if with_ids:
+                        parts.append(part.astype(np.int32))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
             names = ["doc", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                columns.append(pa.array([r[5].astype(np.int32) for r in rows], pa.list_(pa.int32())))
+                columns.append(pa.array(parts, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
