@@ -12,9 +12,6 @@ from sediment.functions.rules import is_allowed
 from sediment.functions.steps import Step, apply_step, result_type, step_from_dict, step_problem
 from sediment.types import col, sql_type_of
 
-# Limits of a specification.
-MAX_ENTITIES, MAX_ATTRIBUTES, MAX_STEPS, MAX_KEY_PARTS = 20, 200, 8, 5
-MAX_TABLE_NAME = 128
 QUARANTINE = "_quarantine"
 
 # Approximate or unordered values make no business key.
@@ -107,53 +104,124 @@ def _analysis_problem(spark: SparkSession, step: Step, data_type: T.DataType) ->
     return None
 
 
-def _compile_attribute(
-    spark: SparkSession, a: Attribute, label: str, source: T.StructField, problems: list[str]
-) -> tuple[Attribute, T.DataType]:
-    if len(a.steps) > MAX_STEPS:
-        problems.append(f"{label}: more than {MAX_STEPS} steps")
-    current = source.dataType
-    for i, step in enumerate(a.steps, 1):
-        problem = step_problem(step, current) or _analysis_problem(spark, step, current)
-        if problem:
-            problems.append(f"{label}, step {i}: {problem}")
-            break
-        current = result_type(step, current)
-    return replace(a, source=source.name, type=a.type or sql_type_of(current)), current
-
-
-def _compile_master(entity: Entity, keys: list[str], names: dict, crosswalks: dict, problems: list[str]):
-    mk, label = entity.master_key, f"{entity.name}: master key"
-    if len(keys) != 1:
-        problems.append(f"{label} needs a business key of exactly one attribute")
-    if not is_allowed("identifier", mk.column) or mk.column.startswith("_"):
-        problems.append(f"{label}: {mk.column!r} is no column name")
-    if mk.column.lower() in names:
-        problems.append(f"{label}: {mk.column!r} is one of the attributes already")
-    roles = {"system": mk.system_column, "key": mk.key_column, "master key": mk.master_column}
-    if (mk.entity_type_column is None) != (mk.entity_type is None):
-        problems.append(f"{label}: entity type column and value go together")
-    elif mk.entity_type_column is not None:
-        roles["entity type"] = mk.entity_type_column
-        if not mk.entity_type or not is_allowed("simple_text", mk.entity_type):
-            problems.append(f"{label}: entity type {mk.entity_type!r} is not plain text")
-    if len({c.lower() for c in roles.values()}) < len(roles):
-        problems.append(f"{label}: the {', '.join(roles)} columns must differ")
-    stored = crosswalks.get(mk.crosswalk)
-    if stored is None:
-        return mk
-    have = {f.name.lower(): f.name for f in stored.fields}
-    for role, name in roles.items():
-        if name.lower() not in have:
-            problems.append(f"{label}: the crosswalk has no {role} column {name!r}")
-
-    def real(name):
-        return None if name is None else have.get(name.lower(), name)
-
-    return replace(
-        mk, system_column=real(mk.system_column), key_column=real(mk.key_column),
-        master_column=real(mk.master_column), entity_type_column=real(mk.entity_type_column),
-    )
+def _index(names) -> dict[str, str]:
+    """Names by their small letters; the first of several wins."""
+    found: dict[str, str] = {}
+    for name in names:
+        found.setdefault(name.lower(), name)
+    return found
+
+
+def _repeated(names) -> list[str]:
+    """Names that occur more than once, whatever their case."""
+    small = [n.lower() for n in names]
+    return sorted({n for n in small if small.count(n) > 1})
+
+
+class _Resolved:
+    """An entity next to what the tables have: every name it uses with the column or attribute behind it, if there is one.
+
+    Resolving never fails; the checks below look at what is left open, each on its own.
+    """
+
+    def __init__(self, spark: SparkSession, entity: Entity, source: T.StructType, crosswalk: T.StructType | None):
+        columns, own = _index(source.names), _index(a.name for a in entity.attributes)
+        self.spark, self.entity = spark, entity
+        self.sources = [columns.get(a.source.lower()) for a in entity.attributes]
+        self.keys = [own.get(k.lower()) for k in entity.business_key]
+        self.own = own
+        self.stored = None if crosswalk is None else _index(crosswalk.names)
+        self.step_problems: list[str] = []
+        self.types = [source[c].dataType if c else None for c in self.sources]
+        self.types = [self._after_steps(a, t) if t else None for a, t in zip(entity.attributes, self.types)]
+
+    def _after_steps(self, a: Attribute, data_type: T.DataType) -> T.DataType:
+        """The type after the steps, up to the first that has a problem, which is noted."""
+        for number, step in enumerate(a.steps, 1):
+            problem = step_problem(step, data_type) or _analysis_problem(self.spark, step, data_type)
+            if problem:
+                self.step_problems.append(f"{a.name}, step {number}: {problem}")
+                break
+            data_type = result_type(step, data_type)
+        return data_type
+
+    def roles(self) -> dict[str, str]:
+        """The crosswalk columns that a master key names."""
+        mk = self.entity.master_key
+        named = {"system": mk.system_column, "key": mk.key_column, "master key": mk.master_column, "entity type": mk.entity_type_column}
+        return {role: name for role, name in named.items() if name is not None}
+
+    def done(self) -> Entity:
+        """The entity under its real names.  Only for one without problems."""
+        attributes = tuple(
+            replace(a, source=source, type=a.type or sql_type_of(data_type), required=a.required or a.name in self.keys)
+            for a, source, data_type in zip(self.entity.attributes, self.sources, self.types)
+        )
+        mk = self.entity.master_key
+        if mk and self.stored:
+            fields = ("system_column", "key_column", "master_column", "entity_type_column")
+            mk = replace(mk, **{f: self.stored[getattr(mk, f).lower()] for f in fields if getattr(mk, f) is not None})
+        return replace(
+            self.entity, attributes=attributes, business_key=tuple(self.keys), master_key=mk, quarantine=self.entity.quarantine_table
+        )
+
+
+def _bad_names(r: _Resolved):
+    if not is_allowed("identifier", r.entity.name):
+        yield f"{r.entity.name!r} is no table name"
+    columns = [a.name for a in r.entity.attributes] + ([r.entity.master_key.column] if r.entity.master_key else [])
+    for name in columns:
+        if not is_allowed("identifier", name):
+            yield f"{name!r} is no column name"
+        elif name.startswith("_"):
+            yield f"{name!r}: names with a leading underscore are reserved"
+    for name in _repeated(columns):
+        yield f"column {name!r} is defined more than once"
+
+
+def _bad_sources(r: _Resolved):
+    if not r.entity.attributes:
+        yield "there is no attribute"
+    for a, found in zip(r.entity.attributes, r.sources):
+        if found is None:
+            yield f"{a.name}: the source has no column {a.source!r}"
+
+
+def _bad_steps(r: _Resolved):
+    yield from r.step_problems
+
+
+def _bad_keys(r: _Resolved):
+    if not r.entity.business_key:
+        yield "there is no business key"
+    for key, name in zip(r.entity.business_key, r.keys):
+        if name is None:
+            yield f"business key {key!r} is no attribute"
+    for key in _repeated(r.entity.business_key):
+        yield f"business key {key!r} is listed more than once"
+    for a, data_type in zip(r.entity.attributes, r.types):
+        if a.name in r.keys and isinstance(data_type, _NO_KEY):
+            yield f"{a.name}: values of type {data_type.simpleString()} make no business key"
+
+
+def _bad_master(r: _Resolved):
+    mk = r.entity.master_key
+    if mk is None:
+        return
+    if len(r.entity.business_key) != 1:
+        yield "a master key is looked up by one business key"
+    if (mk.entity_type is None) != (mk.entity_type_column is None):
+        yield "an entity type takes a column and a value"
+    if mk.entity_type is not None and not (mk.entity_type and is_allowed("simple_text", mk.entity_type)):
+        yield f"entity type {mk.entity_type!r} is not plain text"
+    for name in _repeated(r.roles().values()):
+        yield f"crosswalk column {name!r} has more than one role"
+    for role, name in r.roles().items():
+        if r.stored is not None and name.lower() not in r.stored:
+            yield f"the crosswalk has no {role} column {name!r}"
+
+
+_CHECKS = (_bad_names, _bad_sources, _bad_steps, _bad_keys, _bad_master)
 
 
 def compile_entity(
@@ -164,76 +232,36 @@ def compile_entity(
     Raises SpecError with all problems.  `crosswalks` maps the names of crosswalk tables to their
     schemas; a crosswalk not in it is not checked.
     """
-    problems: list[str] = []
-    if not is_allowed("identifier", entity.name) or len(entity.name + QUARANTINE) > MAX_TABLE_NAME:
-        problems.append(f"{entity.name!r} is no table name")
-    if not 1 <= len(entity.attributes) <= MAX_ATTRIBUTES:
-        problems.append(f"{entity.name}: 1 to {MAX_ATTRIBUTES} attributes")
-    if not 1 <= len(entity.business_key) <= MAX_KEY_PARTS:
-        problems.append(f"{entity.name}: 1 to {MAX_KEY_PARTS} business key parts")
-    have = {f.name.lower(): f for f in source.fields}
-    names: dict[str, str] = {}
-    attributes, types = [], {}
-    for a in entity.attributes:
-        label = f"{entity.name}, {a.name}"
-        if not is_allowed("identifier", a.name):
-            problems.append(f"{label}: no column name")
-        elif a.name.startswith("_"):
-            problems.append(f"{label}: a leading underscore is reserved")
-        elif a.name.lower() in names:
-            problems.append(f"{label}: duplicate of {names[a.name.lower()]!r}")
-        elif a.source.lower() not in have:
-            names[a.name.lower()] = a.name
-            problems.append(f"{label}: the source no longer has column {a.source!r}")
-        else:
-            names[a.name.lower()] = a.name
-            done, types[a.name] = _compile_attribute(spark, a, label, have[a.source.lower()], problems)
-            attributes.append(done)
-    keys: list[str] = []
-    for key in entity.business_key:
-        name = names.get(key.lower())
-        if name is None:
-            problems.append(f"{entity.name}: business key {key!r} is no attribute")
-        elif name in keys:
-            problems.append(f"{entity.name}: business key {key!r} is listed twice")
-        else:
-            keys.append(name)
-            if isinstance(types.get(name), _NO_KEY):
-                problems.append(f"{entity.name}: {key!r} has a type that makes no business key")
-    attributes = [replace(a, required=a.required or a.name in keys) for a in attributes]
-    master = entity.master_key and _compile_master(entity, keys, names, crosswalks or {}, problems)
+    crosswalk = (crosswalks or {}).get(entity.master_key.crosswalk) if entity.master_key else None
+    resolved = _Resolved(spark, entity, source, crosswalk)
+    problems = [f"{entity.name}: {p}" for check in _CHECKS for p in check(resolved)]
     if problems:
         raise SpecError(problems)
-    return replace(
-        entity, business_key=tuple(keys), attributes=tuple(attributes), master_key=master,
-        quarantine=entity.quarantine_table,
-    )
+    return resolved.done()
+
+
+def _bad_job(spec: SilverSpec):
+    if not spec.entities:
+        yield "there is no entity"
+    if not is_allowed("identifier", spec.system):
+        yield f"source system {spec.system!r} is no name"
+    if not (spec.unknown_master_key and is_allowed("simple_text", spec.unknown_master_key)):
+        yield f"unknown master key {spec.unknown_master_key!r} is not plain text"
+    written = [t for e in spec.entities for t in (e.target, e.quarantine_table)]
+    for name in _repeated(written):
+        yield f"more than one table would be {name!r}"
+    if spec.bronze.lower() in [t.lower() for t in written]:
+        yield f"{spec.bronze!r} is what the job reads"
 
 
 def compile_silver(spark: SparkSession, spec: SilverSpec) -> SilverSpec:
     """The whole specification against the tables it names."""
-    problems: list[str] = []
-    if not 1 <= len(spec.entities) <= MAX_ENTITIES:
-        problems.append(f"1 to {MAX_ENTITIES} entities")
-    if not is_allowed("identifier", spec.system):
-        problems.append(f"source system {spec.system!r} is no name")
-    if not spec.unknown_master_key or not is_allowed("simple_text", spec.unknown_master_key):
-        problems.append(f"unknown master key {spec.unknown_master_key!r} is not plain text")
-    written = [t.lower() for e in spec.entities for t in (e.target, e.quarantine_table)]
-    for name in sorted({t for t in written if written.count(t) > 1}):
-        problems.append(f"two tables would be named {name!r}")
-    if spec.bronze.lower() in written:
-        problems.append(f"{spec.bronze!r} is the source of the job")
+    problems, entities = list(_bad_job(spec)), []
     source = spark.table(spec.bronze).schema
-    crosswalks = {
-        e.master_key.crosswalk: spark.table(e.master_key.crosswalk).schema
-        for e in spec.entities
-        if e.master_key
-    }
-    entities = []
-    for e in spec.entities:
+    for entity in spec.entities:
+        named = [entity.master_key.crosswalk] if entity.master_key else []
         try:
-            entities.append(compile_entity(spark, e, source, crosswalks))
+            entities.append(compile_entity(spark, entity, source, {t: spark.table(t).schema for t in named}))
         except SpecError as error:
             problems += error.problems
     if problems:
