@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from sediment.llm import windows
-from sediment.llm.arrays import column_bytes
+from sediment.llm.arrays import column_bytes, slices
 from sediment.llm.columns import id_back, keyed_texts
 from sediment.staging import stage
 
@@ -35,11 +35,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     buckets, partitions = windows.buckets_of(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed_texts(docs, key, text)
     found = stage(windows.met(windows.entries_of(texts, shape, buckets), shape, partitions, ask=True))
-    squeezed = windows.squeezed(texts)
-    gone = windows.all_gone(squeezed, found, shape, buckets, partitions)
+    gone = windows.all_gone(texts, found, shape, buckets, partitions)
 
     def cleaned(batches):
-        for batch in windows.opened(batches):
+        for batch in slices(batches, "body"):
             body, offsets = column_bytes(batch.column("body"))
             n, removed, kept, spans = [], [], [], []
             for a, b, blobs in zip(offsets[:-1], offsets[1:], batch.column("data").to_pylist()):
@@ -63,7 +62,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
                 names=["doc", "n_words", "n_removed", "kept", "spans"],
             )
 
-    out = windows.without_repeats(squeezed, gone).mapInArrow(
+    out = windows.without_repeats(texts, gone).mapInArrow(
         cleaned, "doc long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>"
     )
     return out.select(id_back("doc").alias("doc_id"), "n_words", "n_removed", "kept", "spans")

@@ -14,7 +14,7 @@ per unit.  Equal windows have equal anchors wherever they are, so two steps find
 An anchor that many kinds of stretches share is no hot group: a task hands on two of the kinds, which is enough to
 tell all tasks that there are several, and its others go to the second step at once.  There, too, a task hands on a window once.
 
-Entries travel as packed arrays, one row per task and bucket; documents are shuffled by id once, compressed.
+Entries travel as packed arrays, one row per task and bucket; documents are shuffled by id once.
 An anchor's hash is kept as its bucket and 32 more bits: it only says what to compare, the stretch's 64 bits decide.
 """
 
@@ -237,10 +237,10 @@ def entries_of(texts: DataFrame, shape: Shape, buckets: int) -> DataFrame:
 
 
 def extended(asked: DataFrame, shape: Shape, buckets: int) -> DataFrame:
-    """ENTRY and GONE rows of the single windows asked for, of `doc`, `body` (squeezed), `data` (a list of ASKED data)."""
+    """ENTRY and GONE rows of the single windows asked for, of `doc`, `body`, `data` (a list of ASKED data)."""
 
     def scanned(batches):
-        for batch in opened(batches):
+        for batch in slices(batches, "body"):
             ids = batch.column("doc").to_numpy()
             units, offsets = _units(*column_bytes(batch.column("body")), shape)
             for i, blobs in enumerate(batch.column("data").to_pylist()):
@@ -325,34 +325,10 @@ def by_document(rows: DataFrame, kind: int) -> DataFrame:
     return rows.where(F.col("kind") == kind).groupBy(F.col("key").alias("doc")).agg(F.collect_list("data").alias("data"))
 
 
-def squeezed(texts: DataFrame) -> DataFrame:
-    """`doc`, `body` with each body compressed, to be shuffled."""
-    def squeeze(batches):
-        import zstandard
-
-        for batch in slices(batches, "body"):
-            packer = zstandard.ZstdCompressor(level=3)
-            bodies = [packer.compress(cell.as_buffer()) for cell in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(bodies, pa.binary())], names=["doc", "body"])
-
-    return texts.mapInArrow(squeeze, "doc long, body binary")
-
-
-def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with their bodies as they were, some at a time."""
-    import zstandard
-
-    for batch in slices(batches, "body"):
-        unpacker = zstandard.ZstdDecompressor()
-        at = batch.schema.get_field_index("body")
-        bodies = pa.array([unpacker.decompress(cell.as_buffer()) for cell in batch.column(at)], pa.binary())
-        yield batch.set_column(at, "body", bodies)
-
-
 def all_gone(texts: DataFrame, found: DataFrame, shape: Shape, buckets: int, partitions: int) -> DataFrame:
     """`doc` and `data` (lists of GONE data) of all that occurs before, from what the first step found.
 
-    `texts` are squeezed; whoever joins them with this again by `doc` gets their shuffle for nothing.
+    Whoever joins the same `texts` with this again by `doc` gets their shuffle for nothing, as Spark uses it twice.
     """
     asked = texts.join(by_document(found, ASKED).hint("shuffle_hash"), "doc")
     more = met(extended(asked, shape, buckets), shape, partitions, ask=False, single=True)
