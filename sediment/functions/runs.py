@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FINISHED = ("success", "failed", "cancelled")
-MAX_ERROR = 2000
 
 
 def run_status(life_cycle: Column, result: Column) -> Column:

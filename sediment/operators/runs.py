@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.functions.identity import reversed_hex
-from sediment.functions.runs import FINISHED, MAX_ERROR, run_status, time_of_millis
+from sediment.functions.runs import FINISHED, run_status, time_of_millis
 from sediment.operators.merge import upsert_changed
 from sediment.types import col, cols, quoted
 
@@ -70,7 +70,7 @@ def remote_runs(listing: DataFrame) -> DataFrame:
         F.when(F.col("trigger") == "PERIODIC", "schedule").otherwise("manual").alias("triggered_by"),
         time_of_millis(F.col("start_ms")).alias("started_at"),
         F.when(status.isin(*FINISHED), time_of_millis(F.col("end_ms"))).alias("finished_at"),
-        F.when((status == "failed") & (message != ""), F.left(message, F.lit(MAX_ERROR))).alias("error_message"),
+        F.when((status == "failed") & (message != ""), message).alias("error_message"),
         F.col("url").alias("run_url"),
     )
 
@@ -93,7 +93,7 @@ def sync_runs(known: DataFrame, remote: DataFrame) -> DataFrame:
     return merged.unionByName(known.where(waiting).withColumn("_action", F.lit("kept")))
 
 
-# The counts a report may carry, and its limits.
+# The counts a report may carry, the layers, and the largest count.
 COUNTS = (
     "rows_read", "rows_written", "duplicates_removed", "distinct_records", "rows_inserted",
     "already_in_target", "rows_in_target", "sightings_inserted", "sightings_in_target",
@@ -101,8 +101,7 @@ COUNTS = (
     "unchanged", "unmapped_keys", "crosswalk_rows", "crosswalk_version",
 )
 LAYERS = ("raw", "bronze", "silver")
-MAX_REPORT, MAX_TABLES, MAX_COUNT = 200_000, 200, 2**53
-MAX_NAME, MAX_TEXT, MAX_MODE, MAX_EXTRA = 128, 300, 20, 50
+MAX_COUNT = 2**53
 
 
 _MEMBERS = (*COUNTS, "source", "target", "extra_source_columns", "reconciled")
@@ -132,15 +131,15 @@ def _extra(value: Column) -> Column:
     listed = F.when(
         F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")
     )
-    texts = F.filter(F.slice(listed, 1, MAX_EXTRA), lambda x: F.schema_of_variant(x) == "STRING")
-    return F.transform(texts, lambda x: F.left(F.try_variant_get(x, "$", "string"), F.lit(MAX_NAME)))
+    texts = F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING")
+    return F.transform(texts, lambda x: F.try_variant_get(x, "$", "string"))
 
 
 def sanitize_reports(reports: DataFrame, text: str = "report") -> DataFrame:
     """Untrusted run reports (JSON text) as one row per report and table, with known values only.
 
     A count has to be a whole number from 0 to 2**53; booleans, fractions and digits in quotes are none.
-    Texts and lists are cut to their limits.  The run counts as reconciled only if it says so and no
+    Reports of any length and number of tables are read whole.  The run counts as reconciled only if it says so and no
     table says otherwise.  Anything that is not a report of a known layer is left out.
 
     Each text is parsed once: exploding the one-element array keeps Spark from repeating the parse for
@@ -149,8 +148,7 @@ def sanitize_reports(reports: DataFrame, text: str = "report") -> DataFrame:
     others = cols(c for c in reports.columns if c != text)
     parsed = F.try_variant_get(F.try_parse_json(col(text)), "$", _REPORT)
     report = (
-        reports.where(F.length(col(text)) <= MAX_REPORT)
-        .select(*others, F.explode(F.array(parsed)).alias("_r"))
+        reports.select(*others, F.explode(F.array(parsed)).alias("_r"))
         .where(
             _text(F.col("_r.layer")).isin(*LAYERS)
             & (_typed(F.col("_r.v"), "bigint", "BIGINT") == 1)
@@ -158,19 +156,19 @@ def sanitize_reports(reports: DataFrame, text: str = "report") -> DataFrame:
         )
     )
     entries = F.filter(
-        F.slice(F.map_entries("_r.tables"), 1, MAX_TABLES),
+        F.map_entries("_r.tables"),
         lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT"),
     )
     tables = F.transform(
         entries,
         lambda e: F.struct(
-            F.left(e["key"], F.lit(MAX_NAME)).alias("name"), F.try_variant_get(e["value"], "$", _TABLE).alias("t")
+            e["key"].alias("name"), F.try_variant_get(e["value"], "$", _TABLE).alias("t")
         ),
     )
     listed = report.select(
         *others,
         _text(F.col("_r.layer")).alias("layer"),
-        F.left(F.coalesce(F.try_variant_get("_r.mode", "$", "string"), F.lit("")), F.lit(MAX_MODE)).alias("mode"),
+        F.coalesce(F.try_variant_get("_r.mode", "$", "string"), F.lit("")).alias("mode"),
         F.coalesce(_flag(F.col("_r.reconciled")), F.lit(False)).alias("_claimed"),
         F.explode(F.array(tables)).alias("_tables"),
     )
@@ -189,7 +187,7 @@ def sanitize_reports(reports: DataFrame, text: str = "report") -> DataFrame:
         "run_reconciled",
         F.col("_t.name").alias("table_name"),
         *[_count(table[k]).alias(k) for k in COUNTS],
-        *[F.left(_text(table[k]), F.lit(MAX_TEXT)).alias(k) for k in ("source", "target")],
+        *[_text(table[k]).alias(k) for k in ("source", "target")],
         _extra(table["extra_source_columns"]).alias("extra_source_columns"),
         _flag(table["reconciled"]).alias("reconciled"),
     )

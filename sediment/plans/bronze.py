@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators.bronze import counted_sightings, first_seen, hashed, sightings
+from sediment.operators.bronze import counted_sightings, distinct_stats, first_seen, hashed, sightings
 from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
 from sediment.plans.report import bronze_counts, run_report
@@ -13,10 +13,6 @@ from sediment.sources.tables import BUCKETS, aligned, append, ensure_table
 from sediment.staging import stage, staging
 
 
-# New records up to this number are looked up in Raw by a broadcast of their hashes (64 bytes each).
-BROADCAST_RECORDS = 500_000
-
-
 def _new_records(seen: DataFrame, bronze: DataFrame) -> tuple[DataFrame, dict]:
     """The hashes Bronze lacks, staged, and the counts of rows, records and new ones.
 
@@ -37,17 +33,14 @@ def _new_records(seen: DataFrame, bronze: DataFrame) -> tuple[DataFrame, dict]:
     return fresh, tally.get
 
 
-def first_copies(rows: DataFrame, fresh: DataFrame, counts: dict) -> DataFrame:
+def first_copies(rows: DataFrame, fresh: DataFrame) -> DataFrame:
     """The first copy of each new record.
 
-    If all are new, all rows are needed.  A few are picked out before the shuffle, so in a repeated run
-    the known records are neither shuffled nor sorted; many are picked out after it.
+    Raw is read a second time here, and may hold more than at the first; only the staged hashes get through,
+    so a record that came in between is left to the next run.  Known records are neither shuffled nor sorted
+    where Spark finds `fresh` small enough to be sent to all tasks, which it knows, as it is staged.
     """
-    if counts["new"] == counts["records"]:
-        return first_seen(rows)
-    if counts["new"] <= BROADCAST_RECORDS:
-        return first_seen(rows.join(F.broadcast(fresh), "_record_hash", "left_semi"))
-    return first_seen(rows).join(fresh, "_record_hash", "left_semi")
+    return first_seen(rows.join(fresh, "_record_hash", "left_semi"))
 
 
 def _append_sightings(seen: DataFrame, target: str) -> int:
@@ -89,15 +82,17 @@ def build_bronze(
     ensure_table(spark, sightings_table, sightings(rows).schema, **by_hash)
 
     with staging(spark), aligned(spark, buckets):
+        before = target.count()
         seen = stage(counted_sightings(rows))
         fresh, counts = _new_records(seen, target)
         if counts["new"]:
-            append(first_copies(rows, fresh, counts), bronze)
+            append(first_copies(rows, fresh), bronze)
         new_sightings = _append_sightings(seen, sightings_table)
+        after = distinct_stats(spark.table(bronze)).first()
     return {
         "source": raw,
         "target": bronze,
-        **bronze_counts(counts["rows"], counts["records"], counts["new"], spark.table(bronze).count()),
+        **bronze_counts(counts["rows"], counts["records"], counts["new"], before, after["rows"], after["distinct_records"]),
         "sightings_inserted": new_sightings,
         "sightings_in_target": spark.table(sightings_table).count(),
         "extra_source_columns": extra,

@@ -12,6 +12,7 @@ from sediment.operators.projections import with_lineage
 from sediment.plans.report import run_report
 from sediment.sources.files import MALFORMED, LoadSpec, scan
 from sediment.sources.tables import append, ensure_table
+from sediment.types import LINEAGE_COLUMNS, cols
 
 
 def load_time(at: datetime | None) -> Column:
@@ -40,7 +41,8 @@ def load_raw(
     """Append one load to a Raw table and return its counts.
 
     The table is partitioned by load.  The rows are counted by the write itself and compared with the
-    load's partition before and after.
+    load's partition before and after.  A row that does not fit the schema keeps in Raw what fits; its whole
+    text goes to the table `<target>_malformed`, so nothing of it is lost.
     """
     batch_id = batch_id or uuid.uuid4().hex
     rows = raw_rows(spark, spec, batch_id, load_time(at))
@@ -54,6 +56,7 @@ def load_raw(
         target,
     )
     counts = seen.get
+    texts = _keep_malformed(rows, f"{target}{MALFORMED}", batch_id) if counts["malformed"] else 0
     after = spark.table(target).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_batch_id") == batch_id).alias("load")
     ).first()
@@ -64,10 +67,24 @@ def load_raw(
         "rows_written": after["load"] - before,
         "rows_malformed": counts["malformed"],
         "rows_in_target": after["rows"],
-        "reconciled": after["load"] - before == counts["rows"],
+        "reconciled": after["load"] - before == counts["rows"] and texts == counts["malformed"],
     }
 
 
+def _keep_malformed(rows: DataFrame, target: str, batch_id: str) -> int:
+    """Append the texts of the rows that do not fit; returns by how many the table's load grew.
+
+    Whether a row fits shows only when all its columns are read, so all are asked for.
+    """
+    whole = F.length(F.to_json(F.struct(*cols(c for c in rows.columns if c != MALFORMED)))) > 0
+    texts = rows.where(F.col(MALFORMED).isNotNull() & whole).select(F.col(MALFORMED).alias("_text"), *cols(LINEAGE_COLUMNS))
+    table = ensure_table(rows.sparkSession, target, texts.schema, partition_by=["_batch_id"])
+    load = F.col("_batch_id") == batch_id
+    before = table.where(load).count()
+    append(texts, target)
+    return rows.sparkSession.table(target).where(load).count() - before
+
+
 def load_tables(
     spark: SparkSession,
     specs: dict[str, LoadSpec],

@@ -41,8 +41,8 @@ def report_frame(spark: SparkSession, report: dict) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def bronze_counts(rows: int, distinct: int, inserted: int, in_target: int) -> dict:
-    """The counts of a Bronze table, reconciled: what is not new was there before."""
+def bronze_counts(rows: int, distinct: int, inserted: int, before: int, after: int, distinct_after: int) -> dict:
+    """The counts of a Bronze table, reconciled: it grew by what was inserted, and holds each record once."""
     already = distinct - inserted
     return {
         "rows_read": rows,
@@ -50,8 +50,8 @@ def bronze_counts(rows: int, distinct: int, inserted: int, in_target: int) -> di
         "distinct_records": distinct,
         "rows_inserted": inserted,
         "already_in_target": already,
-        "rows_in_target": in_target,
-        "reconciled": inserted >= 0 and already >= 0 and in_target >= distinct,
+        "rows_in_target": after,
+        "reconciled": min(inserted, already) >= 0 and before + inserted == after == distinct_after,
     }
 
 

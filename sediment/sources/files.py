@@ -121,9 +121,8 @@ def scan(spark: SparkSession, spec: LoadSpec) -> DataFrame:
     return readers[spec.format](spark, spec.path, spec.schema, **spec.options)
 
 
-# Which files of a folder belong to a format, and how many may become tables of their own.
+# Which files of a folder belong to a format.
 PATTERNS = {"csv": "*.csv", "json": "*.json", "xml": "*.xml"}
-MAX_FILES = 200
 
 
 def folder_files(spark: SparkSession, folder: str, format: str) -> DataFrame:
@@ -140,13 +139,10 @@ def folder_files(spark: SparkSession, folder: str, format: str) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, folder: str, format: str) -> list:
-    """The files of a folder that become one table each.  More than the limit is an error: files that
-    share one schema are read by `scan_folder`, however many they are."""
-    found = folder_files(spark, folder, format).limit(MAX_FILES + 1).collect()
+    """The names of the files of a folder that become one table each, however many they are."""
+    found = folder_files(spark, folder, format).collect()
     if not found:
         raise ValueError(f"no {PATTERNS[format]} files in {folder}")
-    if len(found) > MAX_FILES:
-        raise ValueError(f"{folder} has more than {MAX_FILES} {PATTERNS[format]} files")
     return found
 
 

@@ -11,7 +11,6 @@ from sediment.operators.projections import leaves
 from sediment.sources.files import listed_files
 from sediment.types import col, parse_sql_type, quoted, sql_type_of
 
-SAMPLE_ROWS = 1000
 PROFILE = "ordinal int, name string, sql_type string, nullable boolean"
 
 # Texts of a CSV cell that mean "no value".
@@ -82,15 +81,18 @@ def _profile_row(ordinal: int, name: str, counts: Column) -> Column:
 def profile_columns(
     df: DataFrame,
     *,
-    sample_rows: int | None = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     by: str | None = None,
     missing: tuple[str, ...] = MISSING,
 ) -> DataFrame:
     """One row per text column: position, name, type and whether a value was missing.
 
-    All columns are measured by one aggregate of counters.  `by` profiles each value of a column (the
-    file of a folder) on its own.  `sample_rows` reads the head only; None reads everything.
+    All columns are measured by one aggregate of counters, over all rows.  `by` profiles each value of a
+    column (the file of a folder) on its own.  `sample_rows` reads the head only, which can miss what comes
+    later; it would miss whole groups, so it does not go together with `by`.
     """
+    if by and sample_rows is not None:
+        raise ValueError("a sample of rows says nothing about each group")
     names = [c for c in df.columns if c != by]
     rows = _sampled(df, sample_rows)
     measures = [type_counts(col(c).cast("string"), missing).alias(f"c{i}") for i, c in enumerate(names)]
@@ -109,7 +111,7 @@ def _texts(spark: SparkSession, path, header: bool, delimiter: str) -> DataFrame
 
 
 def profile_csv(
-    spark: SparkSession, path, *, header: bool = True, delimiter: str = ",", sample_rows: int | None = SAMPLE_ROWS
+    spark: SparkSession, path, *, header: bool = True, delimiter: str = ",", sample_rows: int | None = None
 ) -> DataFrame:
     return profile_columns(_texts(spark, path, header, delimiter), sample_rows=sample_rows)
 
@@ -147,7 +149,7 @@ def profile_nested(df: DataFrame) -> DataFrame:
 
 
 def profile_json(
-    spark: SparkSession, path, *, multiline: bool = False, sample_rows: int | None = SAMPLE_ROWS
+    spark: SparkSession, path, *, multiline: bool = False, sample_rows: int | None = None
 ) -> DataFrame:
     """Columns of JSON files, nested members flattened."""
     reader = spark.read.option("multiLine", multiline)
@@ -181,7 +183,7 @@ def profile_json_text(df: DataFrame, text: str) -> DataFrame:
 
 
 def profile_xml(
-    spark: SparkSession, path, *, row_tag: str = "record", sample_rows: int | None = SAMPLE_ROWS
+    spark: SparkSession, path, *, row_tag: str = "record", sample_rows: int | None = None
 ) -> DataFrame:
     """Columns of XML rows, from the texts of their children; attributes are ignored.
 
@@ -211,7 +213,7 @@ def xml_tags(spark: SparkSession, path) -> list[str]:
 
 
 def profile_folder(
-    spark: SparkSession, folder: str, *, header: bool = True, delimiter: str = ",", sample_rows: int | None = SAMPLE_ROWS
+    spark: SparkSession, folder: str, *, header: bool = True, delimiter: str = ",", sample_rows: int | None = None
 ) -> DataFrame:
     """The profile of every CSV file of a folder, with the table it would load.
 

@@ -14,8 +14,6 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sediment.types import cols
-
 _SETTING = "spark.checkpoint.dir"
 
 _kept: ContextVar[list[str] | None] = ContextVar("staged_folders", default=None)
@@ -54,13 +52,3 @@ def stage(df: DataFrame) -> DataFrame:
         _kept.get().append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every core a share of a source that has fewer splits than the cluster has cores.
-
-    One small or unsplittable file would keep all the work that follows the scan in one task.  A source
-    with enough splits is returned as it is, so nothing is shuffled where it would cost.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *cols(keys)) if df.rdd.getNumPartitions() < cores else df

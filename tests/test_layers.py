@@ -76,12 +76,13 @@ def test_folder_in_one_scan(spark, tmp_path):
         ("jan_24", 2), ("feb", 2), ("t_50__a_b", 2)}
 
 
-def test_a_folder_of_many_files_is_no_list_of_tables(spark, tmp_path):
-    for n in range(201):
+def test_a_folder_of_many_files(spark, tmp_path):
+    for n in range(250):
         (tmp_path / f"f{n}.csv").write_text("a\n1\n")
-    with pytest.raises(ValueError, match="more than 200"):
-        folder_specs(spark, str(tmp_path), "csv", {})
-    assert scan_folder(spark, str(tmp_path), "csv", schema_of({"a": "INT"})).count() == 201
+    schema = schema_of({"a": "INT"})
+    specs = folder_specs(spark, str(tmp_path), "csv", {f"f{n}.csv": schema for n in range(250)})
+    assert sorted(specs) == sorted(f"f{n}" for n in range(250)) and specs["f7"].path.endswith("/f7.csv")
+    assert scan_folder(spark, str(tmp_path), "csv", schema).count() == 250
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -7,7 +7,8 @@ from checks.loads import CUSTOMER, LINE_COLUMNS, line_raw
 from sediment.operators.bronze import first_seen, hashed, sightings
 from sediment.operators.current import conflicting_keys, current_per_key, latest_ties, with_value_hash
 from sediment.operators.masterkey import lookup_master
-from sediment.staging import spread, stage, staging, staging_folder
+from checks.base import spread
+from sediment.staging import stage, staging, staging_folder
 
 SF = "/root/testdata/sf0.001"
 
