@@ -1,15 +1,17 @@
 """MinHash near-dedup: classes of texts that are equal or nearly equal.
 
-Method: ProbMinHash.  A text is the set of its shingles of five words, each with the number of times it occurs as weight.
-Every shingle sends arrivals of a Poisson process of that rate to random registers; a register keeps the shingle that
-arrives first, and a shingle stops as soon as its next arrival is later than the latest register.  Two texts agree in
-a register with the probability of their probability Jaccard similarity.  BANDS bands of ROWS registers give
-candidates (a pair at 0.8 is missed once in 300,000), and every candidate link is verified exactly on the texts.
+Method: ProbMinHash.  A text is the set of its shingles of five words, each with a weight that is its own in all texts:
+1, or with WEIGHTS "length" the bytes of its words.  Every shingle sends arrivals of a Poisson process with
+its weight as rate to random registers; a register keeps the shingle that arrives first, and a shingle stops as
+soon as its next arrival is later than the latest register.  Two texts agree in a register with the probability
+of their probability Jaccard similarity, which for such weights is the weight they have in common as a share of all they have.
+BANDS bands of ROWS registers give candidates (a pair at 0.8 is missed once in 300,000); links are verified exactly on the texts.
 
 Classes are the connected components of the links of 0.8 or more.  Texts with equal words are one node, so copies
-cost no pair.  In a bucket of candidates, no text is compared with another that it is linked with already: all are
-compared with the first; those that are still apart and were not compared yet go on, in rounds, against
-more and more of each other, until every pair of a bucket has been verified or is in one class.
+cost no pair.  Each text of a bucket is first compared with the bucket's earliest text, which mostly puts them into one class.
+Only where texts of a bucket are then in different classes, those outside its largest class are compared with
+all others of it: in tiles of some hundred texts by some hundred, each one product of matrices of which links
+alone come out.  No pair is a row, and no text is sent more than once per tile.
 
 * A null or empty text, or one without words, is in a class of its own.  A text of fewer than five words is one shingle.
 * Rows with one id are one document if their words are equal; else each row has its own class, under that id.
@@ -33,15 +35,15 @@ from sediment.staging import stage
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: How many texts of a bucket are compared with the others in the first round after the first, and how many times more in each further one.
-PIVOTS, FASTER = 4, 4
+#: Texts on a side of a tile, and shingles that are multiplied at a time.
+TILE, COLUMNS = 256, 4096
 
 
-def shingles(words: Words, hashes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the documents a to b: document, shingle and number of occurrences, sorted."""
-    low = words.offsets[a]
+def shingles(words: Words, hashes: np.ndarray, a: int, b: int, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents a to b: document, shingle and weight, each shingle once, sorted."""
+    low, high = words.offsets[a], words.offsets[b]
     bounds = words.offsets[a : b + 1] - low
-    units, n = hashes[low : words.offsets[b]], np.diff(bounds)
+    units, n = hashes[low:high], np.diff(bounds)
     owner = np.repeat(np.arange(b - a), n)
     sums = Sums(units)
     grams = sums.hash_all(SHINGLE)
@@ -49,12 +51,16 @@ def shingles(words: Words, hashes: np.ndarray, a: int, b: int) -> tuple[np.ndarr
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     document = np.concatenate([owner[places], short])
     value = np.concatenate([grams[places], sums.hash(bounds[short], bounds[short + 1])])
+    if weights == "length":
+        size = np.append(0, np.cumsum(words.ends[low:high] - words.starts[low:high]))
+        weight = np.concatenate([size[places + SHINGLE] - size[places], size[bounds[short + 1]] - size[bounds[short]]])
+    else:
+        weight = np.ones(len(value), np.int64)
     order = np.lexsort((value, document))
-    document, value = document[order], value[order]
-    opens = np.ones(len(value), bool)
-    opens[1:] = (document[1:] != document[:-1]) | (value[1:] != value[:-1])
-    at = np.flatnonzero(opens)
-    return document[at], value[at], np.diff(np.append(at, len(value)))
+    document, value, weight = document[order], value[order], weight[order]
+    once = np.ones(len(value), bool)
+    once[1:] = (document[1:] != document[:-1]) | (value[1:] != value[:-1])
+    return document[once], value[once], weight[once]
 
 
 def signatures(document: np.ndarray, value: np.ndarray, weight: np.ndarray, documents: int, registers: int) -> np.ndarray:
@@ -100,92 +106,215 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc", "node", "body"]).filter(pa.array(own, pa.bool_()))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "body"):
-        body, offsets = column_bytes(batch.column("body"))
-        words = Words(body, offsets)
-        hashes, n = words.hashes(), np.diff(words.offsets)
-        keys = [
-            bands_of(signatures(*shingles(words, hashes, a, b), b - a, BANDS * ROWS), BANDS, ROWS) for a, b in runs(n, PIECE)
-        ]
-        copies = [
-            _copy_key(body[x:y].tobytes()) if m else None
-            for x, y, m in zip(offsets[:-1], offsets[1:], n)
-        ]
-        flat = np.concatenate(keys).astype(np.int64, copy=False) if keys else np.zeros((0, BANDS), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc"),
-                pa.array(copies, pa.binary()),
-                pa.ListArray.from_arrays(np.arange(0, flat.size + 1, BANDS, dtype=np.int32), flat.view(np.int64).ravel()),
-            ],
-            names=["doc", "copy", "bands"],
-        )
+def _signed(weights: str):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            body, offsets = column_bytes(batch.column("body"))
+            words = Words(body, offsets)
+            hashes, n = words.hashes(), np.diff(words.offsets)
+            keys = [
+                bands_of(signatures(*shingles(words, hashes, a, b, weights), b - a, BANDS * ROWS), BANDS, ROWS)
+                for a, b in runs(n, PIECE)
+            ]
+            copies = [_copy_key(body[x:y].tobytes()) if m else None for x, y, m in zip(offsets[:-1], offsets[1:], n)]
+            flat = np.concatenate(keys).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    pa.array(copies, pa.binary()),
+                    pa.ListArray.from_arrays(np.arange(0, flat.size + 1, BANDS, dtype=np.int32), flat),
+                ],
+                names=["doc", "copy", "bands"],
+            )
+
+    return signed
+
+
+def weighted(text: bytes, weights: str) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of one text, sorted, and their weights."""
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    _, value, weight = shingles(words, words.hashes(), 0, 1, weights)
+    return value, weight
 
 
-def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two sorted sets with weights: the sum over common d of 1 / sum over all e of max(x[e] / x[d], y[e] / y[d])."""
-    common, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    if not len(common):
-        return 0.0
-    pairs, times = np.unique(np.stack([x[1][i], y[1][j]], axis=1), axis=0, return_counts=True)
-    only_x, only_y = x[1].sum() - x[1][i].sum(), y[1].sum() - y[1][j].sum()
-    total = 0.0
-    for (a, b), n in zip(pairs.tolist(), times.tolist()):
-        total += n / (only_x / a + only_y / b + (np.maximum(pairs[:, 0] / a, pairs[:, 1] / b) * times).sum())
-    return total
+def _in(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of some sorted numbers are among others."""
+    return others[np.minimum(np.searchsorted(others, some), len(others) - 1)] == some
 
 
-def weighted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of one text, sorted, and their numbers."""
-    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    _, value, weight = shingles(words, words.hashes(), 0, 1)
-    return value, weight
+def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Probability Jaccard of two sets whose shingles have one weight in both."""
+    common = y[1][_in(y[0], x[0])].sum()
+    return common / (x[1].sum() + y[1].sum() - common)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, left = None, None
-    for batch in batches:
-        found = []
-        for pivot, one, other in zip(batch.column("pivot").to_pylist(), batch.column("one"), batch.column("other")):
-            if pivot != last:
-                last, left = pivot, weighted(one.as_py())
-            found.append(probability_jaccard(left, weighted(other.as_py())))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("pivot"), batch.column("node"), pa.array(found, pa.float64())], names=["pivot", "node", "similarity"]
-        )
+def _compared(weights: str):
+    """Links over the rows of each tile, the earliest text (`node` is null) before the others."""
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            out = []
+            for i, (node, body) in enumerate(zip(batch.column("node"), batch.column("body"))):
+                text = weighted(body.as_py(), weights)
+                if not node.is_valid:
+                    left = text
+                elif similarity(left, text) >= SIMILARITY:
+                    out.append(i)
+            yield batch.select(["pivot", "node"]).take(pa.array(out, pa.int64()))
 
+    return compared
 
-def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (`pivot`, `node`), those whose texts (`node`, `body`) are similar enough.
 
-    A pivot with very many nodes is in the join on the side that adaptive execution splits.
+def links_with_earliest(pairs: DataFrame, texts: DataFrame, weights: str) -> DataFrame:
+    """Of staged pairs (`pivot`, `node`), those whose texts (`node`, `body`) are similar enough.
+
+    A pivot with very many nodes is cut into tiles, each with the pivot's text once; in the join with the texts
+    its pairs are on the side that adaptive execution splits.
+    """
+    sizes = stage(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("n")))
+    cut = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), "n").alias("tile"), "node")
+    own = sizes.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tile"))
+    firsts = own.join(texts, "node").select(F.col("node").alias("pivot"), "tile", F.lit(None).cast("binary").alias("node"), "body")
+    rows = cut.join(texts, "node").select("pivot", "tile", "node", "body").unionByName(firsts)
+    ordered = rows.repartition("pivot", "tile").sortWithinPartitions("pivot", "tile", F.asc_nulls_first("node"))
+    return ordered.mapInArrow(_compared(weights), "pivot binary, node binary")
+
+
+def common_weight(some: list, others: list) -> np.ndarray:
+    """The weight that each of some sorted weighted sets has in common with each of others."""
+    out = np.zeros((len(some), len(others)))
+    values = [np.concatenate([t[0] for t in side]) for side in (some, others)]
+    shared = np.intersect1d(*values)
+    weight = np.zeros(len(shared))
+    sides = []
+    for texts, value in zip((some, others), values):
+        row = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+        column = np.searchsorted(shared, value)
+        kept = column < len(shared)
+        kept[kept] = shared[column[kept]] == value[kept]
+        weight[column[kept]] = np.concatenate([t[1] for t in texts])[kept]
+        order = np.argsort(column[kept], kind="stable")
+        sides.append((row[kept][order], column[kept][order]))
+    for low in range(0, len(shared), COLUMNS):
+        n = min(COLUMNS, len(shared) - low)
+        parts = []
+        for texts, (row, column) in zip((some, others), sides):
+            a, b = np.searchsorted(column, [low, low + n])
+            dense = np.zeros((len(texts), n), np.float32)
+            dense[row[a:b], column[a:b] - low] = 1
+            parts.append(dense)
+        out += (parts[0] * weight[low : low + n].astype(np.float32)) @ parts[1].T
+    return out
+
+
+def _tile_links(weights: str):
+    """Links over the rows of each tile, between its `open` texts and the others."""
+    def links(tile) -> pa.RecordBatch:
+        sides = [[t for t in tile if t[0] == side] for side in (True, False)]
+        pivots, nodes = [], []
+        if sides[0] and sides[1]:
+            texts = [[weighted(t[3], weights) for t in side] for side in sides]
+            size = [np.array([t[1].sum() for t in side]) for side in texts]
+            common = common_weight(*texts)
+            similar = common >= SIMILARITY * (size[0][:, None] + size[1][None, :] - common)
+            for i, j in zip(*np.nonzero(similar)):
+                if sides[0][i][2] != sides[1][j][2]:
+                    pivots.append(sides[0][i][1])
+                    nodes.append(sides[1][j][1])
+        return pa.RecordBatch.from_arrays([pa.array(pivots, pa.binary()), pa.array(nodes, pa.binary())], names=["pivot", "node"])
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, []
+        for batch in batches:
+            for *own, side, node, root, body in zip(*(batch.column(c) for c in ("pivot", "i", "j", "open", "node", "root", "body"))):
+                own = tuple(c.as_py() for c in own)
+                if own != key:
+                    if tile:
+                        yield links(tile)
+                    key, tile = own, []
+                tile.append((side.as_py(), node.as_py(), root.as_py(), body.as_py()))
+        if tile:
+            yield links(tile)
+
+    return tiled
+
+
+def links_apart(opened: DataFrame, texts: DataFrame, weights: str) -> DataFrame:
+    """Links between texts of one bucket (`pivot`, `node`, `root`) that are in different classes.
+
+    Of two classes, one is not the bucket's largest; so the texts outside that one are compared with all.
     """
-    one = texts.select(F.col("node").alias("pivot"), F.col("body").alias("one"))
-    other = texts.select("node", F.col("body").alias("other"))
-    both = pairs.join(other, "node").join(one, "pivot").select("pivot", "node", "one", "other")
-    return both.mapInArrow(_verified, "pivot binary, node binary, similarity double").where(F.col("similarity") >= SIMILARITY)
+    sizes = (
+        opened.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("pivot").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+        .select(
+            "pivot", F.col("top.root").alias("largest"),
+            F.ceil(F.col("all") / TILE).alias("n"), F.ceil((F.col("all") - F.col("top.n")) / TILE).alias("m"),
+        )
+    )
+    cut = opened.join(stage(sizes), "pivot")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def place(n):
+        return F.pmod(F.xxhash64("node"), n)
+
+    sides = cut.select("pivot", every("m").alias("i"), place("n").alias("j"), F.lit(False).alias("open"), "node", "root").unionByName(
+        cut.where("root <> largest").select("pivot", place("m").alias("i"), every("n").alias("j"), F.lit(True).alias("open"), "node", "root")
+    )
+    tile = ["pivot", "i", "j"]
+    ordered = sides.join(texts, "node").repartition(*tile).sortWithinPartitions(*tile)
+    return ordered.mapInArrow(_tile_links(weights), "pivot binary, node binary")
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars: each node with the least it is connected with here."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def stars():
+        ends = [(n, find(n)) for n in root]
+        u, v = [n for n, r in ends if n != r], [r for n, r in ends if n != r]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+        if len(root) > PIECE:
+            yield stars()
+    yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """`node` and `root`, the least node that it is connected with, of links (`pivot`, `node`).
 
     Large-star and small-star steps by turns (the least neighbour becomes the neighbour of all), until nothing
-    changes: a number of rounds that grows as the logarithm of a component's size.  Every round is staged.
+    changes: a number of rounds that grows as the logarithm of a component's size, after each task has made stars
+    of its links.  Every round is staged, and so are the least neighbours, as adaptive execution splits
+    a hot node only in a join of two plain inputs.
     """
-    edges = links.select(F.greatest("pivot", "node").alias("u"), F.least("pivot", "node").alias("v")).where("u <> v").distinct()
-    edges, before = stage(edges), None
+    def mark(df):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
+
+    edges = links.select(F.col("pivot").alias("u"), F.col("node").alias("v")).mapInArrow(_connected, "u binary, v binary")
+    edges = stage(edges.distinct())
+    before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        edges = stage(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(least.select("u", F.col("m").alias("v")).unionByName(small).distinct())
+        now = mark(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
@@ -195,55 +324,39 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def linked(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """`node` and `root` of all nodes with a link, of candidates (`bucket`, `node`, `pivot`: the bucket's first)."""
-    pairs = stage(shared.where("node <> pivot").select("pivot", "node").distinct())
-    tested, links = pairs, stage(links_of(pairs, texts).select("pivot", "node"))
+def linked(buckets: DataFrame, texts: DataFrame, weights: str = "one") -> DataFrame:
+    """`node` and `root` of all nodes with a link, of candidates: staged pairs of a bucket's earliest text (`pivot`) with
+    each other one (`node`).  Buckets with one earliest text count as one."""
+    links = stage(links_with_earliest(buckets, texts, weights))
     roots = components(links)
-    open_nodes, most = shared.where("node <> pivot").select("bucket", "node"), PIVOTS
-    while True:
-        # Pairs with a text that was compared already are settled; what is open are pairs of others of different classes.
-        rooted = _with_roots(open_nodes, roots)
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        rooted = stage(rooted.join(split, "bucket"))
-        if rooted.isEmpty():
-            return roots
-        largest = (
-            rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-        )
-        ranked = rooted.join(largest, "bucket").where("root <> largest").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        )
-        pivots = stage(ranked.where(F.col("rank") <= most).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")))
-        apart = rooted.join(pivots, "bucket").where("root <> pivot_root")
-        pairs = apart.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
-        pairs = stage(pairs.join(tested, ["pivot", "node"], "left_anti"))
-        links = links.unionByName(stage(links_of(pairs, texts).select("pivot", "node")))
-        tested, roots = tested.unionByName(pairs), components(links)
-        done = pivots.select("bucket", F.col("pivot").alias("node"))
-        open_nodes, most = stage(rooted.select("bucket", "node").join(done, ["bucket", "node"], "left_anti")), most * FASTER
+    rooted = _with_roots(buckets, roots)
+    split = rooted.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("pivot")
+    opened = stage(rooted.join(stage(split), "pivot").select("pivot", "node", "root"))
+    more = stage(links_apart(opened, texts, weights))
+    return components(links.unionByName(more))
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "one") -> DataFrame:
     """`doc_id` and `class_id`, the smallest id of the row's class, of each row."""
     texts = keyed_texts(docs, key, text)
-    signed = stage(texts.mapInArrow(_signed, "doc long, copy binary, bands array<long>"))
+    signed = stage(texts.mapInArrow(_signed(weights), "doc long, copy binary, bands array<long>"))
     nodes = signed.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("doc").alias("doc"), F.min_by("bands", "doc").alias("bands"))
     nodes = stage(nodes.select(F.col("copy").alias("node"), "doc", "bands"))
 
-    keyed = nodes.select(F.explode("bands").alias("bucket"), "node")
-    first = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    shared = stage(keyed.join(first.select("bucket", "pivot"), "bucket"))
-    candidates = shared.select("node").distinct().join(nodes.select("node", "doc"), "node")
+    keyed = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("doc").alias("place"))
+    ends = keyed.groupBy("bucket").agg(F.min(F.struct("place", "node")).alias("low"), F.max(F.struct("place", "node")).alias("high"))
+    earliest = stage(ends.where("low <> high").select("bucket", F.col("low.node").alias("pivot")))
+    buckets = stage(keyed.join(earliest, "bucket").where("node <> pivot").select("pivot", "node").distinct())
+    both = buckets.select("node").unionByName(buckets.select(F.col("pivot").alias("node"))).distinct()
+    candidates = stage(both.join(nodes.select("node", "doc"), "node"))
     # Rows with one id and other words, or the same row again, must not stand for the node once more.
     found = texts.join(candidates.hint("shuffle_hash"), "doc").mapInArrow(_own_texts, "doc long, node binary, body binary")
     bodies = stage(found.dropDuplicates(["doc", "node"]).select("node", "body"))
-    roots = linked(shared, bodies)
+    roots = linked(buckets, bodies, weights)
 
     named = _with_roots(nodes.select("node", "doc"), roots)
     classes = named.groupBy("root").agg(F.min("doc").alias("class"))
-    of_node = named.join(classes, "root").select(F.col("node").alias("copy"), "class")
+    of_node = stage(named.join(classes, "root").select(F.col("node").alias("copy"), "class"))
     return signed.select("doc", "copy").join(of_node, "copy", "left").select(
         id_back("doc").alias("doc_id"), id_back(F.coalesce("class", "doc")).alias("class_id")
     )

@@ -184,9 +184,10 @@ def contamination(rows, items, window=10):
     return out
 
 
-def shingles(text, n=5):
+def shingles(text, weights="one", n=5):
     w = words(text)
-    return Counter(grams(w, n) if len(w) >= n else [tuple(w)] if w else [])
+    found = grams(w, n) if len(w) >= n else [tuple(w)] if w else []
+    return Counter({g: sum(map(len, g)) if weights == "length" else 1 for g in found})
 
 
 def probability_jaccard(x, y):
@@ -196,13 +197,13 @@ def probability_jaccard(x, y):
     return total
 
 
-def near_classes(rows, similarity=0.8):
+def near_classes(rows, similarity=0.8, weights="one"):
     """doc_id -> class_id of rows whose ids differ or whose texts are equal."""
     texts = {}
     for i, t, *_ in rows:
         texts.setdefault(tuple(words(t)) or ("empty", i), set()).add(ident(i))
     nodes = list(texts)
-    sets = [shingles(b" ".join(k).decode()) if k[0] != "empty" else Counter() for k in nodes]
+    sets = [shingles(b" ".join(k).decode(), weights) if k[0] != "empty" else Counter() for k in nodes]
     root = list(range(len(nodes)))
 
     def find(x):
@@ -212,7 +213,7 @@ def near_classes(rows, similarity=0.8):
 
     for a, b in itertools.combinations(range(len(nodes)), 2):
         common = sum((sets[a] & sets[b]).values())
-        if common >= 0.5 * max(len(sets[a]), len(sets[b])) > 0 and probability_jaccard(sets[a], sets[b]) >= similarity:
+        if common >= 0.5 * max(sum(sets[a].values()), sum(sets[b].values())) > 0 and probability_jaccard(sets[a], sets[b]) >= similarity:
             root[max(find(a), find(b))] = min(find(a), find(b))
     least = defaultdict(lambda: 2**63)
     for n, k in enumerate(nodes):

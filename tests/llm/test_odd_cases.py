@@ -82,10 +82,11 @@ def test_contamination(spark, docs, rows):
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in found.collect())
 
 
-def test_near_classes(docs, rows):
-    found = near.near_classes(docs)
+@pytest.mark.parametrize("weights", ["one", "length"])
+def test_near_classes(docs, rows, weights):
+    found = near.near_classes(docs, weights=weights)
     assert found.count() == len(rows)
-    assert {plain.ident(k): plain.ident(v[0]) for k, v in by_id(found, "class_id").items()} == plain.near_classes(rows)
+    assert {plain.ident(k): plain.ident(v[0]) for k, v in by_id(found, "class_id").items()} == plain.near_classes(rows, weights=weights)
 
 
 def test_packing(spark, docs, rows):

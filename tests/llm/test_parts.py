@@ -13,6 +13,8 @@ from llm import plain
 
 import pyarrow as pa
 
+TOKENS = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=20))
 def test_patterns_hold_every_piece_once(histogram):
@@ -32,11 +34,13 @@ def test_patterns_of_many_pieces_are_few_steps():
     assert tokens / (4096 * sum(n for _, n in found)) <= 1
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aZé日 \t\n\x0b\x1c ́'sl!1<|endoftext|>"), max_size=60))
-def test_ids_of_runs_are_ids_of_the_text(text):
-    tokens = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
-    assert tokens.ids(text.encode()) == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZé日 \t\n\x0b\x1c ́'sl!1<|endoftext|>.,#-"), max_size=40), max_size=5))
+def test_ids_of_runs_are_ids_of_the_texts(texts):
+    tokens = TOKENS
+    ids, at = tokens.ids(*column_bytes(pa.array([t.encode() for t in texts], pa.binary())))
+    expected = [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == expected
 
 
 @given(st.lists(st.binary(max_size=30), max_size=8))
@@ -67,26 +71,57 @@ def test_stretches_hold_each_window_once(text, window):
 
 def test_registers_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(5)
-    common = rng.integers(0, 2**63, 60).astype(np.uint64)
-    sides = [np.sort(np.append(common, rng.integers(0, 2**63, 25).astype(np.uint64))) for _ in range(2)]
-    weights = [rng.integers(1, 4, 85) for _ in range(2)]
-    exact = near.probability_jaccard((sides[0], weights[0]), (sides[1], weights[1]))
-    one, other = (plain.Counter(dict(zip(s.tolist(), ws.tolist()))) for s, ws in zip(sides, weights))
-    assert exact == pytest.approx(plain.probability_jaccard(one, other))
+    every = np.unique(rng.integers(0, 2**63, 110).astype(np.uint64))
+    weight = rng.integers(1, 9, len(every))
+    sides = [(every[a:b], weight[a:b]) for a, b in ((0, 85), (25, 110))]
+    exact = near.similarity(*sides)
+    assert exact == pytest.approx(plain.probability_jaccard(*(plain.Counter(dict(zip(v.tolist(), w.tolist()))) for v, w in sides)))
     n = 6000
-    signed = [near.signatures(np.zeros(85, int), s, w, 1, n)[0] for s, w in zip(sides, weights)]
+    signed = [near.signatures(np.zeros(len(v), int), v, w, 1, n)[0] for v, w in sides]
     assert abs((signed[0] == signed[1]).mean() - exact) < 4 * (exact * (1 - exact) / n) ** 0.5
 
 
-def test_rounds_settle_a_bucket_whose_first_text_is_alone(spark):
-    """A chain of near copies in one bucket: none is like the first, all are linked with a neighbour."""
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=9), st.integers(1, 8))
+def test_common_weights(sets, first):
+    weight = np.random.default_rng(4).integers(1, 500, 41)
+    texts = [(np.array(sorted(s), np.uint64), weight[sorted(s)]) for s in sets]
+    first = min(first, len(sets) - 1)
+    expected = [[sum(weight[e] for e in a & b) for b in sets[first:]] for a in sets[:first]]
+    assert near.common_weight(texts[:first], texts[first:]).tolist() == expected
+
+
+def classes_of(spark, texts):
+    """The roots of texts that are all in one bucket, and by comparing all with all."""
+    rows = [(j.to_bytes(2), t.encode()) for j, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node binary, body binary")
+    pairs = spark.createDataFrame([(rows[0][0], n) for n, _ in rows[1:]], "pivot binary, node binary")
+    found = {int.from_bytes(r["node"]): int.from_bytes(r["root"]) for r in near.linked(pairs, nodes).collect()}
+    expected = plain.near_classes([(j, t) for j, t in enumerate(texts)])
+    return {j: found.get(j, j) for j in range(len(texts))}, expected
+
+
+def test_a_chain_whose_first_text_is_alone(spark):
+    """None is like the first, all are linked with a neighbour."""
     base = [f"w{i}" for i in range(400)]
     texts = [" ".join(f"z{i}" for i in range(400))] + [" ".join([f"v{k}" for k in range(20 * j)] + base[20 * j :]) for j in range(9)]
-    rows = [(bytes([j]), t.encode()) for j, t in enumerate(texts)]
-    nodes = spark.createDataFrame(rows, "node binary, body binary")
-    shared = spark.createDataFrame([(1, r[0], b"\x00") for r in rows], "bucket long, node binary, pivot binary")
-    roots = {bytes(r["node"]): bytes(r["root"]) for r in near.linked(shared, nodes).collect()}
-    assert roots == {bytes([j]): b"\x01" for j in range(2, 10)}
+    found, expected = classes_of(spark, texts)
+    assert found == expected and set(found.values()) == {0, 1}
+
+
+def test_copies_of_copies_in_one_bucket(spark):
+    """Texts with more and more words changed, and copies of these with one more change each."""
+    import random
+
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(130)]
+    texts = [base]
+    for j in range(70):
+        text = list(r.choice(texts[:1] * 3 + texts))
+        for _ in range(r.choice([1, 1, 2, 4])):
+            text[r.randrange(len(text))] = f"x{r.random()}"
+        texts.append(text)
+    found, expected = classes_of(spark, [" ".join(t) for t in texts])
+    assert found == expected and 3 < len(set(found.values())) < 70
 
 
 def test_proximity(spark):
