@@ -127,21 +127,30 @@ def scan_xml_rows(spark, sf_dir):
 _XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
   <xs:simpleType name="Money"><xs:restriction base="xs:decimal"><xs:fractionDigits value="2"/></xs:restriction></xs:simpleType>
   <xs:simpleType name="Balance"><xs:restriction base="Money"/></xs:simpleType>
+  <xs:group name="standing"><xs:choice>
+    <xs:element name="balance" type="Balance"/>
+    <xs:element name="debt" type="Balance"/>
+  </xs:choice></xs:group>
+  <xs:complexType name="Named"><xs:all>
+    <xs:element name="s_suppkey" type="xs:long"/>
+    <xs:element name="s_name" type="xs:string"/>
+  </xs:all></xs:complexType>
+  <xs:complexType name="Supplier"><xs:complexContent><xs:extension base="Named"><xs:sequence>
+    <xs:element name="nation" type="xs:short"/>
+    <xs:group ref="standing"/>
+    <xs:sequence minOccurs="0"><xs:element name="rich" type="xs:boolean"/></xs:sequence>
+  </xs:sequence></xs:extension></xs:complexContent></xs:complexType>
   <xs:element name="suppliers"><xs:complexType><xs:sequence>
-    <xs:element name="record" maxOccurs="unbounded"><xs:complexType><xs:sequence>
-      <xs:element name="s_suppkey" type="xs:long"/>
-      <xs:element name="s_name" type="xs:string"/>
-      <xs:element name="nation" type="xs:short"/>
-      <xs:element name="balance" type="Balance" minOccurs="0"/>
-      <xs:element name="rich" type="xs:boolean"/>
-    </xs:sequence></xs:complexType></xs:element>
+    <xs:element name="record" type="Supplier" maxOccurs="unbounded"/>
   </xs:sequence></xs:complexType></xs:element>
 </xs:schema>"""
 
 
 @query("scan_xml_by_xsd", _SQL_XML)
 def scan_xml_by_xsd(spark, sf_dir):
-    return _xml_rows(spark, sf_dir, read_xsd(_XSD))
+    """Rows by a schema with an extension, a group, a choice and an optional sequence."""
+    rows = _xml_rows(spark, sf_dir, read_xsd(_XSD))
+    return rows.where(F.col("debt").isNull()).drop("debt")
 
 
 # --- lineage, appends, folders -----------------------------------------------------------------------
@@ -343,22 +352,27 @@ def decode_zoned(spark, sf_dir):
 
 
 _COPYBOOK = """
-      * A customer as the mainframe would write it.
-       01  CUSTOMER-RECORD.
-           05  CUST-ID               PIC 9(8).
-           05  CUST-NAME.
-               10  CUST-FULL-NAME    PIC X(25).
-               10  CUST-SEGMENT      PIC X(12).
-           05  CUST-FINANCIAL.
-               10  CUST-BALANCE      PIC S9(9)V99 COMP-3.
-               10  CUST-LIMIT        PIC S9(7)V99.
-               10  CUST-NATION       PIC S9(4) COMP.
-           05  CUST-CODE             PIC X(2) OCCURS 2 TIMES.
+      * An account as a mainframe would write it.
+       01  ACCOUNT.
+           05  C-CUSTKEY             PIC 9(8).
+           05  OWNER.
+               10  C-NAME            PIC X(25).
+               10  C-MKTSEGMENT      PIC X(12).
+               88  IS-BUILDING       VALUE 'BUILDING'.
+           05  C-ACCTBAL             PIC S9(9)V99 COMP-3.
+           05  OWED                  PIC S9(7)V99.
+           05  HOME.
+               10  C-NATIONKEY       PIC S9(4) USAGE IS COMP.
+           05  MARK                  PIC X(2) OCCURS 2 TIMES.
+           05  ENTRY OCCURS 2 TIMES.
+               10  SIDE              PIC X.
+               10  AMOUNT            PIC S9(9)V99 COMP-3.
            05  FILLER                PIC X(10).
 """
+_BLANK = "@"  # in code page 037 a blank is what "@" is in ASCII
 
 
-def _customer_records(spark, sf_dir):
+def _account_records(spark, sf_dir):
     """Customers as binary records of the copybook's layout."""
     cents = _money("c_acctbal")
     return spread_table(spark, sf_dir, "customer").select(
@@ -371,27 +385,84 @@ def _customer_records(spark, sf_dir):
             ebcdic.encode_comp(F.col("c_nationkey") - 12, 2),
             ebcdic.encode_text(F.left("c_mktsegment", F.lit(2)), 2),
             ebcdic.encode_text(F.lit("x"), 2),
+            ebcdic.encode_text(F.lit("D"), 1), ebcdic.encode_comp3(cents, 11),
+            ebcdic.encode_text(F.lit("C"), 1), ebcdic.encode_comp3(-cents, 11),
             ebcdic.encode_text(F.lit(""), 10),
         ).alias("value")
     )
 
 
-_SQL_RECORDS = """SELECT c_custkey::INT AS CUST_ID, c_name || 'é!' AS CUST_NAME_CUST_FULL_NAME,
-    c_mktsegment AS CUST_NAME_CUST_SEGMENT, c_acctbal::DECIMAL(11,2)::VARCHAR AS CUST_FINANCIAL_CUST_BALANCE,
-    (-c_acctbal)::DECIMAL(9,2)::VARCHAR AS CUST_FINANCIAL_CUST_LIMIT, (c_nationkey - 12)::INT AS CUST_FINANCIAL_CUST_NATION,
-    '["' || left(c_mktsegment, 2) || '","x"]' AS CUST_CODE FROM customer"""
+_SQL_RECORDS = """SELECT c_custkey::INT AS C_CUSTKEY, c_name || 'é!' AS OWNER_C_NAME,
+    c_mktsegment AS OWNER_C_MKTSEGMENT, c_acctbal::DECIMAL(11,2)::VARCHAR AS C_ACCTBAL,
+    (-c_acctbal)::DECIMAL(9,2)::VARCHAR AS OWED, (c_nationkey - 12)::INT AS HOME_C_NATIONKEY,
+    '["' || left(c_mktsegment, 2) || '","x"]' AS MARK,
+    '[{"SIDE":"D","AMOUNT":' || c_acctbal::DECIMAL(11,2) || '},{"SIDE":"C","AMOUNT":' || (-c_acctbal)::DECIMAL(11,2) || '}]' AS ENTRY
+    FROM customer"""
+
+
+def _shown_records(rows, layout):
+    return rows.select(*[
+        F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+        for f in layout_schema(layout)
+    ])
 
 
 @query("scan_fixed_ebcdic", _SQL_RECORDS)
 def scan_fixed_ebcdic(spark, sf_dir):
     layout = read_copybook(_COPYBOOK)
-    assert record_length(layout) == 8 + 25 + 12 + 6 + 9 + 2 + 4 + 10
-    rows = decode_records(_customer_records(spark, sf_dir), layout)
+    assert record_length(layout) == 8 + 25 + 12 + 6 + 9 + 2 + 4 + 14 + 10
+    return _shown_records(decode_records(_account_records(spark, sf_dir), layout), layout)
+
+
+def _binary_file(records):
+    """Records one after the other in files; each ends with a blank, which is what stands between lines here."""
+    folder = staging_folder(records.sparkSession)
+    short = records.select(F.expr("cast(substring(value, 1, octet_length(value) - 1) as string)").alias("value"))
+    short.write.option("lineSep", _BLANK).text(folder)
+    return folder
+
+
+@query("scan_fixed_file", _SQL_RECORDS)
+def scan_fixed_file(spark, sf_dir):
+    """Records of one length, read from files."""
+    layout = read_copybook(_COPYBOOK)
+    return _shown_records(scan_fixed(spark, _binary_file(_account_records(spark, sf_dir)), layout), layout)
+
+
+@query("scan_fixed_sequence", _SQL_RECORDS)
+def scan_fixed_sequence(spark, sf_dir):
+    """Records of several lengths behind their lengths, read from files: some end before their last blanks."""
+    layout = read_copybook(_COPYBOOK)
+    records = _account_records(spark, sf_dir).select(
+        F.expr("substring(value, 1, octet_length(value) - pmod(crc32(value), 10))").alias("value")
+    )
+    header = F.unhex(F.concat(F.lpad(F.hex(F.octet_length("value")), 4, "0"), F.lit("0000")))
+    folder = _binary_file(records.select(F.concat(header, F.col("value")).alias("value")))
+    return _shown_records(scan_fixed(spark, folder, layout, is_record_sequence=True, big_endian=True), layout)
+
+
+# Bytes as manuals print them, with what they mean.
+_KNOWN_BYTES = [
+    ("F0F0C3", 3, "7FFF", 32767, "12345C", 12345, "C885939396", "Hello"), ("F4F5D6", -456, "FF85", -123, "00987D", -987, "C14B405A", "A. !"),
+    ("F1F2F3", 123, "0000", 0, "00001F", 1, "F1F2615BF9", "12/$9"), ("F9F9D0", -990, "8000", -32768, "99999D", -99999, "D9A28140", "Rsa"),
+    ("F0F0D0", 0, "0101", 257, "00000C", 0, "6C50C2F0", "%&B0"),
+]
+
+
+@query(
+    "decode_known_bytes",
+    "SELECT n_nationkey, zoned, comp, comp3, text FROM nation JOIN (VALUES "
+    + ", ".join(f"({i}, {z}, {c}, {d}, '{t}')" for i, (_, z, _, c, _, d, _, t) in enumerate(_KNOWN_BYTES))
+    + ") AS v(i, zoned, comp, comp3, text) ON n_nationkey % 5 = i",
+)
+def decode_known_bytes(spark, sf_dir):
+    """Each nation gets one of the known rows of bytes."""
+    known = F.array(*[F.struct(*[F.unhex(F.lit(b)).alias(n) for n, b in zip("zcdt", row[::2])]) for row in _KNOWN_BYTES])
+    rows = table(spark, sf_dir, "nation").withColumn("b", F.get(known, F.col("n_nationkey") % 5))
     return rows.select(
-        *[
-            F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-            for f in layout_schema(layout)
-        ]
+        "n_nationkey",
+        ebcdic.decode_zoned(F.col("b.z"), 3).cast("int").alias("zoned"), ebcdic.decode_comp(F.col("b.c"), 2, 4).cast("int").alias("comp"),
+        ebcdic.decode_comp3(F.col("b.d"), 5).cast("int").alias("comp3"), ebcdic.decode_text(F.col("b.t")).alias("text"),
     )
 
 
@@ -464,13 +535,13 @@ def _order_texts(spark, sf_dir):
 
 @query("profile_columns", f"WITH src AS (SELECT * FROM orders) {_sql_profile(_ORDER_TEXTS)}")
 def profile(spark, sf_dir):
-    return profile_columns(_order_texts(spark, sf_dir), sample_rows=None)
+    return profile_columns(_order_texts(spark, sf_dir))
 
 
 @query("profile_csv", f"WITH src AS (SELECT * FROM orders) {_sql_profile(_ORDER_TEXTS)}")
 def profile_csv_files(spark, sf_dir):
     path = _written(_order_texts(spark, sf_dir), "csv", header=True)
-    return profile_csv(spark, path, sample_rows=None)
+    return profile_csv(spark, path)
 
 
 _BIG_TEXTS = {
@@ -484,7 +555,7 @@ def profile_lineitem(spark, sf_dir):
     lines = spread_table(spark, sf_dir, "lineitem")
     texts = [F.col(c).cast("string").alias(c) for c in _BIG_TEXTS if c != "l_returnflag"]
     texts.insert(3, F.nullif("l_returnflag", F.lit("A")).alias("l_returnflag"))
-    return profile_columns(lines.select(*texts), sample_rows=None)
+    return profile_columns(lines.select(*texts))
 
 
 @query(
@@ -507,7 +578,7 @@ def profile_by_folder(spark, sf_dir):
     folder = staging_folder(spark)
     source.write.partitionBy("o_orderstatus").option("header", True).csv(folder)
     rows = spark.read.option("header", True).csv(folder)
-    return profile_columns(rows, sample_rows=None, by="o_orderstatus").drop("ordinal")
+    return profile_columns(rows, by="o_orderstatus").drop("ordinal")
 
 
 _SQL_JSON_PROFILE = """SELECT name, sql_type, nullable, path FROM (VALUES
@@ -518,7 +589,7 @@ _SQL_JSON_PROFILE = """SELECT name, sql_type, nullable, path FROM (VALUES
 
 @query("profile_json_paths", _SQL_JSON_PROFILE)
 def profile_json_files(spark, sf_dir):
-    return profile_json(spark, _written(_nested_events(spark, sf_dir), "json"), sample_rows=None).drop("ordinal")
+    return profile_json(spark, _written(_nested_events(spark, sf_dir), "json")).drop("ordinal")
 
 
 @query(
@@ -542,4 +613,4 @@ def profile_props(spark, sf_dir):
     + ")",
 )
 def profile_xml_rows(spark, sf_dir):
-    return profile_xml(spark, _supplier_xml(spark, sf_dir), sample_rows=None).drop("ordinal")
+    return profile_xml(spark, _supplier_xml(spark, sf_dir)).drop("ordinal")

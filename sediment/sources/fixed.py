@@ -24,15 +24,16 @@ class Field:
     path: tuple[str, ...]
     offset: int
     length: int
-    kind: str  # text, comp, comp3 or zoned
+    kind: str  # text, comp, comp3, zoned or group
     digits: int = 0
     scale: int = 0
     signed: bool = False
     occurs: int = 1
+    items: tuple[Field, ...] = ()  # of a repeated group, with offsets inside it
 
     @property
     def type(self) -> T.DataType:
-        if self.kind == "text" or self.occurs > 1:
+        if self.kind in ("text", "group") or self.occurs > 1:
             return T.StringType()
         return ebcdic.number_type(self.digits, self.scale)
 
@@ -41,9 +42,14 @@ class Field:
 _COMP_BYTES = ((4, 2), (9, 4), (18, 8))
 
 _USAGES = {
-    "COMP": "comp", "COMP-4": "comp", "BINARY": "comp", "COMP-3": "comp3", "PACKED-DECIMAL": "comp3",
+    "COMP": "comp", "COMP-4": "comp", "COMP-5": "comp", "BINARY": "comp", "COMP-3": "comp3", "PACKED-DECIMAL": "comp3",
     "DISPLAY": "zoned",
 }
+_USAGES |= {k.replace("COMP", "COMPUTATIONAL"): v for k, v in _USAGES.items() if k.startswith("COMP")}
+
+# Words that say nothing about the layout, and clauses whose value does not.
+_FILLING = ("IS", "ARE", "USAGE", "TIMES", "RIGHT")
+_NO_LAYOUT = ("VALUE", "VALUES", "JUST", "JUSTIFIED", "INDEXED", "ASCENDING", "DESCENDING")
 
 
 def _picture(pic: str) -> tuple[bool, int, int, bool]:
@@ -68,44 +74,104 @@ def _statements(copybook: str) -> Iterator[list[str]]:
             yield statement.split()
 
 
-def read_copybook(copybook: str) -> tuple[Field, ...]:
-    """The elementary items of a record in order, FILLER included.
+@dataclass
+class _Item:
+    """One entry of a copybook with the entries below it."""
 
-    Names are the group path below the record joined by `_`.  An item that OCCURS is one text column
-    with the JSON array of its values; groups that repeat and REDEFINES are not supported.
-    """
-    fields, groups, offset = [], [], 0
+    level: int
+    name: str
+    picture: str | None
+    usage: str | None
+    occurs: int
+    below: list[_Item]
+
+
+def _item(words: list[str]) -> _Item:
+    """The entry that a statement describes.  A clause that is not understood is an error, as a wrong guess
+    would move every later field."""
+    level = int(words[0])
+    name = words[1].upper() if len(words) > 1 else "FILLER"
+    found = _Item(level, name, None, None, 1, [])
+    clauses = [w for w in words[2:] if w.upper() not in _FILLING]
+    at = 0
+    while at < len(clauses):
+        word = clauses[at].upper()
+        at += 1
+        if word in ("PIC", "PICTURE"):
+            found.picture = clauses[at]
+            at += 1
+        elif word in _USAGES:
+            found.usage = _USAGES[word]
+        elif word == "OCCURS" and clauses[at : at + 1] and clauses[at].isdigit() and "TO" not in map(str.upper, clauses[at + 1 : at + 2]):
+            found.occurs = int(clauses[at])
+            at += 1
+        elif word in _NO_LAYOUT:
+            break  # the rest belongs to this clause
+        else:
+            raise ValueError(f"{name}: {' '.join(words[2:])!r} is not supported, because of {word}")
+    return found
+
+
+def _tree(copybook: str) -> list[_Item]:
+    """The top entries of a copybook; condition names (level 88) take no room."""
+    tops: list[_Item] = []
+    open_items: list[_Item] = []
     for words in _statements(copybook):
-        level, name = int(words[0]), words[1].upper()
-        clauses = [w.upper() for w in words[2:] if w.upper() not in ("IS", "USAGE", "TIMES")]
-        if "REDEFINES" in clauses:
-            raise ValueError(f"{name}: REDEFINES is not supported")
-        while groups and groups[-1][0] >= level:
-            groups.pop()
-        picture = next((clauses[i + 1] for i, w in enumerate(clauses) if w in ("PIC", "PICTURE")), None)
-        occurs = next((int(clauses[i + 1]) for i, w in enumerate(clauses) if w == "OCCURS"), 1)
-        if picture is None:
-            if occurs > 1:
-                raise ValueError(f"{name}: a repeated group is not supported")
-            groups.append((level, name))
+        item = _item(words) if words[0] != "88" else None
+        if item is None:
             continue
-        is_text, size, scale, signed = _picture(picture)
-        usage = next((_USAGES[w] for w in clauses if w in _USAGES), "zoned")
-        kind = "text" if is_text else usage
-        if kind == "comp":
-            length = next(b for most, b in _COMP_BYTES if size <= most)
-        elif kind == "comp3":
-            length = size // 2 + 1
+        if item.level == 66:
+            raise ValueError(f"{item.name}: RENAMES is not supported")
+        while open_items and open_items[-1].level >= item.level:
+            open_items.pop()
+        (open_items[-1].below if open_items else tops).append(item)
+        open_items.append(item)
+    return tops
+
+
+def _size(item: _Item) -> int:
+    """The bytes of one occurrence."""
+    if item.picture is None:
+        return sum(_size(i) * i.occurs for i in item.below)
+    is_text, size, _, _ = _picture(item.picture)
+    if is_text or item.usage in (None, "zoned"):
+        return size
+    return size // 2 + 1 if item.usage == "comp3" else next(b for most, b in _COMP_BYTES if size <= most)
+
+
+def _fields(items: list[_Item], path: tuple[str, ...], offset: int) -> Iterator[Field]:
+    """The elementary items and repeated groups among entries, from an offset on."""
+    for item in items:
+        here, length = (*path, item.name), _size(item)
+        name = "_".join(here).replace("-", "_")
+        if item.picture is not None:
+            is_text, size, scale, signed = _picture(item.picture)
+            kind = "text" if is_text else item.usage or "zoned"
+            yield Field(name, here, offset, length, kind, size, scale, signed, item.occurs)
+        elif not item.below:
+            raise ValueError(f"{item.name} has neither a picture nor items")
+        elif item.occurs > 1:
+            yield Field(name, here, offset, length, "group", occurs=item.occurs, items=tuple(_fields(item.below, (), 0)))
         else:
-            length = size
-        path = (*[g for _, g in groups[1:]], name)
-        fields.append(
-            Field("_".join(path).replace("-", "_"), path, offset, length, kind, size, scale, signed, occurs)
-        )
-        offset += length * occurs
+            yield from _fields(item.below, here, offset)
+        offset += length * item.occurs
+
+
+def read_copybook(copybook: str) -> tuple[Field, ...]:
+    """The items of a record in order, FILLER included.
+
+    Names are the group path below the record joined by `_`.  What OCCURS, an item or a group, is one text column
+    with the JSON array of its values.  REDEFINES, RENAMES, tables of variable length, floating point and
+    separate signs are refused.
+    """
+    tops = _tree(copybook)
+    records = [i for i in tops if i.picture is None]
+    if len(tops) == 1 and records:
+        tops = records[0].below
+    fields = tuple(_fields(tops, (), 0))
     if not fields:
         raise ValueError("the copybook describes no field")
-    return tuple(fields)
+    return fields
 
 
 def record_length(layout: Iterable[Field]) -> int:
@@ -133,10 +199,14 @@ def _decoded(raw: Column, f: Field) -> Column:
     return ebcdic.decode_zoned(raw, f.digits, f.scale, f.signed)
 
 
-def _items(record: Column, f: Field, decode) -> Column:
-    values = [
-        decode(F.substring(record, f.offset + 1 + i * f.length, f.length), f) for i in range(f.occurs)
-    ]
+def _items(record: Column, f: Field, decode, start: int = 0) -> Column:
+    """The value of a field that begins `start` bytes later than its offset says."""
+    def one(at: int) -> Column:
+        if f.kind == "group":
+            return F.struct(*[_items(record, i, decode, at).alias(i.name) for i in named(f.items)])
+        return decode(F.substring(record, at + 1, f.length), f)
+
+    values = [one(start + f.offset + i * f.length) for i in range(f.occurs)]
     return values[0] if f.occurs == 1 else F.to_json(F.array(*values))
 
 
@@ -171,20 +241,32 @@ def _fixed_records(spark: SparkSession, path: str, length: int) -> DataFrame:
 
 
 def _cut_sequence(content: bytes, length: int, big_endian: bool) -> Iterator[bytes]:
-    """The records behind their four-byte length headers, padded to full length."""
+    """The records behind their four-byte length headers; a short one is filled up with blanks.
+
+    A record that is longer than the layout, or that the file's end cuts off, is an error.
+    """
     at = 0
-    while at + 4 <= len(content):
+    while at < len(content):
         header = content[at : at + 4]
+        if len(header) < 4:
+            raise ValueError(f"the file ends inside a record header at byte {at}")
         size = int.from_bytes(header[:2], "big") if big_endian else int.from_bytes(header[2:], "little")
         if size == 0:
             raise ValueError(f"empty record header at byte {at}")
+        if size > length:
+            raise ValueError(f"the record at byte {at} has {size} bytes, the layout {length}")
         at += 4
+        if at + size > len(content):
+            raise ValueError(f"the file ends inside the record at byte {at - 4}")
         yield content[at : at + size].ljust(length, b"\x40")
         at += size
 
 
 def _sequence_records(spark: SparkSession, path: str, length: int, big_endian: bool) -> DataFrame:
-    """Records that carry their length; such a file can only be read from its start, so one task a file."""
+    """Records that carry their length; such a file can only be read from its start, so one task a file.
+
+    A file beyond 2 GB, Spark's limit for whole files, is refused by Spark; it has to be cut where it is made.
+    """
 
     def cut(batches):
         import pandas as pd

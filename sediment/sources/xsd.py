@@ -65,17 +65,47 @@ def read_xsd(text: str, row_tag: str = "record") -> T.StructType:
     if body is None:
         raise ValueError(f"element {row_tag!r} is a single value, not a row of fields")
     shared = {e.get("name"): e for e in root.findall(f"{_XS}element")}
-    fields = []
-    for group in body.iter(f"{_XS}sequence", ):
-        for child in group.findall(f"{_XS}element"):
-            declared = shared.get(_local(child.get("ref", "")), child)
-            known = _built_in(declared, simple)
-            fields.append(
-                T.StructField(
-                    declared.get("name"),
-                    parse_sql_type(XSD_TYPES.get(known, "STRING")),
-                    child.get("minOccurs") == "0" or declared.get("nillable") == "true",
-                )
-            )
-        break
-    return T.StructType(fields)
+    groups = {g.get("name"): g for g in root.findall(f"{_XS}group")}
+    fields: dict[str, T.StructField] = {}
+    for child, optional in _children(body, complex_types, groups):
+        declared = shared.get(_local(child.get("ref", "")), child)
+        known = _built_in(declared, simple)
+        field = T.StructField(
+            declared.get("name"),
+            parse_sql_type(XSD_TYPES.get(known, "STRING")),
+            optional or child.get("minOccurs") == "0" or declared.get("nillable") == "true",
+        )
+        before = fields.get(field.name)
+        if before and before.dataType != field.dataType:
+            raise ValueError(f"{field.name!r} is declared with two types")
+        fields.setdefault(field.name, field)
+    if not fields:
+        raise ValueError(f"element {row_tag!r} has no child elements")
+    return T.StructType(list(fields.values()))
+
+
+def _children(body: ET.Element, types: dict, groups: dict, optional: bool = False, seen: tuple = ()):
+    """The child elements a type allows, in order, each with whether a row may lack it.
+
+    Sequences and `all` have their members, a choice one of them, and groups, extensions and restrictions
+    are followed.
+    """
+    for part in body:
+        kind = part.tag.removeprefix(_XS)
+        inner = optional or part.get("minOccurs") == "0" or kind == "choice"
+        if kind == "element":
+            yield part, optional
+        elif kind in ("sequence", "all", "choice", "complexContent", "restriction"):
+            yield from _children(part, types, groups, inner, seen)
+        elif kind == "extension":
+            base = _local(part.get("base", ""))
+            if base in types and base not in seen:
+                yield from _children(types[base], types, groups, optional, (*seen, base))
+            yield from _children(part, types, groups, optional, seen)
+        elif kind == "group":
+            name = _local(part.get("ref", ""))
+            if name not in groups:
+                raise ValueError(f"the group {name!r} is not declared")
+            yield from _children(groups[name], types, groups, inner, (*seen, name))
+        elif kind == "any":
+            raise ValueError("a row that may have any element has no fixed schema")
