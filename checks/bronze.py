@@ -13,6 +13,7 @@ from sediment.operators.bronze import (
 )
 from sediment.operators.merge import mark_new, merge_insert_only
 from sediment.operators.projections import column_diff, guard_schema
+from sediment.staging import stage
 from sediment.types import LINEAGE_COLUMNS
 
 _TIMES = "epoch_us(_ingested_at) AS seen_us, _source_file, _batch_id"
@@ -139,9 +140,10 @@ def orphan_sightings(spark, sf_dir):
         AND t._batch_id IS NOT DISTINCT FROM s._batch_id)""",
 )
 def insert_only(spark, sf_dir):
-    rows = line_raw(spark, sf_dir)
-    first = sightings(hashed(rows.where("_batch_id = 'L1'"), LINE_COLUMNS)).withColumn("origin", F.lit("target"))
-    everything = sightings(hashed(rows, LINE_COLUMNS)).withColumn("origin", F.lit("source"))
+    # A sighting is of one load, so those of the first are among those of all; they are staged for both sides.
+    seen = stage(sightings(hashed(line_raw(spark, sf_dir), LINE_COLUMNS)))
+    first = seen.where("_batch_id = 'L1'").withColumn("origin", F.lit("target"))
+    everything = seen.withColumn("origin", F.lit("source"))
     merged = merge_insert_only(first, everything, ["_record_hash", "_batch_id"], null_safe=["_batch_id"])
     return merged.select("_record_hash", "_batch_id", F.unix_micros("_ingested_at").alias("seen_us"), "origin")
 

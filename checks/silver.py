@@ -20,6 +20,7 @@ from sediment.operators.masterkey import ambiguous, lookup_master, restrict_cros
 from sediment.operators.merge import action_counts, backfill, changed_rows, upsert_changed
 from sediment.operators.projections import project_attributes, record_json, required_reason
 from sediment.plans.silver import entity_rows, versions
+from sediment.staging import stage
 
 _SEEN = ["_record_hash", "_seen_at", "_seen_batch"]
 _NAMES = [a.name for a in CUSTOMER.attributes]
@@ -214,7 +215,7 @@ def required_values(spark, sf_dir):
 @query("latest_per_key_ties", f"WITH {_ALL} SELECT customer_id, _record_hash, _seen_batch, _value_hash FROM ties")
 def latest_per_key_ties(spark, sf_dir):
     keyed, _ = split_keyless(_typed(spark, sf_dir), ["customer_id"])
-    return latest_ties(keyed, ["customer_id"]).select("customer_id", "_record_hash", "_seen_batch", "_value_hash")
+    return latest_ties(stage(keyed), ["customer_id"]).select("customer_id", "_record_hash", "_seen_batch", "_value_hash")
 
 
 @query(
@@ -223,7 +224,7 @@ def latest_per_key_ties(spark, sf_dir):
 )
 def segment_ties(spark, sf_dir):
     """The same with few keys that hold a fifth of the rows each."""
-    return latest_ties(_typed(spark, sf_dir, SEGMENT), ["segment_code"]).select(
+    return latest_ties(stage(_typed(spark, sf_dir, SEGMENT)), ["segment_code"]).select(
         "segment_code", "description", "_record_hash", "_seen_batch"
     )
 

@@ -34,7 +34,8 @@ def latest_ties(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row that shares its key's latest (`_seen_at`, `_seen_batch`).
 
     The latest is an aggregate joined back on key and time together, so the versions of a busy key
-    spread over the cluster by their times instead of meeting in one window.
+    spread over the cluster by their times instead of meeting in one window.  `df` is used twice; stage it
+    first if it takes work.
     """
     latest = (
         df.groupBy(*cols(keys))

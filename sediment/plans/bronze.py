@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators.bronze import counted_sightings, distinct_stats, first_seen, hashed, sightings
+from sediment.operators.bronze import counted_sightings, distinct_stats, earliest_copies, hashed, sightings
 from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
 from sediment.plans.report import bronze_counts, run_report
@@ -40,7 +40,7 @@ def first_copies(rows: DataFrame, fresh: DataFrame) -> DataFrame:
     so a record that came in between is left to the next run.  Known records are neither shuffled nor sorted
     where Spark finds `fresh` small enough to be sent to all tasks, which it knows, as it is staged.
     """
-    return first_seen(rows.join(fresh, "_record_hash", "left_semi"))
+    return earliest_copies(rows.join(fresh, "_record_hash", "left_semi"))
 
 
 def _append_sightings(seen: DataFrame, target: str) -> int:

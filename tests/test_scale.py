@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.loads import CUSTOMER, LINE_COLUMNS, line_raw
-from sediment.operators.bronze import first_seen, hashed, sightings
+from sediment.operators.bronze import earliest_copies, first_seen, hashed, sightings
 from sediment.operators.current import conflicting_keys, current_per_key, latest_ties, with_value_hash
 from sediment.operators.masterkey import lookup_master
 from checks.base import spread
@@ -59,6 +59,11 @@ def test_copies_collapse_before_the_shuffle(spark):
         assert partial in text and "Window" not in text and text.count("Exchange hashpartitioning(_record_hash") == 1
 
 
+def test_first_copies_are_picked_before_the_shuffle(spark):
+    text = plan(earliest_copies(hashed(line_raw(spark, SF), LINE_COLUMNS)))
+    assert text.count("WindowGroupLimit") == 2 and text.index("Exchange") < text.rindex("WindowGroupLimit")
+
+
 def test_the_hash_is_computed_once_per_use(spark):
     rows = hashed(line_raw(spark, SF), LINE_COLUMNS)
     joined = first_seen(rows).join(sightings(rows), "_record_hash", "left")
@@ -88,8 +93,9 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
     rows = hashed(line_raw(spark, SF), LINE_COLUMNS)
 
     def kept(df):
-        return sorted(map(tuple, first_seen(df).collect()), key=repr)
+        return sorted(map(tuple, first_seen(df).drop("_copies").select(*rows.columns).collect()), key=repr)
 
+    assert kept(rows) == sorted(map(tuple, earliest_copies(rows).collect()), key=repr)
     assert kept(rows.repartition(partitions)) == kept(rows.orderBy(F.desc("_record_hash"), F.desc("_ingested_at")))
 
 
