@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,20 +48,23 @@ class Versions:
         )
 
 
-def versions(bronze: DataFrame, sightings: DataFrame, entity: Entity) -> Versions:
-    """Type and clean the records of a Bronze table and pick the current version of each key.
+def seen_records(bronze: DataFrame, sightings: DataFrame, entities: tuple[Entity, ...]) -> DataFrame:
+    """The columns that the entities need of a Bronze table, each record with its last sighting."""
+    needed = list(dict.fromkeys(a.source for e in entities for a in e.attributes))
+    return with_last_seen(bronze.select(*cols(needed), "_record_hash", "_ingested_at", "_batch_id"), sightings)
 
-    Only the attributes' columns are read.  Records without a key need no sighting, so they come from
-    Bronze alone.
-    """
+
+def versions_of(records: DataFrame, entity: Entity) -> Versions:
+    """Type and clean records with their last sighting and pick the current version of each key."""
     keys = list(entity.business_key)
-    names = [a.name for a in entity.attributes]
-    needed = list(dict.fromkeys(a.source for a in entity.attributes))
-    lineage = ["_record_hash", "_ingested_at", "_batch_id"]
-    records = with_last_seen(bronze.select(*cols(needed), *lineage), sightings)
-    keyed, _ = split_keyless(project_attributes(records, entity.attributes, _SEEN), keys)
-    _, keyless = split_keyless(project_attributes(bronze, entity.attributes, ["_record_hash"]), keys)
-    return Versions(current_per_key(with_value_hash(keyed, names), keys), keyless)
+    typed = project_attributes(records, entity.attributes, _SEEN)
+    keyed, keyless = split_keyless(typed, keys)
+    return Versions(current_per_key(with_value_hash(keyed, [a.name for a in entity.attributes]), keys), keyless)
+
+
+def versions(bronze: DataFrame, sightings: DataFrame, entity: Entity) -> Versions:
+    """The versions of one entity, straight from a Bronze table and its sightings."""
+    return versions_of(seen_records(bronze, sightings, (entity,)), entity)
 
 
 def entity_rows(valid: DataFrame, entity: Entity, system: str, at: Column) -> DataFrame:
@@ -125,15 +128,12 @@ def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -
     return silver_counts(tally["valid"], tally["inserted"], tally["updated"], before, after)
 
 
-def build_entity(spark: SparkSession, spec: SilverSpec, entity: Entity, at: Column, buckets: int) -> dict:
-    """One entity: current versions, quarantine, master keys, merge.  Returns its counts."""
-    with staging(spark), aligned(spark, buckets):
-        return _build_entity(spark, spec, entity, at, buckets)
-
-
-def _build_entity(spark: SparkSession, spec: SilverSpec, entity: Entity, at: Column, buckets: int) -> dict:
-    bronze, sightings = spark.table(spec.bronze), spark.table(spec.sightings)
-    found = versions(bronze, sightings, entity)
+def build_entity(
+    spark: SparkSession, spec: SilverSpec, entity: Entity, records: DataFrame, rows_read: int, at: Column, buckets: int
+) -> dict:
+    """One entity of staged records: current versions, quarantine, master keys, merge.  Returns its counts."""
+    bronze = spark.table(spec.bronze)
+    found = versions_of(records, entity)
     current = stage(found.current)
     found = Versions(current, found.keyless)
     tally = current.agg(
@@ -161,7 +161,7 @@ def _build_entity(spark: SparkSession, spec: SilverSpec, entity: Entity, at: Col
     return {
         "source": spec.bronze,
         "target": entity.target,
-        "rows_read": bronze.count(),
+        "rows_read": rows_read,
         "null_key_records": keyless,
         "distinct_keys": tally["keys"],
         "conflicting_keys": tally["conflicting"],
@@ -177,10 +177,14 @@ def build_entities(
 ) -> dict:
     """All entities of a specification from one Bronze table; returns the run's report.
 
-    The specification is checked first, against the tables as they are now.
+    The specification is checked first, against the tables as they are now.  The records are joined with their
+    last sightings once, for all entities.
     """
     spec = compile_silver(spark, spec)
     time = load_time(at)
-    return run_report(
-        "silver", "full", {e.name: build_entity(spark, spec, e, time, buckets) for e in spec.entities}
-    )
+    with staging(spark), aligned(spark, buckets):
+        tally = Observation()
+        records = seen_records(spark.table(spec.bronze), spark.table(spec.sightings), spec.entities)
+        records = stage(records.observe(tally, F.count(F.lit(1)).alias("rows")))
+        done = {e.name: build_entity(spark, spec, e, records, tally.get["rows"], time, buckets) for e in spec.entities}
+    return run_report("silver", "full", done)

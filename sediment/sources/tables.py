@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -136,5 +137,5 @@ def table_version(spark: SparkSession, name: str) -> int | None:
     """The latest version of a table: of its history if its format keeps one, else its generation."""
     try:
         return spark.sql(f"DESCRIBE HISTORY {_sql_name(name)} LIMIT 1").first()["version"]
-    except Exception:  # plain tables and views have no history
+    except (AnalysisException, ParseException):  # plain tables and views have no history
         return generation(spark, name)
