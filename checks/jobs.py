@@ -9,11 +9,12 @@ from checks.base import query, table
 from checks.loads import LINE_COLUMNS, SQL_LINE, line_raw
 from sediment.functions.steps import Cast, Lower, NullIf, Trim, Upper
 from sediment.plans.bronze import build_bronze
-from sediment.plans.raw import load_raw
+from sediment.plans.raw import load_raw, load_tables
 from sediment.plans.silver import build_entities
 from sediment.plans.spec import Attribute, Entity, MasterKey, SilverSpec
-from sediment.sources.files import LoadSpec
-from sediment.staging import staging_folder
+from sediment.sources.files import LoadSpec, folder_specs
+from sediment.sources.profile import profile_folder, profile_schema
+from sediment.staging import stage, staging_folder
 from sediment.types import schema_of
 
 BUCKETS = 8
@@ -63,6 +64,46 @@ def job_raw(spark, sf_dir):
     return kept.unionByName(odd).unionByName(_numbers(spark, "report", {k: report[k] for k in names}))
 
 
+# --- a folder of files, two of them alike: profiled, and each loaded into its own table ----------------
+
+
+def _one_file(df, folder, name):
+    """Rows as one CSV file of a given name."""
+    spark, part = df.sparkSession, staging_folder(df.sparkSession)
+    df.coalesce(1).write.option("header", True).csv(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    (written,) = [f.getPath() for f in system.listStatus(path(part)) if f.getPath().getName().startswith("part-")]
+    system.mkdirs(path(folder))
+    system.rename(written, path(f"{folder}/{name}"))
+
+
+@query(
+    "job_folder",
+    """WITH loaded AS (
+        SELECT 'orders_' || lower(o_orderstatus) AS name, o_orderkey AS key, CASE o_orderstatus WHEN 'P' THEN o_orderpriority ELSE o_custkey::VARCHAR END AS other
+        FROM orders)
+    SELECT name AS table_name, 'row' AS what, key || ' ' || other AS value FROM loaded
+    UNION ALL SELECT DISTINCT name, 'o_orderkey', 'BIGINT' FROM loaded
+    UNION ALL SELECT DISTINCT name, CASE name WHEN 'orders_p' THEN 'o_orderpriority' ELSE 'o_custkey' END,
+        CASE name WHEN 'orders_p' THEN 'STRING' ELSE 'BIGINT' END FROM loaded""",
+)
+def job_folder(spark, sf_dir):
+    folder, db = staging_folder(spark), _database(spark)
+    orders = table(spark, sf_dir, "orders")
+    for status, other in (("F", "o_custkey"), ("O", "o_custkey"), ("P", "o_orderpriority")):
+        _one_file(orders.where(F.col("o_orderstatus") == status).select("o_orderkey", other), folder, f"Orders {status}.csv")
+    profile = stage(profile_folder(spark, folder))
+    schemas = {f"Orders {s}.csv": profile_schema(profile.where(F.col("file_name") == f"Orders {s}.csv")) for s in "FOP"}
+    load_tables(spark, folder_specs(spark, folder, "csv", schemas), db, batch_id="one")
+    found = profile.select("table_name", F.col("name").alias("what"), F.col("sql_type").alias("value"))
+    for name in ("orders_f", "orders_o", "orders_p"):
+        rows = spark.table(f"{db}.{name}")
+        text = F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns[:2]])
+        found = found.unionByName(rows.select(F.lit(name).alias("table_name"), F.lit("row").alias("what"), text.alias("value")))
+    return found
+
+
 # --- Bronze: two loads, a run, the third load, a run of that load alone, and a run with nothing new ----
 
 _REPORTED = ("rows_read", "distinct_records", "rows_inserted", "already_in_target", "rows_in_target", "sightings_inserted", "sightings_in_target")

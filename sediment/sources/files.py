@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,15 +146,21 @@ def listed_files(spark: SparkSession, folder: str, format: str) -> list:
     return found
 
 
+def scanned_name() -> Column:
+    """The name of the file a scanned row is from.
+
+    The scan gives it as part of a URI, in which a blank is %20 but a plus sign stands for itself.
+    """
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def scan_folder(spark: SparkSession, folder: str, format: str, schema: T.StructType, **options) -> DataFrame:
     """All files of a folder that share one schema, in one scan, each row with the `_table` of its file."""
     if format not in PATTERNS:
         raise ValueError(f"no file pattern for format {format!r}")
     readers = {"csv": scan_csv, "json": scan_json, "xml": scan_xml}
     rows = readers[format](spark, f"{folder.rstrip('/')}/{PATTERNS[format]}", schema, **options)
-    # The scan gives the name as part of a URI, in which a blank is %20 but a plus sign stands for itself.
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    stem = F.regexp_replace(scanned_name(), r"\.[^.]*$", "")
     return rows.withColumn("_table", table_name(stem))
 
 

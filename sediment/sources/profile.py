@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.functions.names import column_name_of, table_name
 from sediment.operators.projections import leaves
-from sediment.sources.files import listed_files
+from sediment.sources.files import PATTERNS, listed_files, scanned_name
 from sediment.types import col, parse_sql_type, quoted, sql_type_of
 
 PROFILE = "ordinal int, name string, sql_type string, nullable boolean"
@@ -212,25 +214,38 @@ def xml_tags(spark: SparkSession, path) -> list[str]:
     return [r["tag"] for r in found.collect()]
 
 
+def _first_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """`file_name` and `first`, the first line, of the files of a folder."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
+        scanned_name().alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    return lines.where("block = 0").groupBy("file_name").agg(F.min_by("value", "row").alias("first"))
+
+
 def profile_folder(
     spark: SparkSession, folder: str, *, header: bool = True, delimiter: str = ",", sample_rows: int | None = None
 ) -> DataFrame:
     """The profile of every CSV file of a folder, with the table it would load.
 
-    Files may differ in their columns, so they are profiled one by one and united.
+    Files that share a header (without headers, a number of columns) are profiled in one scan, each on its
+    own.  A sample is taken of each file, so then files are read one by one.
     """
-    profiles = [
-        profile_csv(spark, r["path"], header=header, delimiter=delimiter, sample_rows=sample_rows).select(
-            F.lit(r["file_name"]).alias("file_name"),
-            table_name(F.regexp_replace(F.lit(r["file_name"]), r"\.[^.]*$", "")).alias("table_name"),
-            "*",
-        )
-        for r in listed_files(spark, folder, "csv")
-    ]
-    united = profiles[0]
-    for p in profiles[1:]:
-        united = united.unionByName(p)
-    return united
+    paths = {r["file_name"]: r["path"] for r in listed_files(spark, folder, "csv")}
+    alike: dict = {}
+    for r in _first_lines(spark, folder, PATTERNS["csv"]).collect():
+        key = r["file_name"] if sample_rows is not None else r["first"] if header else r["first"].count(delimiter)
+        alike.setdefault(key, []).append(r["file_name"])
+    found = []
+    for names in alike.values():
+        rows = _texts(spark, [paths[n] for n in sorted(names)], header, delimiter)
+        if sample_rows is None:
+            profile = profile_columns(rows.withColumn("_file", scanned_name()), by="_file").withColumnRenamed("_file", "file_name")
+        else:
+            profile = profile_columns(rows, sample_rows=sample_rows).select(F.lit(names[0]).alias("file_name"), "*")
+        found.append(profile)
+    united = functools.reduce(DataFrame.unionByName, found)
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    return united.select("file_name", table_name(stem).alias("table_name"), *[c for c in united.columns if c != "file_name"])
 
 
 def profile_schema(profile: DataFrame) -> T.StructType:
