@@ -9,7 +9,7 @@ from sediment.operators.bronze import counted_sightings, distinct_stats, earlies
 from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
 from sediment.plans.report import bronze_counts, run_report
-from sediment.sources.tables import BUCKETS, aligned, append, ensure_table
+from sediment.sources.tables import append, bucket_count, buckets_for, ensure_table, job_session, refresh
 from sediment.staging import stage, staging
 
 
@@ -60,7 +60,7 @@ def build_bronze(
     *,
     sightings_table: str | None = None,
     batch_ids: list[str] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> dict:
     """Merge a Raw table into its Bronze table and sightings, insert-only, and return the counts.
 
@@ -68,8 +68,10 @@ def build_bronze(
     gained are reported, one it lost is an error.  `batch_ids` reads only those loads: as nothing in
     Bronze is ever changed, merging the loads added since the last run gives the rows a full run gives.
     Both tables are bucketed by the record hash, so neither this merge nor the Silver join shuffles them;
-    `buckets` should give buckets of some hundred megabytes and counts when the tables are created.
+    `buckets` counts when the tables are created; by default they are as many as Raw's size asks for.
     """
+    buckets = bucket_count(spark, bronze) or buckets or buckets_for(spark, raw)
+    caller, spark = spark, job_session(spark, buckets)
     sightings_table = sightings_table or f"{bronze}_sightings"
     source = spark.table(raw)
     extra = guard_schema(source, columns, raw)
@@ -81,7 +83,7 @@ def build_bronze(
     target = ensure_table(spark, bronze, rows.select(*order).schema, **by_hash)
     ensure_table(spark, sightings_table, sightings(rows).schema, **by_hash)
 
-    with staging(spark), aligned(spark, buckets):
+    with staging(spark):
         before = target.count()
         seen = stage(counted_sightings(rows))
         fresh, counts = _new_records(seen, target)
@@ -89,6 +91,7 @@ def build_bronze(
             append(first_copies(rows, fresh), bronze)
         new_sightings = _append_sightings(seen, sightings_table)
         after = distinct_stats(spark.table(bronze)).first()
+    refresh(caller, bronze, sightings_table)
     return {
         "source": raw,
         "target": bronze,

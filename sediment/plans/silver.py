@@ -20,7 +20,7 @@ from sediment.plans.raw import load_time
 from sediment.plans.report import run_report, silver_counts
 from sediment.plans.spec import Entity, SilverSpec, compile_silver
 from sediment.sources.tables import (
-    BUCKETS, aligned, append, ensure_table, exists, generation, generation_name, publish, table_version,
+    append, bucket_count, buckets_for, ensure_table, exists, generation, generation_name, job_session, publish, refresh, table_version,
 )
 from sediment.staging import stage, staging
 from sediment.types import cols
@@ -173,18 +173,21 @@ def build_entity(
 
 
 def build_entities(
-    spark: SparkSession, spec: SilverSpec, *, at: datetime | None = None, buckets: int = BUCKETS
+    spark: SparkSession, spec: SilverSpec, *, at: datetime | None = None, buckets: int | None = None
 ) -> dict:
     """All entities of a specification from one Bronze table; returns the run's report.
 
     The specification is checked first, against the tables as they are now.  The records are joined with their
-    last sightings once, for all entities.
+    last sightings once, for all entities.  Silver tables get `buckets`, by default as many as Bronze has.
     """
+    buckets = buckets or bucket_count(spark, spec.bronze) or buckets_for(spark, spec.bronze)
+    caller, spark = spark, job_session(spark, buckets)
     spec = compile_silver(spark, spec)
     time = load_time(at)
-    with staging(spark), aligned(spark, buckets):
+    with staging(spark):
         tally = Observation()
         records = seen_records(spark.table(spec.bronze), spark.table(spec.sightings), spec.entities)
         records = stage(records.observe(tally, F.count(F.lit(1)).alias("rows")))
         done = {e.name: build_entity(spark, spec, e, records, tally.get["rows"], time, buckets) for e in spec.entities}
+    refresh(caller, *[t for e in spec.entities for t in (e.target, e.quarantine_table)])
     return run_report("silver", "full", done)

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sediment.types import cols, quoted
 
-BUCKETS = 200
+BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 8
 
 
 def _parts(name: str) -> list[str]:
@@ -33,7 +30,7 @@ def ensure_table(
     schema: T.StructType,
     *,
     bucket_by: list[str] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int = LEAST_BUCKETS,
     partition_by: list[str] | None = None,
 ) -> DataFrame:
     """The table, created empty if it is missing.
@@ -50,26 +47,44 @@ def ensure_table(
     return spark.table(_sql_name(name))
 
 
-@contextmanager
-def aligned(spark: SparkSession, buckets: int) -> Iterator[None]:
-    """Shuffle into as many partitions as the target has buckets, and let its bucketing serve joins on
-    more columns than it is bucketed by.
+def _described(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_sql_name(name)}").collect()}
+
+
+def bucket_count(spark: SparkSession, name: str) -> int | None:
+    """The buckets of a table; None if it is missing or has none."""
+    found = _described(spark, name).get("Num Buckets") if exists(spark, name) else None
+    return int(found) if found else None
+
+
+def buckets_for(spark: SparkSession, name: str) -> int:
+    """Buckets of some hundred megabytes each for a table made of what `name` holds, by the size of its files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_described(spark, name)["Location"])
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place)
+    return max(LEAST_BUCKETS, -(-files.getLength() // BUCKET_BYTES))
 
-    Then a join with the bucketed table shuffles neither it nor the rows a second time, and every task
-    writes the file of one bucket.
+
+def job_session(spark: SparkSession, buckets: int) -> SparkSession:
+    """A session for one job, with the caller's settings but for two that no other job shall see.
+
+    It shuffles into as many partitions as the target has buckets, and lets the target's bucketing serve joins on
+    more columns than it is bucketed by.  Then a join with the bucketed table shuffles neither it nor the
+    rows a second time, and every task writes the file of one bucket.
     """
-    settings = {
-        "spark.sql.shuffle.partitions": str(buckets),
-        "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    }
-    before = {name: spark.conf.get(name) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    job = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name) and value is not None:
+            job.conf.set(name, value)
+    job.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    job.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return job
+
+
+def refresh(spark: SparkSession, *names: str) -> None:
+    """Let a session see what another has written to tables."""
+    for name in names:
+        if exists(spark, name):
+            spark.catalog.refreshTable(_sql_name(name))
 
 
 def append(df: DataFrame, name: str) -> None:
@@ -105,7 +120,7 @@ def generation_name(name: str, number: int) -> str:
     return ".".join([*rest, f"{last}__g{number}"])
 
 
-def publish(df: DataFrame, name: str, *, bucket_by: list[str], buckets: int = BUCKETS) -> None:
+def publish(df: DataFrame, name: str, *, bucket_by: list[str], buckets: int) -> None:
     """Write `df` as the next generation of the table and point the table to it."""
     spark = df.sparkSession
     number = (generation(spark, name) or 0) + 1

@@ -119,20 +119,20 @@ def test_sources_with_enough_splits_are_not_shuffled(spark):
 
 def test_the_bronze_merge_shuffles_once(spark, db):
     from sediment.operators.merge import mark_new
-    from sediment.sources.tables import aligned, ensure_table
+    from sediment.sources.tables import bucket_count, buckets_for, ensure_table, job_session
 
-    rows = hashed(line_raw(spark, SF), LINE_COLUMNS)
+    job = job_session(spark, 6)
+    job.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = hashed(line_raw(job, SF), LINE_COLUMNS)
     by_hash = {"bucket_by": ["_record_hash"], "buckets": 6}
-    target = ensure_table(spark, f"{db}.b", first_seen(rows).drop("_copies").schema, **by_hash)
-    seen = ensure_table(spark, f"{db}.s", sightings(rows).schema, **by_hash)
+    target = ensure_table(job, f"{db}.b", earliest_copies(rows).schema, **by_hash)
+    seen = ensure_table(job, f"{db}.s", sightings(rows).schema, **by_hash)
     incoming = stage(sightings(rows))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        with aligned(spark, 6):
-            records = plan(mark_new(first_seen(rows), target, ["_record_hash"]))
-            loads = plan(mark_new(incoming, seen, ["_record_hash", "_batch_id"], null_safe=["_batch_id"]))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    records = plan(mark_new(earliest_copies(rows), target, ["_record_hash"]))
+    loads = plan(mark_new(incoming, seen, ["_record_hash", "_batch_id"], null_safe=["_batch_id"]))
     assert records.count("ENSURE_REQUIREMENTS") == 1, records
     assert loads.count("ENSURE_REQUIREMENTS") == 1, loads
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4", "other jobs do not notice"
+    assert spark.conf.get("spark.sql.session.timeZone") == job.conf.get("spark.sql.session.timeZone")
+    assert (bucket_count(spark, f"{db}.b"), bucket_count(spark, f"{db}.none")) == (6, None)
+    assert buckets_for(spark, f"{db}.b") == 8
