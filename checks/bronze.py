@@ -37,12 +37,12 @@ def bronze_distinct(spark, sf_dir):
 
 @query(
     "bronze_first_seen",
-    f"WITH {SQL_CUSTOMER} SELECT b._record_hash, cust_id, segment, copies, {_TIMES} FROM bronze b"
+    f"WITH {SQL_CUSTOMER} SELECT b._record_hash, custkey, segment, copies, {_TIMES} FROM bronze b"
     " JOIN (SELECT _record_hash, count(*) AS copies FROM hashed GROUP BY 1) USING (_record_hash)",
 )
 def bronze_first_seen(spark, sf_dir):
     return first_seen(customer_hashed(spark, sf_dir)).select(
-        "_record_hash", "cust_id", "segment", F.col("_copies").alias("copies"), *_times()
+        "_record_hash", "custkey", "segment", F.col("_copies").alias("copies"), *_times()
     )
 
 
@@ -66,12 +66,12 @@ def stats(spark, sf_dir):
 
 @query(
     "records_last_seen",
-    f"WITH {SQL_CUSTOMER} SELECT _record_hash, cust_id, segment, epoch_us(_seen_at) AS seen_us, _seen_batch FROM records",
+    f"WITH {SQL_CUSTOMER} SELECT _record_hash, custkey, segment, epoch_us(_seen_at) AS seen_us, _seen_batch FROM records",
 )
 def records_last_seen(spark, sf_dir):
     records = with_last_seen(*customer_layers(spark, sf_dir))
     return records.select(
-        "_record_hash", "cust_id", "segment", F.unix_micros("_seen_at").alias("seen_us"), "_seen_batch"
+        "_record_hash", "custkey", "segment", F.unix_micros("_seen_at").alias("seen_us"), "_seen_batch"
     )
 
 
@@ -88,13 +88,13 @@ def last_sighting(spark, sf_dir):
 @query(
     "latest_seen_version",
     f"""WITH {SQL_CUSTOMER}
-    SELECT cust_id, segment, balance::VARCHAR AS balance, _seen_batch FROM records WHERE cust_id IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY cust_id ORDER BY _seen_at DESC, _seen_batch DESC, _record_hash DESC) = 1""",
+    SELECT custkey, segment, balance::VARCHAR AS balance, _seen_batch FROM records WHERE custkey IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY _seen_at DESC, _seen_batch DESC, _record_hash DESC) = 1""",
 )
 def latest_seen_version(spark, sf_dir):
     bronze, seen = customer_layers(spark, sf_dir)
-    return latest_version_of(bronze.where("cust_id IS NOT NULL"), seen, ["cust_id"]).select(
-        "cust_id", "segment", F.col("balance").cast("string").alias("balance"), "_seen_batch"
+    return latest_version_of(bronze.where("custkey IS NOT NULL"), seen, ["custkey"]).select(
+        "custkey", "segment", F.col("balance").cast("string").alias("balance"), "_seen_batch"
     )
 
 
@@ -186,18 +186,18 @@ def bronze_reconciliation(spark, sf_dir):
 
 @query(
     "schema_guard_report",
-    f"""WITH {SQL_CUSTOMER}, wider AS (SELECT *, length(cust_name) AS name_length FROM raw)
+    f"""WITH {SQL_CUSTOMER}, wider AS (SELECT *, length(name) AS name_length FROM raw)
     SELECT 'name_length' AS extra, 'region_id' AS missing, count(*) AS rows,
         (SELECT count(*) FROM bronze) AS distinct_records, count(name_length) AS extra_values FROM wider""",
 )
 def schema_guard_report(spark, sf_dir):
     """Raw gained a column: it is reported, and the records keep their identity."""
-    wider = customer_raw(spark, sf_dir).withColumn("name_length", F.length("cust_name"))
+    wider = customer_raw(spark, sf_dir).withColumn("name_length", F.length("name"))
     extra = guard_schema(wider, CUSTOMER_COLUMNS)
     missing, _ = column_diff(wider.columns, [*CUSTOMER_COLUMNS, *LINEAGE_COLUMNS, "region_id"])
     per_record = (
         hashed(wider, CUSTOMER_COLUMNS)
-        .withColumn("name_length", F.length("cust_name"))
+        .withColumn("name_length", F.length("name"))
         .groupBy("_record_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.count("name_length").alias("filled"))
     )

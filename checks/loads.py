@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import spread_table, sql_hash, table
-from sediment.functions.steps import NullIf, ParseDate, Trim, Upper
+from sediment.functions.steps import Cast, NullIf, Trim, Upper
 from sediment.operators.bronze import distinct_records, earliest_copies, hashed, sightings
 from sediment.plans.spec import Attribute, Entity, MasterKey
 
@@ -45,18 +45,16 @@ def _sql_lineage(prefix: str) -> str:
 
 # --- customers: dirty attributes, missing keys -------------------------------------------------
 
-CUSTOMER_COLUMNS = ["cust_id", "cust_name", "birth", "segment", "segment_text", "balance"]
+CUSTOMER_COLUMNS = ["custkey", "name", "seat", "segment", "segment_text", "balance"]
 
 
 def customer_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("c_custkey"), F.col("n")
     changed = ((n == 2) & (key % 10 == 0)) | ((n == 3) & (key % 20 == 10))
     return _each_load(spread_table(spark, sf_dir, "customer"), _LOADS).select(
-        F.when(key % 29 != 0, key).alias("cust_id"),
-        F.when(key % 31 == 0, F.lit("   "))
-        .otherwise(F.concat(F.lit("  "), F.lower("c_name"), F.lit(" ")))
-        .alias("cust_name"),
-        F.when(key % 17 == 0, F.lit(0)).otherwise(F.lit(19800101) + F.lit(100) * (key % 13)).cast("int").alias("birth"),
+        F.when(key % 29 != 0, key).alias("custkey"),
+        F.when(key % 31 == 0, F.lit(" ? ")).otherwise(F.concat(F.lower("c_name"), F.lit("  "))).alias("name"),
+        F.when(key % 17 == 0, F.lit("-")).otherwise(F.concat(F.when(key % 13 == 12, "N").otherwise(""), F.col("c_nationkey").cast("string"))).alias("seat"),
         F.concat(F.col("c_mktsegment"), F.when(changed, "_X").otherwise("")).alias("segment"),
         F.concat(F.lit("about "), F.lower("c_mktsegment"), F.when(key % 1000 == 7, " (old)").otherwise("")).alias("segment_text"),
         F.col("c_acctbal").cast("decimal(15,2)").alias("balance"),
@@ -70,9 +68,9 @@ SQL_CUSTOMER_RAW = f"""
 loads(n, f) AS (VALUES (1, 'a'), (1, 'b'), (2, 'a'), (3, 'a')),
 raw AS (
     SELECT
-        CASE WHEN c_custkey % 29 <> 0 THEN c_custkey END AS cust_id,
-        CASE WHEN c_custkey % 31 = 0 THEN '   ' ELSE '  ' || lower(c_name) || ' ' END AS cust_name,
-        (CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE 19800101 + 100 * (c_custkey % 13) END)::INT AS birth,
+        CASE WHEN c_custkey % 29 <> 0 THEN c_custkey END AS custkey,
+        CASE WHEN c_custkey % 31 = 0 THEN ' ? ' ELSE lower(c_name) || '  ' END AS name,
+        CASE WHEN c_custkey % 17 = 0 THEN '-' ELSE CASE WHEN c_custkey % 13 = 12 THEN 'N' ELSE '' END || c_nationkey END AS seat,
         c_mktsegment || CASE WHEN (n = 2 AND c_custkey % 10 = 0) OR (n = 3 AND c_custkey % 20 = 10)
             THEN '_X' ELSE '' END AS segment,
         'about ' || lower(c_mktsegment) || CASE WHEN c_custkey % 1000 = 7 THEN ' (old)' ELSE '' END AS segment_text,
@@ -161,25 +159,23 @@ def line_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the Silver entities built from the customer loads -----------------------------------------
 
-SYSTEM = "CRM"
+SYSTEM = "BANK"
 
-MASTER = MasterKey(
-    column="customer_mk", crosswalk="crosswalk", system_column="src_sys", key_column="src_key",
-    master_column="mk", entity_type_column="etype", entity_type="customer",
-)
+MASTER = MasterKey("golden", "crosswalk", "origin", "local_key", "golden_key", "subject", "account")
 
+#: A customer as an account: `?` stands for no name and `-` for no nation; a nation with a letter is none.
 CUSTOMER = Entity(
-    name="customer",
-    target="customer",
-    business_key=("customer_id",),
-    attributes=(
-        Attribute("customer_id", "cust_id", (), True, "BIGINT"),
-        Attribute("full_name", "cust_name", (Trim(), NullIf(("",)), Upper()), True, "STRING"),
-        Attribute("birth_date", "birth", (NullIf(("0",)), ParseDate("yyyyMMdd")), False, "DATE"),
-        Attribute("segment", "segment", (Trim(), Upper()), False, "STRING"),
-        Attribute("balance", "balance", (), False, "DECIMAL(15,2)"),
+    "customer",
+    "customer",
+    ("account_no",),
+    (
+        Attribute("account_no", "custkey", required=True, type="BIGINT"),
+        Attribute("holder", "name", (Trim(), NullIf(("?",)), Upper()), required=True, type="STRING"),
+        Attribute("nation", "seat", (NullIf(("-",)), Cast("SMALLINT")), type="SMALLINT"),
+        Attribute("segment", "segment", (Trim(), Upper()), type="STRING"),
+        Attribute("balance", "balance", type="DECIMAL(15,2)"),
     ),
-    master_key=MASTER,
+    MASTER,
 )
 
 SEGMENT = Entity(
@@ -192,34 +188,34 @@ SEGMENT = Entity(
     ),
 )
 
-_VALUE_HASH = sql_hash("customer_id", "full_name", "birth_date", "segment", "balance")
+_VALUE_HASH = sql_hash("account_no", "holder", "nation", "segment", "balance")
 _SEGMENT_HASH = sql_hash("segment_code", "description")
 
-# Typed customers with their reasons; a birth date with month 13 cannot be converted.
+# Typed customers with their reasons; a nation with a letter cannot be converted.
 SQL_TYPED = f"""
 cleaned AS (
-    SELECT cust_id AS customer_id, upper(nullif(trim(cust_name), '')) AS full_name,
-        CASE WHEN birth = 0 THEN NULL ELSE try_strptime(birth::VARCHAR, '%Y%m%d')::DATE END AS birth_date,
-        birth <> 0 AND try_strptime(birth::VARCHAR, '%Y%m%d') IS NULL AS bad_birth,
+    SELECT custkey AS account_no, upper(nullif(trim(name), '?')) AS holder,
+        CASE WHEN seat <> '-' THEN try_cast(seat AS SMALLINT) END AS nation,
+        seat <> '-' AND try_cast(seat AS SMALLINT) IS NULL AS bad_nation,
         upper(trim(segment)) AS segment, balance, _record_hash, _seen_at, _seen_batch
     FROM records
 ),
 typed AS (
     SELECT *, {_VALUE_HASH} AS _value_hash,
-        (customer_id IS NULL)::INT + (full_name IS NULL)::INT + bad_birth::INT AS n_reasons,
+        (account_no IS NULL)::INT + (holder IS NULL)::INT + bad_nation::INT AS n_reasons,
         concat_ws('; ',
-            CASE WHEN customer_id IS NULL THEN 'customer_id: required value is empty' END,
-            CASE WHEN full_name IS NULL THEN 'full_name: required value is empty' END,
-            CASE WHEN bad_birth THEN 'birth_date: value could not be converted' END) AS reasons
+            CASE WHEN account_no IS NULL THEN 'account_no: required value is empty' END,
+            CASE WHEN holder IS NULL THEN 'holder: required value is empty' END,
+            CASE WHEN bad_nation THEN 'nation: value could not be converted' END) AS reasons
     FROM cleaned
 ),
 ties AS (
-    SELECT * FROM typed WHERE customer_id IS NOT NULL
-    QUALIFY rank() OVER (PARTITION BY customer_id ORDER BY _seen_at DESC, _seen_batch DESC) = 1
+    SELECT * FROM typed WHERE account_no IS NOT NULL
+    QUALIFY rank() OVER (PARTITION BY account_no ORDER BY _seen_at DESC, _seen_batch DESC) = 1
 ),
 latest AS (
     SELECT * FROM ties
-    QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY _value_hash, n_reasons, _record_hash) = 1
+    QUALIFY row_number() OVER (PARTITION BY account_no ORDER BY _value_hash, n_reasons, _record_hash) = 1
 )"""
 
 SQL_SEGMENTS = f"""
@@ -242,9 +238,9 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     kinds = F.array(
         *[
-            F.struct(F.lit(e).alias("etype"), F.lit(s).alias("src_sys"), F.lit(p).alias("p"))
+            F.struct(F.lit(e).alias("subject"), F.lit(s).alias("origin"), F.lit(p).alias("p"))
             for e, s, p in [
-                ("customer", "CRM", "M-"), ("customer", "CRM", "M-"), ("customer", "OTHER", "X-"), ("product", "CRM", "P-"),
+                ("account", "BANK", "G"), ("account", "BANK", "G"), ("account", "SHOP", "S"), ("device", "BANK", "D"),
             ]
         ]
     )
@@ -252,18 +248,18 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "customer")
         .select(key, F.explode(kinds).alias("k"))
         .select(
-            "k.etype", "k.src_sys", F.when(key % 7 != 0, key.cast("string")).alias("src_key"),
-            F.when(key % 3 != 0, F.concat("k.p", key.cast("string"))).alias("mk"),
+            "k.subject", "k.origin", F.when(key % 7 != 0, key.cast("string")).alias("local_key"),
+            F.when(key % 3 != 0, F.concat("k.p", key.cast("string"))).alias("golden_key"),
         )
     )
 
 
 SQL_CROSSWALK = """
-kinds(etype, src_sys, p) AS (
-    VALUES ('customer', 'CRM', 'M-'), ('customer', 'CRM', 'M-'), ('customer', 'OTHER', 'X-'), ('product', 'CRM', 'P-')
+kinds(subject, origin, p) AS (
+    VALUES ('account', 'BANK', 'G'), ('account', 'BANK', 'G'), ('account', 'SHOP', 'S'), ('device', 'BANK', 'D')
 ),
 crosswalk AS (
-    SELECT etype, src_sys, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey::VARCHAR END AS src_key,
-        CASE WHEN c_custkey % 3 <> 0 THEN p || c_custkey END AS mk
+    SELECT subject, origin, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey::VARCHAR END AS local_key,
+        CASE WHEN c_custkey % 3 <> 0 THEN p || c_custkey END AS golden_key
     FROM customer, kinds
 )"""

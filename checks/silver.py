@@ -35,12 +35,12 @@ def _typed(spark, sf_dir, entity=CUSTOMER):
 
 def _shown(df, *more):
     return df.select(
-        "customer_id", "full_name", F.col("birth_date").cast("string").alias("birth_date"), "segment",
+        "account_no", "holder", F.col("nation").cast("string").alias("nation"), "segment",
         F.col("balance").cast("string").alias("balance"), *more,
     )
 
 
-_SHOWN = "customer_id, full_name, birth_date::VARCHAR AS birth_date, segment, balance::VARCHAR AS balance"
+_SHOWN = "account_no, holder, nation::VARCHAR AS nation, segment, balance::VARCHAR AS balance"
 _ALL = f"{SQL_CUSTOMER},{SQL_TYPED}"
 
 # --- steps ---------------------------------------------------------------------------------------
@@ -164,13 +164,13 @@ def step_default(spark, sf_dir):
 
 @query(
     "step_failures",
-    f"""WITH {_ALL} SELECT _record_hash, birth_date::VARCHAR AS birth_date, bad_birth AS failed FROM typed""",
+    f"""WITH {_ALL} SELECT _record_hash, nation::VARCHAR AS nation, bad_nation AS failed FROM typed""",
 )
 def step_failures(spark, sf_dir):
     bronze, _ = customer_layers(spark, sf_dir)
-    birth = _steps(bronze, "birth", [NullIf(("0",)), ParseDate("yyyyMMdd")])
+    nation = _steps(bronze, "seat", [NullIf(("-",)), Cast("SMALLINT")])
     return bronze.select(
-        "_record_hash", birth.value.cast("string").alias("birth_date"), birth.failed.alias("failed")
+        "_record_hash", nation.value.cast("string").alias("nation"), nation.failed.alias("failed")
     )
 
 
@@ -179,12 +179,12 @@ def step_failures(spark, sf_dir):
 
 @query(
     "split_keyless",
-    f"""WITH {_ALL} SELECT CASE WHEN customer_id IS NULL THEN 'keyless' ELSE 'keyed' END AS side,
-        _record_hash, full_name FROM typed""",
+    f"""WITH {_ALL} SELECT CASE WHEN account_no IS NULL THEN 'keyless' ELSE 'keyed' END AS side,
+        _record_hash, holder FROM typed""",
 )
 def keyless_split(spark, sf_dir):
-    keyed, keyless = split_keyless(_typed(spark, sf_dir), ["customer_id"])
-    shown = [F.col("_record_hash"), F.col("full_name")]
+    keyed, keyless = split_keyless(_typed(spark, sf_dir), ["account_no"])
+    shown = [F.col("_record_hash"), F.col("holder")]
     return keyed.select(F.lit("keyed").alias("side"), *shown).unionByName(
         keyless.select(F.lit("keyless").alias("side"), *shown)
     )
@@ -212,10 +212,10 @@ def required_values(spark, sf_dir):
     return e.select("event_id", required_reason("kind").alias("reason"))
 
 
-@query("latest_per_key_ties", f"WITH {_ALL} SELECT customer_id, _record_hash, _seen_batch, _value_hash FROM ties")
+@query("latest_per_key_ties", f"WITH {_ALL} SELECT account_no, _record_hash, _seen_batch, _value_hash FROM ties")
 def latest_per_key_ties(spark, sf_dir):
-    keyed, _ = split_keyless(_typed(spark, sf_dir), ["customer_id"])
-    return latest_ties(stage(keyed), ["customer_id"]).select("customer_id", "_record_hash", "_seen_batch", "_value_hash")
+    keyed, _ = split_keyless(_typed(spark, sf_dir), ["account_no"])
+    return latest_ties(stage(keyed), ["account_no"]).select("account_no", "_record_hash", "_seen_batch", "_value_hash")
 
 
 @query(
@@ -231,8 +231,8 @@ def segment_ties(spark, sf_dir):
 
 @query("current_per_key", f"WITH {_ALL} SELECT {_SHOWN}, _record_hash, _seen_batch FROM latest")
 def current_versions(spark, sf_dir):
-    keyed, _ = split_keyless(_typed(spark, sf_dir), ["customer_id"])
-    return _shown(current_per_key(keyed, ["customer_id"]), "_record_hash", "_seen_batch")
+    keyed, _ = split_keyless(_typed(spark, sf_dir), ["account_no"])
+    return _shown(current_per_key(keyed, ["account_no"]), "_record_hash", "_seen_batch")
 
 
 @query(
@@ -255,11 +255,11 @@ def _at():
 @query(
     "quarantine_rows",
     f"""WITH {_ALL}, rejected AS (
-        SELECT _record_hash, reasons FROM typed WHERE customer_id IS NULL
+        SELECT _record_hash, reasons FROM typed WHERE account_no IS NULL
         UNION ALL SELECT _record_hash, reasons FROM latest WHERE n_reasons > 0)
     SELECT _record_hash, '["' || replace(reasons, '; ', '","') || '"]' AS _reasons,
-        '{{' || CASE WHEN cust_id IS NULL THEN '' ELSE '"cust_id":' || cust_id || ',' END
-        || '"cust_name":"' || cust_name || '","birth":' || birth || ',"segment":"' || segment || '","segment_text":"'
+        '{{' || CASE WHEN custkey IS NULL THEN '' ELSE '"custkey":' || custkey || ',' END
+        || '"name":"' || name || '","seat":"' || seat || '","segment":"' || segment || '","segment_text":"'
         || segment_text || '","balance":' || balance || '}}' AS _record
     FROM rejected JOIN bronze USING (_record_hash)""",
 )
@@ -272,7 +272,7 @@ def quarantine(spark, sf_dir):
 @query(
     "still_invalid",
     f"""WITH {_ALL}, ever AS (SELECT _record_hash FROM typed WHERE n_reasons > 0),
-    rejected AS (SELECT _record_hash FROM typed WHERE customer_id IS NULL
+    rejected AS (SELECT _record_hash FROM typed WHERE account_no IS NULL
         UNION ALL SELECT _record_hash FROM latest WHERE n_reasons > 0)
     SELECT _record_hash FROM ever WHERE _record_hash IN (SELECT _record_hash FROM rejected)""",
 )
@@ -297,40 +297,40 @@ def record_as_json(spark, sf_dir):
 # --- master keys ---------------------------------------------------------------------------------
 
 _PAIRS = """pairs AS (
-    SELECT DISTINCT src_key, mk FROM crosswalk
-    WHERE etype = 'customer' AND src_sys = 'CRM' AND src_key IS NOT NULL AND mk IS NOT NULL
+    SELECT DISTINCT local_key, golden_key FROM crosswalk
+    WHERE subject = 'account' AND origin = 'BANK' AND local_key IS NOT NULL AND golden_key IS NOT NULL
 )"""
 
 
-@query("crosswalk_filter", f"WITH {SQL_CROSSWALK},{_PAIRS} SELECT src_key, mk FROM pairs")
+@query("crosswalk_filter", f"WITH {SQL_CROSSWALK},{_PAIRS} SELECT local_key, golden_key FROM pairs")
 def crosswalk_filter(spark, sf_dir):
     pairs = restrict_crosswalk(crosswalk(spark, sf_dir), MASTER, SYSTEM)
-    return pairs.select(F.col("_cw_key").alias("src_key"), F.col("_cw_master").alias("mk"))
+    return pairs.select(F.col("_cw_key").alias("local_key"), F.col("_cw_master").alias("golden_key"))
 
 
 @query(
     "ambiguous_mappings",
     f"""WITH {SQL_CROSSWALK}
-    SELECT src_key, count(DISTINCT mk) AS n FROM crosswalk
-    WHERE src_sys = 'CRM' AND src_key IS NOT NULL AND mk IS NOT NULL GROUP BY 1 HAVING count(DISTINCT mk) > 1""",
+    SELECT local_key, count(DISTINCT golden_key) AS n FROM crosswalk
+    WHERE origin = 'BANK' AND local_key IS NOT NULL AND golden_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT golden_key) > 1""",
 )
 def ambiguous_mappings(spark, sf_dir):
     # Without the entity type, the product keys clash with the customer keys.
     mixed = replace(MASTER, entity_type_column=None, entity_type=None)
     pairs = restrict_crosswalk(crosswalk(spark, sf_dir), mixed, SYSTEM)
-    return ambiguous(pairs).withColumnRenamed("_cw_key", "src_key")
+    return ambiguous(pairs).withColumnRenamed("_cw_key", "local_key")
 
 
 @query(
     "master_key_lookup",
     f"""WITH {SQL_CROSSWALK},{_PAIRS}
-    SELECT o_orderkey, o_custkey, coalesce(mk, 'UNKNOWN') AS customer_mk, mk IS NOT NULL AS resolved
-    FROM orders LEFT JOIN pairs ON o_custkey::VARCHAR = src_key""",
+    SELECT o_orderkey, o_custkey, coalesce(golden_key, 'UNKNOWN') AS golden, golden_key IS NOT NULL AS resolved
+    FROM orders LEFT JOIN pairs ON o_custkey::VARCHAR = local_key""",
 )
 def master_key_lookup(spark, sf_dir):
     pairs = restrict_crosswalk(crosswalk(spark, sf_dir), MASTER, SYSTEM)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lookup_master(o, pairs, "o_custkey", "customer_mk", "UNKNOWN").withColumnRenamed(
+    return lookup_master(o, pairs, "o_custkey", "golden", "UNKNOWN").withColumnRenamed(
         "_master_key_resolved", "resolved"
     )
 
@@ -341,30 +341,30 @@ def master_key_lookup(spark, sf_dir):
 @query(
     "silver_current_customer",
     f"""WITH {_ALL},{SQL_CROSSWALK},{_PAIRS}
-    SELECT {_SHOWN}, coalesce(mk, 'UNKNOWN') AS customer_mk, mk IS NOT NULL AS _master_key_resolved,
-        'CRM' AS _source_system, _record_hash
-    FROM latest LEFT JOIN pairs ON customer_id::VARCHAR = src_key WHERE n_reasons = 0""",
+    SELECT {_SHOWN}, coalesce(golden_key, 'UNKNOWN') AS golden, golden_key IS NOT NULL AS _master_key_resolved,
+        'BANK' AS _source_system, _record_hash
+    FROM latest LEFT JOIN pairs ON account_no::VARCHAR = local_key WHERE n_reasons = 0""",
 )
 def silver_current_customer(spark, sf_dir):
     found = _versions(spark, sf_dir)
     pairs = restrict_crosswalk(crosswalk(spark, sf_dir), MASTER, SYSTEM)
-    valid = lookup_master(found.valid, pairs, "customer_id", "customer_mk", "UNKNOWN")
+    valid = lookup_master(found.valid, pairs, "account_no", "golden", "UNKNOWN")
     rows = entity_rows(valid, CUSTOMER, SYSTEM, _at())
-    return _shown(rows, "customer_mk", "_master_key_resolved", "_source_system", "_record_hash")
+    return _shown(rows, "golden", "_master_key_resolved", "_source_system", "_record_hash")
 
 
 @query(
     "silver_split_customer_segment",
     f"""WITH {_ALL},{SQL_SEGMENTS}
-    SELECT 'customer' AS entity, customer_id::VARCHAR AS key, full_name AS text, _record_hash FROM latest WHERE n_reasons = 0
+    SELECT 'customer' AS entity, account_no::VARCHAR AS key, holder AS text, _record_hash FROM latest WHERE n_reasons = 0
     UNION ALL SELECT 'segment', segment_code, description, _record_hash FROM segment_latest""",
 )
 def silver_split(spark, sf_dir):
     """Two entities from one Bronze table."""
     bronze, seen = customer_layers(spark, sf_dir)
     customers = versions(bronze, seen, CUSTOMER).valid.select(
-        F.lit("customer").alias("entity"), F.col("customer_id").cast("string").alias("key"),
-        F.col("full_name").alias("text"), "_record_hash",
+        F.lit("customer").alias("entity"), F.col("account_no").cast("string").alias("key"),
+        F.col("holder").alias("text"), "_record_hash",
     )
     segments = versions(bronze, seen, SEGMENT).valid.select(
         F.lit("segment").alias("entity"), F.col("segment_code").alias("key"), F.col("description").alias("text"),
@@ -445,18 +445,18 @@ def reconciliation_report(spark, sf_dir):
 @query(
     "silver_run_counts",
     f"""WITH {_ALL},{SQL_CROSSWALK},{_PAIRS}
-    SELECT (SELECT count(*) FROM typed WHERE customer_id IS NULL) AS null_key_records,
+    SELECT (SELECT count(*) FROM typed WHERE account_no IS NULL) AS null_key_records,
         (SELECT count(*) FROM latest) AS distinct_keys,
         (SELECT count(*) FROM latest WHERE n_reasons > 0) AS quarantined_keys,
-        (SELECT count(*) FROM (SELECT customer_id FROM ties GROUP BY 1 HAVING count(DISTINCT _value_hash) > 1)) AS conflicting_keys,
-        (SELECT count(*) FROM latest LEFT JOIN pairs ON customer_id::VARCHAR = src_key
-            WHERE n_reasons = 0 AND mk IS NULL) AS unmapped_keys,
+        (SELECT count(*) FROM (SELECT account_no FROM ties GROUP BY 1 HAVING count(DISTINCT _value_hash) > 1)) AS conflicting_keys,
+        (SELECT count(*) FROM latest LEFT JOIN pairs ON account_no::VARCHAR = local_key
+            WHERE n_reasons = 0 AND golden_key IS NULL) AS unmapped_keys,
         (SELECT count(*) FROM pairs) AS crosswalk_rows""",
 )
 def silver_run_counts(spark, sf_dir):
     found = _versions(spark, sf_dir)
     pairs = restrict_crosswalk(crosswalk(spark, sf_dir), MASTER, SYSTEM)
-    current = lookup_master(found.current, pairs, "customer_id", "customer_mk", "UNKNOWN")
+    current = lookup_master(found.current, pairs, "account_no", "golden", "UNKNOWN")
     valid = F.size("_reasons") == 0
     counts = current.agg(
         F.count(F.lit(1)).alias("distinct_keys"),

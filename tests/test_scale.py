@@ -74,12 +74,12 @@ def test_a_scan_reads_only_what_the_entity_needs(spark, db):
     from sediment.plans.silver import versions
 
     spark.createDataFrame(
-        [], "cust_id BIGINT, cust_name STRING, birth INT, segment STRING, balance DECIMAL(15,2), unused STRING, "
+        [], "custkey BIGINT, name STRING, seat STRING, segment STRING, balance DECIMAL(15,2), unused STRING, "
         "_record_hash STRING, _ingested_at TIMESTAMP, _source_file STRING, _batch_id STRING",
     ).write.saveAsTable(f"{db}.b")
     spark.createDataFrame([], "_record_hash STRING, _batch_id STRING, _ingested_at TIMESTAMP").write.saveAsTable(f"{db}.s")
     text = plan(versions(spark.table(f"{db}.b"), spark.table(f"{db}.s"), CUSTOMER).valid)
-    assert "unused" not in text and "_source_file" not in text and "IsNotNull(cust_id)" in text
+    assert "unused" not in text and "_source_file" not in text and "IsNotNull(custkey)" in text
 
 
 def test_crosswalk_join_carries_no_hint(spark):
