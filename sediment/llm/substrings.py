@@ -24,14 +24,14 @@ from sediment.llm.arrays import column_bytes, slices
 from sediment.llm.columns import id_back, keyed_texts
 from sediment.staging import stage
 
-#: Words of an anchor.
+#: Words of an anchor, at most half a window.
 GRAM = 5
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id`, `n_words`, `n_removed`, `kept` (the other words, joined by a space) and `spans` (start and length, in words)."""
     spark = docs.sparkSession
-    shape = windows.Shape(window, min(GRAM, window), words=True, inside_documents=False)
+    shape = windows.Shape(window, min(GRAM, max(1, window // 2)), words=True, inside_documents=False)
     buckets, partitions = windows.buckets_of(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed_texts(docs, key, text)
     found = stage(windows.met(windows.entries_of(texts, shape, buckets), shape, partitions, ask=True))

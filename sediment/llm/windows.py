@@ -258,7 +258,7 @@ def extended(asked: DataFrame, shape: Shape, buckets: int) -> DataFrame:
     return asked.mapInArrow(lambda batches: _collected(scanned(batches), lambda held: _windows_handed_on(held, shape, buckets)), SCHEMA)
 
 
-def _asked(first: list[np.ndarray], fresh: np.ndarray, shape: Shape) -> pa.RecordBatch | None:
+def _asked(first: list[np.ndarray], fresh: np.ndarray) -> pa.RecordBatch | None:
     """The firsts of their kind that have an anchor in common with another kind, one of them new."""
     order = np.lexsort((first[1], first[0]))
     anchor, value, document, start, n = (c[order] for c in first)
@@ -270,8 +270,6 @@ def _asked(first: list[np.ndarray], fresh: np.ndarray, shape: Shape) -> pa.Recor
     differs = np.zeros(len(anchor), np.int64)
     differs[1:] = (value[1:] != value[:-1]) & (anchor[1:] == anchor[:-1])
     wanted = (np.add.reduceat(differs, at) > 0) & (np.add.reduceat(fresh.astype(np.int64), at) > 0)
-    if not shape.inside_documents:
-        wanted &= np.minimum.reduceat(document, at) < np.maximum.reduceat(document, at)
     pick = wanted[group]
     return _rows(ASKED, document[pick], [start[pick], n[pick]])
 
@@ -294,7 +292,7 @@ def met(rows: DataFrame, shape: Shape, partitions: int, ask: bool, keep: bool =
             part[4] = part[4] & np.uint16(0x7FFF)
         out = [_gone(rest, shape)]
         if ask:
-            out.append(_asked(first, fresh, shape))
+            out.append(_asked(first, fresh))
         if keep:
             out.append(_rows(KEPT, np.full(int(fresh.sum()), key), [c[fresh] for c in first]))
         yield from (rows for rows in out if rows is not None)

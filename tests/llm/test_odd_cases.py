@@ -41,6 +41,21 @@ def test_spans_are_what_is_removed(docs):
         assert all(s["length"] >= 8 for s in r["spans"])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_of_few_words(spark, seed):
+    """Very many windows have one anchor, inside one document and in several."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, " ".join(r.choice("ab" if r.random() < 0.7 else "abc") for _ in range(r.randint(0, 60)))) for i in range(25)]
+    rows += [(i + 100, r.choice(rows)[1][r.randrange(9):] + " a b " + r.choice(rows)[1]) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + seed)
+    found = by_id(substrings.remove_repeats(docs, window=6 + seed), "n_words", "n_removed", "kept")
+    assert found == plain.word_repeats(rows, 6 + seed)
+    found = by_id(suffixes.remove_earlier(docs, window=16 + seed, batches=1 + seed), "n_bytes", "n_removed", "n_spans", "kept")
+    assert {k: (*v[:3], bytes(v[3])) for k, v in found.items()} == plain.byte_repeats(rows, 16 + seed)
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_suffixes(docs, rows, batches):
     found = suffixes.remove_earlier(docs, batches=batches)
