@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.arrays import PIECE, U64, Sums, Words, column_bytes, mix, runs, slices
@@ -216,7 +216,7 @@ def _tile_links(weights: str):
             texts = [[weighted(t[3], weights) for t in side] for side in sides]
             size = [np.array([t[1].sum() for t in side]) for side in texts]
             common = common_weight(*texts)
-            similar = common >= SIMILARITY * (size[0][:, None] + size[1][None, :] - common)
+            similar = common >= SIMILARITY * (1 - 1e-12) * (size[0][:, None] + size[1][None, :] - common)
             for i, j in zip(*np.nonzero(similar)):
                 if sides[0][i][2] != sides[1][j][2]:
                     pivots.append(sides[0][i][1])

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-import numpy as np
 import pyarrow as pa
 
 from sediment.llm import windows
