@@ -13,7 +13,7 @@ from sediment.functions.names import column_name, slug, table_name
 from sediment.functions.rules import allowed
 from sediment.operators.projections import flatten_struct, with_lineage
 from sediment.sources.files import MALFORMED, scan_csv, scan_folder, scan_json, scan_xml
-from sediment.sources.fixed import decode_lines, decode_records, layout_schema, read_copybook, record_length, scan_fixed
+from sediment.sources.fixed import decode_records, layout_schema, read_copybook, record_length, scan_fixed
 from sediment.sources.profile import (
     profile_columns, profile_csv, profile_json, profile_json_text, profile_xml,
 )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.functions.names import column_name_of
-from sediment.functions.steps import Step, compile_steps
+from sediment.functions.steps import compile_steps
 from sediment.types import LINEAGE_COLUMNS, col, cols, parse_sql_type, source_columns
 
 
