@@ -1,8 +1,9 @@
-"""Time the Bronze job against the same job done step by step.
+"""Time the Bronze job against the same job done step by step, and the Silver job.
 
 The plain job counts, picks and merges in separate actions, as one would write it at first: row and
 distinct counts, a window for the first copy, counts of the tables before and after each insert.  Both
-start from the same Raw table of line items loaded three times.  Prints one JSON line.
+start from the same Raw table of line items loaded three times.  The Silver job runs over customers: all new,
+nothing new, and one key in a hundred changed.  Prints one JSON line for each.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from __future__ import annotations
 import json
 import os
 import time
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.loads import LINE_COLUMNS, line_raw
+from checks.loads import CUSTOMER, CUSTOMER_COLUMNS, LINE_COLUMNS, customer_raw, line_raw
 from checks.session import local_session
 from sediment.operators.bronze import hashed
 from sediment.plans.bronze import build_bronze
+from sediment.plans.silver import build_entities
+from sediment.plans.spec import SilverSpec
 
 
 def plain_bronze(spark, raw: str, bronze: str, columns: list[str]) -> dict:
@@ -65,6 +69,21 @@ def main() -> None:
             result[f"{name}, {run}"] = round(time.perf_counter() - start, 2)
         assert counts["rows_inserted"] == 0 and counts["sightings_inserted"] == 0
     print(json.dumps({"metric": "Bronze job", "unit": "sec", "runs": result}))
+    print(json.dumps({"metric": "Silver job", "unit": "sec", "runs": silver_runs(spark, sf_dir)}))
+
+
+def silver_runs(spark, sf_dir: str) -> dict:
+    entity = replace(CUSTOMER, target="b.customer", master_key=None)
+    spec = SilverSpec("b.customer_bronze", "b.customer_bronze_sightings", "BANK", (entity,))
+    rows, result = customer_raw(spark, sf_dir).where("_batch_id = 'L1'"), {}
+    changed = rows.where("custkey % 100 = 7").withColumns({"segment": F.lit("NEW"), "_batch_id": F.lit("L2"), "_ingested_at": F.expr("_ingested_at + interval 9 days")})
+    for name, load in (("all new", rows), ("nothing new", rows.limit(0)), ("one in a hundred changed", changed)):
+        load.write.mode("append").partitionBy("_batch_id").saveAsTable("b.customer_raw")
+        build_bronze(spark, "b.customer_raw", "b.customer_bronze", CUSTOMER_COLUMNS, buckets=8)
+        start = time.perf_counter()
+        counts = build_entities(spark, spec, buckets=8)["tables"]["customer"]
+        result[name] = {"sec": round(time.perf_counter() - start, 2), **{k: counts[k] for k in ("rows_inserted", "rows_updated", "rows_in_target")}}
+    return result
 
 
 if __name__ == "__main__":

@@ -53,7 +53,7 @@ def customer_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = ((n == 2) & (key % 10 == 0)) | ((n == 3) & (key % 20 == 10))
     return _each_load(spread_table(spark, sf_dir, "customer"), _LOADS).select(
         F.when(key % 29 != 0, key).alias("custkey"),
-        F.when(key % 31 == 0, F.lit(" ? ")).otherwise(F.concat(F.lower("c_name"), F.lit("  "))).alias("name"),
+        F.when(key % 31 == 0, F.lit(" # ")).otherwise(F.concat(F.lower("c_name"), F.lit("  "))).alias("name"),
         F.when(key % 17 == 0, F.lit("-")).otherwise(F.concat(F.when(key % 13 == 12, "N").otherwise(""), F.col("c_nationkey").cast("string"))).alias("seat"),
         F.concat(F.col("c_mktsegment"), F.when(changed, "_X").otherwise("")).alias("segment"),
         F.concat(F.lit("about "), F.lower("c_mktsegment"), F.when(key % 1000 == 7, " (old)").otherwise("")).alias("segment_text"),
@@ -69,7 +69,7 @@ loads(n, f) AS (VALUES (1, 'a'), (1, 'b'), (2, 'a'), (3, 'a')),
 raw AS (
     SELECT
         CASE WHEN c_custkey % 29 <> 0 THEN c_custkey END AS custkey,
-        CASE WHEN c_custkey % 31 = 0 THEN ' ? ' ELSE lower(c_name) || '  ' END AS name,
+        CASE WHEN c_custkey % 31 = 0 THEN ' # ' ELSE lower(c_name) || '  ' END AS name,
         CASE WHEN c_custkey % 17 = 0 THEN '-' ELSE CASE WHEN c_custkey % 13 = 12 THEN 'N' ELSE '' END || c_nationkey END AS seat,
         c_mktsegment || CASE WHEN (n = 2 AND c_custkey % 10 = 0) OR (n = 3 AND c_custkey % 20 = 10)
             THEN '_X' ELSE '' END AS segment,
@@ -163,14 +163,14 @@ SYSTEM = "BANK"
 
 MASTER = MasterKey("golden", "crosswalk", "origin", "local_key", "golden_key", "subject", "account")
 
-#: A customer as an account: `?` stands for no name and `-` for no nation; a nation with a letter is none.
+#: A customer as an account: `#` stands for no name and `-` for no nation; a nation with a letter is none.
 CUSTOMER = Entity(
     "customer",
     "customer",
     ("account_no",),
     (
         Attribute("account_no", "custkey", required=True, type="BIGINT"),
-        Attribute("holder", "name", (Trim(), NullIf(("?",)), Upper()), required=True, type="STRING"),
+        Attribute("holder", "name", (Trim(), NullIf(("#",)), Upper()), required=True, type="STRING"),
         Attribute("nation", "seat", (NullIf(("-",)), Cast("SMALLINT")), type="SMALLINT"),
         Attribute("segment", "segment", (Trim(), Upper()), type="STRING"),
         Attribute("balance", "balance", type="DECIMAL(15,2)"),
@@ -194,7 +194,7 @@ _SEGMENT_HASH = sql_hash("segment_code", "description")
 # Typed customers with their reasons; a nation with a letter cannot be converted.
 SQL_TYPED = f"""
 cleaned AS (
-    SELECT custkey AS account_no, upper(nullif(trim(name), '?')) AS holder,
+    SELECT custkey AS account_no, upper(nullif(trim(name), '#')) AS holder,
         CASE WHEN seat <> '-' THEN try_cast(seat AS SMALLINT) END AS nation,
         seat <> '-' AND try_cast(seat AS SMALLINT) IS NULL AS bad_nation,
         upper(trim(segment)) AS segment, balance, _record_hash, _seen_at, _seen_batch
