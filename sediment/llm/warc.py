@@ -112,15 +112,20 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _measured(pieces)
 
 
+def _up_to(text: Column, mark: str) -> Column:
+    """What stands before the first `mark`; null without one.  Places in texts count characters, so a place in the
+    bytes is the length of what stands before it."""
+    at = F.locate(mark, text)
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1))
+
+
 def _measured(pieces: DataFrame) -> DataFrame:
-    # One character per byte, so that places in the text are places in the bytes.
-    head = F.locate(ENDS, F.decode("value", "ISO-8859-1")) - 1
     length = F.regexp_extract("header", r"(?im)^Content-Length:[ \t]*(\d+)[ \t]*\r?$", 1)
     return (
-        pieces.withColumn("head", head)
-        .withColumn("header", F.decode(F.substring(F.col("value"), F.lit(1), F.greatest(F.col("head"), F.lit(0))), "ISO-8859-1"))
+        pieces.withColumn("header", _up_to(F.col("value").cast("string"), ENDS))
+        .withColumn("head", F.octet_length("header"))
         .withColumn("length", F.nullif(length, F.lit("")).try_cast("long"))
-        .withColumn("size", F.when(F.col("head") > 0, F.col("head") + 8 + F.col("length")))
+        .withColumn("size", F.col("head") + 8 + F.col("length"))
     )
 
 
@@ -185,14 +190,14 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         header("WARC-Record-ID").alias("id"),
         F.regexp_extract_all("header", F.lit(r"(?im)^WARC-Concurrent-To:[ \t]*([^\r\n]*)"), 1).alias("concurrent_to"),
         header("WARC-Refers-To").alias("refers_to"),
-        F.encode(header("WARC-Target-URI"), "ISO-8859-1").cast("string").alias("uri"),
+        header("WARC-Target-URI").alias("uri"),
         header("WARC-Date").alias("date"),
         header("Content-Type").alias("content_type"),
         block.alias("block"),
     )
-    starts = F.locate(ENDS, F.decode("block", "ISO-8859-1"))
-    message = F.lower("content_type").startswith("application/http") & (starts > 0)
-    payload = F.when(message, F.substring(F.col("block"), starts + 4, F.octet_length("block"))).otherwise(F.col("block"))
+    head = F.octet_length(_up_to(F.col("block").cast("string"), ENDS))
+    message = F.lower("content_type").startswith("application/http") & head.isNotNull()
+    payload = F.when(message, F.substring(F.col("block"), head + 5, F.octet_length("block"))).otherwise(F.col("block"))
     return parsed.withColumn("payload", payload).drop("block").withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
         "payload_digest", base32_sha1(F.col("payload"))
     )
