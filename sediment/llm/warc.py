@@ -97,7 +97,8 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str =
         fields,
     )
     records = joined.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("record"))
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ENDS).option("compression", compression).text(folder)
+    writer = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ENDS)
+    writer.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(folder)
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
