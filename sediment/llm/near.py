@@ -298,8 +298,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns (the least neighbour becomes the neighbour of all), until nothing
     changes: a number of rounds that grows as the logarithm of a component's size, after each task has made stars
-    of its links.  Every round is staged, and so are the least neighbours, as adaptive execution splits
-    a hot node only in a join of two plain inputs.
+    of its links.  Every round is staged once.  A row is two 16-byte keys; the rows of one hot node meet in
+    a task as they stream by, and none is held.
     """
     def mark(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
@@ -309,9 +309,9 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(least.select("u", F.col("m").alias("v")).unionByName(small).distinct())
         now = mark(edges)
