@@ -173,11 +173,10 @@ def _gone(entries: list[np.ndarray], shape: Shape) -> pa.RecordBatch | None:
     return _rows(GONE, document, [low.astype(np.uint32), (high - low).astype(np.uint32)])
 
 
-def _kinds_of_anchor(entries: list[np.ndarray]) -> np.ndarray:
-    """Which kind of its anchor each entry is, from 0."""
-    anchor, value = entries[:2]
-    order = np.lexsort((value, anchor))
-    opens = np.append(True, anchor[order][1:] != anchor[order][:-1])
+def _kinds_of_anchor(bucket: np.ndarray, anchor: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which kind of its anchor each entry is, from 0.  Anchors of two buckets may agree in the bits that are kept."""
+    order = np.lexsort((value, anchor, bucket))
+    opens = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))
     differs = opens | np.append(True, value[order][1:] != value[order][:-1])
     number = np.cumsum(differs)
     out = np.empty(len(anchor), np.int64)
@@ -189,7 +188,7 @@ def _stretches_handed_on(held: list[list[np.ndarray]], shape: Shape) -> Iterator
     """Of the stretches (bucket, then an entry) of a task, what others have to know."""
     bucket, *entries = (np.concatenate(c) for c in zip(*held))
     first, rest = first_of_kind([*(e.astype(t) for e, t in zip(entries, ENTRY_TYPES)), bucket], shape)
-    few = _kinds_of_anchor(first) < 2
+    few = _kinds_of_anchor(first[5], *first[:2]) < 2
     yield _rows(ENTRY, first[5][few], [c[few] for c in first[:5]])
     yield _rows(ASKED, first[2][~few], [c[~few] for c in first[3:5]])
     yield _gone(rest[:5], shape)

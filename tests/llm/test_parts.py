@@ -69,6 +69,24 @@ def test_stretches_hold_each_window_once(text, window):
     assert held.tolist() == list(range(max(0, len(text) - window + 1)))
 
 
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.integers(0, 6)), min_size=1, max_size=30))
+def test_every_anchor_with_several_kinds_hands_on_two(places):
+    """Few values of the kept bits, so that anchors of several buckets agree in them."""
+    shape = windows.Shape(20, 8, words=False, inside_documents=True)
+    value = [v + 10 * a + 100 * b for b, a, v in places]  # equal stretches have equal anchors
+    columns = [[b for b, _, _ in places], [a for _, a, _ in places], value, range(len(places)), [0] * len(places), [1] * len(places)]
+    kinds, handed = {}, {}
+    for (b, a, _), v in zip(places, value):
+        kinds.setdefault((b, a), set()).add(v)
+    for rows in windows._stretches_handed_on([[np.array(c, np.int64) for c in columns]], shape):
+        for r in rows.to_pylist() if rows is not None else ():
+            if r["kind"] == windows.ENTRY:
+                for a, v in zip(*(c.tolist() for c in unpack([r["data"]], windows.ENTRY_TYPES)[:2])):
+                    handed.setdefault((r["key"], a), []).append(v)
+    assert {k: len(v) for k, v in handed.items()} == {k: min(2, len(v)) for k, v in kinds.items()}
+
+
 def test_registers_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(5)
     every = np.unique(rng.integers(0, 2**63, 110).astype(np.uint64))
