@@ -8,6 +8,8 @@ agrees in a band, and the exact containment of the template's shingles in the wi
 A window that holds 80 % of a template has a Jaccard similarity of at least 0.25 with it (two thirds of `size` shingles
 or more, in 2 * size and the missing ones), so it is missed with a probability of at most 0.75 ^ 48, one in a million.
 
+Variants of one text (BSD with two, three and four clauses) are found together; each window's best contained one is marked.
+
 * A null or empty text has no words and no license.  A text of fewer words than a shingle has no window.
 * Rows with one id are judged each by itself.  No row: no row.  Other columns are not looked at.
 """
@@ -22,29 +24,20 @@ from pyspark.sql import DataFrame
 
 from sediment.llm.arrays import PIECE, U64, Sums, Words, column_bytes, mix, runs, slices
 from sediment.llm.columns import bytes_of
+from sediment.llm.license_texts import TEMPLATES
 from sediment.llm.postings import LOWER, SEPARATORS
 from sediment.types import col
 
 SHINGLE, REGISTERS, CONTAINMENT = 3, 48, 0.8
 
-#: Names and texts of public license notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+#: The share of the smaller template that two have in common if they are variants of one text.
+VARIANTS = 0.5
 
 
 def template_shingles(text: str) -> np.ndarray:
+    """All shingles of a text, in order."""
     body = LOWER[np.frombuffer(text.encode(), np.uint8)]
-    return np.unique(Sums(Words(body, np.array([0, len(body)]), SEPARATORS).hashes()).hash_all(SHINGLE))
+    return Sums(Words(body, np.array([0, len(body)]), SEPARATORS).hashes()).hash_all(SHINGLE)
 
 
 def size_class(n: int) -> int:
@@ -64,10 +57,15 @@ class Templates:
     def __init__(self, texts: dict[str, str]):
         found = {k: template_shingles(v) for k, v in sorted(texts.items())}
         self.names = [k for k, v in found.items() if len(v)]
-        self.shingles = [found[k] for k in self.names]
+        self.shingles = [np.unique(found[k]) for k in self.names]
         self.classes: dict[int, list[int]] = {}
-        for i, s in enumerate(self.shingles):
-            self.classes.setdefault(size_class(len(s)), []).append(i)
+        for i, k in enumerate(self.names):
+            self.classes.setdefault(size_class(len(np.unique(found[k]))), []).append(i)
+        #: Of each template, those that are variants of the same text.
+        self.variants = [
+            {j for j, t in enumerate(self.shingles) if j != i and len(np.intersect1d(s, t)) >= VARIANTS * min(len(s), len(t))}
+            for i, s in enumerate(self.shingles)
+        ]
         #: Of each class and register, the minima of its templates, sorted, and whose they are.
         self.minima = {}
         for size, members in self.classes.items():
@@ -76,27 +74,39 @@ class Templates:
                 order = np.argsort(least)
                 self.minima[size, r] = (least[order], np.array(members)[order])
 
-    def retrieved(self, grams: np.ndarray, starts: np.ndarray, size: int, follows: np.ndarray) -> list[tuple[int, int]]:
-        """Windows and templates that agree in a band.  A window is a block of shingles and the one that follows, if it does."""
-        out = []
+    def retrieved(self, grams: np.ndarray, cuts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, set[tuple[int, int]]]:
+        """Of each class, windows and templates that agree in a band.  A window is a block of shingles and the one that follows, if it does."""
+        out: dict[int, set[tuple[int, int]]] = {size: set() for size in cuts}
         for r in range(REGISTERS):
-            least = np.minimum.reduceat(register(grams, r), starts)
-            window = least.copy()
-            window[:-1] = np.where(follows, np.minimum(least[:-1], least[1:]), least[:-1])
-            known, whose = self.minima[size, r]
-            at = np.searchsorted(known, window, "left")
-            for w in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == window):
-                k = at[w]
-                while k < len(known) and known[k] == window[w]:  # templates may have their least shingle in common
-                    out.append((int(w), int(whose[k])))
-                    k += 1
-        return sorted(set(out))
-
-    def scan(self, body: np.ndarray, offsets: np.ndarray) -> list[dict[str, float]]:
-        """Of each document, the templates found and the largest share of their shingles in one window."""
+            values = register(grams, r)
+            for size, (starts, _, follows) in cuts.items():
+                least = np.minimum.reduceat(values, starts)
+                window = least.copy()
+                window[:-1] = np.where(follows, np.minimum(least[:-1], least[1:]), least[:-1])
+                known, whose = self.minima[size, r]
+                at = np.searchsorted(known, window, "left")
+                for w in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == window):
+                    k = at[w]
+                    while k < len(known) and known[k] == window[w]:  # templates may have their least shingle in common
+                        out[size].add((int(w), int(whose[k])))
+                        k += 1
+        return out
+
+    def best(self, hits: list[tuple[int, int, int, float]]) -> set[int]:
+        """The templates with a window (template, start, end, share) that meets none of a variant that is better contained, or as well and longer."""
+        def rank(t, share):
+            return share, len(self.shingles[t])
+
+        return {
+            t for t, low, high, share in hits
+            if not any(u in self.variants[t] and a < high and low < b and rank(u, other) > rank(t, share) for u, a, b, other in hits)
+        }
+
+    def scan(self, body: np.ndarray, offsets: np.ndarray) -> list[dict[str, tuple[float, bool]]]:
+        """Of each document, the templates found, the largest share of their shingles in one window, and whether no variant fits better."""
         words = Words(LOWER[body], offsets, SEPARATORS)
         hashes, n = words.hashes(), np.diff(words.offsets)
-        found: list[dict[str, float]] = [{} for _ in n]
+        found: list[dict[str, tuple[float, bool]]] = [{} for _ in n]
         for a, b in runs(n, PIECE):
             low = words.offsets[a]
             every = Sums(hashes[low : words.offsets[b]]).hash_all(SHINGLE)
@@ -106,22 +116,28 @@ class Templates:
                 continue
             grams, owner = every[places], owner[places]
             inner = places + low - words.offsets[owner]
+            cuts = {}
             for size in self.classes:
                 block = inner // size
                 starts = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])))
-                ends = np.append(starts[1:], len(grams))
-                follows = owner[starts[1:]] == owner[starts[:-1]]
-                for w, t in self.retrieved(grams, starts, size, follows):
+                cuts[size] = starts, np.append(starts[1:], len(grams)), owner[starts[1:]] == owner[starts[:-1]]
+            hits: dict[int, list[tuple[int, int, int, float]]] = {}
+            for size, pairs in self.retrieved(grams, cuts).items():
+                starts, ends, follows = cuts[size]
+                for w, t in pairs:
                     end = ends[w + 1] if w < len(follows) and follows[w] else ends[w]
-                    share = np.isin(self.shingles[t], grams[starts[w] : end]).mean()
+                    share = float(np.isin(self.shingles[t], grams[starts[w] : end]).mean())
                     if share >= CONTAINMENT:
-                        mine = found[owner[starts[w]]]
-                        mine[self.names[t]] = max(share, mine.get(self.names[t], 0.0))
+                        hits.setdefault(int(owner[starts[w]]), []).append((t, int(starts[w]), int(end), share))
+            for document, mine in hits.items():
+                best = self.best(mine)
+                for t, _, _, share in mine:
+                    found[document][self.names[t]] = max(share, found[document].get(self.names[t], (0.0,))[0]), t in best
         return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id` and `licenses` (name and containment, sorted by name) of each row.
+    """`doc_id` and `licenses` (name, containment, and whether it is the best of its variants there, sorted by name) of each row.
 
     The templates are an argument, so what tasks are sent is as large as the caller makes it.
     """
@@ -130,10 +146,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: s
         known = Templates(templates)
         for batch in slices(batches, "body"):
             found = known.scan(*column_bytes(batch.column("body")))
-            rows = [[{"name": k, "containment": v} for k, v in sorted(f.items())] for f in found]
-            kind = pa.list_(pa.struct([("name", pa.string()), ("containment", pa.float64())]))
+            rows = [[{"name": k, "containment": v, "best": best} for k, (v, best) in sorted(f.items())] for f in found]
+            kind = pa.list_(pa.struct([("name", pa.string()), ("containment", pa.float64()), ("best", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "licenses"])
 
     rows = docs.select(col(key).alias("doc_id"), bytes_of(text).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scanned, f"doc_id {kind}, licenses array<struct<name:string,containment:double>>")
+    return rows.mapInArrow(scanned, f"doc_id {kind}, licenses array<struct<name:string,containment:double,best:boolean>>")

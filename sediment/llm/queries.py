@@ -191,6 +191,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    found = found.withColumn("licenses", F.filter("licenses", lambda x: x["best"]))
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
         F.array_join("licenses.name", ",").alias("licenses"), F.coalesce(F.array_max("licenses.containment"), F.lit(0.0)).alias("containment"),

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 import public_tokenizers
 
-from sediment.llm import near, packing, postings, windows
+from sediment.llm import licenses, near, packing, postings, windows
 from sediment.llm.arrays import Words, column_bytes, pack, unpack
 from llm import plain
 
@@ -150,3 +150,23 @@ def test_proximity(spark):
     near_ones = lambda slop: sorted(r["doc"] for r in postings.search(index, phrases, 10, slop=slop).collect())
     assert near_ones(0) == [3] and near_ones(2) == [1, 3] and near_ones(6) == [1, 2, 3]
     assert postings.search(index, phrases, 10).collect() == []
+
+
+def scanned(text, templates=licenses.TEMPLATES):
+    return licenses.Templates(templates).scan(*column_bytes(pa.array([text.encode()], pa.binary())))[0]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_the_best_of_variants_is_the_text_itself(name):
+    found = scanned(f"{'word ' * 77}{licenses.TEMPLATES[name]} and more")
+    assert found[name] == (1.0, True) and [k for k, (_, best) in found.items() if best] == [name]
+
+
+def test_a_preamble_is_no_license():
+    found = scanned(licenses.TEMPLATES["MIT-preamble"] + " by paying for it every month, " + "with other terms " * 30)
+    assert set(found) == {"MIT-preamble"}
+
+
+def test_variants_in_two_places_are_both_found():
+    found = scanned(licenses.TEMPLATES["BSD-2-Clause"] + " word" * 3000 + " " + licenses.TEMPLATES["BSD-3-Clause"])
+    assert {k for k, (_, best) in found.items() if best} == {"BSD-2-Clause", "BSD-3-Clause"}
