@@ -2,7 +2,7 @@
 
 Method: MinHash bands over overlapping windows.  Templates are put into classes by length; for a class with at most
 `size` shingles, a document's windows are 2 * size shingles long and begin every `size`, so any place where the template may
-stand is inside one.  Each of REGISTERS registers is a band of its own; a window retrieves every template with which it
+stand is inside one; its length is counted with repeated shingles.  Each of REGISTERS registers is a band of its own; a window retrieves every template with which it
 agrees in a band, and the exact containment of the template's shingles in the window decides.
 
 A window that holds 80 % of a template has a Jaccard similarity of at least 0.25 with it (two thirds of `size` shingles
@@ -60,7 +60,7 @@ class Templates:
         self.shingles = [np.unique(found[k]) for k in self.names]
         self.classes: dict[int, list[int]] = {}
         for i, k in enumerate(self.names):
-            self.classes.setdefault(size_class(len(np.unique(found[k]))), []).append(i)
+            self.classes.setdefault(size_class(len(found[k])), []).append(i)
         #: Of each template, those that are variants of the same text.
         self.variants = [
             {j for j, t in enumerate(self.shingles) if j != i and len(np.intersect1d(s, t)) >= VARIANTS * min(len(s), len(t))}

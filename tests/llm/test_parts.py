@@ -170,3 +170,9 @@ def test_a_preamble_is_no_license():
 def test_variants_in_two_places_are_both_found():
     found = scanned(licenses.TEMPLATES["BSD-2-Clause"] + " word" * 3000 + " " + licenses.TEMPLATES["BSD-3-Clause"])
     assert {k for k, (_, best) in found.items() if best} == {"BSD-2-Clause", "BSD-3-Clause"}
+
+
+@pytest.mark.parametrize("before", range(0, 400, 23))
+def test_a_template_of_repeated_shingles_fits_into_a_window(before):
+    text = " ".join(f"a{i}" for i in range(60)) + " go on and" * 60 + " " + " ".join(f"b{i}" for i in range(60))
+    assert scanned("x " * before + text + " y" * 300, {"long": text}) == {"long": (1.0, True)}
