@@ -18,6 +18,9 @@ from sediment.types import col, cols
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: The words of a benchmark item below which it removes no document: a word or a name is found in clean texts, too.
+LEAST_HIT = 5
+
 #: Tokens, copies and components can't be said in SQL; tests/llm compares every stage with a plain version.
 ORACLE_SQL = None
 
@@ -47,8 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a passage of the benchmark."""
-    found = postings.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """The documents without a passage of the benchmark, of LEAST_HIT words or more."""
+    found = postings.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=LEAST_HIT)
     return _only(docs, found.where(~F.col("contaminated")).select(F.col("doc_id").alias("id")))
 
 

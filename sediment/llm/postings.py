@@ -157,8 +157,8 @@ class Block:
         return np.concatenate([w for w, _ in out]), np.concatenate([s for _, s in out])
 
 
-def phrases_of(items: DataFrame, window: int, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Blocks of the query set: `item` (text), `size` and `phrases`, packed."""
+def phrases_of(items: DataFrame, window: int, key: str = "item_id", text: str = "text", least: int = 1) -> DataFrame:
+    """Blocks of the query set: `item` (text), `size` and `phrases`, packed; of items of at least `least` words."""
 
     def cut(batches):
         for batch in slices(batches, "body"):
@@ -167,7 +167,7 @@ def phrases_of(items: DataFrame, window: int, key: str = "item_id", text: str =
             rows = []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 size = min(window, b - a)
-                if size:
+                if size and b - a >= least:
                     n = b - a - size + 1
                     found = np.zeros((n, window), U64)
                     found[:, :size] = np.lib.stride_tricks.sliding_window_view(terms[a:b], size)
@@ -252,10 +252,13 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text",
-                  item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`doc_id`, `n_words`, `n_hit`, `items` (sorted as text) and `contaminated` of each row of `docs`."""
+                  item_key: str = "item_id", item_text: str = "text", least: int = 1) -> DataFrame:
+    """`doc_id`, `n_words`, `n_hit`, `items` (sorted as text) and `contaminated` of each row of `docs`.
+
+    Items of fewer than `least` words are no hit.
+    """
     index = build_index(docs, key, text)
-    hits = search(index, phrases_of(items, window, item_key, item_text), window)
+    hits = search(index, phrases_of(items, window, item_key, item_text, least), window)
     found = (
         hits.groupBy("doc").agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .mapInArrow(_covered, "doc long, n_hit long, items array<string>")

@@ -76,3 +76,12 @@ def test_stages(spark):
 def test_run_gives_what_the_stages_give(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 0
+
+
+def test_a_short_item_removes_no_document(spark, tmp_path):
+    items = [(1, "yes"), (2, "one, two three FOUR"), (3, "five words are an item")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, "yes"), (2, "so one two three four, yes"), (3, "that five words are an item"), (4, "nothing")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 4]
