@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import langid, licenses, lines, near, packing, postings, quality, substrings, suffixes, warc
+from sediment.llm import langid, licenses, lines, near, packing, phrases, postings, quality, rtree, simhash, substrings, suffixes, warc
 from sediment.staging import stage, staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,60 @@ def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("capture.type").alias("record_type"),
         F.when(again, F.col("original_metadata.page_id")).alias("refers_to"),
     )
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+@query("op12_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a
+  FROM p, unnest([1, 2, 3, 4]) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE a >= 30),
+scored AS (
+  SELECT f.lang, f.phrase, f.a, c, x.a AS l, y.a AS r, (2000000::HUGEINT * f.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM f, unnest(range(1, k)) AS s(c) JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.w[1:c], ' ')
+    JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.w[c + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most
+  FROM f, unnest(range(2, k)) AS s(n), unnest(range(1, k - n + 2)) AS r(i) GROUP BY ALL)
+SELECT lowest.lang, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank, lowest.phrase, a, l, r, n, score
+FROM lowest LEFT JOIN longer USING (lang, phrase) JOIN totals ON totals.lang = lowest.lang
+WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("cut")
