@@ -153,6 +153,39 @@ def scan_xml_by_xsd(spark, sf_dir):
     return rows.where(F.col("debt").isNull()).drop("debt")
 
 
+_ORDER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+  <xs:group name="line"><xs:sequence>
+    <xs:element name="number" type="xs:int"/>
+    <xs:element name="flag" type="xs:string" minOccurs="0"/>
+  </xs:sequence></xs:group>
+  <xs:element name="record"><xs:complexType><xs:sequence>
+    <xs:element name="l_orderkey" type="xs:long"/>
+    <xs:choice><xs:element name="few" type="xs:boolean"/><xs:element name="many" type="xs:boolean"/></xs:choice>
+    <xs:group ref="line" maxOccurs="unbounded"/>
+  </xs:sequence></xs:complexType></xs:element>
+</xs:schema>"""
+
+
+@query(
+    "scan_xml_repeated",
+    """SELECT l_orderkey, CASE WHEN count(*) < 4 THEN true END AS few, CASE WHEN count(*) >= 4 THEN true END AS many,
+        '[' || string_agg(l_linenumber, ',' ORDER BY l_linenumber) || ']' AS number,
+        '["' || string_agg(l_returnflag, '","' ORDER BY l_linenumber, l_returnflag) FILTER (l_returnflag <> 'N') || '"]' AS flag
+    FROM lineitem GROUP BY l_orderkey""",
+)
+def scan_xml_repeated(spark, sf_dir):
+    """Children that a row has several times: all their values, whether the row has one or many."""
+    line = F.struct("l_linenumber", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    flags = F.filter("lines.flag", lambda x: x.isNotNull())
+    rows = orders.select(
+        "l_orderkey", F.when(F.size("lines") < 4, True).alias("few"), F.when(F.size("lines") >= 4, True).alias("many"),
+        F.col("lines.l_linenumber").alias("number"), F.when(F.size(flags) > 0, flags).alias("flag"),
+    )
+    path = _written(rows, "xml", rowTag="record", rootTag="orders")
+    return scan_xml(spark, path, read_xsd(_ORDER_XSD)).drop(MALFORMED)
+
+
 # --- lineage, appends, folders -----------------------------------------------------------------------
 
 
@@ -441,6 +474,73 @@ def scan_fixed_sequence(spark, sf_dir):
     return _shown_records(scan_fixed(spark, folder, layout, is_record_sequence=True, big_endian=True), layout)
 
 
+_CLAUSES_COPYBOOK = """
+       01  BILL.
+           05  C-CUSTKEY             PIC 9(8) VALUE ZERO COMP-3.
+           05  MARK                  PIC X(9) VALUE 'none. yet'.
+           05  AMOUNTS COMP-3.
+               10  C-ACCTBAL         PIC S9(9)V99.
+               10  OWED              VALUE 0 PIC S9(9)V99.
+           05  BALANCE               SIGN IS LEADING SEPARATE CHARACTER
+                                     PIC S9(9)V99.
+           05  CHANGE                PIC S9(9)V99 TRAILING SEPARATE.
+           05  PLACE                 PIC X(6).
+           05  PLACE-PARTS REDEFINES PLACE.
+               10  C-NATIONKEY       PIC 9(2).
+               10  SEGMENT           PIC X(4).
+           05  RATE                  USAGE COMP-1.
+           05  N-NOTES               PIC 9.
+           05  NOTE                  OCCURS 0 TO 3 TIMES DEPENDING ON
+                                     N-NOTES INDEXED BY I, J.
+               10  KIND              PIC X.
+               10  AMOUNT            PIC S9(5) COMP-3.
+           05  SHOWN                 PIC ZZ9.99-.
+           05  PIC X.
+"""
+
+_SQL_CLAUSES = """SELECT c_custkey::INT AS C_CUSTKEY, 'a. "b' AS MARK, c_acctbal::DECIMAL(11,2)::VARCHAR AS AMOUNTS_C_ACCTBAL,
+    (-c_acctbal)::DECIMAL(11,2)::VARCHAR AS AMOUNTS_OWED, c_acctbal::DECIMAL(11,2)::VARCHAR AS BALANCE, (-c_acctbal)::DECIMAL(11,2)::VARCHAR AS CHANGE,
+    lpad(c_nationkey::VARCHAR, 2, '0') || c_mktsegment[1:4] AS PLACE, c_nationkey::INT AS PLACE_PARTS_C_NATIONKEY,
+    c_mktsegment[1:4] AS PLACE_PARTS_SEGMENT, (c_nationkey - 12)::FLOAT AS RATE, (c_custkey % 4)::INT AS N_NOTES,
+    '[' || array_to_string(list_transform(range(1, c_custkey % 4 + 1), lambda i: '{"KIND":"' || i || '","AMOUNT":' || (c_nationkey - 12) * i || '}'), ',') || ']' AS NOTE,
+    '  ' || (c_custkey % 10) || '.50-' AS SHOWN FROM customer"""
+
+
+def _bills(spark, sf_dir, room_for):
+    """Customers as records of the copybook; `room_for` notes of each record's number of them take room."""
+    cents, nation = _money("c_acctbal"), F.col("c_nationkey") - 12
+    digits = ebcdic.encode_zoned(F.abs(cents), 11, signed=False)
+    plus, minus = F.unhex(F.when(cents < 0, "60").otherwise("4E")), F.unhex(F.when(cents > 0, "60").otherwise("4E"))
+    head = F.hex(F.when(nation < 0, 0xC6).otherwise(0x46))  # six hexadecimal places before the point
+    notes = [F.concat(ebcdic.encode_text(F.lit(str(i)), 1), ebcdic.encode_comp3(nation * i, 5)) for i in (1, 2, 3)]
+    taken = [F.when(room_for(F.col("c_custkey") % 4) >= i, note).otherwise(F.unhex(F.lit(""))) for i, note in enumerate(notes, 1)]
+    return spread_table(spark, sf_dir, "customer").select(
+        F.concat(
+            ebcdic.encode_comp3(F.col("c_custkey"), 8), ebcdic.encode_text(F.lit('a. "b'), 9), ebcdic.encode_comp3(cents, 11), ebcdic.encode_comp3(-cents, 11),
+            plus, digits, digits, minus, ebcdic.encode_zoned(F.col("c_nationkey"), 2, signed=False), ebcdic.encode_text(F.col("c_mktsegment"), 4),
+            F.unhex(F.concat(head, F.lpad(F.hex(F.abs(nation)), 6, "0"))), ebcdic.encode_zoned(F.col("c_custkey") % 4, 1, signed=False), *taken,
+            ebcdic.encode_text(F.concat(F.lit("  "), F.col("c_custkey") % 10, F.lit(".50-")), 7), ebcdic.encode_text(F.lit(""), 1),
+        ).alias("value")
+    )
+
+
+@query("scan_fixed_clauses", _SQL_CLAUSES)
+def scan_fixed_clauses(spark, sf_dir):
+    """Clauses in any order, a group's usage, separate signs, alternatives, floats; a table that takes the room of its most entries."""
+    layout = read_copybook(_CLAUSES_COPYBOOK)
+    return _shown_records(decode_records(_bills(spark, sf_dir, lambda n: F.lit(3)), layout), layout)
+
+
+@query("scan_fixed_variable", _SQL_CLAUSES)
+def scan_fixed_variable(spark, sf_dir):
+    """The same with a table that takes the room of the entries it has, in records behind their lengths."""
+    layout = read_copybook(_CLAUSES_COPYBOOK, variable_size_occurs=True)
+    records = _bills(spark, sf_dir, lambda n: n)
+    header = F.unhex(F.concat(F.lpad(F.hex(F.octet_length("value")), 4, "0"), F.lit("0000")))
+    folder = _binary_file(records.select(F.concat(header, F.col("value")).alias("value")))
+    return _shown_records(scan_fixed(spark, folder, layout, is_record_sequence=True, big_endian=True), layout)
+
+
 # Bytes as manuals print them, with what they mean.
 _KNOWN_BYTES = [
     ("F0F0C3", 3, "7FFF", 32767, "12345C", 12345, "C885939396", "Hello"), ("F4F5D6", -456, "FF85", -123, "00987D", -987, "C14B405A", "A. !"),

@@ -70,15 +70,36 @@ def decode_comp3(raw: Column, digits: int, scale: int = 0) -> Column:
     )
 
 
-def decode_zoned(raw: Column, digits: int, scale: int = 0, signed: bool = True) -> Column:
-    """One digit a byte; a signed field carries its sign in the zone of the last byte (D is negative)."""
+def decode_zoned(raw: Column, digits: int, scale: int = 0, signed: bool = True, sign: str = "trailing") -> Column:
+    """One digit a byte.  A signed field carries its sign in the zone of the last byte, or of the first (`leading`), where D is negative,
+    or as a character of its own at that end (`leading separate`, `trailing separate`)."""
     nibbles = F.hex(raw)
-    zones = "[CDF]" if signed else "F"
-    sign = F.when(F.substring(nibbles, -2, 1) == "D", "-").otherwise("")
-    whole = F.regexp_replace(nibbles, "(.)(.)", "$2")
-    return F.when(
-        nibbles.rlike(f"^(F[0-9])*{zones}[0-9]$"), _scaled(F.concat(sign, whole), digits, scale)
-    )
+    if not signed:
+        fits, minus = "^(F[0-9])+$", F.lit(False)
+    elif sign == "trailing":
+        fits, minus = "^(F[0-9])*[CDF][0-9]$", F.substring(nibbles, -2, 1) == "D"
+    elif sign == "leading":
+        fits, minus = "^[CDF][0-9](F[0-9])*$", F.substring(nibbles, 1, 1) == "D"
+    elif sign == "leading separate":
+        fits, minus = "^(4E|60)(F[0-9])+$", F.substring(nibbles, 1, 2) == "60"
+    else:
+        fits, minus = "^(F[0-9])+(4E|60)$", F.substring(nibbles, -2, 2) == "60"
+    if sign.endswith("separate") and signed:
+        own = F.substring(nibbles, 3, 2 * digits) if sign.startswith("leading") else F.substring(nibbles, 1, 2 * digits)
+    else:
+        own = nibbles
+    whole = F.regexp_replace(own, "(.)(.)", "$2")
+    return F.when(nibbles.rlike(fits), _scaled(F.concat(F.when(minus, "-").otherwise(""), whole), digits, scale))
+
+
+def decode_float(raw: Column, length: int) -> Column:
+    """Hexadecimal floating point of 4 or 8 bytes: a sign bit, a power of 16 in excess 64, and a fraction."""
+    nibbles = F.hex(raw)
+    head = F.conv(F.substring(nibbles, 1, 2), 16, 10).cast("int")
+    fraction = F.conv(F.substring(nibbles, 3, 2 * length - 2), 16, 10).cast("bigint").cast("double")
+    power = F.pow(F.lit(16.0), (head % 128) - 64 - (2 * length - 2))
+    number = F.when(head >= 128, -fraction).otherwise(fraction) * power
+    return F.when(F.length(nibbles) == 2 * length, number.cast("float" if length == 4 else "double"))
 
 
 def _digits(unscaled: Column, digits: int) -> Column:
@@ -106,11 +127,14 @@ OVERPUNCH_PLUS = "{ABCDEFGHI"
 OVERPUNCH_MINUS = "}JKLMNOPQR"
 
 
-def decode_display_text(text: Column, digits: int, scale: int = 0) -> Column:
-    """Digits in a text file, with an optional overpunched or leading sign."""
+def decode_display_text(text: Column, digits: int, scale: int = 0, sign: str = "trailing") -> Column:
+    """Digits in a text file, with an optional sign: a character of its own at either end, or an overpunched digit, the last one or,
+    if the sign is `leading`, the first."""
     trimmed = F.trim(text)
-    last = F.right(trimmed, F.lit(1))
-    negative = F.instr(F.lit(OVERPUNCH_MINUS), last)
-    plain = F.translate(trimmed, OVERPUNCH_PLUS + OVERPUNCH_MINUS, "0123456789" * 2)
-    signed = F.when(negative > 0, F.concat(F.lit("-"), plain)).otherwise(plain)
-    return F.when(trimmed.rlike(r"^[+-]?[0-9]*[0-9{}A-R]$"), _scaled(signed, digits, scale))
+    first = sign.startswith("leading")
+    punched = F.left(trimmed, F.lit(1)) if first else F.right(trimmed, F.lit(1))
+    plain = F.translate(F.rtrim(trimmed, F.lit("+-")), OVERPUNCH_PLUS + OVERPUNCH_MINUS, "0123456789" * 2)
+    minus = (F.instr(F.lit(OVERPUNCH_MINUS), punched) > 0) | F.endswith(trimmed, F.lit("-"))
+    signed = F.when(minus, F.concat(F.lit("-"), plain)).otherwise(plain)
+    fits = r"^([+-]?[0-9]+|[0-9{}A-R][0-9]*|[0-9]+[+-])$" if first else r"^([+-]?[0-9]*[0-9{}A-R]|[0-9]+[+-])$"
+    return F.when(trimmed.rlike(fits), _scaled(signed, digits, scale))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sediment.functions.names import table_name, table_name_of
 from sediment.functions.rules import require
-from sediment.types import col
+from sediment.types import col, parse_sql_type
 
 MALFORMED = "_malformed"
 
@@ -97,16 +97,33 @@ def scan_json(spark: SparkSession, path, schema: T.StructType, *, multiline: boo
     return df.select(*picked, MALFORMED)
 
 
+def _one_or_all(values: Column) -> Column:
+    """The only text of a child, or the JSON array of all."""
+    return F.when(F.size(values) > 1, F.to_json(values)).otherwise(F.get(values, F.lit(0)))
+
+
 def scan_xml(spark: SparkSession, path, schema: T.StructType, *, row_tag: str = "record") -> DataFrame:
-    """Rows of XML files: the elements named `row_tag`; name spaces are ignored."""
+    """Rows of XML files: the elements named `row_tag`; name spaces are ignored.
+
+    A field whose metadata has `items`, a SQL type, is a child that a row may have several times: its values come as a JSON array.
+    Any other STRING child that a row happens to have several times comes as such an array, too; none of its values is lost.
+    """
     require("row_tag", row_tag, "row tag")
-    return (
-        spark.read.schema(_lenient(schema))
+    items = {f.name: parse_sql_type(f.metadata["items"]) for f in schema.fields if "items" in f.metadata}
+    texts = [f.name for f in schema.fields if f.name not in items and isinstance(f.dataType, T.StringType)]
+    as_written = T.StructType([
+        T.StructField(f.name, T.ArrayType(items.get(f.name, T.StringType())) if f.name in items or f.name in texts else f.dataType)
+        for f in schema.fields
+    ])
+    df = (
+        spark.read.schema(_lenient(as_written))
         .option("rowTag", row_tag)
         .option("ignoreNamespace", True)
         .option("columnNameOfCorruptRecord", MALFORMED)
         .xml(path)
     )
+    shown = {**{n: F.to_json(col(n)) for n in items}, **{n: _one_or_all(col(n)) for n in texts}}
+    return df.select(*[shown.get(f.name, col(f.name)).alias(f.name) for f in schema.fields], MALFORMED)
 
 
 def scan(spark: SparkSession, spec: LoadSpec) -> DataFrame:

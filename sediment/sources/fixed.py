@@ -2,190 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sediment.functions import ebcdic
+from sediment.sources.copybook import Field, layout_schema, named, read_copybook, record_length
 from sediment.types import col
 
-MAX_CALL_BYTES = 64 << 20
-
-
-@dataclass(frozen=True)
-class Field:
-    """One elementary item: where its bytes are and how they are written."""
-
-    name: str
-    path: tuple[str, ...]
-    offset: int
-    length: int
-    kind: str  # text, comp, comp3, zoned or group
-    digits: int = 0
-    scale: int = 0
-    signed: bool = False
-    occurs: int = 1
-    items: tuple[Field, ...] = ()  # of a repeated group, with offsets inside it
-
-    @property
-    def type(self) -> T.DataType:
-        if self.kind in ("text", "group") or self.occurs > 1:
-            return T.StringType()
-        return ebcdic.number_type(self.digits, self.scale)
-
-
-# The bytes a binary item takes, by its number of digits.
-_COMP_BYTES = ((4, 2), (9, 4), (18, 8))
-
-_USAGES = {
-    "COMP": "comp", "COMP-4": "comp", "COMP-5": "comp", "BINARY": "comp", "COMP-3": "comp3", "PACKED-DECIMAL": "comp3",
-    "DISPLAY": "zoned",
-}
-_USAGES |= {k.replace("COMP", "COMPUTATIONAL"): v for k, v in _USAGES.items() if k.startswith("COMP")}
-
-# Words that say nothing about the layout, and clauses whose value does not.
-_FILLING = ("IS", "ARE", "USAGE", "TIMES", "RIGHT")
-_NO_LAYOUT = ("VALUE", "VALUES", "JUST", "JUSTIFIED", "INDEXED", "ASCENDING", "DESCENDING")
-
-
-def _picture(pic: str) -> tuple[bool, int, int, bool]:
-    """(is text, digits or characters, scale, signed) of a PICTURE string."""
-    spelled = re.sub(r"(.)\((\d+)\)", lambda m: m[1] * int(m[2]), pic.upper())
-    if set(spelled) <= set("XA"):
-        return True, len(spelled), 0, False
-    signed = spelled.startswith("S")
-    whole, _, fraction = spelled.lstrip("S").partition("V")
-    if set(whole + fraction) != {"9"}:
-        raise ValueError(f"unsupported picture {pic!r}")
-    return False, len(whole) + len(fraction), len(fraction), signed
-
-
-def _statements(copybook: str) -> Iterator[list[str]]:
-    """The words of each statement; sequence numbers, comments and the right margin are cut off."""
-    code = " ".join(
-        line[7:72] for line in copybook.expandtabs().splitlines() if len(line) > 7 and line[6] not in "*/"
-    )
-    for statement in re.split(r"\.(?=\s|$)", code):
-        if statement.split():
-            yield statement.split()
-
-
-@dataclass
-class _Item:
-    """One entry of a copybook with the entries below it."""
-
-    level: int
-    name: str
-    picture: str | None
-    usage: str | None
-    occurs: int
-    below: list[_Item]
-
-
-def _item(words: list[str]) -> _Item:
-    """The entry that a statement describes.  A clause that is not understood is an error, as a wrong guess
-    would move every later field."""
-    level = int(words[0])
-    name = words[1].upper() if len(words) > 1 else "FILLER"
-    found = _Item(level, name, None, None, 1, [])
-    clauses = [w for w in words[2:] if w.upper() not in _FILLING]
-    at = 0
-    while at < len(clauses):
-        word = clauses[at].upper()
-        at += 1
-        if word in ("PIC", "PICTURE"):
-            found.picture = clauses[at]
-            at += 1
-        elif word in _USAGES:
-            found.usage = _USAGES[word]
-        elif word == "OCCURS" and clauses[at : at + 1] and clauses[at].isdigit() and "TO" not in map(str.upper, clauses[at + 1 : at + 2]):
-            found.occurs = int(clauses[at])
-            at += 1
-        elif word in _NO_LAYOUT:
-            break  # the rest belongs to this clause
-        else:
-            raise ValueError(f"{name}: {' '.join(words[2:])!r} is not supported, because of {word}")
-    return found
-
-
-def _tree(copybook: str) -> list[_Item]:
-    """The top entries of a copybook; condition names (level 88) take no room."""
-    tops: list[_Item] = []
-    open_items: list[_Item] = []
-    for words in _statements(copybook):
-        item = _item(words) if words[0] != "88" else None
-        if item is None:
-            continue
-        if item.level == 66:
-            raise ValueError(f"{item.name}: RENAMES is not supported")
-        while open_items and open_items[-1].level >= item.level:
-            open_items.pop()
-        (open_items[-1].below if open_items else tops).append(item)
-        open_items.append(item)
-    return tops
-
-
-def _size(item: _Item) -> int:
-    """The bytes of one occurrence."""
-    if item.picture is None:
-        return sum(_size(i) * i.occurs for i in item.below)
-    is_text, size, _, _ = _picture(item.picture)
-    if is_text or item.usage in (None, "zoned"):
-        return size
-    return size // 2 + 1 if item.usage == "comp3" else next(b for most, b in _COMP_BYTES if size <= most)
-
-
-def _fields(items: list[_Item], path: tuple[str, ...], offset: int) -> Iterator[Field]:
-    """The elementary items and repeated groups among entries, from an offset on."""
-    for item in items:
-        here, length = (*path, item.name), _size(item)
-        name = "_".join(here).replace("-", "_")
-        if item.picture is not None:
-            is_text, size, scale, signed = _picture(item.picture)
-            kind = "text" if is_text else item.usage or "zoned"
-            yield Field(name, here, offset, length, kind, size, scale, signed, item.occurs)
-        elif not item.below:
-            raise ValueError(f"{item.name} has neither a picture nor items")
-        elif item.occurs > 1:
-            yield Field(name, here, offset, length, "group", occurs=item.occurs, items=tuple(_fields(item.below, (), 0)))
-        else:
-            yield from _fields(item.below, here, offset)
-        offset += length * item.occurs
-
-
-def read_copybook(copybook: str) -> tuple[Field, ...]:
-    """The items of a record in order, FILLER included.
-
-    Names are the group path below the record joined by `_`.  What OCCURS, an item or a group, is one text column
-    with the JSON array of its values.  REDEFINES, RENAMES, tables of variable length, floating point and
-    separate signs are refused.
-    """
-    tops = _tree(copybook)
-    records = [i for i in tops if i.picture is None]
-    if len(tops) == 1 and records:
-        tops = records[0].below
-    fields = tuple(_fields(tops, (), 0))
-    if not fields:
-        raise ValueError("the copybook describes no field")
-    return fields
-
-
-def record_length(layout: Iterable[Field]) -> int:
-    return max(f.offset + f.length * f.occurs for f in layout)
-
-
-def named(layout: Iterable[Field]) -> list[Field]:
-    return [f for f in layout if f.path[-1] != "FILLER"]
+__all__ = ["Field", "decode_lines", "decode_records", "layout_schema", "named", "read_copybook", "record_length", "scan_fixed"]
 
-
-def layout_schema(layout: Iterable[Field]) -> T.StructType:
-    return T.StructType(
-        [T.StructField(f.name, f.type, True, {"path": list(f.path)}) for f in named(layout)]
-    )
+MAX_CALL_BYTES = 64 << 20
 
 
 def _decoded(raw: Column, f: Field) -> Column:
@@ -196,18 +24,44 @@ def _decoded(raw: Column, f: Field) -> Column:
             return ebcdic.decode_comp(raw, f.length, f.digits, f.scale, f.signed)
         case "comp3":
             return ebcdic.decode_comp3(raw, f.digits, f.scale)
-    return ebcdic.decode_zoned(raw, f.digits, f.scale, f.signed)
+        case "float":
+            return ebcdic.decode_float(raw, f.length)
+    return ebcdic.decode_zoned(raw, f.digits, f.scale, f.signed, f.sign)
+
+
+def _entries(record: Column, f: Field, decode) -> Column:
+    """How many entries a table of variable length has in a record; null if its counter says what can't be."""
+    n = decode(_bytes(record, f.counter, decode), f.counter)
+    return F.when(n.between(f.least, f.occurs), n.cast("int"))
+
+
+def _begin(record: Column, f: Field, decode, start: int = 0) -> Column:
+    """Where a field begins, from 1 on, `start` bytes later than its offset says."""
+    at = F.lit(start + f.offset + 1)
+    for table in f.after:
+        at = at - (F.lit(table.occurs) - _entries(record, table, decode)) * F.lit(table.length)
+    return at
+
+
+def _bytes(record: Column, f: Field, decode, start: int = 0, entry: int = 0) -> Column:
+    return F.substring(record, _begin(record, f, decode, start + entry * f.length), F.lit(f.length))
 
 
 def _items(record: Column, f: Field, decode, start: int = 0) -> Column:
     """The value of a field that begins `start` bytes later than its offset says."""
-    def one(at: int) -> Column:
-        if f.kind == "group":
-            return F.struct(*[_items(record, i, decode, at).alias(i.name) for i in named(f.items)])
-        return decode(F.substring(record, at + 1, f.length), f)
+    def one(entry: int) -> Column:
+        if f.kind != "group":
+            return decode(_bytes(record, f, decode, start, entry), f)
+        at = start + f.offset + entry * f.length
+        if f.after:  # the items of a table count from where the entry begins
+            moved = F.substring(record, _begin(record, f, decode, start + entry * f.length), F.lit(f.length))
+            return F.struct(*[_items(moved, i, decode).alias(i.name) for i in named(f.items)])
+        return F.struct(*[_items(record, i, decode, at).alias(i.name) for i in named(f.items)])
 
-    values = [one(start + f.offset + i * f.length) for i in range(f.occurs)]
-    return values[0] if f.occurs == 1 else F.to_json(F.array(*values))
+    if not f.repeated:
+        return one(0)
+    values = F.array(*[one(i) for i in range(f.occurs)])
+    return F.to_json(F.slice(values, F.lit(1), _entries(record, f, decode)) if f.counter else values)
 
 
 def decode_records(df: DataFrame, layout: Iterable[Field], record: str = "value") -> DataFrame:
@@ -222,7 +76,7 @@ def decode_lines(df: DataFrame, layout: Iterable[Field], line: str = "value") ->
         if f.kind == "text":
             return F.rtrim(text)
         if f.kind == "zoned":
-            return ebcdic.decode_display_text(text, f.digits, f.scale)
+            return ebcdic.decode_display_text(text, f.digits, f.scale, f.sign)
         raise ValueError(f"{f.name}: {f.kind} has no meaning in a text file")
 
     return df.select(*[_items(col(line), f, decode).alias(f.name) for f in named(layout)])

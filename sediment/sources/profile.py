@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sediment.functions.names import column_name_of, table_name
 from sediment.operators.projections import leaves
-from sediment.sources.files import PATTERNS, listed_files, scanned_name
+from sediment.sources.files import MALFORMED, PATTERNS, listed_files, scan_xml, scanned_name
 from sediment.types import col, parse_sql_type, quoted, sql_type_of
 
 PROFILE = "ordinal int, name string, sql_type string, nullable boolean"
@@ -187,7 +187,8 @@ def profile_json_text(df: DataFrame, text: str) -> DataFrame:
 def profile_xml(
     spark: SparkSession, path, *, row_tag: str = "record", sample_rows: int | None = None
 ) -> DataFrame:
-    """Columns of XML rows, from the texts of their children; attributes are ignored.
+    """Columns of XML rows, from the texts of their children; attributes are ignored.  A child that a row has several times is STRING,
+    as the scan gives the JSON array of its values.
 
     The children's names come from the rows as variants, so a sample reads no more than its rows.
     """
@@ -197,9 +198,8 @@ def profile_xml(
     children = [r["name"] for r in rows.select(F.explode(members).alias("name")).distinct().orderBy("name").collect()]
     if not children:
         raise ValueError(f"no <{row_tag}> rows in {path}; it has the elements {xml_tags(spark, path)}")
-    texts = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in children]))
-    values = texts.option("rowTag", row_tag).option("ignoreNamespace", True).xml(path)
-    return profile_columns(values, sample_rows=sample_rows, missing=())
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in children])
+    return profile_columns(scan_xml(spark, path, schema, row_tag=row_tag).drop(MALFORMED), sample_rows=sample_rows, missing=())
 
 
 def xml_tags(spark: SparkSession, path) -> list[str]:

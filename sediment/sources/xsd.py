@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import xml.etree.ElementTree as ET
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -47,65 +50,115 @@ def _built_in(element: ET.Element, simple: dict[str, ET.Element]) -> str | None:
         inline = base.find(f"{_XS}simpleType")
 
 
+@dataclass(frozen=True)
+class Child:
+    """An element a row may have, and how often: `least` times to `most` times."""
+
+    element: ET.Element
+    least: int
+    most: float
+
+
+def _times(part: ET.Element) -> tuple[int, float]:
+    most = part.get("maxOccurs", "1")
+    return int(part.get("minOccurs", "1")), math.inf if most == "unbounded" else int(most)
+
+
+class _Schema:
+    """The declarations of an XSD that others refer to."""
+
+    def __init__(self, root: ET.Element):
+        self.simple = {t.get("name"): t for t in root.iter(f"{_XS}simpleType") if t.get("name")}
+        self.complex = {t.get("name"): t for t in root.iter(f"{_XS}complexType") if t.get("name")}
+        self.elements = {e.get("name"): e for e in root.findall(f"{_XS}element")}
+        self.groups = {g.get("name"): g for g in root.findall(f"{_XS}group")}
+
+    def type_of(self, child: Child, before: Child | None) -> str:
+        """The SQL type of one value; a nested child is STRING."""
+        found = [XSD_TYPES.get(_built_in(c.element, self.simple), "STRING") for c in (child, before) if c]
+        if len(set(found)) > 1:
+            raise ValueError(f"{child.element.get('name')!r} is declared with two types")
+        return found[0]
+
+    def both(self, first: dict[str, Child], second: dict[str, Child], either: bool) -> dict[str, Child]:
+        """The children of two parts that stand behind each other, or of which a row has one."""
+        out = {}
+        for name in [*first, *(n for n in second if n not in first)]:
+            x, y = first.get(name), second.get(name)
+            known = x or y
+            self.type_of(known, y if x else None)
+            least, most = ([c.least if c else 0 for c in (x, y)], [c.most if c else 0 for c in (x, y)])
+            out[name] = Child(known.element, min(least) if either else sum(least), max(most) if either else sum(most))
+        return out
+
+    def children(self, body: ET.Element, inside: tuple[str, ...] = ()) -> dict[str, Child]:
+        """The child elements that a type or a part of it allows, in order.
+
+        The parts of a sequence or `all` add up, of a choice a row has one; a part that may be there several times
+        multiplies.  Groups, extensions and restrictions are followed; one that comes back to itself is an error.
+        """
+        kind = body.tag.removeprefix(_XS)
+        parts = [found for part in body if (found := self.part(part, inside)) is not None]
+        return functools.reduce(lambda x, y: self.both(x, y, kind == "choice"), parts) if parts else {}
+
+    def part(self, part: ET.Element, inside: tuple[str, ...]) -> dict[str, Child] | None:
+        """The children of one part; None if it is none."""
+        kind = part.tag.removeprefix(_XS)
+        if kind == "any":
+            raise ValueError("a row that may have any element has no fixed schema")
+        if kind == "element":
+            declared = self.elements.get(_local(part.get("ref", "")), part)
+            found = {declared.get("name"): Child(declared, 1, 1)}
+        elif kind in ("sequence", "all", "choice"):
+            found = self.children(part, inside)
+        elif kind in ("complexContent", "restriction"):
+            return self.children(part, inside)
+        elif kind == "extension":
+            base = self.referred("type", self.complex, part.get("base", ""), inside)
+            return self.both(base, self.children(part, inside), either=False)
+        elif kind == "group":
+            found = self.referred("group", self.groups, part.get("ref", ""), inside)
+        else:
+            return None
+        least, most = _times(part)
+        return {n: Child(c.element, c.least * least, c.most * most if most else 0) for n, c in found.items()}
+
+    def referred(self, kind: str, declared: dict[str, ET.Element], name: str, inside: tuple[str, ...]) -> dict[str, Child]:
+        name = _local(name)
+        if name not in declared:
+            if kind == "type":  # a built-in type has no children
+                return {}
+            raise ValueError(f"the group {name!r} is not declared")
+        if f"{kind} {name}" in inside:
+            raise ValueError(f"the {kind} {name!r} refers to itself")
+        return self.children(declared[name], (*inside, f"{kind} {name}"))
+
+
 def read_xsd(text: str, row_tag: str = "record") -> T.StructType:
     """The leaf children of the element named `row_tag`, wherever it is declared.
 
-    A child may be null if it is optional or nillable; a nested child is STRING.
+    A child may be null if a row may lack it or it is nillable; a nested child is STRING.  A child that a row may have several times is
+    STRING, the JSON array of its values, whose type the scan finds in the field's metadata as `items`.
     """
     root = ET.fromstring(text)
-    simple = {t.get("name"): t for t in root.iter(f"{_XS}simpleType") if t.get("name")}
-    complex_types = {t.get("name"): t for t in root.iter(f"{_XS}complexType") if t.get("name")}
     row = next((e for e in root.iter(f"{_XS}element") if e.get("name") == row_tag), None)
     if row is None:
         tops = sorted(e.get("name") for e in root.findall(f"{_XS}element"))
         raise ValueError(f"no element {row_tag!r} is declared; the top elements are {tops}")
+    schema = _Schema(root)
+    name = _local(row.get("type", ""))
     body = row.find(f"{_XS}complexType")
     if body is None:
-        body = complex_types.get(_local(row.get("type", "")))
+        body = schema.complex.get(name)
     if body is None:
         raise ValueError(f"element {row_tag!r} is a single value, not a row of fields")
-    shared = {e.get("name"): e for e in root.findall(f"{_XS}element")}
-    groups = {g.get("name"): g for g in root.findall(f"{_XS}group")}
-    fields: dict[str, T.StructField] = {}
-    for child, optional in _children(body, complex_types, groups):
-        declared = shared.get(_local(child.get("ref", "")), child)
-        known = _built_in(declared, simple)
-        field = T.StructField(
-            declared.get("name"),
-            parse_sql_type(XSD_TYPES.get(known, "STRING")),
-            optional or child.get("minOccurs") == "0" or declared.get("nillable") == "true",
-        )
-        before = fields.get(field.name)
-        if before and before.dataType != field.dataType:
-            raise ValueError(f"{field.name!r} is declared with two types")
-        fields.setdefault(field.name, field)
+    fields = []
+    for child_name, child in schema.children(body, (f"type {name}",) if name else ()).items():
+        if child.most:
+            one = schema.type_of(child, None)
+            several = child.most > 1
+            nullable = child.least == 0 or child.element.get("nillable") == "true"
+            fields.append(T.StructField(child_name, parse_sql_type("STRING" if several else one), nullable, {"items": one} if several else {}))
     if not fields:
         raise ValueError(f"element {row_tag!r} has no child elements")
-    return T.StructType(list(fields.values()))
-
-
-def _children(body: ET.Element, types: dict, groups: dict, optional: bool = False, seen: tuple = ()):
-    """The child elements a type allows, in order, each with whether a row may lack it.
-
-    Sequences and `all` have their members, a choice one of them, and groups, extensions and restrictions
-    are followed.
-    """
-    for part in body:
-        kind = part.tag.removeprefix(_XS)
-        inner = optional or part.get("minOccurs") == "0" or kind == "choice"
-        if kind == "element":
-            yield part, optional
-        elif kind in ("sequence", "all", "choice", "complexContent", "restriction"):
-            yield from _children(part, types, groups, inner, seen)
-        elif kind == "extension":
-            base = _local(part.get("base", ""))
-            if base in types and base not in seen:
-                yield from _children(types[base], types, groups, optional, (*seen, base))
-            yield from _children(part, types, groups, optional, seen)
-        elif kind == "group":
-            name = _local(part.get("ref", ""))
-            if name not in groups:
-                raise ValueError(f"the group {name!r} is not declared")
-            yield from _children(groups[name], types, groups, inner, (*seen, name))
-        elif kind == "any":
-            raise ValueError("a row that may have any element has no fixed schema")
+    return T.StructType(fields)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from sediment.operators.projections import flatten_struct, with_lineage
 from sediment.plans.raw import load_raw
 from sediment.sources.files import MALFORMED, LoadSpec, scan_csv, scan_json, scan_xml
-from sediment.sources.fixed import layout_schema, named, read_copybook, record_length, scan_fixed
+from sediment.sources.fixed import decode_records, layout_schema, named, read_copybook, record_length, scan_fixed
 from sediment.sources.profile import (
     profile_columns, profile_csv, profile_folder, profile_json, profile_schema, profile_xml,
 )
@@ -215,6 +215,12 @@ def test_xsd_content_models():
     assert columns(f'<xs:sequence>{a}<xs:group ref="g"/></xs:sequence>', group) == plain
     base = f'<xs:complexType name="Base"><xs:sequence>{a}</xs:sequence></xs:complexType>'
     assert columns(f'<xs:complexContent><xs:extension base="Base"><xs:sequence>{b}</xs:sequence></xs:extension></xs:complexContent>', base) == plain
+    loop = '<xs:group name="h"><xs:choice><xs:group ref="h"/></xs:choice></xs:group>'
+    with pytest.raises(ValueError, match="'h' refers to itself"):
+        columns('<xs:group ref="h"/>', loop)
+    again = f'<xs:complexType name="Row"><xs:complexContent><xs:extension base="Row"><xs:sequence>{a}</xs:sequence></xs:extension></xs:complexContent></xs:complexType>'
+    with pytest.raises(ValueError, match="'Row' refers to itself"):
+        columns('<xs:complexContent><xs:extension base="Row"/></xs:complexContent>', again)
     for bad, message in (
         ("<xs:sequence/>", "no child"), ("<xs:sequence><xs:any/></xs:sequence>", "any element"), ('<xs:group ref="h"/>', "not declared"),
         (f"<xs:choice>{a}{element('a', 'xs:int')}</xs:choice>", "two types"),
@@ -223,6 +229,36 @@ def test_xsd_content_models():
             columns(bad)
 
 
+@pytest.mark.parametrize("content, least, most", [
+    ("<xs:sequence>{a}</xs:sequence>", 1, 1), ("<xs:sequence>{a}{a}</xs:sequence>", 2, 2), ("<xs:choice>{a}{b}</xs:choice>", 0, 1),
+    ("<xs:choice>{a}<xs:sequence>{b}{a}</xs:sequence></xs:choice>", 1, 1), ('<xs:sequence maxOccurs="unbounded">{a}</xs:sequence>', 1, 9),
+    ('<xs:sequence><xs:choice minOccurs="0" maxOccurs="3">{a}{b}</xs:choice></xs:sequence>', 0, 3), ("<xs:sequence><xs:choice>{a}{b}</xs:choice>{a}</xs:sequence>", 1, 2),
+    ('<xs:sequence>{b}<xs:element name="a" minOccurs="0" maxOccurs="0"/></xs:sequence>', 0, 0), ('<xs:group ref="g" maxOccurs="2"/>', 1, 2),
+])
+def test_how_often_a_child_may_be_there(content, least, most):
+    group = f'<xs:group name="g"><xs:sequence>{element("a", "xs:int")}</xs:sequence></xs:group>'
+    fields = {f.name: f for f in read_xsd(xsd(content.format(a=element("a", "xs:int"), b=element("b")), group)).fields}
+    if not most:
+        assert "a" not in fields
+        return
+    assert fields["a"].nullable == (least == 0)
+    assert (fields["a"].dataType.simpleString(), fields["a"].metadata) == (("string", {"items": "INT"}) if most > 1 else ("int", {}))
+
+
+def test_no_value_of_a_repeated_child_is_lost(spark, tmp_path):
+    (tmp_path / "r.xml").write_text(
+        "<log><record><no>1</no><tag>x</tag><tag>y</tag><level>3</level><note/></record>"
+        "<record><no>2</no><tag>z</tag><level>4</level><level>5</level><note>a</note><note>b</note></record><record><no>3</no><level>no</level></record></log>"
+    )
+    content = "<xs:sequence>" + element("no", "xs:int") + element("tag", minOccurs="0", maxOccurs="unbounded") + element("level", "xs:int", maxOccurs="4") + element("note") + "</xs:sequence>"
+    rows = {r["no"]: r for r in scan_xml(spark, str(tmp_path / "r.xml"), read_xsd(xsd(content))).collect()}
+    assert [(r["tag"], r["level"], r["note"], r[MALFORMED] is None) for r in (rows[1], rows[2])] == [
+        ('["x","y"]', "[3]", "", True), ('["z"]', "[4,5]", '["a","b"]', True)]
+    assert rows[3][MALFORMED] is not None
+    assert profiled(profile_xml(spark, str(tmp_path / "r.xml"))) == {
+        "level": ("STRING", False), "no": ("BIGINT", False), "note": ("STRING", True), "tag": ("STRING", True)}
+
+
 # --- mainframe files -------------------------------------------------------------------------------
 
 COPYBOOK = """      * What a gauge reports, 64 bytes.
@@ -289,13 +325,121 @@ def test_copybook_layout():
     assert (types["LEVEL"], types["DRIFT"], types["TICKS"], types["ALARM"]) == ("decimal(7,2)", "decimal(4,4)", "bigint", "string")
 
 
+def book(*lines):
+    return "       01  R.\n" + "".join(f"       {line}\n" for line in lines)
+
+
+def laid_out(*lines, **how):
+    return {f.name: (f.offset, f.length, f.kind) for f in read_copybook(book(*lines), **how)}
+
+
 @pytest.mark.parametrize("clause", [
-    "PIC X REDEFINES B", "PIC Z(3)", "COMP-1", "COMP-2", "PIC S9(4) SIGN LEADING SEPARATE", "PIC X OCCURS 1 TO 5 TIMES DEPENDING ON N",
-    "PIC 9(4) COMP-9", "PIC X SYNCHRONIZED", "",
+    "PIC X REDEFINES B", "PIC X REDEFINES", "PIC 9(3)P", "PIC Q", "COMP-1 PIC 9", "PIC X OCCURS 1 TO 5 TIMES DEPENDING ON N", "PIC X OCCURS 1 TO 5",
+    "PIC X OCCURS N TIMES", "PIC 9(4) COMP-9", "PIC X SYNCHRONIZED", "PIC N(4)", "POINTER", "PIC X(3) COMP-3", "PIC 9(19) COMP", "PIC S9 SIGN IS SEPARATE", "", "PIC X VALUE 'open",
 ])
 def test_clauses_that_are_not_understood_are_refused(clause):
     with pytest.raises(ValueError):
-        read_copybook(f"       01  R.\n           05  A  {clause}.\n           05  B PIC X.\n")
+        read_copybook(book(f"05  A  {clause}.", "05  B PIC X."))
+
+
+FILLING = [
+    "VALUE 'a. b'", 'VALUE "it\'s, PIC X"', "VALUE ZERO", "VALUES ARE 1 THRU 5, 7", "VALUE -1.5", "VALUE X'0F'", "JUSTIFIED RIGHT", "BLANK WHEN ZEROES", "GLOBAL",
+]
+
+
+@pytest.mark.parametrize("more", FILLING)
+@pytest.mark.parametrize("clauses, expected", [
+    (["PIC S9(5)", "COMP-3"], (3, "comp3")), (["PICTURE IS 9(5)", "USAGE IS BINARY"], (4, "comp")), (["OCCURS 2 TIMES", "PIC X(4)"], (4, "text")),
+    (["PIC S9(4)", "SIGN IS LEADING SEPARATE CHARACTER"], (5, "zoned")), (["USAGE COMP-2"], (8, "float")), (["PIC -(4)9.99"], (8, "text")),
+])
+def test_clauses_stand_in_any_order(clauses, expected, more):
+    import itertools
+
+    for order in itertools.permutations([*clauses, more]):
+        layout = laid_out("05  A", *[f"        {clause}" for clause in order], "    .", "05  B PIC X.")
+        assert layout["A"] == (0, *expected)
+        assert layout["B"][0] == expected[0] * (2 if "OCCURS 2 TIMES" in clauses else 1)
+
+
+def test_groups_hand_down_usage_and_sign():
+    layout = laid_out(
+        "05  G COMP-3 SIGN LEADING SEPARATE.", "    10  A PIC 9(5).", "    10  H.", "        15  B PIC S9(3)V99.",
+        "05  S SIGN IS TRAILING SEPARATE.", "    10  C PIC S9(3).", "    10  D PIC 9(3).", "    10  E PIC S9(3) LEADING.",
+        "05  T OCCURS 3 ASCENDING KEY IS F INDEXED BY I, J USAGE COMP.", "    10  F PIC 9(5).", "05  Z PIC X.",
+    )
+    assert layout == {
+        "G_A": (0, 3, "comp3"), "G_H_B": (3, 3, "comp3"), "S_C": (6, 4, "zoned"), "S_D": (10, 3, "zoned"), "S_E": (13, 3, "zoned"), "T": (16, 4, "group"), "Z": (28, 1, "text"),
+    }
+    with pytest.raises(ValueError, match="another usage"):
+        read_copybook(book("05  G COMP-3.", "    10  A PIC 9(5) COMP."))
+
+
+def test_alternatives_share_their_bytes():
+    layout = laid_out(
+        "05  A PIC X(6).", "05  B REDEFINES A.", "    10  C PIC 9(2).", "    10  FILLER.", "        15  D PIC X(7).", "05  E REDEFINES A PIC 9(3).", "05  F PIC X.",
+    )
+    assert layout == {"A": (0, 6, "text"), "B_C": (0, 2, "zoned"), "B_D": (2, 7, "text"), "E": (0, 3, "zoned"), "F": (9, 1, "text")}
+    for lines in (["05  A PIC X.", "05  B PIC X.", "05  C REDEFINES A PIC X."], ["05  A PIC X.", "05  A PIC X."]):
+        with pytest.raises(ValueError):
+            read_copybook(book(*lines))
+
+
+def test_continued_lines_and_literals():
+    text = "000100 01  R.\n000200     05  A PIC X(3) VALUE 'one\n000300-        'two. 05 Q PIC X'.\n000400     05  LONG-\n000500-    NAME PIC 9(2)\n000600*  a remark\n000700D    05  NOT-HERE PIC X.\n000800         COMP-3."
+    assert [(f.name, f.offset, f.length) for f in read_copybook(text)] == [("A", 0, 3), ("LONG_NAME", 3, 2)]
+
+
+def test_tables_of_variable_length(spark):
+    lines = ["05  N PIC 9.", "05  P OCCURS 1 TO 4 TIMES DEPENDING ON N PIC X(2).", "05  M PIC 9.", "05  Q OCCURS 3 DEPENDING ON M.", "    10  V PIC S9(3) COMP-3.", "05  Z PIC X."]
+
+    def record(n, p, m, q, z, room=None):
+        parts = [str(n).encode("cp037"), *[x.encode("cp037") for x in p], b"\x40\x40" * (room[0] - len(p) if room else 0)]
+        return b"".join([*parts, str(m).encode("cp037"), *[nibbles(v, 2, "d" if v < 0 else "c") for v in q], b"\0\0" * (room[1] - len(q) if room else 0), z.encode("cp037")])
+
+    cases = [(2, ["ab", "cd"], 0, [], "x"), (4, ["ab", "cd", "ef", "gh"], 3, [1, -2, 3], "y"), (1, ["  "], 1, [999], "z")]
+    expected = [(n, [x.rstrip() for x in p], m, [{"V": v} for v in q], z) for n, p, m, q, z in cases]
+    for variable in (False, True):
+        layout = read_copybook(book(*lines), variable_size_occurs=variable)
+        assert record_length(layout) == 1 + 8 + 1 + 6 + 1
+        df = spark.createDataFrame([(record(*c, room=None if variable else (4, 3)),) for c in cases], "value binary").coalesce(1)
+        rows = [(r["N"], json.loads(r["P"]), r["M"], json.loads(r["Q"]), r["Z"]) for r in decode_records(df, layout).collect()]
+        assert rows == expected
+    layout = read_copybook(book(*lines), variable_size_occurs=True)
+    wrong = spark.createDataFrame([(record(9, ["ab"], 1, [1], "x"),)], "value binary")  # no table has nine entries
+    assert list(decode_records(wrong, layout).first()) == [9, None, None, None, None]
+    for bad in (["05  T OCCURS 2.", "    10  K PIC 9.", "    10  U PIC X OCCURS 1 TO 2 DEPENDING ON K."], ["05  U PIC X OCCURS 1 TO 2 DEPENDING ON K.", "05  K PIC 9."]):
+        with pytest.raises(ValueError):
+            read_copybook(book(*bad))
+    with pytest.raises(ValueError, match="redefined"):
+        read_copybook(book("05  K PIC 9.", "05  A PIC X(4).", "05  U REDEFINES A PIC X OCCURS 1 TO 2 DEPENDING ON K."), variable_size_occurs=True)
+
+
+def test_separate_and_leading_signs(spark):
+    from sediment.functions.ebcdic import decode_display_text, decode_zoned
+
+    cases = {
+        "trailing": [("F1F2C3", 123), ("F1F2D3", -123), ("F1F2F3", 123), ("C1F2F3", None), ("4EF1F2", None)],
+        "leading": [("C1F2F3", 123), ("D1F2F3", -123), ("F1F2D3", None)],
+        "leading separate": [("4EF1F2F3", 123), ("60F1F2F3", -123), ("F0F1F2F3", None)], "trailing separate": [("F1F2F34E", 123), ("F1F2F360", -123), ("60F1F2F3", None)],
+    }
+    texts = {"trailing": [("12C", 123), ("12L", -123), ("-12", -12), ("12-", -12)], "leading": [("A23", 123), ("J23", -123), ("+12", 12), ("12L", None)]}
+    for sign, rows in cases.items():
+        df = spark.createDataFrame(rows, "h string, v int")
+        assert [r[0] for r in df.select(decode_zoned(F.unhex("h"), 3, 0, True, sign)).collect()] == [v for _, v in rows]
+    for sign, rows in texts.items():
+        df = spark.createDataFrame(rows, "t string, v int")
+        assert [r[0] for r in df.select(decode_display_text(F.col("t"), 3, 0, sign)).collect()] == [v for _, v in rows]
+
+
+def test_hexadecimal_floats(spark):
+    from sediment.functions.ebcdic import decode_float
+
+    # Known bytes: the sign, 16 to the power of 65 - 64, a fraction of 0.0625 is 1.
+    known = [("41100000", 1.0), ("C276A000", -118.625), ("00000000", 0.0), ("40800000", 0.5), ("411000", None)]
+    df = spark.createDataFrame(known, "h string, v double")
+    assert [r[0] for r in df.select(decode_float(F.unhex("h"), 4)).collect()] == [v for _, v in known]
+    row = spark.sql("SELECT unhex('C276A00000000000') AS a, unhex('4110000000000001') AS b").select(decode_float(F.col("a"), 8), decode_float(F.col("b"), 8)).first()
+    assert (row[0], row[1]) == (-118.625, 1 + 16.0**-13)
 
 
 def test_fixed_records(spark, db, tmp_path):
