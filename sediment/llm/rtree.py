@@ -222,11 +222,11 @@ def _searched(same: bool, k: int, low: int, high: int):
     def opened(row: dict, anchors: int) -> list[list[tuple]]:
         """For each anchor: the positives, their scores, and the best rows found for them."""
         if same:
-            return [[(None, None, Best(k))] for _ in range(anchors)]
+            return [[(None, None, None, Best(k))] for _ in range(anchors)]
         out: list[list[tuple]] = [[] for _ in range(anchors)]
         for p in row["positives"]:
             s = p["score"]
-            out[p["slot"]].append((p["id"], s, Best(k, -(-low * s // 100), high * s // 100)))
+            out[p["slot"]].append((p["place"], p["id"], s, Best(k, -(-low * s // 100), high * s // 100)))
         return out
 
     def added(tree: dict, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, best: list[list[tuple]]) -> None:
@@ -241,16 +241,16 @@ def _searched(same: bool, k: int, low: int, high: int):
         highs = [up @ b.T + down @ a.T for a, b in packed.levels]
         for slot, own in enumerate(best):
             if own:
-                asked = Asked([b for _, _, b in own])
+                asked = Asked([best for *_, best in own])
                 search(packed, [x[slot].tolist() for x in lows], [x[slot].tolist() for x in highs], anchors[slot], ids[slot], labels[slot], same, asked)
 
     def found(block: int, ids: np.ndarray, best: list[list[tuple]]) -> pa.RecordBatch:
         rows = [
-            (block, slot, int(ids[slot]), positive, score, i, -int(s))
-            for slot, own in enumerate(best) for positive, score, b in own for s, i in b.rows
+            (block, slot, place, int(ids[slot]), positive, score, i, -int(s))
+            for slot, own in enumerate(best) for place, positive, score, b in own for s, i in b.rows
         ]
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-        names = ["block", "slot", "anchor", "positive", "positive_score", "id", "score"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+        names = ["block", "slot", "place", "anchor", "positive", "positive_score", "id", "score"]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def _searched(same: bool, k: int, low: int, high: int):
     return searched
 
 
-_FOUND = "block long, slot int, anchor long, positive long, positive_score long, id long, score long"
+_FOUND = "block long, slot int, place int, anchor long, positive long, positive_score long, id long, score long"
 
 
 def _against_all(blocks: DataFrame, trees: DataFrame, lanes: int, searched) -> DataFrame:
@@ -300,13 +300,13 @@ def hard_negatives(
 
     order = [F.desc("score"), "id"]
     found = _against_all(blocks, trees, lanes, _searched(True, positives, low, high))
-    place = Window.partitionBy("block", "slot").orderBy(*order)
-    first = stage(found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= positives).select("block", "slot", "id", "score"))
-    windows = first.groupBy("block").agg(F.collect_list(F.struct("slot", "id", "score")).alias("positives"))
+    place = F.row_number().over(Window.partitionBy("block", "slot").orderBy(*order))
+    first = stage(found.withColumn("place", place).where(F.col("place") <= positives).select("block", "slot", "place", "id", "score"))
+    windows = first.groupBy("block").agg(F.collect_list(F.struct("slot", "place", "id", "score")).alias("positives"))
 
     found = _against_all(stage(blocks.join(windows, "block")), trees, lanes, _searched(False, negatives, low, high))
-    place = Window.partitionBy("block", "slot", "positive").orderBy(*order)
-    ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= negatives)
+    place = F.row_number().over(Window.partitionBy("block", "slot", "place").orderBy(*order))
+    ranked = found.withColumn("rank", place).where(F.col("rank") <= negatives)
     return ranked.select(
         F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"),

@@ -22,7 +22,7 @@ def plainly(rows, every=10, positives=5, negatives=10, low=30, high=90):
     for i, v, label in (k for k in given if k[0] % every == 0):
         scored = sorted((-sum(a * b for a, b in zip(v, w)), j, other) for j, w, other in every_row if j != i)
         for s, p, _ in [x for x in scored if x[2] == label][:positives]:
-            fits = [x for x in scored if x[2] != label and -30 * s * (low / 30) <= -100 * x[0] <= -s * high]
+            fits = [x for x in scored if x[2] != label and -low * s <= -100 * x[0] <= -high * s]
             out += [(i, p, rank, n, -s, -t) for rank, (t, n, _) in enumerate(fits[:negatives], 1)]
     return sorted(out)
 
@@ -53,7 +53,7 @@ def test_odd_rows(spark):
     same = rows[7][1]
     rows += [(200 + i, same, i % 3) for i in range(150)]  # one vector in over half of all rows: all scores tie
     rows += [(20, rows[20][1], rows[20][2]), (30, [0.0] * 6, 1), (31, rows[31][1], rows[31][2])]  # a row twice, and one id for two
-    rows += [(400, None, 1), (410, [1.0, None, 0, 0, 0, 0], 1), (420, [math.nan] * 6, 1), (430, [math.inf] * 6, 1), (440, same, None), (None, same, 2)]
+    rows += [(400, None, 1), (410, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (420, [math.nan] * 6, 1), (430, [math.inf] * 6, 1), (440, same, None), (None, same, 2)]
     rows += [(450, [0.0] * 6, 9), (460, [-x for x in same], 2), (470, same[:4], 1), (480, [], 0)]
     assert found(spark, rows, tree=64) == plainly(rows)
 
