@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from checks.base import query, table
 from checks.loads import LINE_COLUMNS, SQL_LINE, line_raw
 from sediment.functions.steps import Cast, Lower, NullIf, Trim, Upper
+from sediment.operators.masterkey import AmbiguousMasterKeys
 from sediment.plans.bronze import build_bronze
 from sediment.plans.raw import load_raw, load_tables
+from sediment.plans.report import recorded, run_report
 from sediment.plans.silver import build_entities
 from sediment.plans.spec import Attribute, Entity, MasterKey, SilverSpec
 from sediment.sources.files import LoadSpec, folder_specs
 from sediment.sources.profile import profile_folder, profile_schema
+from sediment.sources.tables import exists, row_count, table_version
 from sediment.staging import stage, staging_folder
 from sediment.types import schema_of
 
@@ -67,15 +70,19 @@ def job_raw(spark, sf_dir):
 # --- a folder of files, two of them alike: profiled, and each loaded into its own table ----------------
 
 
-def _one_file(df, folder, name):
-    """Rows as one CSV file of a given name."""
-    spark, part = df.sparkSession, staging_folder(df.sparkSession)
-    df.coalesce(1).write.option("header", True).csv(part)
+def _folder_of(df, folder, by):
+    """Rows as CSV files with a header, one for each value of a column and task that writes: `Orders <value> <n>.csv`."""
+    spark, parts = df.sparkSession, staging_folder(df.sparkSession)
+    df.write.partitionBy(by).option("header", True).csv(parts)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
-    (written,) = [f.getPath() for f in system.listStatus(path(part)) if f.getPath().getName().startswith("part-")]
+    system = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(folder))
-    system.rename(written, path(f"{folder}/{name}"))
+    names = {}
+    for at in system.globStatus(path(f"{parts}/{by}=*/part-*")):
+        value = at.getPath().getParent().getName().split("=")[1]
+        names.setdefault(value, []).append(f"Orders {value} {len(names.get(value, []))}.csv")
+        system.rename(at.getPath(), path(f"{folder}/{names[value][-1]}"))
+    return names
 
 
 @query(
@@ -89,21 +96,83 @@ def _one_file(df, folder, name):
         CASE name WHEN 'orders_p' THEN 'STRING' ELSE 'BIGINT' END FROM loaded""",
 )
 def job_folder(spark, sf_dir):
+    """Files by status, as many as tasks wrote; each is profiled and loaded into a table of its own."""
     folder, db = staging_folder(spark), _database(spark)
     orders = table(spark, sf_dir, "orders")
-    for status, other in (("F", "o_custkey"), ("O", "o_custkey"), ("P", "o_orderpriority")):
-        _one_file(orders.where(F.col("o_orderstatus") == status).select("o_orderkey", other), folder, f"Orders {status}.csv")
+    names = _folder_of(orders.where("o_orderstatus <> 'P'").select("o_orderstatus", "o_orderkey", "o_custkey"), folder, "o_orderstatus")
+    names |= _folder_of(orders.where("o_orderstatus = 'P'").select("o_orderstatus", "o_orderkey", "o_orderpriority"), folder, "o_orderstatus")
     profile = stage(profile_folder(spark, folder))
-    schemas = {f"Orders {s}.csv": profile_schema(profile.where(F.col("file_name") == f"Orders {s}.csv")) for s in "FOP"}
+    reviewed = {status: profile_schema(profile.where(F.col("file_name") == files[0])) for status, files in names.items()}
+    schemas = {f: reviewed[status] for status, files in names.items() for f in files}
     load_tables(spark, folder_specs(spark, folder, "csv", schemas), db, batch_id="one")
-    found = profile.select("table_name", F.col("name").alias("what"), F.col("sql_type").alias("value"))
-    for name in ("orders_f", "orders_o", "orders_p"):
-        rows = spark.table(f"{db}.{name}")
-        text = F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns[:2]])
-        found = found.unionByName(rows.select(F.lit(name).alias("table_name"), F.lit("row").alias("what"), text.alias("value")))
+    by_status = F.regexp_replace("table_name", "_[0-9]+$", "").alias("table_name")
+    found = profile.select(by_status, F.col("name").alias("what"), F.col("sql_type").alias("value")).distinct()
+    for status, files in names.items():
+        for n in range(len(files)):
+            rows = spark.table(f"{db}.orders_{status.lower()}_{n}")
+            text = F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns[:2]])
+            found = found.unionByName(rows.select(F.lit(f"orders_{status.lower()}").alias("table_name"), F.lit("row").alias("what"), text.alias("value")))
     return found
 
 
+# --- reports and versions: what runs say is kept once, and every write of a table counts --------------------
+
+
+@query(
+    "job_reports",
+    """WITH loads(run_id, layer, table_name, times) AS (VALUES ('first', 'raw', 'raw', 1), ('second', 'raw', 'raw', 2), ('third', 'bronze', 'line', 1))
+    SELECT run_id, layer, table_name, true AS reconciled, count(*) AS rows_read, CASE layer WHEN 'raw' THEN count(*) END AS rows_written,
+        CASE layer WHEN 'raw' THEN times * count(*) ELSE count(DISTINCT (c_custkey % 100, c_mktsegment)) END AS rows_in_target,
+        CASE layer WHEN 'bronze' THEN count(DISTINCT (c_custkey % 100, c_mktsegment)) END AS rows_inserted,
+        CASE layer WHEN 'raw' THEN times ELSE 1 END::BIGINT AS version
+    FROM customer, loads GROUP BY run_id, layer, table_name, times""",
+)
+def job_reports(spark, sf_dir):
+    """Two loads and a Bronze run of the second; one of the loads is reported twice, as if its job had been repeated."""
+    folder, db = staging_folder(spark), _database(spark)
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("no"), F.col("c_mktsegment").alias("segment"))
+    rows.write.option("header", True).csv(folder)
+    spec, reports = LoadSpec(folder, "csv", schema_of({"no": "INT", "segment": "STRING"})), f"{db}.reports"
+    versions = {}
+    for run in ("first", "second"):
+        done = load_raw(spark, spec, f"{db}.raw", batch_id=run, reports=reports, run_id=run)
+        versions[run] = table_version(spark, f"{db}.raw")
+    recorded(spark, run_report("raw", "append", {f"{db}.raw": done}), reports, "second", F.current_timestamp())
+    build_bronze(spark, f"{db}.raw", f"{db}.line", ["no", "segment"], buckets=BUCKETS, batch_ids=["second"], reports=reports, run_id="third")
+    versions["third"] = table_version(spark, f"{db}.line")
+    numbers = spark.createDataFrame([*versions.items()], "run_id STRING, version BIGINT")
+    return spark.table(reports).join(numbers, "run_id").select(
+        "run_id", "layer", F.regexp_replace("table_name", r"^.*\.", "").alias("table_name"), "reconciled", "rows_read", "rows_written", "rows_in_target",
+        "rows_inserted", "version",
+    )
+
+
+@query(
+    "job_ambiguous_keys",
+    """WITH many AS (SELECT p_partkey::VARCHAR AS k FROM part WHERE p_partkey % 7 = 3)
+    SELECT 'example' AS what, k AS value FROM (SELECT k FROM many ORDER BY k LIMIT 5)
+    UNION ALL SELECT 'keys', count(*)::VARCHAR FROM many
+    UNION ALL SELECT 'rows in the entity', '0'""",
+)
+def job_ambiguous_keys(spark, sf_dir):
+    """A crosswalk with two codes for some parts stops the Silver job, which names some of them and writes no row."""
+    db = _database(spark)
+    codes = table(spark, sf_dir, "part").select(
+        F.lit("SHOP").alias("shop"), F.col("p_partkey").cast("string").alias("number"),
+        F.explode(F.when(F.col("p_partkey") % 7 == 3, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))).alias("catalog_no"),
+    )
+    codes.write.saveAsTable(f"{db}.catalog")
+    part_raw(spark, sf_dir).write.saveAsTable(f"{db}.raw")
+    build_bronze(spark, f"{db}.raw", f"{db}.bronze", PART_COLUMNS, buckets=BUCKETS)
+    entity = Entity(PART.name, f"{db}.part", PART.business_key, PART.attributes, MasterKey("catalog_no", f"{db}.catalog", "shop", "number", "catalog_no"))
+    try:
+        build_entities(spark, SilverSpec(f"{db}.bronze", f"{db}.bronze_sightings", "SHOP", (entity,)), buckets=BUCKETS)
+    except AmbiguousMasterKeys as stopped:
+        found = [("example", k) for k in stopped.sample] + [("keys", str(stopped.keys))]
+    rows = row_count(spark, f"{db}.part") if exists(spark, f"{db}.part") else 0
+    return spark.createDataFrame([*found, ("rows in the entity", str(rows))], "what STRING, value STRING")
+
+
 # --- Bronze: two loads, a run, the third load, a run of that load alone, and a run with nothing new ----
 
 _REPORTED = ("rows_read", "distinct_records", "rows_inserted", "already_in_target", "rows_in_target", "sightings_inserted", "sightings_in_target")

@@ -3,6 +3,9 @@
 The sources are files the query writes from a given table into the shared folder and reads back.
 """
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +15,8 @@ from sediment.functions import ebcdic
 from sediment.functions.names import column_name, slug, table_name
 from sediment.functions.rules import allowed
 from sediment.operators.projections import flatten_struct, with_lineage
-from sediment.sources.files import MALFORMED, scan_csv, scan_folder, scan_json, scan_xml
+from sediment.plans.raw import load_raw
+from sediment.sources.files import MALFORMED, LoadSpec, scan_csv, scan_folder, scan_json, scan_xml
 from sediment.sources.fixed import decode_records, layout_schema, read_copybook, record_length, scan_fixed
 from sediment.sources.profile import (
     profile_columns, profile_csv, profile_json, profile_json_text, profile_xml,
@@ -25,6 +29,12 @@ def _at(n=0):
     return F.timestamp_seconds(F.lit(START + n * 86400))
 
 
+def _database(spark):
+    name = "raw_" + uuid.uuid4().hex[:12]
+    spark.sql(f"CREATE DATABASE {name}")
+    return name
+
+
 def _written(df, how, **options):
     """The folder the DataFrame was written to."""
     folder = staging_folder(df.sparkSession)
@@ -219,14 +229,13 @@ def lineage_from_scan(spark, sf_dir):
     FROM customer, (VALUES ('L1', 0), ('L2', 1)) AS l(batch, day)""",
 )
 def raw_append_twice(spark, sf_dir):
-    """The same rows appended by two loads: duplicates stay."""
-    folder = staging_folder(spark)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    """The same file loaded twice: duplicates stay."""
+    name = f"{_database(spark)}.customer"
+    folder = _written(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "csv", header=True)
     for n in (0, 1):
-        with_lineage(rows, f"L{n + 1}", _at(n)).write.mode("append").partitionBy("_batch_id").parquet(folder)
-    return spark.read.parquet(folder).select(
-        "c_custkey", "c_name", "_batch_id", F.unix_micros("_ingested_at").alias("ingested_us")
-    )
+        at = datetime.fromtimestamp(START + n * 86400, timezone.utc)
+        load_raw(spark, LoadSpec(folder, "csv", _schema("c_custkey BIGINT, c_name STRING")), name, batch_id=f"L{n + 1}", at=at)
+    return spark.table(name).select("c_custkey", "c_name", "_batch_id", F.unix_micros("_ingested_at").alias("ingested_us"))
 
 
 @query(
@@ -242,14 +251,10 @@ def raw_load_report(spark, sf_dir):
         "o_orderpriority",
     )
     schema = _schema("o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING")
-    rows = with_lineage(scan_csv(spark, _written(source, "csv", header=True), schema), "L1", _at())
-    folder = staging_folder(spark)
-    rows.withColumn(MALFORMED, F.col(MALFORMED).isNotNull()).write.partitionBy("_batch_id").parquet(folder)
-    return spark.read.parquet(folder).groupBy("_batch_id").agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count("o_orderkey").alias("rows_written"),
-        F.count_if(MALFORMED).alias("rows_malformed"),
-        F.count("o_custkey").alias("customers"),
+    name = f"{_database(spark)}.orders"
+    report = load_raw(spark, LoadSpec(_written(source, "csv", header=True), "csv", schema), name, batch_id="L1")
+    return spark.table(name).groupBy("_batch_id").agg(
+        *[F.lit(report[n]).cast("bigint").alias(n) for n in ("rows_read", "rows_written", "rows_malformed")], F.count("o_custkey").alias("customers"),
     )
 
 

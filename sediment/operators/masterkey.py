@@ -29,14 +29,20 @@ def ambiguous(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("_cw_key").agg(F.count_distinct("_cw_master").alias("n")).where("n > 1")
 
 
-def require_unambiguous(pairs: DataFrame, what: str = "the crosswalk") -> None:
+class AmbiguousMasterKeys(ValueError):
+    """`keys` source keys have more than one master key; `sample` has the first of them."""
+
+    def __init__(self, what: str, keys: int, sample: list[str]):
+        super().__init__(f"{what} maps {keys} source keys to more than one master key, for example {sample}")
+        self.keys, self.sample = keys, sample
+
+
+def require_unambiguous(pairs: DataFrame, what: str = "the crosswalk", examples: int = 5) -> None:
     """Stop rather than pick one of several master keys for a source key."""
     found = ambiguous(pairs)
-    sample = [r["_cw_key"] for r in found.orderBy("_cw_key").limit(5).collect()]
+    sample = [r["_cw_key"] for r in found.orderBy("_cw_key").limit(examples).collect()]
     if sample:
-        raise ValueError(
-            f"{what} maps {found.count()} source keys to more than one master key, for example {sample}"
-        )
+        raise AmbiguousMasterKeys(what, found.count(), sample)
 
 
 def lookup_master(df: DataFrame, pairs: DataFrame, key: str, column: str, unknown: str) -> DataFrame:

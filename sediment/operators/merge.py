@@ -62,6 +62,18 @@ def merge_insert_only(target: DataFrame, source: DataFrame, keys: list[str], *,
     )
 
 
+def _both_sides(before: DataFrame, after: DataFrame, on: Column, incoming_only: bool = False) -> DataFrame:
+    """All rows of both tables, matched where they match; without those of `before` alone if `incoming_only`.
+
+    A full outer join can't be split where one key has very many rows.  So it is made of one that keeps the left rows and one
+    that finds the right rows without a match, both of which adaptive execution splits on their many-row side.
+    """
+    if incoming_only:
+        return after.join(before, on, "left")
+    alone = after.join(before, on, "left_anti")
+    return before.join(after, on, "left").unionByName(alone, allowMissingColumns=True)
+
+
 def upsert_changed(
     target: DataFrame,
     source: DataFrame,
@@ -89,10 +101,12 @@ def upsert_changed(
     def new(c):
         return col(f"_new_{c}")
 
-    before = target.select(*[col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_in_old"))
-    after = source.select(*[col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_in_new"))
     on = _all(same(old(k), new(k)) if null_safe else old(k) == new(k) for k in keys)
-    joined = before.join(after, on, "right_outer" if incoming_only else "full_outer")
+    joined = _both_sides(
+        target.select(*[col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_in_old")),
+        source.select(*[col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_in_new")),
+        on, incoming_only,
+    )
     action = (
         F.when(F.col("_in_old").isNull(), "insert")
         .when(F.col("_in_new").isNull(), "kept")
@@ -120,10 +134,11 @@ def backfill(target: DataFrame, source: DataFrame, keys: list[str], only_if_empt
     """Insert the keys the target lacks, and fill its empty columns in `only_if_empty` from the source."""
     only_if_empty = set(only_if_empty)
     columns = target.columns
-    before = target.select(*[col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_in_old"))
-    after = source.select(*[col(c).alias(f"_new_{c}") for c in columns])
-    on = _all(same(col(f"_old_{k}"), col(f"_new_{k}")) for k in keys)
-    joined = before.join(after, on, "full_outer")
+    joined = _both_sides(
+        target.select(*[col(c).alias(f"_old_{c}") for c in columns], F.lit(True).alias("_in_old")),
+        source.select(*[col(c).alias(f"_new_{c}") for c in columns]),
+        _all(same(col(f"_old_{k}"), col(f"_new_{k}")) for k in keys),
+    )
     missing = F.col("_in_old").isNull()
 
     def pick(c):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sediment.operators.bronze import counted_sightings, distinct_stats, earliest_copies, hashed, sightings
 from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
-from sediment.plans.report import bronze_counts, run_report
-from sediment.sources.tables import append, bucket_count, buckets_for, ensure_table, job_session, refresh
+from sediment.plans.report import bronze_counts, recorded, run_report
+from sediment.sources.tables import append, bucket_count, buckets_for, ensure_table, job_session, record_rows, recorded_rows, refresh, row_count
 from sediment.staging import stage, staging
 
 
@@ -61,6 +61,8 @@ def build_bronze(
     sightings_table: str | None = None,
     batch_ids: list[str] | None = None,
     buckets: int | None = None,
+    reports: str | None = None,
+    run_id: str | None = None,
 ) -> dict:
     """Merge a Raw table into its Bronze table and sightings, insert-only, and return the counts.
 
@@ -69,6 +71,10 @@ def build_bronze(
     Bronze is ever changed, merging the loads added since the last run gives the rows a full run gives.
     Both tables are bucketed by the record hash, so neither this merge nor the Silver join shuffles them;
     `buckets` counts when the tables are created; by default they are as many as Raw's size asks for.
+
+    What a run costs follows what it reads of Raw: of Bronze it reads the hashes to compare, and the footers that say how many rows there are.
+    That each record is there once follows from the increment: the staged copies hold each new hash once, new is what the table lacked, the
+    table grew by just these, and before it had the rows that the last run left.
     """
     buckets = bucket_count(spark, bronze) or buckets or buckets_for(spark, raw)
     caller, spark = spark, job_session(spark, buckets)
@@ -84,24 +90,32 @@ def build_bronze(
     ensure_table(spark, sightings_table, sightings(rows).schema, **by_hash)
 
     with staging(spark):
-        before = target.count()
+        held, before = recorded_rows(spark, bronze), row_count(spark, bronze)
         seen = stage(counted_sightings(rows))
         fresh, counts = _new_records(seen, target)
+        proved = True
         if counts["new"]:
-            append(first_copies(rows, fresh), bronze)
+            copies = stage(first_copies(rows, fresh))
+            added = distinct_stats(copies).first()
+            proved = added["rows"] == added["distinct_records"] == counts["new"]
+            append(copies, bronze)
         new_sightings = _append_sightings(seen, sightings_table)
-        after = distinct_stats(spark.table(bronze)).first()
+    after = row_count(spark, bronze)
+    record_rows(spark, bronze, after)
     refresh(caller, bronze, sightings_table)
-    return {
+    done = {
         "source": raw,
         "target": bronze,
-        **bronze_counts(counts["rows"], counts["records"], counts["new"], before, after["rows"], after["distinct_records"]),
+        **bronze_counts(counts["rows"], counts["records"], counts["new"], before, after, held, proved),
         "sightings_inserted": new_sightings,
-        "sightings_in_target": spark.table(sightings_table).count(),
+        "sightings_in_target": row_count(spark, sightings_table),
         "extra_source_columns": extra,
     }
+    recorded(caller, run_report("bronze", "full", {bronze: done}), reports, run_id, F.current_timestamp())
+    return done
 
 
-def build_bronze_tables(spark: SparkSession, tables: dict[str, dict], **options) -> dict:
+def build_bronze_tables(spark: SparkSession, tables: dict[str, dict], *, reports: str | None = None, run_id: str | None = None, **options) -> dict:
     """Several Bronze tables in one run; `tables` maps a name to raw, bronze and columns."""
-    return run_report("bronze", "full", {n: build_bronze(spark, **t, **options) for n, t in tables.items()})
+    done = run_report("bronze", "full", {n: build_bronze(spark, **t, **options) for n, t in tables.items()})
+    return recorded(spark, done, reports, run_id, F.current_timestamp())

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.operators.projections import with_lineage
-from sediment.plans.report import run_report
+from sediment.plans.report import recorded, run_report
 from sediment.sources.files import MALFORMED, LoadSpec, scan
-from sediment.sources.tables import append, ensure_table
+from sediment.sources.tables import append, ensure_table, record_rows, recorded_rows, row_count
 from sediment.types import LINEAGE_COLUMNS, cols
 
 
@@ -37,18 +37,23 @@ def load_raw(
     *,
     batch_id: str | None = None,
     at: datetime | None = None,
+    reports: str | None = None,
+    run_id: str | None = None,
 ) -> dict:
     """Append one load to a Raw table and return its counts.
 
     The table is partitioned by load.  The rows are counted by the write itself and compared with the
-    load's partition before and after.  A row that does not fit the schema keeps in Raw what fits; its whole
+    load's partition before and after; how many rows there are in all follows from what the load before it has recorded.  A row that does not fit the schema keeps in Raw what fits; its whole
     text goes to the table `<target>_malformed`, so nothing of it is lost.
     """
     batch_id = batch_id or uuid.uuid4().hex
     rows = raw_rows(spark, spec, batch_id, load_time(at))
     kept = rows.drop(MALFORMED)
     table = ensure_table(spark, target, kept.schema, partition_by=["_batch_id"])
-    before = table.where(F.col("_batch_id") == batch_id).count()
+    load = F.col("_batch_id") == batch_id
+    held, before = recorded_rows(spark, target), table.where(load).count()
+    if held is None:  # no load has said how many there are
+        held = row_count(spark, target)
     seen = Observation()
     malformed = F.count(F.col(MALFORMED)) if MALFORMED in rows.columns else F.lit(0)
     append(
@@ -57,18 +62,19 @@ def load_raw(
     )
     counts = seen.get
     texts = _keep_malformed(rows, f"{target}{MALFORMED}", batch_id) if counts["malformed"] else 0
-    after = spark.table(target).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_batch_id") == batch_id).alias("load")
-    ).first()
-    return {
+    written = spark.table(target).where(load).count() - before
+    record_rows(spark, target, held + written)
+    done = {
         "source": spec.path,
         "target": target,
         "rows_read": counts["rows"],
-        "rows_written": after["load"] - before,
+        "rows_written": written,
         "rows_malformed": counts["malformed"],
-        "rows_in_target": after["rows"],
-        "reconciled": after["load"] - before == counts["rows"] and texts == counts["malformed"],
+        "rows_in_target": held + written,
+        "reconciled": written == counts["rows"] and texts == counts["malformed"],
     }
+    recorded(spark, run_report("raw", "append", {target: done}), reports, run_id, load_time(at))
+    return done
 
 
 def _keep_malformed(rows: DataFrame, target: str, batch_id: str) -> int:
@@ -92,11 +98,13 @@ def load_tables(
     *,
     batch_id: str | None = None,
     at: datetime | None = None,
+    reports: str | None = None,
+    run_id: str | None = None,
 ) -> dict:
-    """Load several sources, one table each, under one batch; returns the run's report."""
+    """Load several sources, one table each, under one batch; returns the run's report, and adds it to the table `reports`."""
     batch_id = batch_id or uuid.uuid4().hex
     done = {
         name: load_raw(spark, spec, f"{database}.{name}", batch_id=batch_id, at=at)
         for name, spec in specs.items()
     }
-    return run_report("raw", "append", done)
+    return recorded(spark, run_report("raw", "append", done), reports, run_id, load_time(at))

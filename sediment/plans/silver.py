@@ -17,16 +17,19 @@ from sediment.operators.masterkey import lookup_master, require_unambiguous, res
 from sediment.operators.merge import mark_new, upsert_changed
 from sediment.operators.projections import project_attributes, record_json, stamp
 from sediment.plans.raw import load_time
-from sediment.plans.report import run_report, silver_counts
+from sediment.plans.report import recorded, run_report, silver_counts
 from sediment.plans.spec import Entity, SilverSpec, compile_silver
 from sediment.sources.tables import (
-    append, bucket_count, buckets_for, ensure_table, exists, generation, generation_name, job_session, publish, refresh, table_version,
+    append, bucket_count, bucket_of, buckets_for, ensure_table, job_session, record_rows, recorded_rows, refresh, replace_partitions, row_count, table_version,
 )
 from sediment.staging import stage, staging
 from sediment.types import cols
 
 _SEEN = ["_record_hash", "_seen_at", "_seen_batch"]
 
+#: The partition column of a Silver table: the bucket of the row's business key.
+BUCKET = "_bucket"
+
 
 @dataclass(frozen=True)
 class Versions:
@@ -95,37 +98,37 @@ def _quarantine(spark: SparkSession, found: Versions, bronze: DataFrame, entity:
 
 
 def _merge(spark: SparkSession, rows: DataFrame, entity: Entity, buckets: int) -> dict:
-    """Bring the entity's table up to date; writes only what changed.
+    """Bring the entity's table up to date; writes only the buckets in which something changed.
 
-    No difference writes nothing, new keys alone are appended, and only an update writes the table's
-    next generation.
+    The table is bucketed by its business key, and each bucket is a partition of its own (`_bucket`): a join by the key
+    does not shuffle it, and an update replaces the partitions of the updated keys alone.  New keys of other buckets are
+    appended, and no difference writes nothing.
     """
     keys = list(entity.business_key)
-    if not exists(spark, entity.target):
-        publish(spark.createDataFrame([], rows.schema), entity.target, bucket_by=keys, buckets=buckets)
-    target = spark.table(entity.target)
-    before = target.count()
+    rows = rows.withColumn(BUCKET, bucket_of(keys, buckets))
+    target = ensure_table(spark, entity.target, rows.schema, bucket_by=keys, buckets=buckets, partition_by=[BUCKET])
+    held, before = recorded_rows(spark, entity.target), row_count(spark, entity.target)
     incoming = stage(
-        upsert_changed(
-            target, rows, keys, compare=compared_columns(entity), null_safe=False, incoming_only=True
-        )
+        upsert_changed(target, rows, keys, compare=compared_columns(entity), null_safe=False, incoming_only=True)
     )
     tally = incoming.agg(
         F.count(F.lit(1)).alias("valid"),
         F.count_if(F.col("_action") == "insert").alias("inserted"),
         F.count_if(F.col("_action") == "update").alias("updated"),
+        F.collect_set(F.when(F.col("_action") == "update", F.col(BUCKET))).alias("touched"),  # as many as buckets at most
     ).first()
-    fresh = incoming.where(F.col("_action").isin("insert", "update")).drop("_action").repartition(buckets, *cols(keys))
+    fresh = incoming.where(F.col("_action").isin("insert", "update")).drop("_action")
+    by_bucket = [buckets, *cols(keys)]
+    touched = F.col(BUCKET).isin(*tally["touched"])
     if tally["updated"]:
         replaced = incoming.where(F.col("_action") == "update").select(*cols(keys))
-        publish(
-            target.join(replaced, keys, "left_anti").unionByName(fresh),
-            entity.target, bucket_by=keys, buckets=buckets,
-        )
-    elif tally["inserted"]:
-        append(fresh, generation_name(entity.target, generation(spark, entity.target)))
-    after = spark.table(entity.target).count()
-    return silver_counts(tally["valid"], tally["inserted"], tally["updated"], before, after)
+        kept = target.where(touched).join(replaced, keys, "left_anti")
+        replace_partitions(kept.unionByName(fresh.where(touched)).repartition(*by_bucket), entity.target)
+    if tally["inserted"]:
+        append(fresh.where(~touched).repartition(*by_bucket), entity.target)
+    after = row_count(spark, entity.target)
+    record_rows(spark, entity.target, after)
+    return silver_counts(tally["valid"], tally["inserted"], tally["updated"], before, after, held)
 
 
 def build_entity(
@@ -157,7 +160,7 @@ def build_entity(
         version = table_version(spark, mk.crosswalk)
         if version is not None:
             crosswalk["crosswalk_version"] = version
-    merged = _merge(spark, entity_rows(valid, entity, spec.system, at), entity, buckets)
+    merged = _merge(spark, entity_rows(valid, entity, spec.system, at), entity, bucket_count(spark, entity.target) or buckets)
     return {
         "source": spec.bronze,
         "target": entity.target,
@@ -173,12 +176,13 @@ def build_entity(
 
 
 def build_entities(
-    spark: SparkSession, spec: SilverSpec, *, at: datetime | None = None, buckets: int | None = None
+    spark: SparkSession, spec: SilverSpec, *, at: datetime | None = None, buckets: int | None = None,
+    reports: str | None = None, run_id: str | None = None,
 ) -> dict:
-    """All entities of a specification from one Bronze table; returns the run's report.
+    """All entities of a specification from one Bronze table; returns the run's report, and adds it to the table `reports`.
 
     The specification is checked first, against the tables as they are now.  The records are joined with their
-    last sightings once, for all entities.  Silver tables get `buckets`, by default as many as Bronze has.
+    last sightings once, for all entities.  A Silver table has the buckets it was made with; a new one gets `buckets`, by default as many as Bronze has.
     """
     buckets = buckets or bucket_count(spark, spec.bronze) or buckets_for(spark, spec.bronze)
     caller, spark = spark, job_session(spark, buckets)
@@ -190,4 +194,4 @@ def build_entities(
         records = stage(records.observe(tally, F.count(F.lit(1)).alias("rows")))
         done = {e.name: build_entity(spark, spec, e, records, tally.get["rows"], time, buckets) for e in spec.entities}
     refresh(caller, *[t for e in spec.entities for t in (e.target, e.quarantine_table)])
-    return run_report("silver", "full", done)
+    return recorded(caller, run_report("silver", "full", done), reports, run_id, time)

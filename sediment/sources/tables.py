@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.types import cols, quoted
 
 BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 8
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def _parts(name: str) -> list[str]:
@@ -57,6 +58,11 @@ def bucket_count(spark: SparkSession, name: str) -> int | None:
     return int(found) if found else None
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """The bucket that Spark puts a row into in a table bucketed by these columns."""
+    return F.pmod(F.hash(*cols(keys)), F.lit(buckets))
+
+
 def buckets_for(spark: SparkSession, name: str) -> int:
     """Buckets of some hundred megabytes each for a table made of what `name` holds, by the size of its files."""
     place = spark._jvm.org.apache.hadoop.fs.Path(_described(spark, name)["Location"])
@@ -65,9 +71,9 @@ def buckets_for(spark: SparkSession, name: str) -> int:
 
 
 def job_session(spark: SparkSession, buckets: int) -> SparkSession:
-    """A session for one job, with the caller's settings but for two that no other job shall see.
+    """A session for one job, with the caller's settings but for three that no other job shall see.
 
-    It shuffles into as many partitions as the target has buckets, and lets the target's bucketing serve joins on
+    An overwrite replaces the partitions it has rows for.  It shuffles into as many partitions as the target has buckets, and lets the target's bucketing serve joins on
     more columns than it is bucketed by.  Then a join with the bucketed table shuffles neither it nor the
     rows a second time, and every task writes the file of one bucket.
     """
@@ -77,6 +83,7 @@ def job_session(spark: SparkSession, buckets: int) -> SparkSession:
             job.conf.set(name, value)
     job.conf.set("spark.sql.shuffle.partitions", str(buckets))
     job.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    job.conf.set(_OVERWRITE, "dynamic")
     return job
 
 
@@ -87,70 +94,64 @@ def refresh(spark: SparkSession, *names: str) -> None:
             spark.catalog.refreshTable(_sql_name(name))
 
 
-def append(df: DataFrame, name: str) -> None:
-    """Append rows to a table, by column name; a column the table has and `df` lacks is an error."""
-    df.select(*cols(df.sparkSession.table(_sql_name(name)).columns)).write.insertInto(_sql_name(name))
+# Kept with a table of the jobs: how often it was written to, and how many rows it had then.
+_VERSION, _ROWS = "sediment.version", "sediment.rows"
 
 
-# A keyed table that rows are updated in is a view over its newest generation `<name>__g<N>`.  A new
-# generation is written in full beside the old one and then becomes the view's target in one step, so
-# readers and a failed run see the old rows or the new ones, never a mixture.
+def _property(spark: SparkSession, name: str, key: str) -> int | None:
+    if not exists(spark, name):
+        return None
+    held = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {_sql_name(name)}").collect()}
+    return int(held[key]) if key in held else None
 
-_GENERATION = re.compile(r"__g(\d+)`?\s*$")
 
+def _set(spark: SparkSession, name: str, key: str, value: int) -> None:
+    spark.sql(f"ALTER TABLE {_sql_name(name)} SET TBLPROPERTIES ('{key}' = '{value}')")
+
+
+def _written(spark: SparkSession, name: str) -> None:
+    _set(spark, name, _VERSION, (_property(spark, name, _VERSION) or 0) + 1)
 
-def generation(spark: SparkSession, name: str) -> int | None:
-    """The number of the table's newest generation: its version; None if it has none."""
-    if not exists(spark, name):
-        return None
-    text = next(
-        (
-            r["data_type"]
-            for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_sql_name(name)}").collect()
-            if r["col_name"] == "View Text"
-        ),
-        "",
-    )
-    found = _GENERATION.search(text)
-    return int(found[1]) if found else None
 
+def append(df: DataFrame, name: str) -> None:
+    """Append rows to a table, by column name; a column the table has and `df` lacks is an error.  The table gets a new version."""
+    spark = df.sparkSession
+    df.select(*cols(spark.table(_sql_name(name)).columns)).write.insertInto(_sql_name(name))
+    _written(spark, name)
 
-def generation_name(name: str, number: int) -> str:
-    *rest, last = _parts(name)
-    return ".".join([*rest, f"{last}__g{number}"])
 
+def replace_partitions(df: DataFrame, name: str) -> None:
+    """Let the rows of `df` be all of the partitions they belong to; the others stay as they are.  The table gets a new version.
 
-def publish(df: DataFrame, name: str, *, bucket_by: list[str], buckets: int) -> None:
-    """Write `df` as the next generation of the table and point the table to it."""
+    The rows may come from these partitions: what is written takes the place of a partition when all is written.
+    To be called in a `job_session`.
+    """
     spark = df.sparkSession
-    number = (generation(spark, name) or 0) + 1
-    fresh = generation_name(name, number)
-    (
-        df.write.format("parquet")
-        .mode("overwrite")
-        .bucketBy(buckets, *bucket_by)
-        .sortBy(*bucket_by)
-        .saveAsTable(_sql_name(fresh))
-    )
-    spark.sql(f"CREATE OR REPLACE VIEW {_sql_name(name)} AS SELECT * FROM {_sql_name(fresh)}")
-
-
-def drop_old_generations(spark: SparkSession, name: str, keep: int = 2) -> list[str]:
-    """Drop all but the newest generations of a table, once no reader needs them; returns their names."""
-    newest = generation(spark, name) or 0
-    dropped = []
-    for number in range(newest - keep, 0, -1):
-        old = generation_name(name, number)
-        if not exists(spark, old):
-            break
-        spark.sql(f"DROP TABLE {_sql_name(old)}")
-        dropped.append(old)
-    return dropped
+    if spark.conf.get(_OVERWRITE) != "dynamic":
+        raise RuntimeError(f"{_OVERWRITE} must be dynamic, or all partitions would go")
+    df.select(*cols(spark.table(_sql_name(name)).columns)).write.insertInto(_sql_name(name), overwrite=True)
+    _written(spark, name)
+
+
+def row_count(spark: SparkSession, name: str) -> int:
+    """The rows of a table; of Parquet files the footers say it."""
+    return spark.table(_sql_name(name)).count()
+
+
+def record_rows(spark: SparkSession, name: str, rows: int) -> None:
+    """Remember how many rows a table has after a run."""
+    _set(spark, name, _ROWS, rows)
+
+
+def recorded_rows(spark: SparkSession, name: str) -> int | None:
+    """How many rows the last run left; None if no run said so."""
+    return _property(spark, name, _ROWS)
 
 
 def table_version(spark: SparkSession, name: str) -> int | None:
-    """The latest version of a table: of its history if its format keeps one, else its generation."""
+    """The latest version of a table: of its history if its format keeps one, else the number of writes by `append` and
+    `replace_partitions`; None if there is neither."""
     try:
         return spark.sql(f"DESCRIBE HISTORY {_sql_name(name)} LIMIT 1").first()["version"]
-    except (AnalysisException, ParseException):  # plain tables and views have no history
-        return generation(spark, name)
+    except (AnalysisException, ParseException):  # plain tables have no history
+        return _property(spark, name, _VERSION)

@@ -1,5 +1,6 @@
 """Fingerprints, versions, drift and column rules."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -11,9 +12,15 @@ from sediment.operators.quality import contract_violations
 from sediment.operators.registry import (
     columns_json, history, number_versions, register_versions, schema_diff, schema_fingerprint, usage_vs_limit,
 )
+from sediment.types import sql_type_of
 
 INVENTORY = "id STRING, ordinal INT, name STRING, sql_type STRING, path STRING"
-BASE = [("id", "BIGINT"), ("amount", "DECIMAL(15,2)"), ("name", "STRING")]
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    """The columns of the given line items as (name, type)."""
+    return [(f.name, sql_type_of(f.dataType)) for f in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").schema]
 
 
 def inventory(spark, **lists):
@@ -23,26 +30,38 @@ def inventory(spark, **lists):
     return spark.createDataFrame(rows, INVENTORY).repartition(3)
 
 
-def test_fingerprint_ignores_spelling_and_sees_the_shape(spark):
-    lists = {
-        "base": BASE,
-        "spelled": [("id", "bigint"), ("amount", "decimal( 15, 2 )"), ("name", " String")],
-        "retyped": [("id", "INT"), *BASE[1:]],
-        "precision": [BASE[0], ("amount", "DECIMAL(18,2)"), BASE[2]],
-        "renamed": [*BASE[:2], ("full_name", "STRING")],
-        "reordered": [BASE[0], BASE[2], BASE[1]],
-        "added": [*BASE, ("extra", "STRING")],
-        "removed": BASE[:2],
-        "moved": [*BASE[:2], ("name", "STRING", "A.NAME")],
-    }
-    found = {r["id"]: r["schema_hash"] for r in schema_fingerprint(inventory(spark, **lists), ["id"]).collect()}
-    assert found["base"] == found["spelled"]
-    assert len(set(found.values())) == len(lists) - 1
-
-
-def test_column_list_json_of_any_length(spark):
-    (row,) = columns_json(inventory(spark, t=BASE), ["id"]).collect()
-    assert row["columns"].startswith('[{"name":"id","sql_type":"BIGINT"},{"name":"amount"')
+def changes(columns):
+    """Every list that is one step away from a list of columns, by what was done."""
+    out = {}
+    for i, (name, kind) in enumerate(columns):
+        def put(*instead, i=i):
+            return [*columns[:i], *instead, *columns[i + 1 :]]
+
+        out |= {
+            f"without {i}": put(), f"named anew {i}": put((name + "_", kind)), f"in capitals {i}": put((name.upper(), kind)),
+            f"typed anew {i}": put((name, "BINARY")), f"with a path {i}": put((name, kind, f"G.{name}")),
+            f"one more before {i}": put(("more", "INT"), (name, kind)), f"twice {i}": put((name, kind), (name, kind)),
+        }
+        if i:
+            out[f"swapped {i}"] = [*columns[: i - 1], columns[i], columns[i - 1], *columns[i + 1 :]]
+    for i, scale in enumerate(("DECIMAL(9,2)", "DECIMAL(9,3)", "DECIMAL(10,2)", "DECIMAL(10,29)", "DECIMAL(1,02)")):
+        out[f"scale {i}"] = [*columns, ("last", scale)]
+    return out
+
+
+def test_fingerprint_ignores_spelling_and_sees_every_change(spark, given):
+    r = random.Random(1)
+    lists = {"given": given} | changes(given)
+    for n in range(5):
+        lists[f"spelled {n}"] = [(name, "".join(r.choice([c.lower(), c.upper(), " " + c, c + "\t"]) for c in kind)) for name, kind in given]
+    found = {row["id"]: row["schema_hash"] for row in schema_fingerprint(inventory(spark, **lists), ["id"]).collect()}
+    assert {found[k] for k in found if k.startswith("spelled")} == {found["given"]}
+    assert len(set(found.values())) == len(lists) - 5
+
+
+def test_column_list_json_of_any_length(spark, given):
+    (row,) = columns_json(inventory(spark, t=given), ["id"]).collect()
+    assert json.loads(row["columns"]) == [{"name": name, "sql_type": kind} for name, kind in given]
     wide = spark.range(5001).select(
         F.lit("t").alias("id"), F.col("id").cast("int").alias("ordinal"), F.concat(F.lit("c"), "id").alias("name"),
         F.lit("INT").alias("sql_type"), F.lit(None).cast("string").alias("path"),

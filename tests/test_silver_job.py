@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from checks.jobs import PART, PART_COLUMNS, part_raw
 from sediment.functions.steps import Trim, Upper
+from sediment.operators.masterkey import AmbiguousMasterKeys
 from sediment.plans.bronze import build_bronze
 from sediment.plans.silver import build_entities
 from sediment.plans.spec import Attribute, Entity, SilverSpec, SpecError
-from sediment.sources.tables import drop_old_generations, generation, table_version
+from sediment.sources.tables import bucket_of, replace_partitions, row_count, table_version
 
 SF = "/root/testdata/sf0.001"
 FIELDS = ["part_no", "label", "size", "maker", "price"]
@@ -112,24 +113,98 @@ def one_load(spark, n, *rows):
     return df.select(*PART_COLUMNS, F.col("at").cast("timestamp").alias("_ingested_at"), "_source_file", "_batch_id")
 
 
+def written(spark, name):
+    """The files of each bucket of a table."""
+    found = spark.table(name).select("_bucket", "_metadata.file_path", "_metadata.file_modification_time").distinct().collect()
+    return {b: {tuple(r[1:]) for r in found if r[0] == b} for b in {r[0] for r in found}}
+
+
 def test_what_a_run_writes(plant, spark):
     name = f"{plant.db}.part"
     plant.map(p1="C1")
     plant.load(one_load(spark, 1, (1, "bolt", "4", "Acme", "2.50"), (2, "nut", "4", "Acme", "1.00")))
     assert counts(plant.run()) == (2, 0, 0, 2)
-    version = generation(spark, name)
-    assert counts(plant.run()) == (0, 0, 2, 2) and generation(spark, name) == version, "nothing changed, nothing is written"
+    version, files = table_version(spark, name), written(spark, name)
+    assert counts(plant.run()) == (0, 0, 2, 2) and (table_version(spark, name), written(spark, name)) == (version, files), "nothing changed, nothing is written"
     plant.load(one_load(spark, 2, (3, "ring", "9", "Acme", "0.10")))
-    assert counts(plant.run()) == (1, 0, 2, 3) and generation(spark, name) == version, "new keys are appended"
+    assert counts(plant.run()) == (1, 0, 2, 3) and table_version(spark, name) == version + 1
+    after = written(spark, name)
+    assert all(files[b] <= after[b] for b in files), "new keys are appended"
     plant.load(one_load(spark, 3, (2, "", "4", "Acme", "1.00"), (1, "bolt", "5", "Acme", "2.50")))
     report = plant.run()
     assert counts(report) == (0, 1, 1, 3) and report["quarantined_keys"] == 1
     plant.check()  # the nut keeps its last good row
-    assert table_version(spark, name) == version + 1
+    assert table_version(spark, name) == version + 2
     plant.map(p3="C3")
     assert counts(plant.run()) == (0, 1, 1, 3), "a code that appears is a change"
     plant.check()
-    assert drop_old_generations(spark, name, keep=1) and counts(plant.run())[:2] == (0, 0)
+    assert counts(plant.run())[:2] == (0, 0)
+
+
+def test_one_changed_row_writes_one_bucket(plant, spark):
+    rows = [(n, f"part {n}", "1", f"Maker {n}", f"{n}.00") for n in range(1, 400)]
+    plant.load(one_load(spark, 1, *rows))
+    build_entities(spark, plant.spec, buckets=16)
+    plant.run()
+    before = written(spark, f"{plant.db}.part")
+    assert len(before) == 16 and all(len(f) == 1 for f in before.values())
+    plant.load(one_load(spark, 2, (77, "part 77", "2", "Maker 77", "77.00"), (1000, "new", "1", "Maker", "1.00")))
+    assert counts(plant.run()) == (1, 1, 398, 400)
+    plant.check()
+    after = written(spark, f"{plant.db}.part")
+    (bucket,) = spark.range(77, 78).select(bucket_of(["id"], 16)).first()
+    (other,) = spark.range(1000, 1001).select(bucket_of(["id"], 16)).first()
+    replaced = {b for b in before if not before[b] <= after[b]}
+    assert replaced == {bucket} and len(after[other]) == (1 if other == bucket else 2)
+    assert all(after[b] == before[b] for b in before if b not in (bucket, other))
+
+
+def test_buckets_are_those_that_spark_makes(plant, spark):
+    """So a bucket's partition is one file, and a join by the key shuffles nothing."""
+    plant.load(one_load(spark, 1, *[(n, "x", "1", "m", "1.00") for n in range(1, 200)]))
+    build_entities(spark, plant.spec, buckets=8)
+    table = plant.table("part")
+    assert all(f"_{b:05}.c000" in next(iter(f))[0] for b, f in written(spark, f"{plant.db}.part").items())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table.join(table.select("part_no", F.col("size").alias("other")), "part_no")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan, plan
+
+
+def test_a_run_that_fails_leaves_the_old_rows(plant, spark, monkeypatch):
+    import sediment.plans.silver as job
+
+    plant.load(one_load(spark, 1, *[(n, "x", "1", "m", "1.00") for n in range(1, 50)]))
+    plant.run()
+    held = sorted(map(tuple, plant.table("part").collect()))
+    plant.load(one_load(spark, 2, *[(n, "x", "2", "m", "1.00") for n in range(1, 50)]))
+    broken = lambda df, name: replace_partitions(df.where(F.when(F.col("part_no") < 40, True).otherwise(F.raise_error(F.lit("lost")).cast("boolean"))), name)
+    monkeypatch.setattr(job, "replace_partitions", broken)
+    with pytest.raises(Exception, match="lost"):
+        build_entities(spark, plant.spec, buckets=2)
+    spark.catalog.refreshTable(f"{plant.db}.part")
+    assert sorted(map(tuple, plant.table("part").collect())) == held
+    monkeypatch.undo()
+    assert counts(plant.run()) == (0, 49, 0, 49)
+    plant.check()
+
+
+def test_rows_that_came_from_elsewhere_are_reported(plant, spark):
+    plant.load(one_load(spark, 1, (1, "bolt", "4", "Acme", "2.50")))
+    assert plant.run()["reconciled"]
+    plant.table("part").withColumn("part_no", F.lit(9).cast("long")).write.insertInto(f"{plant.db}.part")
+    spark.catalog.refreshTable(f"{plant.db}.part")
+    report = plant.run()
+    assert not report["reconciled"] and report["rows_in_target"] == row_count(spark, f"{plant.db}.part") == 2
+
+
+def test_an_overwrite_needs_a_session_of_a_job(plant, spark):
+    plant.load(one_load(spark, 1, (1, "bolt", "4", "Acme", "2.50")))
+    plant.run()
+    with pytest.raises(RuntimeError, match="dynamic"):
+        replace_partitions(plant.table("part"), f"{plant.db}.part")
 
 
 def test_a_version_that_comes_back(plant, spark):
@@ -160,8 +235,9 @@ def test_codes_must_be_unambiguous(plant, spark):
     plant.run()
     plant.check()
     spark.createDataFrame([("SHOP", "1", "C9")], "shop STRING, number STRING, catalog_no STRING").write.mode("append").saveAsTable(f"{plant.db}.catalog")
-    with pytest.raises(ValueError, match="more than one master key"):
+    with pytest.raises(AmbiguousMasterKeys, match="more than one master key") as stopped:
         plant.run()
+    assert (stopped.value.keys, stopped.value.sample) == (1, ["1"])
     plant.check()
 
 
