@@ -5,8 +5,8 @@ that occur SUPPORT times or more in their language, overlaps included.
 
 Method: SON partitioning.  Documents are dealt to SHARDS shards by a hash of their ids.  A phrase with support in its language has, in one shard at
 least, its share of it: as much of SUPPORT as the shard has of the language's words, rounded up.
-1. Each shard is mined completely at that lowered support, by the number of words: a phrase can only be frequent in a shard if both its parts,
-   all words but the last and all but the first, are.  A shard is counted by all tasks: they count the hashes of phrases piece by piece of text and
+1. Words are counted exactly, as all of them are needed.  Each shard is then mined completely at that lowered support, by the number of words: a phrase
+   can only be frequent in a shard if both its parts, all words but the last and all but the first, are.  A shard is counted by all tasks: they count the hashes of phrases piece by piece of text and
    send them, sorted, to the bucket of the hash, where counts of a shard add up.
 2. The union of what is frequent in some shard is kept as a filter of FILTER bits by hash, the same size for any input.  Equal hashes and equal places in
    the filter let through more, never less.
@@ -43,8 +43,8 @@ SCALE, ABSORBED = 2_000_000, 80
 SHARDS = 8
 #: The filter's size as a power of two in bits, for each number of words (16 MB).
 FILTER = 27
-#: Bytes of text that a task counts at a time, and entries of a bucket in the reducing step.
-HELD, ENTRIES = 1 << 23, 1 << 23
+#: Bytes of text that a task counts at a time, words of the input for each bucket, and entries of a bucket that are held before equal ones are added up.
+HELD, WORDS, ENTRIES = 4_000_000, 1 << 21, 1 << 22
 
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BREAK = np.isin(np.arange(256), list(BREAKS))
@@ -142,28 +142,35 @@ def _distinct(piece: Piece, places: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word of a language is in a piece (shard -1), and how many words a shard has of a language (no phrase)."""
     for groups, piece in _read(batches, "shard", "lang"):
-        at, n = _distinct(piece, piece.starts(1), 1)
-        shard, lang = (pa.array([g[i] for g in groups]) for i in (0, 1))
-        group = pa.array(piece.group[at])
-        phrase = pa.array(piece.words, pa.binary()).take(pa.array(piece.codes[at])).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([shard.cast(pa.int32()).take(group), lang.cast(pa.string()).take(group), phrase, pa.array(n)], names=["shard", "lang", "phrase", "a"])
+        langs = sorted({g[1] for g in groups})
+        number = np.array([langs.index(g[1]) for g in groups], np.int32)
+        at = piece.starts(1)
+        sizes = np.bincount(piece.group[at], minlength=len(groups))
+        piece.group = number[piece.group]
+        at, n = _distinct(piece, at, 1)
+        shard = [*(g[0] for g in groups), *[-1] * len(at)]
+        lang = pa.concat_arrays([pa.array([g[1] for g in groups], pa.string()), pa.array(langs, pa.string()).take(pa.array(piece.group[at]))])
+        words = pa.array(piece.words, pa.binary()).take(pa.array(piece.codes[at])).cast(pa.string())
+        phrase = pa.concat_arrays([pa.nulls(len(groups), pa.string()), words])
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), lang, phrase, pa.array(np.append(sizes, n))], names=["shard", "lang", "phrase", "a"])
 
 
-def _blocks(shard: int, lang: str, hashes: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Sorted hashes and their counts as rows of the buckets."""
-    bits = buckets.bit_length() - 1
-    bounds = np.searchsorted(hashes >> U64(64 - bits) if bits else np.zeros(len(hashes), U64), np.arange(buckets + 1, dtype=U64))
-    for i in np.flatnonzero(np.diff(bounds)).tolist():
-        a, b = bounds[i], bounds[i + 1]
-        yield i, shard, lang, pack(hashes[a:b], n[a:b].astype(np.uint32))
-
+_BLOCK = "bucket int, data binary"
+_ENTRY = [np.uint32, U64, np.uint32]  # group, hash, count
 
-_BLOCK = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("lang", pa.string()), ("data", pa.binary())])
 
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOCK)], schema=_BLOCK)
+def _blocks(groups: np.ndarray, hashes: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries as one row for each bucket."""
+    bits = buckets.bit_length() - 1
+    bucket = (hashes >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
+    order = np.argsort(bucket, kind="stable")
+    entries = [c[order].astype(kind) for c, kind in zip((groups, hashes, n), _ENTRY)]
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    there = np.flatnonzero(np.diff(bounds)).tolist()
+    data = [pack(*(c[bounds[i] : bounds[i + 1]] for c in entries)) for i in there]
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
 
 def _word_blocks(buckets: int):
@@ -172,13 +179,13 @@ def _word_blocks(buckets: int):
             seeds: dict[str, int] = {}
             keys = [xxhash.xxh3_64_intdigest(w.encode()) ^ seeds.setdefault(g, _seed(g)) for g, w in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())]
             hashes = np.unique(mix(np.array(keys, U64)))
-            yield _rows(list(_blocks(0, "", hashes, np.ones(len(hashes)), buckets)))
+            yield _blocks(np.zeros(len(hashes)), hashes, np.ones(len(hashes)), buckets)
 
     return blocks
 
 
-def _mined(k: int, below, buckets: int):
-    """Of phrases of k words whose two parts pass the filter of one word less: hashes and counts by bucket, shard and language."""
+def _mined(k: int, below, buckets: int, numbers: dict[tuple[int, str], int]):
+    """Of phrases of k words whose two parts pass the filter of one word less: hashes and counts by shard and language, which have numbers."""
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups, piece in _read(batches, "shard", "lang"):
             hashes = piece.hashes(np.array([_seed(g[1]) for g in groups], U64), k)
@@ -188,68 +195,61 @@ def _mined(k: int, below, buckets: int):
             at = at[_passes(below.value, hashes[k - 2][at + 1])]
             order = np.argsort(piece.group[at], kind="stable")
             found, bounds = hashes[k - 1][at[order]], np.searchsorted(piece.group[at[order]], np.arange(len(groups) + 1))
-            out = []
-            for (shard, lang), a, b in zip(groups, bounds[:-1], bounds[1:]):
+            parts = []
+            for g, a, b in zip(groups, bounds[:-1], bounds[1:]):
                 if a < b:
-                    out += _blocks(shard, lang, *np.unique(found[a:b], return_counts=True), buckets)
-            yield _rows(out)
+                    different, n = np.unique(found[a:b], return_counts=True)
+                    parts.append((np.full(len(different), numbers[g]), different, n))
+            if parts:
+                yield _blocks(*(np.concatenate(c) for c in zip(*parts)), buckets)
 
     return mined
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal hashes added up."""
-    hashes, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.argsort(hashes)
-    hashes, n = hashes[order], n[order].astype(np.int64)
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[starts], np.add.reduceat(n, starts) if len(starts) else n
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Counts of equal hashes of a group added up."""
+    groups, hashes, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((hashes, groups))
+    groups, hashes, n = groups[order], hashes[order], n[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (groups[1:] != groups[:-1])))
+    return [groups[starts], hashes[starts], np.add.reduceat(n, starts)]
 
 
-def _frequent(support: dict[tuple[int, str], int], buckets: int):
+def _frequent(least: np.ndarray, buckets: int):
     """Each bucket's part of the filter: what is frequent in some shard."""
     width = (1 << FILTER) // buckets
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, size, bits = None, [], 0, None
-
-        def settled():
-            hashes, n = _added(parts)
-            places = (hashes[n >= support.get(key[1:], 1)] >> U64(64 - FILTER)) - U64(key[0] * width)
-            bits[places] = True
-
-        def part():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["bucket", "bits"])
+    def part(bucket: int, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        groups, hashes, n = _added(parts)
+        bits = np.zeros(width, bool)
+        bits[(hashes[n >= least[groups]] >> U64(64 - FILTER)) - U64(bucket * width)] = True
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["bucket", "bits"])
 
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, size = None, [], 0
         for batch in batches:
-            for *own, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shard", "lang", "data"))):
-                own = tuple(own)
-                if own != key:
-                    if key:
-                        settled()
-                    if not key or own[0] != key[0]:
-                        if key:
-                            yield part()
-                        bits = np.zeros(width, bool)
-                    key, parts, size = own, [], 0
-                parts.append(tuple(unpack([data], [U64, np.uint32])))
+            for own, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+                if own != bucket:
+                    if parts:
+                        yield part(bucket, parts)
+                    bucket, parts, size = own, [], 0
+                parts.append(unpack([data.as_buffer()], _ENTRY))
                 size += len(parts[-1][0])
                 if size > ENTRIES:  # equal hashes of many pieces become one entry
                     parts = [_added(parts)]
                     size = 0
-        if key:
-            settled()
-            yield part()
+        if parts:
+            yield part(bucket, parts)
 
     return frequent
 
 
-def _filter(blocks: DataFrame, support: dict, buckets: int):
+def _filter(blocks: DataFrame, least: np.ndarray, buckets: int):
     """The filter of phrases that are frequent in some shard, as a broadcast value of a fixed size."""
-    ordered = blocks.repartition("bucket").sortWithinPartitions("bucket", "shard", "lang")
+    ordered = blocks.repartition("bucket").sortWithinPartitions("bucket")
     width = (1 << FILTER) // buckets // 8
     bits = np.zeros((1 << FILTER) // 8, np.uint8)
-    for row in ordered.mapInArrow(_frequent(support, buckets), "bucket int, bits binary").collect():
+    for row in ordered.mapInArrow(_frequent(least, buckets), "bucket int, bits binary").collect():
         bits[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return blocks.sparkSession.sparkContext.broadcast(bits)
 
@@ -271,30 +271,25 @@ def _exact(filters: list):
 
 def phrase_counts(docs: DataFrame, key: str, text: str, lang: str, support: int, longest: int, shards: int) -> tuple[DataFrame, DataFrame]:
     """Staged: `lang`, `phrase`, `words` and `a` of all phrases and words with support; `lang` and `n`, all words of each language."""
-    spark = docs.sparkSession
     texts = docs.select(
         F.pmod(F.xxhash64(col(key)), shards).cast("int").alias("shard"), F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"),
         bytes_of(text).alias("body"),
     )
-    words = stage(texts.mapInArrow(_words, "shard int, lang string, phrase string, a long").groupBy("shard", "lang", "phrase").agg(F.sum("a").alias("a")))
-    sizes = stage(words.groupBy("shard", "lang").agg(F.sum("a").alias("n")))
+    counts = stage(texts.mapInArrow(_words, "shard int, lang string, phrase string, a long").groupBy("shard", "lang", "phrase").agg(F.sum("a").alias("a")))
+    words = counts.where((F.col("shard") == -1) & (F.col("a") >= support)).select("lang", "phrase", "a")
+    sizes = counts.where("shard >= 0").select("shard", "lang", F.col("a").alias("n"))
     totals = stage(sizes.groupBy("lang").agg(F.sum("n").alias("n")))
-    shares = sizes.join(totals.withColumnRenamed("n", "all"), "lang").select("shard", "lang", "n", "all")
     # One number for each shard and language, for all texts.
-    lowered = {(r["shard"], r["lang"]): -(-support * r["n"] // r["all"]) for r in shares.collect()}
-    total = sum(r["n"] for r in totals.collect())
-
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(1 << (max(partitions, total >> 22) - 1).bit_length(), 1 << (FILTER - 3))
-    least = spark.createDataFrame([(*k, v) for k, v in lowered.items()], "shard int, lang string, least long")
-    some = words.join(F.broadcast(least), ["shard", "lang"]).where("a >= least").select("lang", "phrase").distinct()
-    filters = [_filter(some.mapInArrow(_word_blocks(buckets), "bucket int, shard int, lang string, data binary"), {}, buckets)]
+    shares = sizes.join(totals.withColumnRenamed("n", "all"), "lang").where("n > 0").collect()
+    numbers = {(r["shard"], r["lang"]): i for i, r in enumerate(shares)}
+    lowered = np.array([-(-support * r["n"] // r["all"]) for r in shares])
+    buckets = min(1 << max(3, sum(r["n"] for r in shares) // WORDS).bit_length(), 1 << (FILTER - 3))
+    filters = [_filter(words.mapInArrow(_word_blocks(buckets), _BLOCK), np.ones(1), buckets)]
     for k in range(2, longest + 1):
-        blocks = texts.mapInArrow(_mined(k, filters[-1], buckets), "bucket int, shard int, lang string, data binary")
-        filters.append(_filter(blocks, lowered, buckets))
+        filters.append(_filter(texts.mapInArrow(_mined(k, filters[-1], buckets, numbers), _BLOCK), lowered, buckets))
 
     found = texts.mapInArrow(_exact(filters[1:]), "lang string, phrase string, a long")
-    found = found.unionByName(words.select("lang", "phrase", "a")).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
+    found = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= support).unionByName(words)
     return stage(found.withColumn("words", F.size(F.split("phrase", " ")))), totals
 
 
