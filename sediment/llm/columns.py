@@ -35,5 +35,8 @@ def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def row_of(docs: DataFrame, *without: str) -> Column:
-    """A row as one struct, so that no column can clash with an operator's own."""
-    return F.struct(*cols(c for c in docs.columns if c not in without), F.lit(True).alias("_"))
+    """A row as one struct, so that no column can clash with an operator's own; never without a field."""
+    filling = "_"
+    while filling.lower() in map(str.lower, docs.columns):
+        filling += "_"
+    return F.struct(*cols(c for c in docs.columns if c not in without), F.lit(True).alias(filling))

@@ -5,9 +5,13 @@ with that automaton from where the one before ended; the language that needs the
 of the size of its sample, wins.
 
 The models are fitted on a bounded sample: of each language the DOCS documents that come first by a hash of their id,
-CHARS characters each, MODEL_BYTES at most altogether.  The sample alone is what tasks are sent; each builds the automata, a table of
-some MB per language, once.  Texts are parsed whole, a stretch of SPAN bytes at a time: a phrase ends
-where a stretch ends, so that thousands of stretches can be read side by side.
+CHARS characters each, MODEL_BYTES at most altogether, and less where there are so many languages that they would pass ALL_BYTES.  The sample alone
+is what tasks are sent; each builds the automata, a table of some MB per language, once.
+
+Texts are parsed whole.  A text is cut into stretches of SPAN bytes, of which thousands are read side by side as if a phrase began with each.
+Then each is read once more from where the stretch before it left off, until a phrase begins where one did the first time: from there on both are the same,
+mostly after some bytes.  Where that does not happen in a stretch, the next one is read again from the state that it really begins with.
+The phrases are those of one reading from the first byte to the last.
 
 * A null text, or one without a letter, is `und` with score 0; so is every text if nothing is labelled.
 * Ties go to the language that comes first by its name.  A missing id is never learned from and not held out.
@@ -28,7 +32,7 @@ from sediment.llm.arrays import column_bytes, slices
 from sediment.llm.columns import bytes_of
 from sediment.types import col
 
-DOCS, CHARS, MODEL_BYTES = 40, 2000, 40_000
+DOCS, CHARS, MODEL_BYTES, ALL_BYTES = 40, 2000, 40_000, 1_000_000
 SPAN = 256
 FOLDS = 5
 
@@ -105,26 +109,61 @@ class Models:
         spans = (sizes + SPAN - 1) // SPAN
         document = np.repeat(np.arange(len(sizes)), spans)
         inner = (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)) * SPAN
-        length = np.minimum(sizes[document] - inner, SPAN)
+        start, length = offsets[document] + inner, np.minimum(sizes[document] - inner, SPAN)
+        out = np.zeros((len(sizes), len(self.tables)), np.int64)
+        for k, table in enumerate(self.tables):
+            begins, last = self._alone(table, symbols, start, length)
+            count = np.add.reduceat(begins, start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
+            count += self._mended(table, symbols, start, length, begins, last, inner == 0)
+            out[:, k] = np.bincount(document, count, len(sizes))
+        return out
+
+    def _alone(self, table: np.ndarray, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every stretch by itself: where phrases begin, and the state after its last byte."""
+        begins, last = np.zeros(len(symbols), bool), np.zeros(len(start), np.int64)
         order = np.argsort(-length, kind="stable")
-        document, start, length = document[order], (offsets[document] + inner)[order], length[order]
-        active = np.searchsorted(-length, -np.arange(SPAN), "left")  # how many spans are longer than each place
-        count = np.zeros((len(self.tables), len(start)), np.int64)
-        state = np.tile(np.array([len(t) // self.width - 1 for t in self.tables])[:, None], len(start))
+        active = np.searchsorted(-length[order], -np.arange(SPAN), "left")  # how many stretches are longer than each place
+        at, state = start[order], np.full(len(start), len(table) // self.width - 1)
         for place in range(SPAN):
             m = int(active[place])
             if not m:
                 break
-            symbol = symbols[start[:m] + place]
-            for k, table in enumerate(self.tables):
-                after = table[state[k, :m] * self.width + symbol]
-                ended = after < 0
-                count[k, :m] += ended
-                state[k, :m] = np.where(ended, table[symbol], after)
-        out = np.zeros((len(sizes), len(self.tables)), np.int64)
-        for k in range(len(self.tables)):
-            out[:, k] = np.bincount(document, count[k], len(sizes))
-        return out
+            symbol = symbols[at[:m] + place]
+            after = table[state[:m] * self.width + symbol]
+            ended = after < 0
+            begins[at[:m] + place] = ended
+            state[:m] = np.where(ended, table[symbol], after)
+        last[order] = state
+        return begins, last
+
+    def _mended(self, table: np.ndarray, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, begins: np.ndarray, last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many more phrases each stretch has when it goes on with the one before, unless it is a document's first."""
+        more, alone = np.zeros(len(start), np.int64), last.copy()
+        again = np.flatnonzero(~first)
+        while len(again):
+            lane, state, change = again, last[again - 1], np.zeros(len(again), np.int64)
+            ends = alone[again]  # of a stretch that falls into step
+            index = np.arange(len(again))
+            for place in range(SPAN):
+                going = place < length[lane]
+                ends[index[~going]] = state[~going]
+                lane, state, index = lane[going], state[going], index[going]
+                if not len(lane):
+                    break
+                at = start[lane] + place
+                after = table[state * self.width + symbols[at]]
+                ended, before = after < 0, begins[at]
+                apart = ~(ended & before)
+                change[index] += np.where(apart, ended.astype(np.int64) - before, 0)
+                state = np.where(ended, table[symbols[at]], after)[apart]
+                lane, index = lane[apart], index[apart]
+            ends[index] = state
+            more[again] = change
+            moved = again[last[again] != ends]
+            last[again] = ends
+            follows = moved[moved + 1 < len(start)] + 1
+            again = follows[~first[follows]]
+        return more
 
 
 def models_of(samples: dict[str, bytes]) -> Models:
@@ -145,8 +184,9 @@ def sample(labelled: DataFrame, key: str, text: str, lang: str) -> dict[str, byt
     )
     out: dict[str, bytes] = {}
     for row in sorted(rows.collect(), key=lambda r: (r["lang"], r["n"])):
-        out[row["lang"]] = (out.get(row["lang"], b"") + row["body"].encode() + b"\n")[:MODEL_BYTES]
-    return out
+        out[row["lang"]] = out.get(row["lang"], b"") + row["body"].encode() + b"\n"
+    most = min(MODEL_BYTES, ALL_BYTES // max(1, len(out)))
+    return {k: v[:most] for k, v in out.items()}
 
 
 def has_letter(text: bytes) -> bool:

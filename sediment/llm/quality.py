@@ -6,11 +6,14 @@ seven binary digits of a value, so a quantile is off by less than 1 part in 64,
 at most 64 buckets for each binary order of magnitude, and two sketches merge by adding their counts: a hot source is one
 row per bucket and task in the shuffle.
 
-A document is rejected if a measure lies beyond q75 + FENCE * (q75 - q25) + slack of its (language, source) and
-beyond that of its language, whose sketch is the sum of its sources' sketches.  So a small source can't
-reject what is usual in its language.
-
-* A null text has no words; so has an empty one: base_failed, not kept, and in no sketch.
+Only documents that pass the base rules are in the sketches.  A (language, source) has the limit high + SPREADS * (high - middle) for a measure, where
+`high` is an upper quantile, `middle` the median and their distance at least the width of the bucket of `high`; so the room beyond
+the usual, too, comes from the sketch.  All sources of a language then
+give their limits one vote each, however large they are: the (lower) median is the language's limit.  A source is judged by its own
+limit as far as that lies between the language's limit and TRUST times it.  So a small source can't reject what is usual in its
+language, and a source full of junk, be it a third of all rows, can't let its junk through.
+
+* A null text has no words; so has an empty one: base_failed, not kept, and in no sketch.  A group without any document in its sketch has none to judge.
 * A null language or source is a group of its own.  Rows with one id are judged each by itself, for its own row.
 * No row: no row.  Other columns are not looked at.
 """
@@ -34,13 +37,13 @@ MIN_WORDS, MAX_REPEATED = 10, 20
 WINDOW = 5
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-#: How many times the distance between the quartiles a value may lie beyond the upper one.
-FENCE = 4
+#: What is judged, a value per thousand words; the upper quantile in percent; and how many spreads a value may lie beyond it.  Junk
+#: of up to a tenth of a source's rows shall not move the limits of symbols and of the length of words.  Repeated words and lines are 0 in most texts
+#: and have a long tail in good ones, too, which the base rules have cut already.
+RATIOS = {"symbols": ("n_symbols", 90, 16), "chars": ("word_chars", 90, 4), "repeats": ("n_repeat_words", 98, 1), "lines": ("n_dup_lines", 98, 2)}
 
-#: What is judged: value per thousand words, and what is added to its threshold, so that a group in which
-#: nearly all values are equal has some room.
-RATIOS = {"symbols": ("n_symbols", 300), "chars": ("word_chars", 5000), "repeats": ("n_repeat_words", 200), "lines": ("n_dup_lines", 50)}
-QUARTILES = (25, 75)
+#: How many times the limit of its language the limit of a source can be.
+TRUST = 2
 
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -105,9 +108,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
 
 
+def _spare(value: Column) -> Column:
+    """The binary digits of a value behind its first seven."""
+    return F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+
+
 def bucket(value: Column) -> Column:
     """A value with all but its first seven binary digits cleared."""
-    spare = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    spare = _spare(value)
     return F.call_function("shiftleft", F.call_function("shiftright", value, spare), spare)
 
 
@@ -118,37 +126,41 @@ def per_thousand(measure_name: str) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """`name`, `lang`, `source`, `bucket`, `n`: the histogram of each measure of each group."""
     values = F.array(*[
-        F.struct(F.lit(name).alias("name"), bucket(per_thousand(m)).alias("bucket")) for name, (m, _) in RATIOS.items()
+        F.struct(F.lit(name).alias("name"), bucket(per_thousand(m)).alias("bucket")) for name, (m, *_) in RATIOS.items()
     ])
     return (
-        measured.where(F.col("n_words") > 0)
+        measured.where((F.col("n_words") > 0) & ~base_failed())
         .select("lang", "source", F.explode(values).alias("v"))
         .groupBy("v.name", "lang", "source", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def quartiles(histogram: DataFrame, groups: list[str]) -> DataFrame:
-    """`q25` and `q75` of each measure and group of a histogram; the groups' rows are buckets, not documents."""
-    merged = histogram.groupBy("name", *groups, "bucket").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy("name", *groups)
+def _of_measure(place: int) -> Column:
+    """What RATIOS says of the measure of a row."""
+    return F.element_at(F.create_map(*[F.lit(x) for name, of in RATIOS.items() for x in (name, of[place])]), F.col("name"))
+
+
+def quantiles(histogram: DataFrame) -> DataFrame:
+    """`middle` and `high` of each measure and group of a histogram, whose rows are buckets, not documents."""
+    whole = Window.partitionBy("name", "lang", "source")
     rising = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = merged.withColumn("upto", F.sum("n").over(rising)).withColumn("all", F.sum("n").over(whole))
-    at = [F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket"))).alias(f"q{q}") for q in QUARTILES]
-    return summed.groupBy("name", *groups).agg(*at)
+    summed = histogram.withColumn("upto", F.sum("n").over(rising)).withColumn("all", F.sum("n").over(whole))
+
+    def at(percent: Column) -> Column:
+        return F.min(F.when(F.col("upto") * 100 >= F.col("all") * percent, F.col("bucket")))
+
+    return summed.groupBy("name", "lang", "source").agg(at(F.lit(50)).alias("middle"), at(_of_measure(1)).alias("high"))
 
 
 def thresholds(histogram: DataFrame) -> DataFrame:
-    """One row per (lang, source): the threshold of each measure, the higher of the source's and the language's."""
-    def limits(groups):
-        fence = F.expr(f"q75 + {FENCE} * (q75 - q25)")
-        wide = quartiles(histogram, groups).withColumn("limit", fence).groupBy(*groups)
-        return wide.agg(*[F.max(F.when(F.col("name") == n, F.col("limit") + F.lit(slack))).alias(f"{n}_limit") for n, (_, slack) in RATIOS.items()])
-
-    own, language = limits(["lang", "source"]).alias("own"), limits(["lang"]).alias("language")
-    joined = own.join(language, F.col("own.lang").eqNullSafe(F.col("language.lang")))
-    return joined.select(
-        F.col("own.lang").alias("t_lang"), F.col("own.source").alias("t_source"),
-        *[F.greatest(f"own.{n}_limit", f"language.{n}_limit").alias(f"{n}_limit") for n in RATIOS],
+    """One row per (lang, source): the limit of each measure."""
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), _spare(F.col("high")))
+    own = quantiles(histogram).withColumn("own", F.col("high") + _of_measure(2) * F.greatest(F.col("high") - F.col("middle"), width))
+    votes = own.groupBy("name", "lang").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY own)").cast("long").alias("usual")).alias("l")
+    joined = own.alias("o").join(votes, (F.col("o.name") == F.col("l.name")) & F.col("o.lang").eqNullSafe(F.col("l.lang")))
+    limit = F.least(F.greatest("own", "usual"), F.col("usual") * TRUST)
+    return joined.groupBy(F.col("o.lang").alias("t_lang"), F.col("source").alias("t_source")).agg(
+        *[F.max(F.when(F.col("o.name") == n, limit)).alias(f"{n}_limit") for n in RATIOS]
     )
 
 
@@ -169,7 +181,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left"
     )
     within = F.lit(True)
-    for name, (m, _) in RATIOS.items():
+    for name, (m, *_) in RATIOS.items():
         within = within & (bucket(per_thousand(m)) <= F.col(f"{name}_limit"))
     return joined.select(
         "doc_id", *_MEASURES, base_failed().alias("base_failed"),

@@ -43,26 +43,27 @@ m AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEATED} AS base_failed FROM m),
 v AS (
-  SELECT doc_id, lang, source, name, (x >> s) << s AS bucket FROM (
+  SELECT doc_id, lang, source, name, percent, spreads, (x >> s) << s AS bucket FROM (
     SELECT *, greatest(length(bin(x)) - 7, 0) AS s FROM (
-      SELECT doc_id, lang, source, unnest(['symbols', 'chars', 'repeats', 'lines']) AS name,
+      SELECT doc_id, lang, source, unnest({[n for n in quality.RATIOS]}) AS name, unnest({[p for _, p, _ in quality.RATIOS.values()]}) AS percent,
+        unnest({[n for _, _, n in quality.RATIOS.values()]}) AS spreads,
         unnest([n_symbols * 1000 // n_words, word_chars * 1000 // n_words, n_repeat_words * 1000 // n_words,
                 n_dup_lines * 1000 // n_words]) AS x
-      FROM m WHERE n_words > 0))),
-own AS (SELECT name, lang, source, quantile_disc(bucket, [0.25, 0.75]) AS q FROM v GROUP BY ALL),
-wide AS (SELECT name, lang, quantile_disc(bucket, [0.25, 0.75]) AS q FROM v GROUP BY ALL),
-slack AS (SELECT unnest({[n for n in quality.RATIOS]}) AS name, unnest({[s for _, s in quality.RATIOS.values()]}) AS slack),
+      FROM f WHERE NOT base_failed))),
+q AS (
+  SELECT name, lang, source, spreads, list_sort(list(bucket))[(count(*) + 1) // 2] AS middle, list_sort(list(bucket))[(count(*) * percent + 99) // 100] AS high
+  FROM v GROUP BY name, lang, source, percent, spreads),
+own AS (SELECT *, high + spreads * greatest(high - middle, 1 << greatest(length(bin(high)) - 7, 0)) AS own FROM q),
+wide AS (SELECT name, lang, list_sort(list(own))[(count(*) + 1) // 2] AS usual FROM own GROUP BY name, lang),
 verdict AS (
-  SELECT v.doc_id, bool_and(bucket <= slack + greatest(own.q[2] + {quality.FENCE} * (own.q[2] - own.q[1]),
-                                                       wide.q[2] + {quality.FENCE} * (wide.q[2] - wide.q[1]))) AS fine
+  SELECT v.doc_id, bool_and(bucket <= least(greatest(own, usual), usual * {quality.TRUST})) AS fine
   FROM v JOIN own ON v.name = own.name AND v.lang IS NOT DISTINCT FROM own.lang AND v.source IS NOT DISTINCT FROM own.source
-    JOIN wide ON v.name = wide.name AND v.lang IS NOT DISTINCT FROM wide.lang JOIN slack ON slack.name = v.name
+    JOIN wide ON v.name = wide.name AND v.lang IS NOT DISTINCT FROM wide.lang
   GROUP BY ALL)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEATED} AS base_failed,
-  CASE WHEN n_words < {quality.MIN_WORDS} OR n_repeat_words * 100 > n_words * {quality.MAX_REPEATED} THEN false ELSE fine END AS kept
-FROM m LEFT JOIN verdict USING (doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept
+FROM f LEFT JOIN verdict USING (doc_id)
 """
 
 

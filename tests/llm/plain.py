@@ -130,34 +130,39 @@ def measures(text):
     return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), sum(hit)
 
 
-def quality(rows, ratios, fence, min_words=10, max_repeated=20):
+def quality(rows, ratios, trust, min_words=10, max_repeated=20):
     """One (doc_id, measures, base_failed, kept) for each row."""
     where = {"symbols": 2, "chars": 1, "repeats": 4, "lines": 3}
 
-    def bucket(v):
-        spare = max(v.bit_length() - 7, 0)
-        return v >> spare << spare
-
-    def quartiles(values):
-        values = sorted(values)
-        return [values[-(-len(values) * q // 100) - 1] for q in (25, 75)]
-
-    own, wide, out = defaultdict(list), defaultdict(list), []
-    measured = [(r, measures(r[1])) for r in rows]
-    for r, m in measured:
-        for name, at in where.items():
-            if m[0]:
-                own[name, r[2], r[3]].append(bucket(m[at] * 1000 // m[0]))
-                wide[name, r[2]].append(bucket(m[at] * 1000 // m[0]))
-    for r, m in measured:
-        failed = m[0] < min_words or 100 * m[4] > max_repeated * m[0]
-        kept = not failed
-        for name, at in where.items():
-            if kept:
-                limits = [b + fence * (b - a) for a, b in (quartiles(own[name, r[2], r[3]]), quartiles(wide[name, r[2]]))]
-                kept = bucket(m[at] * 1000 // m[0]) <= max(limits) + ratios[name][1]
-        out.append((r[0], *m, failed, kept))
-    return out
+    def width(v):
+        return 1 << max(v.bit_length() - 7, 0)
+
+    def bucket(m, name):
+        v = m[where[name]] * 1000 // m[0]
+        return v - v % width(v)
+
+    def quantile(values, percent):
+        return sorted(values)[-(-len(values) * percent // 100) - 1]
+
+    sketches, judged = defaultdict(list), []
+    for r in rows:
+        m = measures(r[1])
+        judged.append((r, m, m[0] < min_words or 100 * m[4] > max_repeated * m[0]))
+        for name in where:
+            if not judged[-1][2]:
+                sketches[name, r[2], r[3]].append(bucket(m, name))
+    own, votes = {}, defaultdict(list)
+    for group, values in sketches.items():
+        _, percent, spreads = ratios[group[0]]
+        middle, high = quantile(values, 50), quantile(values, percent)
+        own[group] = high + spreads * max(high - middle, width(high))
+        votes[group[:2]].append(own[group])
+
+    def limit(name, lang, source):
+        usual = quantile(votes[name, lang], 50)
+        return min(max(own[name, lang, source], usual), trust * usual)
+
+    return [(r[0], *m, failed, not failed and all(bucket(m, n) <= limit(n, r[2], r[3]) for n in where)) for r, m, failed in judged]
 
 
 def terms(text):

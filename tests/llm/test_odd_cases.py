@@ -5,6 +5,7 @@ import pytest
 from sediment.llm import langid, licenses, lines, near, packing, postings, quality, substrings, suffixes
 
 import public_tokenizers
+from pyspark.sql.functions import lit as plain_lit
 
 from llm import plain
 
@@ -81,7 +82,7 @@ def test_lines(docs, rows):
 
 def test_quality(docs, rows):
     found = quality.judge(docs, carry=True)
-    expected = sorted(plain.quality(rows, quality.RATIOS, quality.FENCE), key=repr)
+    expected = sorted(plain.quality(rows, quality.RATIOS, quality.TRUST), key=repr)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert sorted((tuple(r) for r in found.select(*columns).collect()), key=repr) == expected
     assert found.select("given.*").columns == docs.columns
@@ -140,30 +141,60 @@ def test_languages(docs, rows):
     models = {k: v.translate(fold) for k, v in samples.items()}
 
     def phrases(text, model):
-        n = 0
-        for a in range(0, len(text), langid.SPAN):
-            part, at = text[a : a + langid.SPAN], 0
-            while at < len(part):
-                size = 1
-                while at + size < len(part) and part[at : at + size + 1] in model:
-                    size += 1
-                at, n = at + size, n + 1
+        n = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in model:
+                size += 1
+            at, n = at + size, n + 1
         return n
 
     expected, weight = {}, {k: langid.math.log2(len(v) + 2) for k, v in models.items()}
     for i, t, *_ in rows:
         b = (t or "").encode()
-        if len(b) > 20_000:
-            continue
         cost = {k: phrases(b.translate(fold), models[k]) * weight[k] for k in models}
         known = any(c.isalpha() for c in t or "")
         best, second = sorted(cost.values())
         expected[i] = (min(sorted(cost), key=cost.get) if known else "und", pytest.approx((second - best) / second if known else 0.0))
     found = by_id(langid.identify(docs), "lang_pred", "score")
-    assert {k: found[k] for k in expected} == expected
+    assert found == expected
     assert set(found) == {r[0] for r in rows}
 
 
+@pytest.mark.parametrize("span", [1, 2, 7, 64, 10_000])
+def test_phrases_of_whole_texts(monkeypatch, span):
+    """However texts are cut into stretches, the phrases are those of one reading; also where matches are far longer than a stretch."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(span)
+    samples = {"x": "".join(r.choice("ab ") for _ in range(400)).encode(), "y": ("abc" * 60 + "".join(r.choice("abcd") for _ in range(100))).encode(), "z": b"q"}
+    models = langid.Models(samples)
+    texts = ["".join(r.choice("abcd") for _ in range(r.randint(0, 300))) for _ in range(30)] + [samples["x"].decode(), "abc" * 100, "", "z" * 50, samples["x"].decode()[37:300] + "ab" * 40]
+    body = "".join(texts).encode()
+    offsets = np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(langid, "SPAN", span)
+    found = models.phrases(np.frombuffer(body, np.uint8), offsets)
+
+    def plainly(text, model):
+        n = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in model:
+                size += 1
+            at, n = at + size, n + 1
+        return n
+
+    assert found.tolist() == [[plainly(t.encode(), samples[k]) for k in models.languages] for t in texts]
+
+
+def test_models_of_very_many_languages_are_bounded(spark):
+    given = spark.createDataFrame([(i * 5 + j, f"wort{i} " * 400, f"l{i:03}") for i in range(60) for j in range(5)], "doc_id long, text string, lang string")
+    samples = langid.sample(given, "doc_id", "text", "lang")
+    assert len(samples) == 60 and sum(map(len, samples.values())) <= langid.ALL_BYTES
+
+
 def test_licenses(spark, docs, rows):
     texts = [(i, f"{a} {t} {b}") for i, (t, a, b) in enumerate(
         (t, a, b) for t in licenses.TEMPLATES.values() for a, b in (("", ""), ("Some words before it stand", "and after, too."), (" x" * 300, " y" * 9))
@@ -200,6 +231,13 @@ def test_empty_tables(spark, docs):
     assert [r["n_hit"] for r in postings.contamination(docs.limit(3), items).collect()] == [0, 0, 0]
 
 
+def test_any_column_name_may_clash(spark):
+    given = spark.createDataFrame([(1, "a line\nof text", "x", "y", "z")], "doc_id long, text string, _ string, __ string, filling string")
+    row = lines.dedup_lines(given).first()
+    assert row["row"].asDict() == {"doc_id": 1, "_": "x", "__": "y", "filling": "z", "___": True}
+    assert quality.judge(given.withColumns({"lang": plain_lit("en"), "source": plain_lit("s")}), carry=True).select("given.*").columns[:5] == given.columns
+
+
 def test_nothing_is_labelled(spark):
     given = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {tuple(r)[2:] for r in langid.identify(given).collect()} == {("und", 0.0)}
