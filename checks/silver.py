@@ -19,7 +19,7 @@ from sediment.operators.current import (
 from sediment.operators.masterkey import ambiguous, lookup_master, restrict_crosswalk
 from sediment.operators.merge import action_counts, backfill, changed_rows, upsert_changed
 from sediment.operators.projections import project_attributes, record_json, required_reason
-from sediment.plans.silver import entity_rows, versions
+from sediment.plans.silver import Versions, entity_rows, seen_records, versions, versions_of
 from sediment.staging import stage
 
 _SEEN = ["_record_hash", "_seen_at", "_seen_batch"]
@@ -264,9 +264,12 @@ def _at():
     FROM rejected JOIN bronze USING (_record_hash)""",
 )
 def quarantine(spark, sf_dir):
+    """As the job does it: the records, which are used three times, and the current versions are staged."""
     bronze, seen = customer_layers(spark, sf_dir)
-    found = versions(bronze, seen, CUSTOMER)
-    return quarantine_rows(found.rejected, bronze, record_json(bronze), _at()).drop("_quarantined_at")
+    bronze = stage(bronze)
+    found = versions_of(stage(seen_records(bronze, seen, (CUSTOMER,))), CUSTOMER)
+    rejected = Versions(stage(found.current), found.keyless).rejected
+    return quarantine_rows(rejected, bronze, record_json(bronze), _at()).drop("_quarantined_at")
 
 
 @query(

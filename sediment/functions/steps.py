@@ -109,9 +109,12 @@ def _plain(values) -> list[str]:
 
 
 def readable(value: str, data_type: T.DataType) -> bool:
-    """Whether Spark reads the text as a value of the type; a default that it can't read would be null."""
-    session = SparkSession.active()
-    return session.range(1).select(F.lit(value).try_cast(data_type).isNotNull()).first()[0]
+    """Whether Spark reads the text as a value of the type; a default that it can't read would be null.
+
+    The cast of a constant is folded when the query is planned, so no job runs.
+    """
+    folded = SparkSession.active().sql(f"SELECT try_cast(:value AS {data_type.simpleString()}) IS NOT NULL FROM VALUES (1)", args={"value": value})
+    return folded.collect()[0][0]
 
 
 def _null_if_problem(step: NullIf, before: T.DataType) -> str | None:

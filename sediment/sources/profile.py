@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import functools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.functions.names import column_name_of, table_name
+from sediment.functions.names import column_name, column_name_of, table_name
 from sediment.operators.projections import leaves
-from sediment.sources.files import MALFORMED, PATTERNS, listed_files, scan_xml, scanned_name
+from sediment.sources.files import MALFORMED, listed_files, scan_xml, scanned_name
 from sediment.types import col, parse_sql_type, quoted, sql_type_of
 
 PROFILE = "ordinal int, name string, sql_type string, nullable boolean"
@@ -214,12 +215,56 @@ def xml_tags(spark: SparkSession, path) -> list[str]:
     return [r["tag"] for r in found.collect()]
 
 
-def _first_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """`file_name` and `first`, the first line, of the files of a folder."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
-        scanned_name().alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
-    )
-    return lines.where("block = 0").groupBy("file_name").agg(F.min_by("value", "row").alias("first"))
+def _heads(spark: SparkSession, paths: list[str], threads: int = 16) -> list[str]:
+    """The first line of each file, of which no more is read than it takes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def head(path: str) -> str:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+            source = codec.createInputStream(stream) if codec else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"), 1 << 13)
+            line = reader.readLine()
+            while line is not None and not line.strip():  # a scan passes over empty lines, too
+                line = reader.readLine()
+            return (line or "").removeprefix("\ufeff")
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(head, paths))
+
+
+def header_cells(line: str, delimiter: str) -> list[str]:
+    """The cells of one line of CSV."""
+    cells, cell, quoted_, at = [], "", False, 0
+    while at < len(line):
+        if line[at] == '"':
+            if quoted_ and line[at : at + 2] == '""':
+                cell += '"'
+                at += 1
+            else:
+                quoted_ = not quoted_
+            at += 1
+        elif not quoted_ and line.startswith(delimiter, at):
+            cells, cell, at = [*cells, cell], "", at + len(delimiter)
+        else:
+            cell, at = cell + line[at], at + 1
+    return [*cells, cell]
+
+
+def _titles(line: str, header: bool, delimiter: str) -> list[str]:
+    """The names of a file's columns; an empty title and one that is there twice get their place for a name or at its end, as in a scan."""
+    if not line:  # an empty file
+        return []
+    cells = header_cells(line, delimiter)
+    if not header:
+        return [f"col_{i}" for i in range(len(cells))]
+    cells = [c.strip() for c in cells]
+    lower = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
 
 
 def profile_folder(
@@ -227,25 +272,35 @@ def profile_folder(
 ) -> DataFrame:
     """The profile of every CSV file of a folder, with the table it would load.
 
-    Files that share a header (without headers, a number of columns) are profiled in one scan, each on its
-    own.  A sample is taken of each file, so then files are read one by one.
+    All files are read once, in one scan, whatever their headers: as rows (file, ordinal, text), which one aggregate of counters
+    measures.  The headers come from the files' first lines.  A sample is taken of each file, so then files are read one by one.
     """
     paths = {r["file_name"]: r["path"] for r in listed_files(spark, folder, "csv")}
-    alike: dict = {}
-    for r in _first_lines(spark, folder, PATTERNS["csv"]).collect():
-        key = r["file_name"] if sample_rows is not None else r["first"] if header else r["first"].count(delimiter)
-        alike.setdefault(key, []).append(r["file_name"])
-    found = []
-    for names in alike.values():
-        rows = _texts(spark, [paths[n] for n in sorted(names)], header, delimiter)
-        if sample_rows is None:
-            profile = profile_columns(rows.withColumn("_file", scanned_name()), by="_file").withColumnRenamed("_file", "file_name")
-        else:
-            profile = profile_columns(rows, sample_rows=sample_rows).select(F.lit(names[0]).alias("file_name"), "*")
-        found.append(profile)
-    united = functools.reduce(DataFrame.unionByName, found)
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    return united.select("file_name", table_name(stem).alias("table_name"), *[c for c in united.columns if c != "file_name"])
+    if sample_rows is not None:
+        found = [
+            profile_csv(spark, path, header=header, delimiter=delimiter, sample_rows=sample_rows).select(F.lit(name).alias("file_name"), "*")
+            for name, path in paths.items()
+        ]
+        united = functools.reduce(DataFrame.unionByName, found)
+        return united.select("file_name", table_name(stem).alias("table_name"), *[c for c in united.columns if c != "file_name"])
+
+    titles = {name: _titles(line, header, delimiter) for name, line in zip(paths, _heads(spark, list(paths.values())))}
+    cells = [f"c{i}" for i in range(max(1, *map(len, titles.values())))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    read = spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("sep", delimiter)
+    texts = read.csv(list(paths.values())).select(scanned_name().alias("file_name"), F.array(*cells).alias("cells"))
+    names = spark.createDataFrame([(k, v) for k, v in titles.items()], "file_name string, titles array<string>")
+    long = texts.join(names, "file_name").select("file_name", F.posexplode(F.slice("cells", F.lit(1), F.size("titles"))).alias("ordinal", "text"))
+    measured = long.groupBy("file_name", "ordinal").agg(type_counts(F.col("text")).alias("counts"))
+    listed = names.select("file_name", F.posexplode("titles").alias("ordinal", "title"))
+    profiled = listed.join(measured, ["file_name", "ordinal"], "left")
+    none = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("n", "present", "booleans", "wholes", "numbers")])
+    counts = F.coalesce("counts", none)
+    return profiled.select(
+        "file_name", table_name(stem).alias("table_name"), "ordinal", column_name("title").alias("name"), type_of_counts(counts).alias("sql_type"),
+        (counts["present"] < counts["n"]).alias("nullable"),
+    )
 
 
 def profile_schema(profile: DataFrame) -> T.StructType:

@@ -136,3 +136,22 @@ def test_the_bronze_merge_shuffles_once(spark, db):
     assert spark.conf.get("spark.sql.session.timeZone") == job.conf.get("spark.sql.session.timeZone")
     assert (bucket_count(spark, f"{db}.b"), bucket_count(spark, f"{db}.none")) == (6, None)
     assert buckets_for(spark, f"{db}.b") == 8
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_outer_matches_with_a_hot_key(spark, hot):
+    """A third of the target's rows have one key, or none; rows of both sides that match nothing are there once."""
+    from sediment.operators.merge import backfill, upsert_changed
+
+    old = [(hot if n % 3 == 0 else n, f"old {n}" if n % 2 else None) for n in range(300)]
+    new = [(n, f"new {n}") for n in range(290, 310)] + [(hot, "new")]
+    target, source = spark.createDataFrame(old, "k INT, v STRING").repartition(4), spark.createDataFrame(new, "k INT, v STRING").repartition(3)
+    keys, values = {k for k, _ in old}, dict(new)
+    fresh = [(k, v) for k, v in new if k not in keys]
+    filled = backfill(target, source, ["k"], ["v"])
+    assert sorted(map(tuple, filled.collect()), key=repr) == sorted([(k, v if v is not None else values.get(k)) for k, v in old] + fresh, key=repr)
+    merged = upsert_changed(target, source, ["k"])
+    expected = [(k, values.get(k, v), "kept" if k not in values else "update") for k, v in old] + [(k, v, "insert") for k, v in fresh]
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted(expected, key=repr)
+    for df in (filled, merged):
+        assert "FullOuter" not in plan(df) and "LeftAnti" in plan(df)
