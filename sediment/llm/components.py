@@ -5,7 +5,7 @@ becomes the neighbour of all) until nothing changes: a number of rounds that gro
 
 A node with very many links is a hub.  The links of all nodes add up to their number, so fewer than HUBS nodes have more
 than one in HUBS of them: a list of bounded size.  With it the links of a hub are dealt to several tasks, each with its own copy of
-the hub's least neighbour, and no task holds a hub.
+the hub's least neighbour, and no task holds a hub.  Where there are no more than FEW links in all, no node can be one.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from sediment.staging import stage
 
-#: Hubs at most, the links that make none in any case, and the links that a task makes stars of at a time.
-HUBS, FEW, HELD = 512, 1000, 1 << 18
+#: Hubs at most, the links that make none in any case (some MB), and the links that a task makes stars of at a time.
+HUBS, FEW, HELD = 512, 100_000, 1 << 18
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +51,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_least(pairs: DataFrame, count: int) -> DataFrame:
     """Pairs (u, v) with `m`, the least v of each u, for a number of links."""
+    if count <= FEW:
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
     most = max(FEW, count // HUBS)
     ends = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     # The condition on m keeps both uses of `ends` alike, so that Spark makes it once.

@@ -26,12 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.arrays import PIECE, U64, Sums, Words, column_bytes, mix, runs, slices
 from sediment.llm.columns import id_back, keyed_texts
+from sediment.llm.components import components
 from sediment.staging import stage
+from sediment.types import col
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -100,6 +102,12 @@ def _copy_key(text: bytes) -> bytes:
     return hashlib.md5(b" ".join(text.split())).digest()
 
 
+def copy_key(text: str) -> Column:
+    """`_copy_key` as an expression; null for a text without words."""
+    words = F.trim(F.regexp_replace(col(text), r"[ \t\n\x0B\f\r]+", " "))
+    return F.when(words != "", F.unhex(F.md5(words.cast("binary"))))
+
+
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = [_copy_key(body.as_py()) == node.as_py() for body, node in zip(batch.column("body"), batch.column("node"))]
@@ -268,58 +276,6 @@ def links_apart(opened: DataFrame, texts: DataFrame, weights: str) -> DataFrame:
     return ordered.mapInArrow(_tile_links(weights), "pivot binary, node binary")
 
 
-def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a task as stars: each node with the least it is connected with here."""
-    root: dict[bytes, bytes] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def stars():
-        ends = [(n, find(n)) for n in root]
-        u, v = [n for n, r in ends if n != r], [r for n, r in ends if n != r]
-        root.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
-
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            a, b = find(u), find(v)
-            root[max(a, b)] = min(a, b)
-        if len(root) > PIECE:
-            yield stars()
-    yield stars()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """`node` and `root`, the least node that it is connected with, of links (`pivot`, `node`).
-
-    Large-star and small-star steps by turns (the least neighbour becomes the neighbour of all), until nothing
-    changes: a number of rounds that grows as the logarithm of a component's size, after each task has made stars
-    of its links.  Every round is staged once.  A row is two 16-byte keys; the rows of one hot node meet in
-    a task as they stream by, and none is held.
-    """
-    def mark(df):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
-
-    edges = links.select(F.col("pivot").alias("u"), F.col("node").alias("v")).mapInArrow(_connected, "u binary, v binary")
-    edges = stage(edges.distinct())
-    before = mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(least.select("u", F.col("m").alias("v")).unionByName(small).distinct())
-        now = mark(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-
-
 def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -333,11 +289,14 @@ def linked(buckets: DataFrame, texts: DataFrame, weights: str = "one") -> DataFr
     split = rooted.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("pivot")
     opened = stage(rooted.join(stage(split), "pivot").select("pivot", "node", "root"))
     more = stage(links_apart(opened, texts, weights))
-    return components(links.unionByName(more))
+    return components(roots.select(F.col("root").alias("pivot"), "node").unionByName(more))
+
 
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "one", copies: bool = False) -> DataFrame:
+    """`doc_id` and `class_id`, the smallest id of the row's class, of each row.
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: str = "one") -> DataFrame:
-    """`doc_id` and `class_id`, the smallest id of the row's class, of each row."""
+    With `copies` also `copy`, the `copy_key` of the row's words, and `root`, which tells classes with one smallest id apart.
+    """
     texts = keyed_texts(docs, key, text)
     signed = stage(texts.mapInArrow(_signed(weights), "doc long, copy binary, bands array<long>"))
     nodes = signed.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("doc").alias("doc"), F.min_by("bands", "doc").alias("bands"))
@@ -350,13 +309,14 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
     both = buckets.select("node").unionByName(buckets.select(F.col("pivot").alias("node"))).distinct()
     candidates = stage(both.join(nodes.select("node", "doc"), "node"))
     # Rows with one id and other words, or the same row again, must not stand for the node once more.
+    # What is held of a partition is 24 bytes a candidate; sorting instead would sort all texts.
     found = texts.join(candidates.hint("shuffle_hash"), "doc").mapInArrow(_own_texts, "doc long, node binary, body binary")
-    bodies = stage(found.dropDuplicates(["doc", "node"]).select("node", "body"))
+    bodies = stage(found.groupBy("node").agg(F.any_value("body").alias("body")))
     roots = linked(buckets, bodies, weights)
 
     named = _with_roots(nodes.select("node", "doc"), roots)
     classes = named.groupBy("root").agg(F.min("doc").alias("class"))
-    of_node = stage(named.join(classes, "root").select(F.col("node").alias("copy"), "class"))
+    of_node = stage(named.join(classes, "root").select(F.col("node").alias("copy"), "class", "root"))
     return signed.select("doc", "copy").join(of_node, "copy", "left").select(
-        id_back("doc").alias("doc_id"), id_back(F.coalesce("class", "doc")).alias("class_id")
+        id_back("doc").alias("doc_id"), id_back(F.coalesce("class", "doc")).alias("class_id"), *(["copy", "root"] if copies else [])
     )
