@@ -9,7 +9,7 @@ What is found are the maximal repeats of at least `window` words; each word insi
 * A text of any length is worked on in pieces that overlap by one window, so memory is bounded.
 * No row: no row.  Other columns are not looked at.
 
-Words and windows are compared by 64-bit hashes of themselves together with those of their anchors.
+Stretches and windows are compared by 96 bits of hashes (`windows.py`).
 """
 
 from __future__ import annotations

@@ -81,7 +81,7 @@ class SuffixLevels:
         return self._read(folder).where(F.col("kind") != windows.KEPT)
 
 
-def remove_earlier(docs: DataFrame, window: int = 100, batches: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_earlier(docs: DataFrame, window: int = 100, batches: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id`, `n_bytes`, `n_removed`, `n_spans` and `kept` (binary) of each row.
 
     The documents are added in `batches` ranges of their ids, of about equal numbers.
