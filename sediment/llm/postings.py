@@ -258,7 +258,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str
     Items of fewer than `least` words are no hit.
     """
     index = build_index(docs, key, text)
-    hits = search(index, phrases_of(items, window, item_key, item_text, least), window)
+    # Staged, so that Spark knows how large the query set is and sends it to all tasks only if it is small.
+    hits = search(index, stage(phrases_of(items, window, item_key, item_text, least)), window)
     found = (
         hits.groupBy("doc").agg(F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .mapInArrow(_covered, "doc long, n_hit long, items array<string>")

@@ -4,7 +4,8 @@ Method: transaction assembly.  A capture is a response or revisit record; reques
 WARC-Concurrent-To.  They are joined through these ids, and one nested row per capture comes out.  A payload
 that several pages have is written once, as a response; the others are revisit records that refer to it.
 
-Archives are read as text between the version lines that open records, so a file is split like any other.  A
+Archives are read as text between the version lines that open records, so an uncompressed file is split like any other.  A
+compressed one is one gzip stream and one task; so files are written with RECORDS records at most, and there are many.  A
 record is complete if its length is what its header says; only files in which one is not (a payload holds such
 a line) are put together again, by length, from the first record on.
 
@@ -32,6 +33,9 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest
 
 CAPTURES = ("response", "revisit")
 
+#: Records of an archive at most: some ten to hundred megabytes of web pages.
+RECORDS = 10_000
+
 
 def base32_sha1(payload: Column) -> Column:
     """SHA-1 in base 32; ten hexadecimal digits are eight of base 32."""
@@ -98,7 +102,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str =
     )
     records = joined.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("record"))
     writer = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", ENDS)
-    writer.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(folder)
+    writer.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(folder)
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
