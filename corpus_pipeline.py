@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sediment.llm import lines, near, packing, postings, quality
+from sediment.llm.columns import id_of, row_of
 from sediment.staging import stage
-from sediment.types import col, cols
+from sediment.types import col
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -37,22 +38,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[changed.get(c, col("row")[c]).alias(c) for c in docs.columns])
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is among `id`."""
-    return docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, the one with the smallest id; a repeated row once."""
-    classes = near.near_classes(docs)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("id"))
-    return _only(docs, first).dropDuplicates(["doc_id", "text"]).select(*cols(docs.columns))
+    """One document of each group of copies and near copies, the one with the smallest id; documents without words stay.
+
+    A document is an id with the words of a text: rows with one id are chosen each by its own words.  Of rows with one id and
+    equal words the one with the least text stays, and of equal texts the least of the other columns' hashes.
+    """
+    classes = stage(near.near_classes(docs, copies=True).select(id_of("doc_id").alias("doc"), "copy", "root"))
+    wordless = classes.where(F.col("copy").isNull()).select("doc", F.lit(b"").alias("copy")).distinct()
+    first = classes.where(F.col("copy").isNotNull()).groupBy("root").agg(F.min(F.struct("doc", "copy")).alias("first"))
+    chosen = stage(first.select("first.doc", "first.copy").unionByName(wordless))
+    rows = docs.select(row_of(docs).alias("row"), id_of("doc_id").alias("doc"), F.coalesce(near.copy_key("text"), F.lit(b"")).alias("copy"))
+    order = Window.partitionBy("doc", "copy").orderBy("row.text", F.xxhash64("row"))
+    kept = rows.join(chosen, ["doc", "copy"], "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return kept.select(*[col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a passage of the benchmark, of LEAST_HIT words or more."""
-    found = postings.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=LEAST_HIT)
-    return _only(docs, found.where(~F.col("contaminated")).select(F.col("doc_id").alias("id")))
+    """The documents without a passage of the benchmark, of LEAST_HIT words or more; rows with one id are judged each by its own text."""
+    rows = docs.select(row_of(docs).alias("row"), F.xxhash64(col("doc_id"), col("text")).alias("own"), col("text").alias("text"))
+    found = postings.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="own", least=LEAST_HIT)
+    gone = stage(found.where(F.col("contaminated")).select(F.col("doc_id").alias("own")).distinct())
+    return rows.join(gone, "own", "left_anti").select(*[col("row")[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
