@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from checks.compare import difference, oracle_connection
-from sediment.llm import quality
+from sediment.llm import quality, suffixes
 from sediment.llm.queries import ORACLES, QUERIES
 
 from llm import plain
@@ -28,6 +28,19 @@ def test_query_has_all_documents(spark, name):
     assert ids == {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
 
 
+def test_the_suffix_query_merges_levels(spark, monkeypatch):
+    sizes, merge = [], suffixes.SuffixLevels._merge_equal
+
+    def counted(index):
+        before = [n for n, _ in index.levels]
+        merge(index)
+        sizes.append((before, [n for n, _ in index.levels]))
+
+    monkeypatch.setattr(suffixes.SuffixLevels, "_merge_equal", counted)
+    assert QUERIES["op10_suffix_dedup"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert sizes == [([], []), ([1], [1]), ([1, 1], [2]), ([2, 1], [2, 1]), ([2, 1, 1], [4])]
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     found = QUERIES["op7_language_id"](spark, SF).where("held_out").join(docs, "doc_id").collect()
@@ -48,7 +61,7 @@ def test_stages(spark):
 
     given = rows_of(docs)
     docs = functions["quality_rules"](spark, docs, SF).cache()
-    judged = plain.quality(given, quality.RATIOS, quality.FENCE)
+    judged = plain.quality(given, quality.RATIOS, quality.TRUST)
     assert sorted(rows_of(docs)) == sorted(r for r, j in zip(given, judged) if j[-1])
     assert docs.columns == columns
 
