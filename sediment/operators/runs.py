@@ -106,7 +106,6 @@ MAX_COUNT = 2**53
 
 _MEMBERS = (*COUNTS, "source", "target", "extra_source_columns", "reconciled")
 _TABLE = "struct<" + ", ".join(f"{m}: variant" for m in _MEMBERS) + ">"
-_REPORT = "struct<v: variant, layer: variant, mode: variant, reconciled: variant, tables: map<string, variant>>"
 
 
 def _typed(value: Column, type_name: str, kind: str) -> Column:
@@ -143,53 +142,50 @@ def sanitize_reports(reports: DataFrame, text: str = "report") -> DataFrame:
     table says otherwise.  Anything that is not a report of a known layer is left out.
 
     Each text is parsed once: exploding the one-element array keeps Spark from repeating the parse for
-    every member that is read from it.
+    every member that is read from it.  A variant carries the names of its whole document, so a table's members become plain
+    values while they are still in memory: as variants in a row, every one of them would take the names along.
     """
     others = cols(c for c in reports.columns if c != text)
-    parsed = F.try_variant_get(F.try_parse_json(col(text)), "$", _REPORT)
-    report = (
-        reports.select(*others, F.explode(F.array(parsed)).alias("_r"))
-        .where(
-            _text(F.col("_r.layer")).isin(*LAYERS)
-            & (_typed(F.col("_r.v"), "bigint", "BIGINT") == 1)
-            & F.col("_r.tables").isNotNull()
-        )
+
+    def member(name: str, type_name: str = "variant") -> Column:
+        return F.try_variant_get("_r", f"$.{name}", type_name)
+
+    report = reports.select(*others, F.explode(F.array(F.try_parse_json(col(text)))).alias("_r")).where(
+        _text(member("layer")).isin(*LAYERS) & (_typed(member("v"), "bigint", "BIGINT") == 1)
     )
     entries = F.filter(
-        F.map_entries("_r.tables"),
+        F.map_entries(member("tables", "map<string, variant>")),
         lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT"),
     )
+    members = F.transform(
+        entries, lambda e: F.struct(e["key"].alias("name"), F.try_variant_get(e["value"], "$", _TABLE).alias("t"))
+    )
     tables = F.transform(
-        entries,
+        members,
         lambda e: F.struct(
-            e["key"].alias("name"), F.try_variant_get(e["value"], "$", _TABLE).alias("t")
+            e["name"].alias("table_name"),
+            *[_count(e["t"][k]).alias(k) for k in COUNTS],
+            *[_text(e["t"][k]).alias(k) for k in ("source", "target")],
+            _extra(e["t"]["extra_source_columns"]).alias("extra_source_columns"),
+            _flag(e["t"]["reconciled"]).alias("reconciled"),
         ),
     )
     listed = report.select(
         *others,
-        _text(F.col("_r.layer")).alias("layer"),
-        F.coalesce(F.try_variant_get("_r.mode", "$", "string"), F.lit("")).alias("mode"),
-        F.coalesce(_flag(F.col("_r.reconciled")), F.lit(False)).alias("_claimed"),
+        _text(member("layer")).alias("layer"),
+        F.coalesce(member("mode", "string"), F.lit("")).alias("mode"),
+        F.coalesce(_flag(member("reconciled")), F.lit(False)).alias("_claimed"),
         F.explode(F.array(tables)).alias("_tables"),
-    )
-    no_objection = F.forall("_tables", lambda e: F.coalesce(_flag(e["t"]["reconciled"]), F.lit(True)))
-    table = F.col("_t.t")
-    return listed.select(
-        *others,
-        "layer",
-        "mode",
-        (F.col("_claimed") & no_objection).alias("run_reconciled"),
-        F.explode_outer("_tables").alias("_t"),
-    ).select(
+    ).where(F.col("_tables").isNotNull())
+    no_objection = F.forall("_tables", lambda e: F.coalesce(e["reconciled"], F.lit(True)))
+    # Settled before the tables become rows: next to the explode it would take all tables along with each of them.
+    judged = listed.select(*others, "layer", "mode", (F.col("_claimed") & no_objection).alias("run_reconciled"), "_tables")
+    return judged.select(*others, "layer", "mode", "run_reconciled", F.explode_outer("_tables").alias("_t")).select(
         *others,
         "layer",
         "mode",
         "run_reconciled",
-        F.col("_t.name").alias("table_name"),
-        *[_count(table[k]).alias(k) for k in COUNTS],
-        *[_text(table[k]).alias(k) for k in ("source", "target")],
-        _extra(table["extra_source_columns"]).alias("extra_source_columns"),
-        _flag(table["reconciled"]).alias("reconciled"),
+        *[F.col(f"_t.{k}") for k in ("table_name", *COUNTS, "source", "target", "extra_source_columns", "reconciled")],
     )
 
 
