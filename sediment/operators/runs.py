@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sediment.functions.identity import reversed_hex
 from sediment.functions.runs import FINISHED, run_status, time_of_millis
+from sediment.operators.gather import pieces
 from sediment.operators.merge import upsert_changed
 from sediment.types import col, cols, quoted
 
@@ -75,17 +76,23 @@ def remote_runs(listing: DataFrame) -> DataFrame:
     )
 
 
+#: Error texts are long and compress well, so the size of files or shuffles says little of what a task holds of them.
+PIECE_BYTES = 1 << 19
+
+
 def sync_runs(known: DataFrame, remote: DataFrame) -> DataFrame:
     """The history after a sync, with `_action`; who triggered a known run is never overwritten.
 
     Known runs that have no run id yet cannot be listed remotely.  They go around the join, where they
-    would all meet in one task.
+    would all meet in one task.  The join has as many tasks as the listing's size asks for, whatever its texts compress to.
     """
     waiting = F.col("run_id").isNull()
+    keys = ["pipeline_id", "run_id"]
+    n = pieces(remote, PIECE_BYTES)
     merged = upsert_changed(
-        known.where(~waiting),
-        remote,
-        ["pipeline_id", "run_id"],
+        known.where(~waiting).repartition(n, *cols(keys)),
+        remote.repartition(n, *cols(keys)),
+        keys,
         compare=["status", "started_at", "finished_at", "error_message", "run_url"],
         protected=["triggered_by"],
         null_safe=False,
