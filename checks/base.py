@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sediment.operators.gather import pieces
 from sediment.types import cols
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,15 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of one small file on all cores; a source with enough splits as it is."""
+def spread(df: DataFrame, keys: list[str], piece_bytes: int | None = None) -> DataFrame:
+    """The rows of one small file on all cores, with `piece_bytes` in pieces of that size at most; a source with enough splits as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *cols(keys)) if df.rdd.getNumPartitions() < cores else df
+    n = pieces(df, piece_bytes) if piece_bytes else cores
+    return df.repartition(n, *cols(keys)) if df.rdd.getNumPartitions() < n else df
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf_dir: str, name: str, piece_bytes: int | None = None) -> DataFrame:
     """A given table for costly work per row, on all cores even if it is one small file."""
-    return spread(table(spark, sf_dir, name), _KEYS[name])
+    return spread(table(spark, sf_dir, name), _KEYS[name], piece_bytes)
 
 
 def time_text(value) -> Column:

@@ -7,18 +7,24 @@ from checks.loads import (
     CUSTOMER_COLUMNS, LINE_COLUMNS, SQL_CUSTOMER, SQL_LINE, customer_hashed, customer_layers, customer_raw,
     line_bronze, line_hashed, line_raw, line_sightings,
 )
-from sediment.functions.identity import canonical_text, record_hash, value_hash
+from sediment.functions.identity import canonical_text, hash_text, record_hash, value_hash
 from sediment.operators.bronze import (
-    distinct_stats, duplicates, first_seen, hashed, last_seen, latest_version_of, orphans, sightings, with_last_seen,
+    PIECE_BYTES, distinct_stats, duplicates, first_seen, hashed, last_seen, latest_version_of, orphans, sightings, with_last_seen,
 )
+from sediment.operators.gather import gathered, pieces
 from sediment.operators.merge import mark_new, merge_insert_only
 from sediment.operators.projections import column_diff, guard_schema
-from sediment.staging import stage
+from sediment.sources.tables import job_session
 from sediment.types import LINEAGE_COLUMNS
 
 _TIMES = "epoch_us(_ingested_at) AS seen_us, _source_file, _batch_id"
 
 
+def _hash():
+    """The packed hash of the line items as text."""
+    return hash_text(F.col("_record_hash")).alias("_record_hash")
+
+
 def _times():
     return [F.unix_micros("_ingested_at").alias("seen_us"), F.col("_source_file"), F.col("_batch_id")]
 
@@ -31,7 +37,7 @@ def _times():
 def bronze_distinct(spark, sf_dir):
     return line_bronze(spark, sf_dir).select(
         "order_id", "part_id", "supplier_id", "line", "quantity", F.col("price").cast("string").alias("price"),
-        "flag", "status", F.col("shipped").cast("string").alias("shipped"), "_record_hash", *_times(),
+        "flag", "status", F.col("shipped").cast("string").alias("shipped"), _hash(), *_times(),
     )
 
 
@@ -52,7 +58,7 @@ def bronze_first_seen(spark, sf_dir):
 )
 def line_sightings_rows(spark, sf_dir):
     return line_sightings(spark, sf_dir).select(
-        "_record_hash", "_batch_id", F.unix_micros("_ingested_at").alias("seen_us")
+        _hash(), "_batch_id", F.unix_micros("_ingested_at").alias("seen_us")
     )
 
 
@@ -81,7 +87,7 @@ def records_last_seen(spark, sf_dir):
 )
 def last_sighting(spark, sf_dir):
     return last_seen(line_sightings(spark, sf_dir)).select(
-        "_record_hash", F.unix_micros("_seen_at").alias("seen_us"), "_seen_batch"
+        _hash(), F.unix_micros("_seen_at").alias("seen_us"), "_seen_batch"
     )
 
 
@@ -107,9 +113,10 @@ def latest_seen_version(spark, sf_dir):
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
 )
 def duplicate_keys(spark, sf_dir):
-    in_raw = duplicates(line_hashed(spark, sf_dir), ["_record_hash", "_batch_id"])
+    rows = line_hashed(spark, sf_dir).select("_record_hash", "_batch_id")
+    in_raw = duplicates(gathered(rows, ["_record_hash"], PIECE_BYTES), ["_record_hash", "_batch_id"]).withColumn("_record_hash", _hash())
     in_bronze = duplicates(line_bronze(spark, sf_dir), ["_record_hash"]).select(
-        "_record_hash", F.lit("bronze").alias("_batch_id"), "copies"
+        _hash(), F.lit("bronze").alias("_batch_id"), "copies"
     )
     in_lines = duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select(
         F.concat_ws("/", "l_orderkey", "l_linenumber").alias("_record_hash"),
@@ -140,12 +147,14 @@ def orphan_sightings(spark, sf_dir):
         AND t._batch_id IS NOT DISTINCT FROM s._batch_id)""",
 )
 def insert_only(spark, sf_dir):
-    # A sighting is of one load, so those of the first are among those of all; they are staged for both sides.
-    seen = stage(sightings(hashed(line_raw(spark, sf_dir), LINE_COLUMNS)))
+    # A sighting is of one load, so those of the first are among those of all.  Both sides lie by the hash in as many pieces, which
+    # serves the join in a job's session; staged, they would be shuffled once more.
+    job = job_session(spark, pieces(table(spark, sf_dir, "lineitem"), PIECE_BYTES))
+    seen = line_sightings(job, sf_dir)
     first = seen.where("_batch_id = 'L1'").withColumn("origin", F.lit("target"))
     everything = seen.withColumn("origin", F.lit("source"))
     merged = merge_insert_only(first, everything, ["_record_hash", "_batch_id"], null_safe=["_batch_id"])
-    return merged.select("_record_hash", "_batch_id", F.unix_micros("_ingested_at").alias("seen_us"), "origin")
+    return merged.select(_hash(), "_batch_id", F.unix_micros("_ingested_at").alias("seen_us"), "origin")
 
 
 @query(

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import spread_table, sql_hash, table
+from sediment.functions.identity import packed
 from sediment.functions.steps import Cast, NullIf, Trim, Upper
-from sediment.operators.bronze import distinct_records, earliest_copies, hashed, sightings
+from sediment.operators.bronze import PIECE_BYTES, earliest_copies, hashed, sightings
 from sediment.plans.spec import Attribute, Entity, MasterKey
 
 DAY = 86400
@@ -116,9 +117,9 @@ def customer_layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 LINE_COLUMNS = ["order_id", "part_id", "supplier_id", "line", "quantity", "price", "flag", "status", "shipped"]
 
 
-def line_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_raw(spark: SparkSession, sf_dir: str, piece_bytes: int | None = None) -> DataFrame:
     changed = (F.col("n") == 2) & (F.col("l_partkey") % 10 == 0)
-    return _each_load(spread_table(spark, sf_dir, "lineitem"), [(1, "a"), (2, "a"), (3, "a")]).select(
+    return _each_load(spread_table(spark, sf_dir, "lineitem", piece_bytes), [(1, "a"), (2, "a"), (3, "a")]).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supplier_id"),
@@ -145,12 +146,14 @@ raw AS (
 hashed AS (SELECT *, {sql_hash(*LINE_COLUMNS)} AS _record_hash FROM raw),{_SQL_BRONZE}"""
 
 
-def line_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashed(line_raw(spark, sf_dir), LINE_COLUMNS)
+def line_hashed(spark: SparkSession, sf_dir: str, piece_bytes: int | None = None) -> DataFrame:
+    """The line items with their identity in 32 bytes, as most of what is shuffled of them is that."""
+    return hashed(line_raw(spark, sf_dir, piece_bytes), LINE_COLUMNS).withColumn("_record_hash", packed("_record_hash"))
 
 
 def line_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_records(line_raw(spark, sf_dir), LINE_COLUMNS)
+    """The distinct line items.  Whole rows are sorted before the shuffle, so the tasks that do it get small pieces."""
+    return earliest_copies(line_hashed(spark, sf_dir, PIECE_BYTES))
 
 
 def line_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,17 @@ def value_hash(fields: Iterable[T.StructField]) -> Column:
     return record_hash(fields)
 
 
+def packed(hash_text: Column) -> Column:
+    """A record hash in 32 bytes instead of 64 characters, for rows that are shuffled; `hash_text` turns it back.
+
+    Never null, as the hash is not."""
+    return F.coalesce(F.unhex(hash_text), F.lit(b""))
+
+
+def hash_text(packed_hash: Column) -> Column:
+    return F.lower(F.hex(packed_hash))
+
+
 def reversed_hex(text: Column) -> Column:
     """Hex text whose order is the reverse of the original's: its maximum is the original's minimum."""
     return F.translate(text, "0123456789abcdef", "fedcba9876543210")

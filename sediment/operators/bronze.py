@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.identity import record_hash
+from sediment.operators.gather import gathered
 from sediment.types import LINEAGE_COLUMNS, col, cols, quoted
 
 
+#: A task counts the rows of so many bytes of input files: a few million, as a Raw row takes some ten bytes there.
+PIECE_BYTES = 8 << 20
+
+
 def nulls_last(*names: str) -> list[Column]:
     """Sort keys that put nulls behind every value, also inside a struct comparison."""
     keys = []
@@ -67,8 +72,14 @@ def sightings(df: DataFrame) -> DataFrame:
 
 
 def counted_sightings(df: DataFrame) -> DataFrame:
-    """The sightings, each with `_copies`, the number of rows behind it."""
-    return df.groupBy("_record_hash", "_batch_id").agg(
+    """The sightings, each with `_copies`, the number of rows behind it.
+
+    Rows are brought together by the hash alone: all sightings of a record stay side by side, in the shuffle, in what is written and for what
+    is asked of a record next.  They are counted behind the shuffle only: few rows of a load are alike, and a task that reads a large piece
+    of Raw could not hold a row for each.  Copies of a hot record meet in one task, which streams them into one row per load;
+    they are alike, so they take next to nothing in the shuffle.
+    """
+    return gathered(df.select("_record_hash", "_batch_id", "_ingested_at"), ["_record_hash"], PIECE_BYTES).groupBy("_record_hash", "_batch_id").agg(
         F.min("_ingested_at").alias("_ingested_at"), F.count(F.lit(1)).alias("_copies")
     )
 

@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 
 from sediment.types import cols
 
-#: Up to so many partitions Spark's tasks write a shuffle straight to files; beyond, they sort it in memory first, and spill.
-MOST_PIECES = 200
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that rows come from; 0 for rows from elsewhere."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
@@ -20,7 +16,7 @@ def input_bytes(df: DataFrame) -> int:
 def pieces(df: DataFrame, piece_bytes: int) -> int:
     """Partitions for the rows of an input: one for each `piece_bytes` of its files, but one for each core at least."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, min(-(-input_bytes(df) // piece_bytes), MOST_PIECES))
+    return max(cores, -(-input_bytes(df) // piece_bytes))
 
 
 def gathered(df: DataFrame, keys: list[str], piece_bytes: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from sediment.types import cols, quoted
 
 BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 8
+READ_BYTES = 16 << 20
 _OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -71,8 +72,9 @@ def buckets_for(spark: SparkSession, name: str) -> int:
 
 
 def job_session(spark: SparkSession, buckets: int) -> SparkSession:
-    """A session for one job, with the caller's settings but for three that no other job shall see.
+    """A session for one job, with the caller's settings but for four that no other job shall see.
 
+    Files are read in small pieces, as rows may become several times as many before they are sorted or counted.
     An overwrite replaces the partitions it has rows for.  It shuffles into as many partitions as the target has buckets, and lets the target's bucketing serve joins on
     more columns than it is bucketed by.  Then a join with the bucketed table shuffles neither it nor the
     rows a second time, and every task writes the file of one bucket.
@@ -84,6 +86,7 @@ def job_session(spark: SparkSession, buckets: int) -> SparkSession:
     job.conf.set("spark.sql.shuffle.partitions", str(buckets))
     job.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     job.conf.set(_OVERWRITE, "dynamic")
+    job.conf.set("spark.sql.files.maxPartitionBytes", str(READ_BYTES))
     return job
 
 

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.loads import CUSTOMER, LINE_COLUMNS, line_raw
-from sediment.operators.bronze import earliest_copies, first_seen, hashed, sightings
+from sediment.operators.bronze import earliest_copies, first_seen, hashed, last_seen, sightings
 from sediment.operators.current import conflicting_keys, current_per_key, latest_ties, with_value_hash
 from sediment.operators.masterkey import lookup_master
 from checks.base import spread
+from sediment.operators.gather import pieces
 from sediment.staging import stage, staging, staging_folder
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +156,29 @@ def test_outer_matches_with_a_hot_key(spark, hot):
     assert sorted(map(tuple, merged.collect()), key=repr) == sorted(expected, key=repr)
     for df in (filled, merged):
         assert "FullOuter" not in plan(df) and "LeftAnti" in plan(df)
+
+
+def test_sightings_of_a_record_stay_together(spark):
+    """One shuffle, by the hash alone, serves the sightings and what is asked of them next."""
+    rows = hashed(line_raw(spark, SF), LINE_COLUMNS)
+    text = plan(last_seen(sightings(rows)))
+    assert text.count("Exchange hashpartitioning(_record_hash") == 1 and "ENSURE_REQUIREMENTS" not in text.replace(plan(rows), ""), text
+    assert text.index("partial_min(") < text.index("Exchange hashpartitioning(_record_hash"), "tasks that read Raw hold no row for each of its rows"
+
+
+def test_a_large_source_is_cut_into_small_pieces(spark, tmp_path):
+    """Distinct line items sort whole rows before the shuffle, so those tasks get pieces by the size of the files."""
+    spark.range(0, 50_000, 1, 1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert spread(table, ["id"], 10_000).rdd.getNumPartitions() == pieces(table, 10_000) > spread(table, ["id"]).rdd.getNumPartitions()
+
+
+def test_a_merge_of_sightings_shuffles_each_side_once(spark):
+    from checks import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["merge_insert_only"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ENSURE_REQUIREMENTS" not in text and "LeftAnti" in text, text
