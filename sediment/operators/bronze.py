@@ -71,7 +71,7 @@ def sightings(df: DataFrame) -> DataFrame:
     return counted_sightings(df).drop("_copies")
 
 
-def counted_sightings(df: DataFrame) -> DataFrame:
+def counted_sightings(df: DataFrame, buckets: int = 1) -> DataFrame:
     """The sightings, each with `_copies`, the number of rows behind it.
 
     Rows are brought together by the hash alone: all sightings of a record stay side by side, in the shuffle, in what is written and for what
@@ -79,7 +79,7 @@ def counted_sightings(df: DataFrame) -> DataFrame:
     of Raw could not hold a row for each.  Copies of a hot record meet in one task, which streams them into one row per load;
     they are alike, so they take next to nothing in the shuffle.
     """
-    return gathered(df.select("_record_hash", "_batch_id", "_ingested_at"), ["_record_hash"], PIECE_BYTES).groupBy("_record_hash", "_batch_id").agg(
+    return gathered(df.select("_record_hash", "_batch_id", "_ingested_at"), ["_record_hash"], PIECE_BYTES, buckets).groupBy("_record_hash", "_batch_id").agg(
         F.min("_ingested_at").alias("_ingested_at"), F.count(F.lit(1)).alias("_copies")
     )
 

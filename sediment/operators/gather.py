@@ -19,10 +19,10 @@ def pieces(df: DataFrame, piece_bytes: int) -> int:
     return max(cores, -(-input_bytes(df) // piece_bytes))
 
 
-def gathered(df: DataFrame, keys: list[str], piece_bytes: int) -> DataFrame:
+def gathered(df: DataFrame, keys: list[str], piece_bytes: int, buckets: int = 1) -> DataFrame:
     """The rows with equal keys in one of `pieces` partitions.
 
     Their number follows the input, not the settings, and is not lowered where rows compress well, so that what a task
-    sorts or counts fits its memory.
+    sorts or counts fits its memory.  It is a multiple of `buckets`: then no piece has rows of two buckets of a table bucketed by the keys.
     """
-    return df.repartition(pieces(df, piece_bytes), *cols(keys))
+    return df.repartition(-(-pieces(df, piece_bytes) // buckets) * buckets, *cols(keys))

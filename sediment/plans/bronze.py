@@ -10,7 +10,11 @@ from sediment.operators.merge import mark_new
 from sediment.operators.projections import guard_schema
 from sediment.plans.report import bronze_counts, recorded, run_report
 from sediment.sources.tables import append, bucket_count, buckets_for, ensure_table, job_session, record_rows, recorded_rows, refresh, row_count
-from sediment.staging import stage, staging
+from sediment.staging import stage, staged_table, staging
+
+
+#: What is staged is hashes for the most part; only an entropy coder makes less of their hexadecimal digits.
+HASH_CODEC = "zstd"
 
 
 def _new_records(seen: DataFrame, bronze: DataFrame) -> tuple[DataFrame, dict]:
@@ -29,7 +33,7 @@ def _new_records(seen: DataFrame, bronze: DataFrame) -> tuple[DataFrame, dict]:
         F.count(F.lit(1)).alias("records"),
         F.count_if(is_new).alias("new"),
     )
-    fresh = stage(observed.where(is_new).select("_record_hash"))
+    fresh = stage(observed.where(is_new).select("_record_hash"), HASH_CODEC)
     return fresh, tally.get
 
 
@@ -89,13 +93,13 @@ def build_bronze(
     target = ensure_table(spark, bronze, rows.select(*order).schema, **by_hash)
     ensure_table(spark, sightings_table, sightings(rows).schema, **by_hash)
 
-    with staging(spark):
+    incoming = counted_sightings(rows, buckets)
+    with staging(spark), staged_table(incoming, bronze, buckets, ["_record_hash"], HASH_CODEC) as seen:
         held, before = recorded_rows(spark, bronze), row_count(spark, bronze)
-        seen = stage(counted_sightings(rows))
         fresh, counts = _new_records(seen, target)
         proved = True
         if counts["new"]:
-            copies = stage(first_copies(rows, fresh))
+            copies = stage(first_copies(rows, fresh), HASH_CODEC)
             added = distinct_stats(copies).first()
             proved = added["rows"] == added["distinct_records"] == counts["new"]
             append(copies, bronze)

@@ -14,6 +14,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sediment.types import quoted
+
 _SETTING = "spark.checkpoint.dir"
 
 _kept: ContextVar[list[str] | None] = ContextVar("staged_folders", default=None)
@@ -44,11 +46,32 @@ def staging(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` once and return it as a scan of what was written."""
-    spark = df.sparkSession
+def _new_folder(spark: SparkSession) -> str:
     folder = staging_folder(spark)
     if _kept.get() is not None:
         _kept.get().append(folder)
-    df.write.parquet(folder)
+    return folder
+
+
+@contextmanager
+def staged_table(df: DataFrame, name: str, buckets: int, keys: list[str], codec: str) -> Iterator[DataFrame]:
+    """`df` staged as a bucketed table that is dropped at the end, so that what reads it by the keys shuffles nothing.
+
+    `name` begins the table's name, which is one of its own.
+    """
+    spark = df.sparkSession
+    own = ".".join(quoted(part.strip("`")) for part in f"{name.rstrip('`')}_{uuid.uuid4().hex}".split("."))
+    try:
+        writer = df.write.format("parquet").option("path", _new_folder(spark)).option("compression", codec)
+        writer.bucketBy(buckets, *keys).saveAsTable(own)
+        yield spark.table(own)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {own}")
+
+
+def stage(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write `df` once and return it as a scan of what was written; `codec` is the compression, by default the session's."""
+    spark = df.sparkSession
+    folder = _new_folder(spark)
+    df.write.parquet(folder, compression=codec)
     return spark.read.schema(df.schema).parquet(folder)
