@@ -7,7 +7,7 @@ Method: SON partitioning.  Documents are dealt to SHARDS shards by a hash of the
 least, its share of it: as much of SUPPORT as the shard has of the language's words, rounded up.
 1. Words are counted exactly, as all of them are needed.  Each shard is then mined completely at that lowered support, by the number of words: a phrase
    can only be frequent in a shard if both its parts, all words but the last and all but the first, are.  A shard is counted by all tasks: they count the hashes of phrases piece by piece of text and
-   send them, sorted, to the bucket of the hash, where counts of a shard add up.
+   send them, sorted and cut to KEY bits, to the bucket of the hash, where counts of a shard add up.
 2. The union of what is frequent in some shard is kept as a filter of FILTER bits by hash, the same size for any input.  Equal hashes and equal places in
    the filter let through more, never less.
 3. All phrases that pass the filter are counted globally by their words, so counts are exact; those without support go.
@@ -43,6 +43,8 @@ SCALE, ABSORBED = 2_000_000, 80
 SHARDS = 8
 #: The filter's size as a power of two in bits, for each number of words (16 MB).
 FILTER = 27
+#: The first bits of a hash by which a shard tells its phrases apart.  More than FILTER, as counts of phrases with equal ones add up.
+KEY = 40
 #: Bytes of text that a task counts at a time, words of the input for each bucket, and entries of a bucket that are held before equal ones are added up.
 HELD, WORDS, ENTRIES = 4_000_000, 1 << 21, 1 << 22
 
@@ -158,7 +160,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _BLOCK = "bucket int, data binary"
-_ENTRY = [np.uint32, U64, np.uint32]  # group, hash, count
+_ENTRY = [np.uint32, U64, np.uint32]  # group, what the hash's first bits are more than those of the entry before, count
+_FIRST_BITS = U64((1 << KEY) - 1)
 
 
 def _blocks(groups: np.ndarray, hashes: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -166,13 +169,22 @@ def _blocks(groups: np.ndarray, hashes: np.ndarray, n: np.ndarray, buckets: int)
     bits = buckets.bit_length() - 1
     bucket = (hashes >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(hashes), np.int32)
     order = np.argsort(bucket, kind="stable")
-    entries = [c[order].astype(kind) for c, kind in zip((groups, hashes, n), _ENTRY)]
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     there = np.flatnonzero(np.diff(bounds)).tolist()
+    firsts = hashes[order] >> U64(64 - KEY)
+    more = np.diff(firsts, prepend=U64(0)) & _FIRST_BITS
+    more[bounds[there]] = firsts[bounds[there]]
+    entries = [c.astype(kind) for c, kind in zip((groups[order], more, n[order]), _ENTRY)]
     data = [pack(*(c[bounds[i] : bounds[i + 1]] for c in entries)) for i in there]
     return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
 
+def _entries(block) -> list[np.ndarray]:
+    """Groups, the first KEY bits of hashes, and counts of a row of `_blocks`."""
+    groups, more, n = unpack([block], _ENTRY)
+    return [groups, np.cumsum(more, dtype=U64) & _FIRST_BITS, n]
+
+
 def _word_blocks(buckets: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +234,7 @@ def _frequent(least: np.ndarray, buckets: int):
     def part(bucket: int, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         groups, hashes, n = _added(parts)
         bits = np.zeros(width, bool)
-        bits[(hashes[n >= least[groups]] >> U64(64 - FILTER)) - U64(bucket * width)] = True
+        bits[(hashes[n >= least[groups]] >> U64(KEY - FILTER)) - U64(bucket * width)] = True
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["bucket", "bits"])
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +245,7 @@ def _frequent(least: np.ndarray, buckets: int):
                     if parts:
                         yield part(bucket, parts)
                     bucket, parts, size = own, [], 0
-                parts.append(unpack([data.as_buffer()], _ENTRY))
+                parts.append(_entries(data.as_buffer()))
                 size += len(parts[-1][0])
                 if size > ENTRIES:  # equal hashes of many pieces become one entry
                     parts = [_added(parts)]

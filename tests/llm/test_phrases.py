@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sediment.llm import phrases
@@ -79,6 +80,24 @@ def test_a_crowded_filter_lets_more_through(spark, rows, monkeypatch):
     assert found(spark, rows, support=9) == plainly(rows, 9)
 
 
+@pytest.mark.parametrize("buckets", [1, 8, 128])
+def test_entries_of_blocks_are_small_and_whole(buckets):
+    """What is shuffled is at most five bytes an entry, and every bucket gets the entries of its hashes back."""
+    r = np.random.default_rng(3)
+    hashes = [np.sort(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (20_000, 1, 30_000, 15_000)]
+    groups = np.repeat([5, 0, 70_000, 2], [len(h) for h in hashes])
+    hashes, n = np.concatenate(hashes), r.choice([1, 1, 1, 70_000], len(groups), p=[0.5, 0.3, 0.19, 0.01])
+    rows = phrases._blocks(groups, hashes, n, buckets).to_pylist()
+    assert sum(len(pa.Codec("lz4").compress(row["data"])) for row in rows) < 5 * len(groups)
+    expected = sorted(zip((hashes >> np.uint64(64 - phrases.KEY)).tolist(), groups.tolist(), n.tolist()))
+    found = []
+    for row in rows:
+        own_groups, firsts, own_n = phrases._entries(row["data"])
+        assert (firsts * np.uint64(buckets) >> np.uint64(phrases.KEY) == row["bucket"]).all()
+        found += zip(firsts.tolist(), own_groups.tolist(), own_n.tolist())
+    assert sorted(found) == expected
+
+
 def test_pieces_share_words(monkeypatch):
     r = random.Random(5)
     texts = ["".join(r.choice(["ab", "c", "x" * 30]) + r.choice([" ", ". ", "\t ", ",,"]) for _ in range(r.randint(0, 50))).encode() for _ in range(40)]
