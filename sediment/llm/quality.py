@@ -80,28 +80,30 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "body"):
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in slices((pa.RecordBatch.from_arrays([t], names=["body"]) for t in texts), "body"):
         body, offsets = column_bytes(batch.column("body"))
         words = Words(body, offsets, BLANK)
-        yield pa.RecordBatch.from_arrays(
+        yield pa.StructArray.from_arrays(
             [
-                batch.column("row"),
                 pa.array(np.diff(words.offsets)),
                 pa.array(per_document(words.inside & ((body & 0xC0) != 0x80), offsets)),
                 pa.array(per_document(SYMBOLS[body], offsets)),
                 pa.array([duplicate_lines(body[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.int64()),
                 pa.array(repeated_words(words)),
             ],
-            names=["row", *_MEASURES],
+            names=_MEASURES,
         )
 
 
 def measure(docs: DataFrame, *carried: Column, text: str = "text") -> DataFrame:
-    """`row` (a struct of the carried columns) and the measures of each text."""
-    out = ", ".join(f"{m} long" for m in _MEASURES)
-    rows = docs.select(F.struct(*carried).alias("row"), bytes_of(text).alias("body"))
-    return rows.mapInArrow(_measured, f"row {rows.schema['row'].dataType.simpleString()}, {out}")
+    """`row` (a struct of the carried columns) and the measures of each text.
+
+    Python gets the texts alone and gives the measures back: what is carried stays in Spark, however large its rows are.
+    """
+    measured = F.arrow_udf(_measured, ", ".join(f"{m} long" for m in _MEASURES))
+    rows = docs.select(F.struct(*carried).alias("row"), measured(bytes_of(text)).alias("measures"))
+    return rows.select("row", "measures.*")
 
 
 def base_failed() -> Column:

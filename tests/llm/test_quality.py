@@ -76,3 +76,15 @@ def test_a_small_source_rejects_nothing_usual(spark):
     rows = [(i, prose(r, symbols=0.02), "en", f"s{i % 4}") for i in range(200)] + [(900, prose(r), "en", "tiny"), (901, prose(r, symbols=0.02), "en", "tiny")]
     found = judged(spark, rows)
     assert found[900]["kept"] and found[901]["kept"]
+
+
+def test_what_is_carried_stays_in_spark(spark, capsys):
+    """Python gets texts alone, so a text that is carried isn't there twice; measures stay with their rows where a batch is cut."""
+    r = random.Random(5)
+    rows = [(i, None if i % 7 == 3 else prose(r, n=60_000 if i % 5 == 0 else i), "en", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    found = quality.measure(docs, *[quality.col(c) for c in ("doc_id", "text")])
+    assert {(x["row"]["doc_id"], x["row"]["text"]): x["n_words"] for x in found.collect()} == {(i, t): len(plain.words(t)) for i, t, *_ in rows}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" not in plan and "ArrowEvalPython [_measured(coalesce(cast(text" in plan
