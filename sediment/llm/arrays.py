@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,12 +91,24 @@ def runs(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(n)
 
 
+def give_back() -> None:
+    """Let the system have the memory that is free in this process, which would stay with an idle worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 * PIECE) -> Iterator[pa.RecordBatch]:
-    """Batches whose values in a binary column add up to `most` bytes at most; a larger value is alone."""
+    """Batches whose values in a binary column add up to `most` bytes at most; a larger value is alone.
+
+    A batch's memory goes back before the next is read.
+    """
     for batch in batches:
         _, offsets = column_bytes(batch.column(column))
         for a, b in runs(np.diff(offsets), most):
             yield batch.slice(a, b - a)
+        del batch, offsets, _
+        give_back()
 
 
 class Words:

@@ -283,7 +283,7 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def linked(buckets: DataFrame, texts: DataFrame, weights: str = "one") -> DataFrame:
     """`node` and `root` of all nodes with a link, of candidates: staged pairs of a bucket's earliest text (`pivot`) with
     each other one (`node`).  Buckets with one earliest text count as one."""
-    links = stage(links_with_earliest(buckets, texts, weights))
+    links = stage(links_with_earliest(buckets, texts, weights), small_batches=True)
     roots = components(links)
     rooted = _with_roots(buckets, roots)
     split = rooted.groupBy("pivot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("pivot")
@@ -298,7 +298,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
     With `copies` also `copy`, the `copy_key` of the row's words, and `root`, which tells classes with one smallest id apart.
     """
     texts = keyed_texts(docs, key, text)
-    signed = stage(texts.mapInArrow(_signed(weights), "doc long, copy binary, bands array<long>"))
+    signed = stage(texts.mapInArrow(_signed(weights), "doc long, copy binary, bands array<long>"), small_batches=True)
     nodes = signed.where(F.col("copy").isNotNull()).groupBy("copy").agg(F.min("doc").alias("doc"), F.min_by("bands", "doc").alias("bands"))
     nodes = stage(nodes.select(F.col("copy").alias("node"), "doc", "bands"))
 
@@ -311,7 +311,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
     # Rows with one id and other words, or the same row again, must not stand for the node once more.
     # What is held of a partition is 24 bytes a candidate; sorting instead would sort all texts.
     found = texts.join(candidates.hint("shuffle_hash"), "doc").mapInArrow(_own_texts, "doc long, node binary, body binary")
-    bodies = stage(found.groupBy("node").agg(F.any_value("body").alias("body")))
+    bodies = stage(found.groupBy("node").agg(F.any_value("body").alias("body")), small_batches=True)
     roots = linked(buckets, bodies, weights)
 
     named = _with_roots(nodes.select("node", "doc"), roots)

@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end: int = 2, w
 
     `path` is the file of a tokenizer that drops white space; `end` is the id after each document.
     """
-    staged = stage(cut(docs, path, size, end, with_ids, key, text))
+    staged = stage(cut(docs, path, size, end, with_ids, key, text), small_batches=True)
     pieces = staged.select("*", F.col("_metadata.file_name").alias("file"))
     counted = pieces.groupBy("length", "file").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}

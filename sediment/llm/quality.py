@@ -176,7 +176,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     given = [F.struct(*cols(docs.columns)).alias("given")] if carry else []
     measured = stage(
         measure(docs, col(key).alias("doc_id"), col(lang).alias("lang"), col(source).alias("source"), *given, text=text)
-        .select("row.*", *_MEASURES)
+        .select("row.*", *_MEASURES),
+        small_batches=True,
     )
     limits = stage(thresholds(sketches(measured)))
     joined = measured.join(

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,9 @@ from sediment.types import quoted
 
 _SETTING = "spark.checkpoint.dir"
 
+#: What Spark sends to Python at a time, in bytes, where a step asks for it.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
+
 _kept: ContextVar[list[str] | None] = ContextVar("staged_folders", default=None)
 
 
@@ -69,9 +72,28 @@ def staged_table(df: DataFrame, name: str, buckets: int, keys: list[str], codec:
         spark.sql(f"DROP TABLE IF EXISTS {own}")
 
 
-def stage(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """Write `df` once and return it as a scan of what was written; `codec` is the compression, by default the session's."""
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, rows go to Python by _BATCH_BYTES, however many; the session's setting is back at the end."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
+def stage(df: DataFrame, codec: str | None = None, small_batches: bool = False) -> DataFrame:
+    """Write `df` once and return it as a scan of what was written; `codec` is the compression, by default the session's.
+
+    With `small_batches` a Python step holds some megabytes of its rows at a time, not 10,000 texts in each of Spark's and
+    Python's buffers; for steps whose results do not depend on how rows are dealt to batches.
+    """
     spark = df.sparkSession
     folder = _new_folder(spark)
-    df.write.parquet(folder, compression=codec)
+    with _small_batches(spark) if small_batches else nullcontext():
+        df.write.parquet(folder, compression=codec)
     return spark.read.schema(df.schema).parquet(folder)

@@ -176,3 +176,39 @@ def test_variants_in_two_places_are_both_found():
 def test_a_template_of_repeated_shingles_fits_into_a_window(before):
     text = " ".join(f"a{i}" for i in range(60)) + " go on and" * 60 + " " + " ".join(f"b{i}" for i in range(60))
     assert scanned("x " * before + text + " y" * 300, {"long": text}) == {"long": (1.0, True)}
+
+
+def test_a_batch_gives_its_memory_back_before_the_next(monkeypatch):
+    import weakref
+
+    from sediment.llm import arrays
+
+    given, freed = [], []
+    monkeypatch.setattr(arrays, "give_back", lambda: freed.append(given[-1]() is None))
+
+    def batches():
+        for n in (1, 40, 3):
+            batch = arrays.pa.RecordBatch.from_arrays([arrays.pa.array([b"x" * 100] * n, arrays.pa.binary())], names=["body"])
+            given.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    assert sum(len(b) for b in arrays.slices(batches(), "body", 1000)) == 44
+    assert len(freed) == 3
+
+
+def test_free_memory_goes_back_to_the_system():
+    import re
+
+    from sediment.llm import arrays
+
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nRss:\s+(\d+)", f.read())[1])
+
+    held = [bytes(60_000) for _ in range(2000)]
+    last = bytes(60_000)  # above the others, so that they can't go by themselves
+    full = resident()
+    del held
+    arrays.give_back()
+    assert last and resident() < full - 80_000

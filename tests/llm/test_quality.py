@@ -1,7 +1,9 @@
 """The thresholds decide: outliers below the base cutoffs go, groups differ, a source of junk does not set its own limits."""
 
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 
 from sediment.llm import quality
@@ -88,3 +90,20 @@ def test_what_is_carried_stays_in_spark(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "MapInArrow" not in plan and "ArrowEvalPython [_measured(coalesce(cast(text" in plan
+
+
+def test_python_holds_some_megabytes_of_texts(spark, monkeypatch):
+    """A batch was 10,000 texts, whatever their size; the session's setting stays as it was."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+
+    def sized(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            n = pa.array([t.nbytes] * len(t))
+            yield pa.StructArray.from_arrays([n] * len(quality._MEASURES), names=quality._MEASURES)
+
+    monkeypatch.setattr(quality, "_measured", sized)
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefg ', 500) AS text", "'en' AS lang", "'s' AS source")
+    found = [r["n_words"] for r in quality.judge(docs).collect()]
+    assert len(found) == 6000 and 4000 < max(found) < 6 << 20
+    assert spark.conf.get(setting, None) == before
