@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,6 @@ HELD, WORDS, ENTRIES = 4_000_000, 1 << 21, 1 << 22
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BREAK = np.isin(np.arange(256), list(BREAKS))
 _APART = _BREAK | np.isin(np.arange(256), list(BLANKS))
-_LOWER = np.frombuffer(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), np.uint8)
 _NEXT = re.compile(rb"[ \t.,;:!?\x0A-\x0D]")
 _OVER = re.compile(rb"(?:[ \t.,;:!?\x0A-\x0D]+[^ \t.,;:!?\x0A-\x0D]+){0,%d}" % (LONGEST - 1))
 
@@ -69,7 +69,7 @@ def pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
 class Piece:
     """The words of some texts that are worked on at a time.
 
-    codes     each word's place in `words`, the different ones
+    codes     each word's place in `words`, the different ones (also as an Arrow array, `column`)
     group     the number of each word's group
     own       whether a phrase that starts here is counted here
     """
@@ -77,7 +77,7 @@ class Piece:
     def __init__(self, texts: list[tuple[int, bytes, int]]):
         sizes = np.array([len(t[1]) for t in texts])
         offsets = np.append(0, np.cumsum(sizes))
-        body = _LOWER[np.frombuffer(b"".join(t[1] for t in texts), np.uint8)]
+        body = np.frombuffer(b"".join(t[1] for t in texts).lower(), np.uint8)  # bytes: A-Z alone
         found = Words(body, offsets, _APART)
         owner = np.repeat(np.arange(len(texts)), np.diff(found.offsets))
         self.group = np.array([t[0] for t in texts], np.int32)[owner]
@@ -91,7 +91,8 @@ class Piece:
         ends = np.append(0, np.cumsum(found.ends - found.starts))
         every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body[found.inside]))])
         coded = every.dictionary_encode()
-        self.codes, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        self.codes, self.column = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.words = self.column.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
 
     def starts(self, k: int) -> np.ndarray:
         """Where phrases of k words start that are counted here."""
@@ -136,13 +137,23 @@ def _read(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[list[
 
 def _distinct(piece: Piece, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each different phrase of each group starts first, and its number; by words, not by hashes."""
-    ids = piece.group[places].astype(np.int64)
-    first = n = np.zeros(0, np.int64)
+    ids, different = piece.group[places].astype(np.int64), int(piece.group.max(initial=0)) + 1
     for i in range(k):
-        _, first, ids, n = np.unique(ids * len(piece.words) + piece.codes[places + i], return_index=True, return_inverse=True, return_counts=True)
+        if different * len(piece.words) >= 1 << 63:  # number what is there so far, so that a word more fits
+            _, ids = np.unique(ids, return_inverse=True)
+            different = len(places)
+        ids = ids * len(piece.words) + piece.codes[places + i]
+        different *= len(piece.words)
+    _, first, n = np.unique(ids, return_index=True, return_counts=True)
     return places[first], n
 
 
+def _joined(piece: Piece, places: np.ndarray, k: int) -> pa.Array:
+    """The phrases of k words that start at some places, as text."""
+    words = [piece.column.take(pa.array(piece.codes[places + i])) for i in range(k)]
+    return pc.binary_join_element_wise(*words, pa.scalar(b" ", piece.column.type)).cast(pa.string())
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word of a language is in a piece (shard -1), and how many words a shard has of a language (no phrase)."""
     for groups, piece in _read(batches, "shard", "lang"):
@@ -154,8 +165,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n = _distinct(piece, at, 1)
         shard = [*(g[0] for g in groups), *[-1] * len(at)]
         lang = pa.concat_arrays([pa.array([g[1] for g in groups], pa.string()), pa.array(langs, pa.string()).take(pa.array(piece.group[at]))])
-        words = pa.array(piece.words, pa.binary()).take(pa.array(piece.codes[at])).cast(pa.string())
-        phrase = pa.concat_arrays([pa.nulls(len(groups), pa.string()), words])
+        phrase = pa.concat_arrays([pa.nulls(len(groups), pa.string()), _joined(piece, at, 1)])
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), lang, phrase, pa.array(np.append(sizes, n))], names=["shard", "lang", "phrase", "a"])
 
 
@@ -274,9 +284,8 @@ def _exact(filters: list):
             for k, filter_ in enumerate(filters, 2):
                 at = piece.starts(k)
                 at, n = _distinct(piece, at[_passes(filter_.value, hashes[k - 1][at])], k)
-                phrase = [b" ".join([piece.words[c] for c in piece.codes[p : p + k]]).decode() for p in at.tolist()]
                 lang = pa.array([g[0] for g in groups], pa.string()).take(pa.array(piece.group[at]))
-                yield pa.RecordBatch.from_arrays([lang, pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
+                yield pa.RecordBatch.from_arrays([lang, _joined(piece, at, k), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
 
     return exact
 
@@ -287,8 +296,9 @@ def phrase_counts(docs: DataFrame, key: str, text: str, lang: str, support: int,
         F.pmod(F.xxhash64(col(key)), shards).cast("int").alias("shard"), F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"),
         bytes_of(text).alias("body"),
     )
-    counts = stage(texts.mapInArrow(_words, "shard int, lang string, phrase string, a long").groupBy("shard", "lang", "phrase").agg(F.sum("a").alias("a")))
-    words = counts.where((F.col("shard") == -1) & (F.col("a") >= support)).select("lang", "phrase", "a")
+    counts = texts.mapInArrow(_words, "shard int, lang string, phrase string, a long").groupBy("shard", "lang", "phrase").agg(F.sum("a").alias("a"))
+    counts = stage(counts.where((F.col("shard") >= 0) | (F.col("a") >= support)))
+    words = counts.where("shard = -1").select("lang", "phrase", "a")
     sizes = counts.where("shard >= 0").select("shard", "lang", F.col("a").alias("n"))
     totals = stage(sizes.groupBy("lang").agg(F.sum("n").alias("n")))
     # One number for each shard and language, for all texts.

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -116,6 +117,43 @@ def test_pieces_share_words(monkeypatch):
         assert sum(map(len, expected)) == sum(len(phrases.Piece([(0, *p)]).starts(1)) for p in parts)
 
 
+def test_phrases_are_joined_without_a_call_for_each():
+    """Python is called for the different words of a piece, not for its phrases, and texts come out as they are."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(199)] + ["é’x"]
+    text = "  ".join(r.choice(words) for _ in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "body": [text.encode()]})
+
+    class Full:
+        value = np.full((1 << phrases.FILTER) // 8, 255, np.uint8)
+
+    calls = [0]
+
+    def called(frame, event, argument):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(called)
+    try:
+        out = list(phrases._exact([Full, Full, Full])(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    expected = Counter(" ".join(g) for k in (2, 3, 4) for g in plain.grams(text.split(), k))
+    assert {p: a for b in out for p, a in zip(b.column("phrase").to_pylist(), b.column("a").to_pylist())} == expected
+    assert calls[0] < len(expected) // 10
+
+
+def test_distinct_phrases_of_many_words():
+    """Four words of 70,000 and a group do not fit 63 bits at once."""
+    r = random.Random(9)
+    texts = [[str(i) for i in range(70_000)], [str(r.randint(0, 70_000)) for _ in range(500)] * 3, ["1", "2", "3", "4", "5"] * 2]
+    piece = phrases.Piece([(g, " ".join(w).encode(), 1 << 30) for g, w in zip((0, 7, 3), texts)])
+    for k in (1, 2, 4):
+        at, n = phrases._distinct(piece, piece.starts(k), k)
+        found = {(int(piece.group[p]), *(piece.words[c] for c in piece.codes[p : p + k])): a for p, a in zip(at.tolist(), n.tolist())}
+        expected = Counter((g, *x) for g, w in zip((0, 7, 3), texts) for x in plain.grams([y.encode() for y in w], k))
+        assert len(at) == len(found) and found == expected
+
+
 def test_no_phrase(spark):
     schema = "doc_id long, text string, lang string"
     assert phrases.collocations(spark.createDataFrame([], schema)).collect() == []
