@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.functions.identity import record_hash
-from sediment.operators.gather import gathered
+from sediment.functions.identity import hash_text, packed, record_hash
+from sediment.operators.gather import gathered, whole_pieces
 from sediment.types import LINEAGE_COLUMNS, col, cols, quoted
 
 
@@ -71,17 +71,35 @@ def sightings(df: DataFrame) -> DataFrame:
     return counted_sightings(df).drop("_copies")
 
 
-def counted_sightings(df: DataFrame, buckets: int = 1) -> DataFrame:
+def dealt_by_hash(df: DataFrame, n: int) -> DataFrame:
+    """The rows in `n` partitions by their record hash, as its text deals them to the buckets of a table; in the shuffle it is 32 bytes and no text."""
+    key = F.col("_record_hash")
+    return df.withColumn("_record_hash", packed(key)).repartition(n, hash_text(key)).withColumn("_record_hash", hash_text(key))
+
+
+def counted_sightings(df: DataFrame, buckets: int = 1, *, pack: bool = False) -> DataFrame:
     """The sightings, each with `_copies`, the number of rows behind it.
 
     Rows are brought together by the hash alone: all sightings of a record stay side by side, in the shuffle, in what is written and for what
     is asked of a record next.  They are counted behind the shuffle only: few rows of a load are alike, and a task that reads a large piece
     of Raw could not hold a row for each.  Copies of a hot record meet in one task, which streams them into one row per load;
-    they are alike, so they take next to nothing in the shuffle.
+    they are alike, so they take next to nothing in the shuffle.  With `pack` a hash that is text is shuffled in 32 bytes.
     """
-    return gathered(df.select("_record_hash", "_batch_id", "_ingested_at"), ["_record_hash"], PIECE_BYTES, buckets).groupBy("_record_hash", "_batch_id").agg(
-        F.min("_ingested_at").alias("_ingested_at"), F.count(F.lit(1)).alias("_copies")
-    )
+    rows = df.select("_record_hash", "_batch_id", "_ingested_at")
+    if pack:
+        rows = dealt_by_hash(rows, whole_pieces(rows, PIECE_BYTES, buckets))
+    else:
+        rows = gathered(rows, ["_record_hash"], PIECE_BYTES, buckets)
+    return rows.groupBy("_record_hash", "_batch_id").agg(F.min("_ingested_at").alias("_ingested_at"), F.count(F.lit(1)).alias("_copies"))
+
+
+def with_record_copies(seen: DataFrame) -> DataFrame:
+    """Counted sightings with `_record_copies`: at one sighting of each record the rows behind all of them, null at the others.
+
+    Of what is staged so, records are found without grouping them again."""
+    record = Window.partitionBy("_record_hash")
+    place = F.row_number().over(record.orderBy("_batch_id"))
+    return seen.withColumn("_record_copies", F.when(place == 1, F.sum("_copies").over(record)))
 
 
 def distinct_stats(df: DataFrame, key: str = "_record_hash") -> DataFrame:

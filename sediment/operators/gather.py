@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from sediment.types import cols
 
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that rows come from; 0 for rows from elsewhere."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
@@ -19,10 +20,20 @@ def pieces(df: DataFrame, piece_bytes: int) -> int:
     return max(cores, -(-input_bytes(df) // piece_bytes))
 
 
+def whole_pieces(df: DataFrame, piece_bytes: int, buckets: int) -> int:
+    """`pieces`, as a multiple of `buckets`: then no piece has rows of two buckets of a table bucketed by the keys they are dealt by."""
+    return -(-pieces(df, piece_bytes) // buckets) * buckets
+
+
 def gathered(df: DataFrame, keys: list[str], piece_bytes: int, buckets: int = 1) -> DataFrame:
-    """The rows with equal keys in one of `pieces` partitions.
+    """The rows with equal keys in one of `whole_pieces` partitions.
 
     Their number follows the input, not the settings, and is not lowered where rows compress well, so that what a task
-    sorts or counts fits its memory.  It is a multiple of `buckets`: then no piece has rows of two buckets of a table bucketed by the keys.
+    sorts or counts fits its memory.
     """
-    return df.repartition(-(-pieces(df, piece_bytes) // buckets) * buckets, *cols(keys))
+    return df.repartition(whole_pieces(df, piece_bytes, buckets), *cols(keys))
+
+
+def fits_every_task(df: DataFrame) -> bool:
+    """Whether Spark sends the rows of these files to all tasks that join with them, by the session's limit."""
+    return input_bytes(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

@@ -34,13 +34,17 @@ def ensure_table(
     bucket_by: list[str] | None = None,
     buckets: int = LEAST_BUCKETS,
     partition_by: list[str] | None = None,
+    codec: str | None = None,
 ) -> DataFrame:
     """The table, created empty if it is missing.
 
-    A table bucketed by the key it is merged on is joined without shuffling it.
+    A table bucketed by the key it is merged on is joined without shuffling it.  `codec` is the compression of all that is ever
+    written to it, by default that of the session that writes.
     """
     if not exists(spark, name):
         writer = spark.createDataFrame([], schema).write.format("parquet")
+        if codec:
+            writer = writer.option("compression", codec)
         if bucket_by:
             writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
         if partition_by:
@@ -72,12 +76,13 @@ def buckets_for(spark: SparkSession, name: str) -> int:
 
 
 def job_session(spark: SparkSession, buckets: int) -> SparkSession:
-    """A session for one job, with the caller's settings but for four that no other job shall see.
+    """A session for one job, with the caller's settings but for five that no other job shall see.
 
     Files are read in small pieces, as rows may become several times as many before they are sorted or counted.
     An overwrite replaces the partitions it has rows for.  It shuffles into as many partitions as the target has buckets, and lets the target's bucketing serve joins on
     more columns than it is bucketed by.  Then a join with the bucketed table shuffles neither it nor the
-    rows a second time, and every task writes the file of one bucket.
+    rows a second time, and every task writes the file of one bucket.  What a step has shuffled leaves the disks when the step ends, not when the
+    driver happens to collect its garbage; a job stages what it reads twice.
     """
     job = spark.newSession()
     for name, value in spark.conf.getAll.items():
@@ -87,6 +92,7 @@ def job_session(spark: SparkSession, buckets: int) -> SparkSession:
     job.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     job.conf.set(_OVERWRITE, "dynamic")
     job.conf.set("spark.sql.files.maxPartitionBytes", str(READ_BYTES))
+    job.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return job
 
 

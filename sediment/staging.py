@@ -60,13 +60,13 @@ def _new_folder(spark: SparkSession) -> str:
 def staged_table(df: DataFrame, name: str, buckets: int, keys: list[str], codec: str) -> Iterator[DataFrame]:
     """`df` staged as a bucketed table that is dropped at the end, so that what reads it by the keys shuffles nothing.
 
-    `name` begins the table's name, which is one of its own.
+    Rows are sorted by the keys, so that equal ones lie side by side and take next to nothing.  `name` begins the table's name, which is one of its own.
     """
     spark = df.sparkSession
     own = ".".join(quoted(part.strip("`")) for part in f"{name.rstrip('`')}_{uuid.uuid4().hex}".split("."))
     try:
         writer = df.write.format("parquet").option("path", _new_folder(spark)).option("compression", codec)
-        writer.bucketBy(buckets, *keys).saveAsTable(own)
+        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(own)
         yield spark.table(own)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {own}")
